@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -16,3 +20,18 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package's sources to the executors, once for each application."""
+    context = spark.sparkContext
+    if getattr(context, "_spanloom_shipped", False):
+        return spark
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="spark-")) / "spanloom.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(target))
+    context._spanloom_shipped = True
+    return spark
