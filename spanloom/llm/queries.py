@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import block_naming, quality_rules, secret_automaton, simhash_tiles, source_mixing
+from . import block_naming, byte_bpe, quality_rules, secret_automaton, simhash_tiles, source_mixing, token_shards
 
 QUERIES = {}
 ORACLES = {}
@@ -73,3 +73,22 @@ def op8_simhash_tiles(spark, sf_dir):
 )
 def op2_poisson_mixing(spark, sf_dir):
     return source_mixing.mix(documents(spark, sf_dir)).select("doc_id", "source", "text", "copies", "copy", "order_key")
+
+
+@register("op7_token_shards")
+def op7_token_shards(spark, sf_dir):
+    import public_tokenizers
+
+    return token_shards.read_all(*token_shards.store(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def multi_ranks():
+    import public_tokenizers
+
+    return byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN
+
+
+@register("op9_byte_bpe")
+def op9_byte_bpe(spark, sf_dir):
+    ranks, pattern = multi_ranks()
+    return byte_bpe.digests(byte_bpe.encode(documents(spark, sf_dir), ranks, pattern), ranks)
