@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import block_naming, byte_bpe, quality_rules, secret_automaton, simhash_tiles, source_mixing, token_shards
+from . import block_naming, byte_bpe, quality_rules, repeat_parsing, secret_automaton, simhash_tiles, source_mixing, token_shards
 
 QUERIES = {}
 ORACLES = {}
@@ -92,3 +92,9 @@ def multi_ranks():
 def op9_byte_bpe(spark, sf_dir):
     ranks, pattern = multi_ranks()
     return byte_bpe.digests(byte_bpe.encode(documents(spark, sf_dir), ranks, pattern), ranks)
+
+
+@register("op1_repeat_parsing")
+def op1_repeat_parsing(spark, sf_dir):
+    rows = repeat_parsing.remove_repeats(documents(spark, sf_dir))
+    return rows.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

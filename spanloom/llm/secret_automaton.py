@@ -14,7 +14,6 @@ scanned. Only the two named columns are read.
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -281,5 +280,3 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_slices(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), run, "doc_id long, secrets array<struct<kind:string,start:long,end:long>>", ARROW, 1, 4 << 20)
 
 
-def digest(spans: str) -> str:
-    return hashlib.sha256(spans.encode()).hexdigest()
