@@ -17,7 +17,7 @@ whose number follows the input.
 
 Defined cases: null counts as empty; texts shorter than ``length`` lose nothing. Matches never cross documents. Repeated
 rows repeat each other. Further columns are not read. Cores and units are compared by 64 bits each, a unit's 64 only
-among units with equal cores; windows by 128 bits.
+among units with equal cores; windows by 96 bits.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ from .batches import bytes_of, map_slices, slices
 
 GRAM = 8
 #: Bytes of text behind each bucket of postings.
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 32 << 20
 
 
 def rolling(data: np.ndarray) -> np.ndarray:
@@ -132,7 +133,8 @@ POST_ARROW = pa.schema([("bucket", pa.int32()), ("posted", pa.binary()), ("told"
 UNIT = np.dtype([("core", "<u8"), ("whole", "<u8"), ("doc", "<i8"), ("size", "<u4"), ("first", "<u4"), ("more", "<u2"), ("mixed", "u1")])
 #: What is known of a unit: its document (text hash and size), its windows, and whether it repeats as a whole or is to be ordered.
 TOLD = np.dtype([("doc", "<i8"), ("size", "<u4"), ("first", "<u4"), ("more", "<u2"), ("repeats", "u1")])
-WINDOW = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("size", "<u4"), ("first", "<u4")])
+#: Bytes of a window's digest.
+DIGEST = 12
 
 
 def tell(rows: np.ndarray, repeats: bool) -> np.ndarray:
@@ -190,39 +192,96 @@ def unit_verdicts(texts: DataFrame, length: int, buckets: int) -> DataFrame:
     return texts.select("text", "doc", "size").mapInArrow(post, POST).groupBy("bucket").applyInArrow(meet, TOLD_TYPES)
 
 
+def spans_of(doc: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Single windows, in order of document and place, as told ranges of adjoining ones."""
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (size[1:] != size[:-1]) | (first[1:] != first[:-1] + 1)
+    at = np.flatnonzero(new)
+    out = np.zeros(len(at), TOLD)
+    out["doc"], out["size"], out["first"], out["repeats"] = doc[at], size[at], first[at], 1
+    out["more"] = np.diff([*at, len(doc)]) - 1
+    return out
+
+
+def window_row(docs: np.ndarray, sizes: np.ndarray, of: np.ndarray, first: np.ndarray, digests: np.ndarray) -> bytes:
+    """The windows of a slice that go to one bucket, by columns, with the documents that they are of."""
+    used, of = np.unique(of, return_inverse=True)
+    head = np.array([len(used), len(of)], "<u4").tobytes()
+    return head + docs[used].astype("<i8").tobytes() + sizes[used].astype("<u4").tobytes() + np.diff(of, prepend=0).astype("<i4").tobytes() + np.diff(first, prepend=0).astype("<i4").tobytes() + digests.tobytes()
+
+
+def window_columns(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """doc, size, first and digest of every window of a row."""
+    n, m = np.frombuffer(data, "<u4", 2).tolist()
+    of = np.cumsum(np.frombuffer(data, "<i4", m, 8 + 12 * n))
+    first = np.cumsum(np.frombuffer(data, "<i4", m, 8 + 12 * n + 4 * m))
+    return np.frombuffer(data, "<i8", n, 8)[of], np.frombuffer(data, "<u4", n, 8 + 8 * n)[of], first, np.frombuffer(data, np.uint8, m * DIGEST, 8 + 12 * n + 8 * m).reshape(m, DIGEST)
+
+
+def repeated(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows have a digest that another has too, and which is the first of its digest."""
+    if not len(digests):
+        return np.zeros(0, bool), np.zeros(0, bool)
+    order, new = runs(np.ascontiguousarray(digests[:, :8]).view("<u8").ravel(), np.ascontiguousarray(digests[:, 8:]).view("<u4").ravel())
+    run = np.cumsum(new) - 1
+    again, one = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    again[order] = np.bincount(run)[run] > 1
+    one[order[new]] = True
+    return again, one
+
+
 def window_verdicts(texts: DataFrame, open_units: DataFrame, length: int, buckets: int) -> DataFrame:
     """The windows of open units that occur twice among them."""
-    wanted = open_units.groupBy("doc", "size").agg(F.collect_set(F.struct("first", "more")).alias("units"))
+    wanted = open_units.groupBy("doc", "size").agg(F.sort_array(F.collect_set(F.struct("first", "more"))).alias("units"))
 
     def post(batches):
-        for part in slices(batches, 0, 16 << 20):
+        for part in slices(batches, 0, 8 << 20):
             docs, sizes = part.column(1).to_numpy(), part.column(2).to_numpy()
             digests, of, first = bytearray(), [], []
-            for k, (text, found) in enumerate(zip(bytes_of(part, 0), part.column(3).to_pylist(), strict=True)):
+            for k, (data, found) in enumerate(zip(part.column(0).to_pylist(), part.column(3).to_pylist(), strict=True)):
+                text = unzipped(data)
                 for u in found:
                     for i in range(u["first"], u["first"] + u["more"] + 1):
-                        digests += xxhash.xxh3_128_digest(text[i : i + length])
+                        digests += xxhash.xxh3_128_digest(text[i : i + length])[:DIGEST]
                         of.append(k)
                         first.append(i)
-            rows = np.empty(len(of), WINDOW)
-            pair = np.frombuffer(bytes(digests), "<u8").reshape(-1, 2)
-            rows["a"], rows["b"], rows["doc"], rows["size"], rows["first"] = pair[:, 0], pair[:, 1], docs[of], sizes[of], first
-            order, new = runs(rows["a"], rows["b"])
-            run = np.cumsum(new) - 1
-            # what repeats in this slice is known; one window of each value is sent
-            yield by_bucket(rows[order[new]], "a", tell(rows[order[np.bincount(run)[run] > 1]] if len(order) else rows, True), buckets)
+            digest, of, first = np.frombuffer(bytes(digests), np.uint8).reshape(-1, DIGEST), np.array(of, np.int64), np.array(first, np.int64)
+            # what repeats in this slice is known; one window of each digest is sent
+            again, one = repeated(digest)
+            told = spans_of(docs[of[again]], sizes[of[again]], first[again])
+            digest, of, first = digest[one], of[one], first[one]
+            to = np.ascontiguousarray(digest[:, 8:]).view("<u4").ravel() % np.uint32(buckets)
+            order = np.argsort(to, kind="stable")
+            used, starts = np.unique(to[order], return_index=True)
+            rows = [window_row(docs, sizes, of[i], first[i], digest[i]) for i in np.split(order, starts[1:])] if len(used) else [window_row(docs, sizes, of, first, digest)]
+            share = np.array_split(told, len(rows))
+            yield pa.record_batch([pa.array(used.astype(np.int32) if len(used) else np.zeros(1, np.int32)), pa.array(rows, pa.binary()), pa.array([x.tobytes() for x in share], pa.binary())], schema=POST_ARROW)
 
     def meet(table: pa.Table) -> pa.Table:
-        rows = joined(table.column("posted"), WINDOW)
-        order, new = runs(rows["a"], rows["b"])
-        run = np.cumsum(new) - 1
-        again = rows[order[np.bincount(run)[run] > 1]] if len(order) else rows
-        return as_table(np.concatenate([tell(again, True), joined(table.column("told"), TOLD)]))
+        doc, size, first, digest = (np.concatenate(x) for x in zip(*(window_columns(x.as_py()) for x in table.column("posted")), strict=True))
+        again, _ = repeated(digest)
+        return as_table(np.concatenate([spans_of(doc[again], size[again], first[again]), joined(table.column("told"), TOLD)]))
 
-    found = texts.join(wanted, ["doc", "size"]).select("text", "doc", "size", "units")
+    found = texts.join(wanted, ["doc", "size"]).select("zipped", "doc", "size", "units")
     return found.mapInArrow(post, POST).groupBy("bucket").applyInArrow(meet, TOLD_TYPES)
 
 
+def unzipped(data: bytes | None) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data) if data else b""
+
+
+def with_zipped(texts: DataFrame) -> DataFrame:
+    """The text column compressed, as it is to be dealt twice."""
+
+    def run(batches):
+        zipper = zstandard.ZstdCompressor(level=3)
+        for part in slices(batches, 0):
+            zipped = pa.array([zipper.compress(t) if t else b"" for t in bytes_of(part, 0)], pa.binary())
+            yield pa.record_batch([zipped, *part.columns[1:]], names=["zipped", *part.schema.names[1:]])
+
+    return texts.select("text", "doc_id", "doc", "size").mapInArrow(run, "zipped binary, doc_id long, doc long, size int")
+
+
 def cover(n: int, starts: list[dict] | None, length: int) -> np.ndarray:
     """Which of n bytes lie in a window that starts in one of the ranges."""
     change = np.zeros(n + 1, np.int32)
@@ -240,16 +299,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("doc"), F.octet_length(text).alias("size"))
     total = texts.agg(F.sum(F.col("size").cast("long"))).first()[0] or 0
-    buckets = max(64, int(total // BUCKET_BYTES))
+    buckets = max(24, int(total // BUCKET_BYTES))
     told = materialize(unit_verdicts(texts, length, buckets), "units")
-    more = materialize(window_verdicts(texts, told.where("not repeats").select("doc", "size", "first", "more"), length, buckets), "windows")
+    zipped = with_zipped(texts)
+    more = materialize(window_verdicts(zipped, told.where("not repeats").select("doc", "size", "first", "more"), length, buckets), "windows")
     # the windows that repeat, as ranges of their starts; a text's hash and size stand for the text, whichever rows have it
     ranges = told.where("repeats").unionByName(more).groupBy("doc", "size").agg(F.collect_set(F.struct("first", "more")).alias("starts"))
-    both = texts.join(ranges, ["doc", "size"], "left").select("text", "doc_id", "starts")
+    both = zipped.join(ranges, ["doc", "size"], "left").select("zipped", "doc_id", "starts")
 
     def run(part):
         out = {c: [] for c in REMOVED.names}
-        for data, starts in zip(bytes_of(part, 0), part.column(2).to_pylist(), strict=True):
+        for data, starts in zip(map(unzipped, part.column(0).to_pylist()), part.column(2).to_pylist(), strict=True):
             gone = cover(len(data), starts, length)
             edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))).reshape(-1, 2)
             out["n_bytes"].append(len(data))
@@ -258,6 +318,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out["kept"].append(np.frombuffer(data, np.uint8)[~gone].tobytes())
         return out | {"doc_id": part.column(1)}
 
-    return map_slices(both, run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary", REMOVED, 0)
+    return map_slices(both, run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary", REMOVED, 0, 4 << 20)
 
 
