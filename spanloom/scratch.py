@@ -23,3 +23,11 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_bucketed(df: DataFrame, column: str, buckets: int, name: str = "table") -> DataFrame:
+    """Like ``materialize``, but as a table bucketed by ``column``, so that a later join on it does not shuffle this side."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, column).option("compression", "zstd").option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
+    return spark.table(table)
