@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..scratch import materialize
+from ..scratch import materialize_bucketed
 from .batches import slices
 from .pretokens import split_batch
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 10 << 20
 BUCKETS = 64
 CHUNKS_TOGETHER = 1024
 #: Texts whose pre-tokens are found at once inside a chunk.
@@ -98,10 +98,12 @@ def chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             words, sequence, sizes = numbered([t or "" for t in part.column(1).to_pylist()])
             raw = [w.encode("utf-8", "surrogatepass") for w in words]
             bucket = np.fromiter((zlib.crc32(w) % BUCKETS for w in raw), np.int64, len(raw))
-            order = np.argsort(bucket, kind="stable")
-            rank = np.empty(len(raw), np.uint32)
-            rank[order] = np.arange(len(raw), dtype=np.uint32)
+            # the r-th most frequent word of bucket b has number r x BUCKETS + b, so frequent words have small numbers
+            often = np.argsort(-np.bincount(sequence, minlength=len(raw)), kind="stable")
+            order = often[np.argsort(bucket[often], kind="stable")]
             cuts = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+            rank = np.empty(len(raw), np.uint32)
+            rank[order] = (np.arange(len(raw)) - cuts[bucket[order]]) * BUCKETS + bucket[order]
             packed = [pack([raw[i] for i in order[a:b]]) for a, b in zip(cuts, cuts[1:], strict=False)]
             row = [[(TaskContext.get().partitionId() << 32) + k], [part.column(0).to_pylist()], [sizes], [squeeze(rank[sequence])], [packed]]
             yield pa.record_batch([pa.array(v, type=f.type) for v, f in zip(row, arrow, strict=True)], schema=arrow)
@@ -147,7 +149,8 @@ def gather(lengths: np.ndarray, joined: np.ndarray, picks: np.ndarray) -> tuple[
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id and ``ids`` (array of int), as the ranks and the pattern give them without special tokens."""
-    chunks = materialize(chunked(docs, id_col, text_col), "chunks")
+    total = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    chunks = materialize_bucketed(chunked(docs, id_col, text_col), "chunk", int(min(20_000, max(24, total // CHUNK_BYTES))), "chunks")
     apart = max(1, -(-chunks.count() // CHUNKS_TOGETHER))
     words = chunks.select("chunk", F.posexplode("words").alias("bucket", "packed")).withColumn("apart", F.pmod(F.xxhash64("chunk"), F.lit(apart)))
     coded = encode_words(words, ranks, pattern)
@@ -161,8 +164,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
             n, joined = unpack(zstandard.ZstdDecompressor().decompress(packs[int(k)].as_py()))
             lengths.append(n // 4)
             values.append(np.frombuffer(joined, "<u4"))
+        base = np.cumsum([0, *map(len, lengths)])
         lengths = np.concatenate(lengths).astype(np.int64)
-        picks = unsqueeze(left.column("positions")[0].as_py())
+        number = unsqueeze(left.column("positions")[0].as_py())
+        picks = base[number % BUCKETS] + number // BUCKETS
         ids, sizes = gather(lengths, np.concatenate(values), picks)
         upto = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(left.column("sizes")[0].values.to_numpy())])]
         return pa.table({"doc_id": left.column("doc_ids")[0].values, "ids": pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(ids.astype(np.int32)))})

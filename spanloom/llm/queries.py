@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import block_naming, byte_bpe, quality_rules, repeat_parsing, secret_automaton, simhash_tiles, source_mixing, token_shards
+from . import block_naming, byte_bpe, quality_rules, repeat_parsing, secret_automaton, simhash_tiles, source_mixing, token_shards, toxicity_grammar, weak_quality
 
 QUERIES = {}
 ORACLES = {}
@@ -98,3 +98,15 @@ def op9_byte_bpe(spark, sf_dir):
 def op1_repeat_parsing(spark, sf_dir):
     rows = repeat_parsing.remove_repeats(documents(spark, sf_dir))
     return rows.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register("op3_weak_quality")
+def op3_weak_quality(spark, sf_dir):
+    return weak_quality.classify(documents(spark, sf_dir))
+
+
+@register("op10_toxicity_grammar")
+def op10_toxicity_grammar(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    grammar = toxicity_grammar.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity_grammar.score_documents(docs, grammar)

@@ -174,7 +174,7 @@ def unit_verdicts(texts: DataFrame, length: int, buckets: int) -> DataFrame:
     """Which units repeat as a whole and which are to be ordered by windows; ``texts`` has text, doc (its hash) and size."""
 
     def post(batches):
-        for part in slices(batches, 0, 16 << 20):
+        for part in slices(batches, 0, 8 << 20):
             docs, sizes = part.column(1).to_numpy(), part.column(2).to_numpy()
             doc, first, more, core, whole = units(bytes_of(part, 0), length)
             rows = np.zeros(len(doc), UNIT)
@@ -235,7 +235,7 @@ def window_verdicts(texts: DataFrame, open_units: DataFrame, length: int, bucket
     wanted = open_units.groupBy("doc", "size").agg(F.sort_array(F.collect_set(F.struct("first", "more"))).alias("units"))
 
     def post(batches):
-        for part in slices(batches, 0, 8 << 20):
+        for part in slices(batches, 0, 4 << 20):
             docs, sizes = part.column(1).to_numpy(), part.column(2).to_numpy()
             digests, of, first = bytearray(), [], []
             for k, (data, found) in enumerate(zip(part.column(0).to_pylist(), part.column(3).to_pylist(), strict=True)):

@@ -12,6 +12,7 @@ doc_id are written by one task. An empty table gives no shards and an empty inde
 
 from __future__ import annotations
 
+import os
 import zlib
 from itertools import count
 
@@ -28,7 +29,7 @@ from .byte_bpe import gather, numbered
 SHARD_TOKENS = 4 << 20
 KEYS_PER_PART = 1 << 16
 #: Distinct words whose ids a Python worker keeps between slices, to bound its memory.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 120_000
 END_ID = 0
 _KNOWN: dict[str, dict[str, bytes]] = {}
 
@@ -88,6 +89,7 @@ class PerfectHash:
 
 def encoder(path: str):
     """A function from words to packed ids by the tokenizers library; words stay known to the worker up to a bound."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -139,7 +141,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
             row = [[part], [next(number)], [tokens], [width], [held[0]], [held[1]], [held[2]], [b"".join(payload)]]
             return pa.record_batch([pa.array(v, type=f.type) for v, f in zip(row, SHARD_ARROW, strict=True)], schema=SHARD_ARROW)
 
-        for piece in slices(batches, 1, 4 << 20):
+        for piece in slices(batches, 1, 2 << 20):
             ids, sizes = encode_texts([t or "" for t in piece.column(1).to_pylist()], ids_of)
             for doc_id in piece.column(0).to_pylist():
                 nth = nth + 1 if doc_id == last else 0
