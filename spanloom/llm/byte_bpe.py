@@ -33,7 +33,7 @@ from ..scratch import materialize_bucketed
 from .batches import slices
 from .pretokens import split_batch
 
-CHUNK_BYTES = 10 << 20
+CHUNK_BYTES = 8 << 20
 BUCKETS = 64
 CHUNKS_TOGETHER = 1024
 #: Texts whose pre-tokens are found at once inside a chunk.
@@ -205,15 +205,19 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 
 
 def digests(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """doc_id, n_tokens, and the sha256 of the decimal ids joined by commas and of the decoded bytes."""
+    """doc_id, n_tokens, and the sha256 of the decimal ids joined by commas and of the bytes that the ids decode to."""
     arrow = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+    table, size = TokenBytes(ranks), max(ranks.values(), default=0) + 1
 
     def run(batches):
-        names = None
+        names = list(map(str, range(size)))
         for batch in batches:
-            names = names or list(map(str, range(max(ranks.values(), default=0) + 1)))
-            rows = [ids.values.to_numpy() for ids in batch.column(1)]
-            told = [hashlib.sha256(",".join(map(names.__getitem__, ids.tolist())).encode()).hexdigest() for ids in rows]
-            yield pa.record_batch([batch.column(0), pa.array([len(r) for r in rows], pa.int64()), pa.array(told), pa.array([hashlib.sha256(t.as_py()).hexdigest() for t in batch.column(2)])], schema=arrow)
-
-    return decode(encoded.select("doc_id", "ids"), ranks).select("doc_id", "ids", "decoded").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            out = []
+            for ids in batch.column(1):
+                row = ids.values.to_numpy()
+                told = ",".join(map(names.__getitem__, row.tolist())).encode()
+                out.append((len(row), hashlib.sha256(told).hexdigest(), hashlib.sha256(table.decode(row)).hexdigest()))
+            n, told, text = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(told, pa.string()), pa.array(text, pa.string())], schema=arrow)
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
