@@ -28,10 +28,10 @@ from .byte_bpe import gather, numbered
 
 SHARD_TOKENS = 4 << 20
 KEYS_PER_PART = 1 << 16
-#: Distinct words whose ids a Python worker keeps between slices, to bound its memory.
-KNOWN_WORDS = 120_000
+#: A Python worker keeps the ids of the words that it met last, between that many and twice as many.
+KNOWN_WORDS = 400_000
 END_ID = 0
-_KNOWN: dict[str, dict[str, bytes]] = {}
+_KNOWN: dict[str, list[dict[str, bytes]]] = {}
 
 
 def mix(key: np.ndarray, seed: int) -> np.ndarray:
@@ -94,18 +94,22 @@ def encoder(path: str):
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True  # their strings are ordinary text
-    known = _KNOWN.setdefault(path, {})
+    held = _KNOWN.setdefault(path, [{}, {}])  # words met lately, and those met before
 
     def ids_of(words: list[str]) -> list[bytes]:
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > KNOWN_WORDS:
-            known.clear()
-            new = words
+        young, old = held
+        found = [young.get(w) or old.get(w) for w in words]
+        new = [w for w, ids in zip(words, found, strict=True) if ids is None]
+        coded: dict[str, bytes] = {}
         for k in range(0, len(new), 4096):
             part = new[k : k + 4096]
             for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return [known[w] for w in words]
+                coded[w] = np.array(e.ids, "<u4").tobytes()
+        found = [coded[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+        if len(young) > KNOWN_WORDS:
+            held[:] = [{}, young]
+        held[0].update(zip(words, found, strict=True))
+        return found
 
     return ids_of
 
@@ -141,7 +145,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
             row = [[part], [next(number)], [tokens], [width], [held[0]], [held[1]], [held[2]], [b"".join(payload)]]
             return pa.record_batch([pa.array(v, type=f.type) for v, f in zip(row, SHARD_ARROW, strict=True)], schema=SHARD_ARROW)
 
-        for piece in slices(batches, 1, 2 << 20):
+        for piece in slices(batches, 1, 4 << 20):
             ids, sizes = encode_texts([t or "" for t in piece.column(1).to_pylist()], ids_of)
             for doc_id in piece.column(0).to_pylist():
                 nth = nth + 1 if doc_id == last else 0
