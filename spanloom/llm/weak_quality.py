@@ -2,8 +2,8 @@
 
 Heuristic labellers vote for good, bad or nothing on each document. Expectation-maximisation over the counts of vote
 patterns estimates how often each labeller is right and how common good documents are; no true label is read. The
-posterior of a document's pattern is the soft label that trains a linear scorer over hashed features (shapes of words
-and their pairs), which then scores every document.
+posterior of a document's pattern is the soft label that trains a linear scorer over hashed features (shapes of words,
+and classes of size, lines, symbols and repetition), which then scores every document.
 
 There are at most three to the number of labellers patterns, so their counts fit the driver. The scorer is fitted on
 at most ``max_rows`` documents, chosen by a hash of the text.
@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +29,11 @@ from .batches import bytes_of, map_slices
 from .quality_rules import SYMBOLS, base_counts
 
 DIMENSIONS = 1 << 14
-#: Words whose shapes are counted at once, to bound memory; all words of a text are counted.
-SHAPE_WORDS = 1 << 16
+#: Longer words are looked at anew each time, so that remembered words stay small.
+CACHED_BYTES = 64
 LABELLERS = ("length", "symbols", "repeated_lines", "repeated_words", "word_length", "capitals", "bars", "sentences")
 
 
-
 def votes(text: bytes) -> list[int]:
     """1 good, -1 bad, 0 no opinion, by labeller."""
     n_words, chars, n_symbols, n_dup, n_repeat = base_counts(text)
@@ -85,32 +86,25 @@ def fit_labels(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> L
     return model
 
 
-SHAPE = [(re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[0-9]+"), b"0"), (re.compile(rb"(.)\1+", re.S), rb"\1")]
+#: Small letters and bytes of other scripts become a, capitals A, digits 0; the rest stays.
+CLASSES = bytes(ord("a") if 97 <= k <= 122 or k >= 128 else ord("A") if 65 <= k <= 90 else ord("0") if 48 <= k <= 57 else k for k in range(256))
+RUNS = re.compile(rb"(.)\1+", re.S)
+
+
+def place(classes: bytes) -> int:
+    """The feature of a word given by the classes of its bytes: its length class and its first shapes."""
+    return zlib.crc32(b"%d%s" % (min(len(classes), 15) // 3, RUNS.sub(rb"\1", classes)[:6])) % DIMENSIONS
+
+
+known_place = lru_cache(1 << 16)(place)
 
 
 def hashed(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Places and values (root of the share) of a text's features."""
-    words = text.split()
-    counts = np.zeros(DIMENSIONS)
-    shapes: dict[bytes, bytes] = {}
-    for k in range(0, len(words), SHAPE_WORDS):
-        row = []
-        for w in words[k : k + SHAPE_WORDS + 1]:
-            s = shapes.get(w)
-            if s is None:
-                s = w
-                for find, put in SHAPE:
-                    s = find.sub(put, s)
-                # length class and the word's first shapes
-                s = shapes[w] = b"%d%s" % (min(len(w), 15) // 3, s[:6])
-            row.append(s)
-        own = row[: SHAPE_WORDS]
-        for s in own:
-            counts[zlib.crc32(s) % DIMENSIONS] += 1
-        if len(shapes) > 200_000:
-            shapes.clear()
-    seen = len(words)
-    kinds = len(set(words)) / seen if seen else 0
+    often = Counter(text.translate(CLASSES).split())
+    seen = often.total()
+    counts = np.bincount(np.array([known_place(w) if len(w) <= CACHED_BYTES else place(w) for w in often], np.int64), np.fromiter(often.values(), float, len(often)), DIMENSIONS)
+    kinds = len(set(text.split())) / seen if seen else 0
     for name, value in (("kinds", int(10 * kinds)), ("size", min(12, seen.bit_length())), ("lines", min(12, text.count(b"\n").bit_length())), ("symbols", min(9, int(40 * sum(text.count(SYMBOLS[k : k + 1]) for k in range(len(SYMBOLS))) / max(1, len(text)))))):
         counts[zlib.crc32(f"{name}={value}".encode()) % DIMENSIONS] += max(1, seen)
     at = np.flatnonzero(counts)
