@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import project
 from ..operators import components, cost, gates, graph, joins, score, spans
 from . import adapters as ad
+from . import evidence_queries  # noqa: F401  registers its own queries
 from .adapters import ELOG, LINES, OBS, SPANS
 from .registry import register
 
@@ -232,11 +233,10 @@ def single_context_gate(spark, d):
     return gates.single_context_gate(ad.table(spark, d, "lineitem"), ["l_orderkey"], ["l_returnflag"])
 
 
-@register("pairing_gate", f"""WITH {ELOG}, x AS (SELECT ctx, field, count(*) FILTER (kind = 'write') AS b, count(*) FILTER (kind = 'read') AS e, max(seq) FILTER (kind = 'write') AS tb, min(seq) FILTER (kind = 'read') AS te FROM elog WHERE kind <> 'barrier' AND seq <= 12 GROUP BY 1, 2)
+@register("pairing_gate", f"""WITH {ELOG}, x AS (SELECT ctx, field, count(*) FILTER (kind = 'write') AS b, count(*) FILTER (kind = 'read') AS e, max(seq) FILTER (kind = 'write') AS tb, min(seq) FILTER (kind = 'read') AS te FROM elog WHERE kind <> 'barrier' GROUP BY 1, 2)
 SELECT ctx, field, 'pairing' AS rule, b || '/' || e AS detail FROM x WHERE b <> 1 OR e <> 1 OR te <= tb""")
 def pairing_gate(spark, d):
-    first = ad.event_log(spark, d).where("seq <= 12")  # the first events of each user are the calls to pair
-    return gates.pairing_gate(first, ["ctx", "field"], "kind", "seq", ["write"], ["read"])
+    return gates.pairing_gate(ad.event_log(spark, d), ["ctx", "field"], "kind", "seq", ["write"], ["read"])
 
 
 @register("nesting_gate", f"""WITH {ELOG}, x AS (SELECT ctx, seq, CASE WHEN op IN ('view', 'click') THEN 1 WHEN op IN ('signup', 'purchase') THEN -1 ELSE 0 END AS s FROM elog), y AS (SELECT ctx, s, sum(s) OVER (PARTITION BY ctx ORDER BY seq) AS c FROM x)
