@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import project
 from ..operators import components, cost, gates, graph, joins, score, spans
 from . import adapters as ad
-from . import evidence_queries  # noqa: F401  registers its own queries
+from . import evidence_queries, more_queries  # noqa: F401  these register their own queries
 from .adapters import ELOG, LINES, OBS, SPANS
 from .registry import register
 
