@@ -11,7 +11,7 @@ from .components import connected_components
 
 def _closure(edges: DataFrame, seeds: DataFrame, by: list[str], at: str, to: str, max_rounds: int) -> DataFrame:
     """Nodes reached from the seeds (by, root, node) along at -> to, in rounds; each round joins the frontier and drops what was seen."""
-    step = edges.select(*by, F.col(at).alias("node"), F.col(to).alias("next")).distinct()
+    step = materialize(edges.select(*by, F.col(at).alias("node"), F.col(to).alias("next")).distinct(), "steps")
     seen = materialize(seeds.select(*by, "root", "node").distinct(), "seen")
     frontier = seen
     for _ in range(max_rounds):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import project
 from ..operators import components, cost, gates, graph, joins, score, spans
+from ..scratch import materialize
 from . import adapters as ad
 from . import evidence_queries, more_queries  # noqa: F401  these register their own queries
 from .adapters import ELOG, LINES, OBS, SPANS
@@ -485,7 +486,7 @@ def w1_timing_score(spark, d):
     obs = ad.observations(spark, d)
     transport = joins.greedy_match(joins.transport_candidates(obs, SLACK)).where("not tied").select(F.col("client").alias("parent"), F.col("server").alias("child"))
     local = joins.local_parents(obs).select("parent", "child")
-    edges = transport.unionByName(local).select(F.lit(0).alias("g"), "parent", "child")
+    edges = materialize(transport.unionByName(local).select(F.lit(0).alias("g"), "parent", "child"), "edges")
     heads = obs.where("kind = 'CLIENT'").select(F.lit(0).alias("g"), F.col("event_id").alias("node")).join(edges.select("g", F.col("child").alias("node")), ["g", "node"], "left_anti")
     found = graph.reach(edges, heads, ["g"]).where("root != node").select(F.col("root").alias("query"), F.col("node").alias("item"))
     users = ad.table(spark, d, "events").select("event_id", "user_id")
