@@ -132,7 +132,9 @@ POST = "bucket int, posted binary, told binary"
 POST_ARROW = pa.schema([("bucket", pa.int32()), ("posted", pa.binary()), ("told", pa.binary())])
 UNIT = np.dtype([("core", "<u8"), ("whole", "<u8"), ("doc", "<i8"), ("size", "<u4"), ("first", "<u4"), ("more", "<u2"), ("mixed", "u1")])
 #: What is known of a unit: its document (text hash and size), its windows, and whether it repeats as a whole or is to be ordered.
-TOLD = np.dtype([("doc", "<i8"), ("size", "<u4"), ("first", "<u4"), ("more", "<u2"), ("repeats", "u1")])
+TOLD = np.dtype([("doc", "<i8"), ("size", "<u4"), ("first", "<u4"), ("more", "<u4"), ("repeats", "u1")])
+#: A range of windows as it is written; its eight bytes as one number sort by ``first``.
+RANGE = np.dtype([("more", "<u4"), ("first", "<u4")])
 #: Bytes of a window's digest.
 DIGEST = 12
 
@@ -159,11 +161,25 @@ def by_bucket(posted: np.ndarray, key: str, told: np.ndarray, buckets: int) -> p
     return pa.record_batch([pa.array(used.astype(np.int32)), pa.array([posted[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()), pa.array([s.tobytes() for s in share], pa.binary())], schema=POST_ARROW)
 
 
-TOLD_TYPES = "doc long, size int, first int, more int, repeats boolean"
+TOLD_TYPES = "doc long, size int, repeats boolean, ranges binary"
 
 
 def as_table(told: np.ndarray) -> pa.Table:
-    return pa.table({"doc": told["doc"].astype(np.int64), "size": told["size"].astype(np.int32), "first": told["first"].astype(np.int32), "more": told["more"].astype(np.int32), "repeats": told["repeats"].astype(bool)})
+    """One row for each text and verdict with its ranges packed, each range once."""
+    order, new = runs(told["doc"], told["size"], told["repeats"], told["first"], told["more"])
+    told = told[order[new]]
+    packed = np.empty(len(told), RANGE)
+    packed["more"], packed["first"] = told["more"], told["first"]
+    change = np.ones(len(told), bool)
+    change[1:] = (told["doc"][1:] != told["doc"][:-1]) | (told["size"][1:] != told["size"][:-1]) | (told["repeats"][1:] != told["repeats"][:-1])
+    at = np.flatnonzero(change)
+    ranges = pa.array([packed[a:b].tobytes() for a, b in zip(at.tolist(), [*at[1:].tolist(), len(told)], strict=False)], pa.binary())
+    return pa.table({"doc": told["doc"][at], "size": told["size"][at].astype(np.int32), "repeats": told["repeats"][at].astype(bool), "ranges": ranges})
+
+
+def ranges_of(parts: list[bytes] | None) -> np.ndarray:
+    """Packed ranges in order, each once."""
+    return np.unique(np.frombuffer(b"".join(parts or ()), "<u8")).view(RANGE)
 
 
 def joined(column: pa.ChunkedArray, kind: np.dtype) -> np.ndarray:
@@ -232,7 +248,7 @@ def repeated(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def window_verdicts(texts: DataFrame, open_units: DataFrame, length: int, buckets: int) -> DataFrame:
     """The windows of open units that occur twice among them."""
-    wanted = open_units.groupBy("doc", "size").agg(F.sort_array(F.collect_set(F.struct("first", "more"))).alias("units"))
+    wanted = open_units.groupBy("doc", "size").agg(F.collect_set("ranges").alias("units"))
 
     def post(batches):
         for part in slices(batches, 0, 4 << 20):
@@ -240,8 +256,8 @@ def window_verdicts(texts: DataFrame, open_units: DataFrame, length: int, bucket
             digests, of, first = bytearray(), [], []
             for k, (data, found) in enumerate(zip(part.column(0).to_pylist(), part.column(3).to_pylist(), strict=True)):
                 text = unzipped(data)
-                for u in found:
-                    for i in range(u["first"], u["first"] + u["more"] + 1):
+                for more, start in ranges_of(found).tolist():
+                    for i in range(start, start + more + 1):
                         digests += xxhash.xxh3_128_digest(text[i : i + length])[:DIGEST]
                         of.append(k)
                         first.append(i)
@@ -282,12 +298,12 @@ def with_zipped(texts: DataFrame) -> DataFrame:
     return texts.select("text", "doc_id", "doc", "size").mapInArrow(run, "zipped binary, doc_id long, doc long, size int")
 
 
-def cover(n: int, starts: list[dict] | None, length: int) -> np.ndarray:
-    """Which of n bytes lie in a window that starts in one of the ranges."""
+def cover(n: int, starts: list[bytes] | None, length: int) -> np.ndarray:
+    """Which of n bytes lie in a window that starts in one of the packed ranges."""
     change = np.zeros(n + 1, np.int32)
-    for s in starts or ():
-        change[s["first"]] += 1
-        change[s["first"] + s["more"] + length] -= 1
+    ranges = ranges_of(starts)
+    np.add.at(change, ranges["first"], 1)
+    np.subtract.at(change, ranges["first"] + ranges["more"] + length, 1)
     return np.cumsum(change[:n]) > 0
 
 
@@ -302,9 +318,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = max(24, int(total // BUCKET_BYTES))
     told = materialize(unit_verdicts(texts, length, buckets), "units")
     zipped = with_zipped(texts)
-    more = materialize(window_verdicts(zipped, told.where("not repeats").select("doc", "size", "first", "more"), length, buckets), "windows")
+    more = materialize(window_verdicts(zipped, told.where("not repeats"), length, buckets), "windows")
     # the windows that repeat, as ranges of their starts; a text's hash and size stand for the text, whichever rows have it
-    ranges = told.where("repeats").unionByName(more).groupBy("doc", "size").agg(F.collect_set(F.struct("first", "more")).alias("starts"))
+    ranges = told.where("repeats").unionByName(more).groupBy("doc", "size").agg(F.collect_set("ranges").alias("starts"))
     both = zipped.join(ranges, ["doc", "size"], "left").select("zipped", "doc_id", "starts")
 
     def run(part):
@@ -318,6 +334,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out["kept"].append(np.frombuffer(data, np.uint8)[~gone].tobytes())
         return out | {"doc_id": part.column(1)}
 
-    return map_slices(both, run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary", REMOVED, 0, 4 << 20)
+    return map_slices(both, run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary", REMOVED, 0, 1 << 20)
 
 
