@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from itertools import groupby
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,16 +35,19 @@ def transport_candidates(obs: DataFrame, slack_us: int, bucket_us: int = 3_600_0
 
 def greedy_levels(pairs: pd.DataFrame) -> pd.DataFrame:
     """Cheapest pairs first; at one cost, pairs that share an end with another still possible one abstain and use up their ends."""
+    pairs = pairs.dropna(subset=["cost"]).sort_values(["cost", "client", "server"]).reset_index(drop=True)
     used_c: set = set()
     used_s: set = set()
-    out = []
-    for _, level in pairs.sort_values(["cost", "client", "server"]).groupby("cost", sort=True):
-        free = level[~level.client.isin(used_c) & ~level.server.isin(used_s)]
-        tied = free.client.duplicated(keep=False) | free.server.duplicated(keep=False)
-        used_c.update(free.client)
-        used_s.update(free.server)
-        out.append(free.assign(tied=tied.to_numpy(bool)))
-    return pd.concat(out) if out else pairs.assign(tied=False)
+    at, tied = [], []
+    rows = zip(range(len(pairs)), pairs["cost"].tolist(), pairs["client"].tolist(), pairs["server"].tolist(), strict=True)
+    for _, level in groupby(rows, key=lambda r: r[1]):
+        free = [(k, c, s) for k, _, c, s in level if c not in used_c and s not in used_s]
+        clients, servers = Counter(c for _, c, _ in free), Counter(s for _, _, s in free)
+        used_c.update(clients)
+        used_s.update(servers)
+        at += [k for k, _, _ in free]
+        tied += [clients[c] > 1 or servers[s] > 1 for _, c, s in free]
+    return pairs.iloc[at].assign(tied=np.array(tied, bool))
 
 
 def greedy_match(candidates: DataFrame) -> DataFrame:
