@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import block_naming, byte_bpe, quality_rules, simhash_tiles, source_mixing
+from spanloom.llm import block_naming, byte_bpe, near_copies, quality_rules, source_mixing
 from spanloom.scratch import materialize
 from spanloom.session import ship
 
@@ -25,7 +25,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
     ship(spark)
-    return simhash_tiles.keep_one(docs)
+    return near_copies.keep_one(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,20 +42,17 @@ def shingle_hashes(text: bytes, size: int) -> list[int]:
     return [xxhash.xxh64_intdigest(b" ".join(x), 42) for x in zip(*(words[k:] for k in range(size)), strict=False)]
 
 
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of hashes: a bit is set if it is set in over half of them."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(h), CHUNK):
+        ones += np.unpackbits(h[k : k + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+
+
 def fingerprints(texts: list[bytes], size: int = 4) -> list[int]:
     """SimHash of each text: a bit is set if it is set in over half of the shingles' hashes."""
-    out = []
-    for text in texts:
-        hashes = shingle_hashes(text, size)
-        if not hashes:
-            out.append(0)
-            continue
-        h = np.array(hashes, np.uint64)
-        ones = np.zeros(64, np.int64)
-        for k in range(0, len(h), CHUNK):
-            ones += np.unpackbits(h[k : k + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-        out.append(int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0]))
-    return out
+    return [majority(np.array(shingle_hashes(text, size), np.uint64)) for text in texts]
 
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4) -> DataFrame:

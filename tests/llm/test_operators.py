@@ -13,7 +13,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from spanloom.llm import block_naming, byte_bpe, pretokens, quality_rules, repeat_parsing, secret_automaton, simhash_tiles, source_mixing, token_shards, toxicity_grammar, weak_quality
+from spanloom.llm import block_naming, byte_bpe, near_copies, pretokens, quality_rules, repeat_parsing, secret_automaton, simhash_tiles, source_mixing, token_shards, toxicity_grammar, weak_quality
 
 COPY = "one two three four five six seven eight nine ten " * 30
 NEAR = COPY.replace("seven", "seventh", 1)
@@ -199,3 +199,56 @@ def test_pipeline(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert got and all(r.text == texts[r.doc_id] for r in got)
     assert {r.doc_id for r in got} <= set(range(1, 31))  # 0 is a copy of 30, the rest fail the rules
+
+
+def shingles(t):
+    words = raw(t).lower().split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+
+
+def planted():
+    """Texts with copies whose words are changed at places, up to similarities on both sides of 0.8, and a large group of copies."""
+    rng = np.random.default_rng(5)
+    make = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    texts = []
+    for n in (60, 120, 400, 1200):
+        for _ in range(5):
+            words = make(n)
+            texts.append(" ".join(words))
+            for share in (0.005, 0.015, 0.022, 0.03, 0.05):
+                copy = list(words)
+                for k in rng.choice(n, max(1, int(n * share)), replace=False):
+                    copy[k] = "changed" + str(rng.integers(1 << 30))
+                texts.append(" ".join(copy))
+    words = make(300)
+    texts += [" ".join([*words, f"end{k}"]) for k in range(40)]
+    return [*texts, None, "", "a few words", "A few  words"]
+
+
+@pytest.mark.parametrize(("tile", "nearest"), [(65536, 16), (7, 1)])
+def test_near_copies(spark, empty, tile, nearest):
+    texts = planted()
+    sets = [shingles(t) for t in texts]
+    part = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                part = [part[b] if p == part[a] else p for p in part]
+    want = {k: min(i for i, p in enumerate(part) if p == part[k]) for k in range(len(texts))}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = near_copies.groups(docs, tile=tile, nearest=nearest, radius=40).collect()
+    assert {r.doc_id: r.component_id for r in got} == want and len(got) == len(texts)
+    assert near_copies.groups(empty).count() == 0
+
+
+def test_near_stage(spark):
+    """The pipeline's stage reaches a similarity of 0.8: planted copies go, further ones and ids that are missing stay."""
+    import corpus_pipeline
+
+    rows = [(k, t, "en") for k, t in enumerate(planted())]
+    sets = [shingles(t) for _, t, _ in rows]
+    linked = {a for a in range(len(rows)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    docs = spark.createDataFrame([*rows, (None, "a text without an id of its own", "en")], "doc_id long, text string, lang string")
+    kept = corpus_pipeline.near(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == set(range(len(rows))) - linked | {None}
