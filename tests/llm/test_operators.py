@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import public_tokenizers
 import regex
@@ -252,3 +253,21 @@ def test_near_stage(spark):
     kept = corpus_pipeline.near(spark, docs, "")
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == set(range(len(rows))) - linked | {None}
+
+
+def test_compression_bands():
+    """At each length, planted texts that pass the base rule fail by the bands alone, while clean ones stay."""
+    folder = "/root/testdata/sf0.01"  # the limits come from sf0.1
+    good = {r["doc_id"] for r in pq.read_table(f"{folder}/labels.parquet").to_pylist() if r["quality"] == 1}
+    clean = [raw(t) for i, t in zip(*pq.read_table(f"{folder}/documents.parquet", columns=["doc_id", "text"]).to_pydict().values(), strict=True) if i in good]
+    verdicts = quality_rules.judge(clean)
+    passed = [k for k, failed in zip(verdicts["kept"], verdicts["base_failed"], strict=True) if not failed]
+    assert len(passed) > 200 and sum(passed) >= 0.98 * len(passed)
+    words = b" ".join(sorted(clean, key=len)[-8:]).split()
+    rng = np.random.default_rng(2)
+    for size in (500, 1000, 2000, 4000, 8000, 16000, 32000, 60000):
+        numbered = b" ".join(b"item%d" % k for k in range(10_000))[:size]
+        noise = b" ".join(bytes(rng.choice(list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 7).tolist()) for _ in range(8_000))[:size]
+        junk = b" ".join(w + (b"###", b"%%%", b"$$$", b"&&&")[k % 4] for k, w in enumerate(words))[:size]
+        got = quality_rules.judge([numbered, noise, *([junk] if size >= 8000 else [])])
+        assert not any(got["base_failed"]) and not any(got["kept"]), (size, got)
