@@ -83,29 +83,35 @@ def byte_ranges(mappings: DataFrame, sinks: DataFrame, by: list[str], max_rounds
     """Source byte ranges behind each sink (by, node, length): by, root, source, start, end, and ``complete``.
 
     Mappings (child, parent, out_start, out_end, parent_start) carry half-open ranges of a child to its parent; ranges are
-    clipped and shifted level by level, and touching ranges of one source are merged. Bytes with no mapping are a hole.
+    clipped and shifted level by level, and touching ranges of one source are merged. ``complete`` is false for all rows of
+    a sink where, at any step, the mapped bytes of a range don't add up to its length; if no range is left, the sink has
+    one row with null source, start and end.
     """
     maps = mappings.select(*by, F.col("child").alias("node"), "parent", "out_start", "out_end", "parent_start")
     inner = maps.select(*by, "node").distinct().withColumn("inner", F.lit(True))
     now = materialize(sinks.select(*by, F.col("node").alias("root"), "node", F.lit(0).cast("long").alias("start"), F.col("length").cast("long").alias("end")), "ranges")
-    done = []
+    done, holes = [], []
     for _ in range(max_rounds):
         marked = now.join(inner, [*by, "node"], "left")
         done.append(marked.where("inner is null").drop("inner"))
         stepped = marked.where("inner").join(maps, [*by, "node"])
         a, b = F.greatest("start", "out_start"), F.least("end", "out_end")
+        covered = stepped.groupBy(*by, "root", "node", "start", "end").agg(F.sum(F.greatest(b - a, F.lit(0))).alias("covered"))
+        holes.append(covered.where(F.col("covered") != F.col("end") - F.col("start")).select(*by, "root"))
         now = materialize(stepped.where(a < b).select(*by, "root", F.col("parent").alias("node"), (a - F.col("out_start") + F.col("parent_start")).alias("start"), (b - F.col("out_start") + F.col("parent_start")).alias("end")).distinct(), "ranges")
         if now.isEmpty():
             break
     else:
         raise RuntimeError(f"not converged after {max_rounds} rounds")
-    rows = done[0]
-    for more in done[1:]:
-        rows = rows.unionByName(more)
+    rows, broken = done[0], holes[0]
+    for more, hole in zip(done[1:], holes[1:], strict=True):
+        rows, broken = rows.unionByName(more), broken.unionByName(hole)
     w = Window.partitionBy(*by, "root", "node").orderBy("start", "end")
     fresh = F.coalesce(F.col("start") > F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
     islands = rows.distinct().withColumn("new", fresh.cast("int")).withColumn("island", F.sum("new").over(w))
-    return islands.groupBy(*by, "root", F.col("node").alias("source"), "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+    ranges = islands.groupBy(*by, "root", F.col("node").alias("source"), "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+    broken = broken.distinct().withColumn("hole", F.lit(True))
+    return ranges.join(broken, [*by, "root"], "full_outer").select(*by, "root", "source", "start", "end", F.col("hole").isNull().alias("complete"))
 
 
 def cohort_attribution(links: DataFrame, records: DataFrame, requests: DataFrame) -> DataFrame:

@@ -425,7 +425,8 @@ def byte_ranges(spark, d):
     # each turn keeps all bytes but the first of the turn before it, at the same places
     n = turn_edges(spark, d)
     maps = n.where("parent is not null").select("trace", F.col("node").alias("child"), "parent", F.col("node").alias("out_start"), F.lit(1000).cast("long").alias("out_end"), F.col("node").alias("parent_start"))
-    return graph.byte_ranges(maps, n.groupBy("trace").agg(F.max("node").alias("node")).withColumn("length", F.lit(1000)), ["trace"])
+    out = graph.byte_ranges(maps, n.groupBy("trace").agg(F.max("node").alias("node")).withColumn("length", F.lit(1000)), ["trace"])
+    return out.where("source is not null").drop("complete")  # the SQL twin lists the mapped bytes alone
 
 
 @register("connected_components", """WITH RECURSIVE e AS (SELECT doc_id AS a, (doc_id - doc_id % 10) AS b FROM documents WHERE doc_id % 10 <> 0 UNION ALL SELECT doc_id, doc_id + 10 FROM documents WHERE doc_id % 20 = 0)
