@@ -5,6 +5,8 @@ document behind the other. An index, dealt by a hash of the key, holds for each
 its keys and, in the slots that it gives, fingerprints and places (shard, offset, length). A lookup goes straight to a
 part, a slot and a place; the fingerprint tells a foreign key.
 
+Ids are those of the library's plain call: an added token's string in a text is that token, whole.
+
 Defined cases: null and empty texts have the end id alone. Null doc_ids come first. Rows with the same doc_id stand in
 order of their texts' hash; the key of the k-th is (doc_id, k), so a lookup by doc_id gives the first. Rows of one
 doc_id are written by one task. An empty table gives no shards and an empty index.
@@ -12,9 +14,11 @@ doc_id are written by one task. An empty table gives no shards and an empty inde
 
 from __future__ import annotations
 
-import os
+import json
+import re
 import zlib
-from itertools import count
+from collections import defaultdict
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,16 +26,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import materialize
+from ..scratch import materialize, materialize_bucketed
 from .batches import slices
-from .byte_bpe import gather, numbered
+from .byte_bpe import SPLIT_CHARS, gather
+from .pretokens import split_batch
 
 SHARD_TOKENS = 4 << 20
 KEYS_PER_PART = 1 << 16
-#: A Python worker keeps the ids of the words that it met last, between that many and twice as many.
-KNOWN_WORDS = 400_000
+#: A Python worker forgets its words when it holds that many, at the next piece of text.
+KNOWN_WORDS = 600_000
 END_ID = 0
-_KNOWN: dict[str, list[dict[str, bytes]]] = {}
+_HELD: dict[str, WordIds] = {}
 
 
 def mix(key: np.ndarray, seed: int) -> np.ndarray:
@@ -87,81 +92,146 @@ class PerfectHash:
         return cls([np.unpackbits(np.frombuffer(d, np.uint8), count=n).astype(bool) for n, d in zip(sizes, data, strict=True)])
 
 
-def encoder(path: str):
-    """A function from words to packed ids by the tokenizers library; words stay known to the worker up to a bound."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings are ordinary text
-    held = _KNOWN.setdefault(path, [{}, {}])  # words met lately, and those met before
-
-    def ids_of(words: list[str]) -> list[bytes]:
-        young, old = held
-        found = [young.get(w) or old.get(w) for w in words]
-        new = [w for w, ids in zip(words, found, strict=True) if ids is None]
-        coded: dict[str, bytes] = {}
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                coded[w] = np.array(e.ids, "<u4").tobytes()
-        found = [coded[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
-        if len(young) > KNOWN_WORDS:
-            held[:] = [{}, young]
-        held[0].update(zip(words, found, strict=True))
-        return found
-
-    return ids_of
-
-
-def encode_texts(texts: list[str], ids_of) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts one behind the other, each with the end id, and how many each has. Each distinct word is encoded once."""
-    words, sequence, per_text = numbered(texts)
-    coded = ids_of(words)
-    lengths = np.array([len(c) // 4 for c in coded] + [1], np.int64)
-    joined = np.concatenate([np.frombuffer(b"".join(coded), "<u4"), np.array([END_ID], np.uint32)])
-    ends = np.cumsum(per_text)
-    picks = np.insert(sequence.astype(np.int64), ends, len(words))
-    ids, sizes = gather(lengths, joined, picks)
-    upto = np.cumsum(sizes)[ends + np.arange(len(texts))]
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: printable ones stand for themselves, others follow from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+class WordIds:
+    """Ids of words by the tokenizers library, each word once while it is held.
+
+    A word's number points into arrays of lengths and ids. The first numbers are the end id's and the added tokens'.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        split = spec["pre_tokenizer"] or {}
+        if spec["normalizer"] or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+            raise ValueError("only plain byte-level tokenizers are read")
+        self.tokenizer = Tokenizer.from_file(path)
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values()):
+            raise ValueError("added tokens that take their surroundings are not read")
+        self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        # the leftmost added token wins, of those the longest
+        names = sorted((t.content for t in added.values()), key=len, reverse=True)
+        self.added = names
+        self.cut_at = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
+        ids = {t.content: i for i, t in added.items()}
+        self.first_ids = np.array([END_ID, *(ids[n] for n in names)], np.uint32)
+        self.number_of_added = {n: k + 1 for k, n in enumerate(names)}
+        self.letters = byte_letters()
+        self.clear()
+
+    def clear(self) -> None:
+        n = len(self.first_ids)
+        self.index: dict[str, int] = defaultdict(count(n).__next__)
+        self.lengths, self.ids = [np.ones(n, np.int64)], [self.first_ids]
+
+    def cut(self, text: str) -> list[str]:
+        """Ordinary text and added tokens in turn."""
+        return self.cut_at.split(text) if any(n in text for n in self.added) else [text]
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The words' numbers; words not met before are encoded by the library's model, as the library does after splitting."""
+        before = len(self.index)
+        out = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        if new := list(islice(reversed(self.index), len(self.index) - before)):
+            tokens = self.tokenizer.model.tokenize
+            coded = [[t.id for t in tokens(w.encode().decode("latin-1").translate(self.letters))] for w in reversed(new)]
+            self.lengths.append(np.fromiter(map(len, coded), np.int64, len(coded)))
+            self.ids.append(np.fromiter(chain.from_iterable(coded), np.uint32))
+        return out
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths by number, and all ids."""
+        self.lengths, self.ids = [np.concatenate(self.lengths)], [np.concatenate(self.ids)]
+        return self.lengths[0], self.ids[0]
+
+
+def held_words(path: str) -> WordIds:
+    """The worker's words of a tokenizer, emptied once they are many."""
+    held = _HELD.get(path) or _HELD.setdefault(path, WordIds(path))
+    if len(held.index) > KNOWN_WORDS:
+        held.clear()
+    return held
+
+
+def encode_texts(texts: list[str], held: WordIds) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts one behind the other, each with the end id, and how many each has."""
+    pieces, marks, last = [], [], []
+    for text in texts:
+        for k, piece in enumerate(held.cut(text)):
+            pieces.append("" if k % 2 else piece)
+            marks.append(held.number_of_added[piece] if k % 2 else -1)
+        marks[-1] = 0  # the end id's number; the last piece is ordinary text
+        last.append(len(pieces) - 1)
+    sequence, per_piece, at = [], [], 0
+    while at < len(pieces):
+        to, chars = at, 0
+        while to < len(pieces) and (to == at or chars + len(pieces[to]) <= SPLIT_CHARS):
+            chars += len(pieces[to])
+            to += 1
+        words, sizes = split_batch(pieces[at:to])
+        sequence.append(held.numbers(words))
+        per_piece.append(sizes)
+        at = to
+    if not pieces:
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    marks = np.array(marks)
+    per_piece = np.concatenate(per_piece)
+    marked = marks >= 0
+    picks = np.insert(np.concatenate(sequence), np.cumsum(per_piece)[marked], marks[marked])
+    ids, sizes = gather(*held.arrays(), picks)
+    upto = np.cumsum(sizes)[np.cumsum(per_piece + marked)[last] - 1]
     return ids, np.diff(upto, prepend=0)
 
 
-SHARD_TYPES = "part long, shard long, n_tokens long, width int, doc_ids array<long>, ordinals array<long>, sizes array<int>, payload binary"
-SHARD_ARROW = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("ordinals", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("payload", pa.binary())])
+SHARD_TYPES = "shard_key long, part long, shard long, n_tokens long, width int, doc_ids array<long>, ordinals array<long>, places array<long>, sizes array<long>, payload binary"
+LONGS = pa.list_(pa.int64())
+SHARD_ARROW = pa.schema([("shard_key", pa.int64()), ("part", pa.int64()), ("shard", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32()), ("doc_ids", LONGS), ("ordinals", LONGS), ("places", LONGS), ("sizes", LONGS), ("payload", pa.binary())])
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", width: int = 2) -> DataFrame:
-    """Write the shards to the shared folder and return their table; ids take ``width`` bytes."""
+    """Write the shards to the shared folder and return their table; ids take ``width`` bytes, which must hold the whole vocabulary."""
+    if WordIds(tokenizer_path).size > 1 << (8 * width):
+        raise ValueError(f"ids of this tokenizer need more than {width} bytes")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
 
     def run(batches):
-        ids_of = encoder(tokenizer_path)
         part, number = TaskContext.get().partitionId(), count()
-        held, payload, tokens, last, nth = ([], [], []), [], 0, object(), 0
+        doc_ids, ordinals, sizes, payload, tokens, last, nth = [], [], [], [], 0, object(), 0
 
         def flush():
-            row = [[part], [next(number)], [tokens], [width], [held[0]], [held[1]], [held[2]], [b"".join(payload)]]
+            shard, n = next(number), np.concatenate(sizes)
+            row = [[(part << 32) + shard], [part], [shard], [tokens], [width], [doc_ids], [ordinals], [np.cumsum(n) - n], [n], [b"".join(payload)]]
             return pa.record_batch([pa.array(v, type=f.type) for v, f in zip(row, SHARD_ARROW, strict=True)], schema=SHARD_ARROW)
 
         for piece in slices(batches, 1, 4 << 20):
-            ids, sizes = encode_texts([t or "" for t in piece.column(1).to_pylist()], ids_of)
+            ids, n = encode_texts([t or "" for t in piece.column(1).to_pylist()], held_words(tokenizer_path))
             for doc_id in piece.column(0).to_pylist():
                 nth = nth + 1 if doc_id == last else 0
                 last = doc_id
-                held[0].append(doc_id)
-                held[1].append(nth)
-            held[2].extend(sizes.tolist())
+                doc_ids.append(doc_id)
+                ordinals.append(nth)
+            sizes.append(n)
             payload.append(ids.astype(f"<u{width}").tobytes())
             tokens += len(ids)
             if tokens >= SHARD_TOKENS:
                 yield flush()
-                held, payload, tokens = ([], [], []), [], 0
-        if held[0]:
+                doc_ids, ordinals, sizes, payload, tokens = [], [], [], [], 0
+        if doc_ids:
             yield flush()
 
-    return materialize(ordered.mapInArrow(run, SHARD_TYPES), "shards")
+    # bucketed, so that those who ask for places meet the payloads where they are
+    total = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    return materialize_bucketed(ordered.mapInArrow(run, SHARD_TYPES), "shard_key", int(min(20_000, max(24, total // (4 * SHARD_TOKENS)))), "shards")
 
 
 def key_hash(doc_id, ordinal):
@@ -170,40 +240,36 @@ def key_hash(doc_id, ordinal):
 
 
 def entries(shards: DataFrame) -> DataFrame:
-    """doc_id, ordinal, part, shard, place (offset in the shard) and n of every document of the shards."""
-    one = shards.select("part", "shard", F.arrays_zip("doc_ids", "ordinals", "sizes").alias("z"))
-    each = one.select("part", "shard", F.posexplode("z").alias("at", "z")).select("part", "shard", "at", F.col("z.doc_ids").alias("doc_id"), F.col("z.ordinals").alias("ordinal"), F.col("z.sizes").cast("long").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("part", "shard").orderBy("at")) - F.col("n")
-    return each.withColumn("place", before).drop("at")
+    """doc_id, ordinal, shard_key, place (offset in the shard) and n of every document of the shards."""
+    return shards.select("shard_key", F.explode(F.arrays_zip("doc_ids", "ordinals", "places", "sizes")).alias("z")).select(F.col("z.doc_ids").alias("doc_id"), F.col("z.ordinals").alias("ordinal"), "shard_key", F.col("z.places").alias("place"), F.col("z.sizes").alias("n"))
 
 
-INDEX_TYPES = "bin long, level_sizes array<long>, levels array<binary>, fingerprints binary, parts binary, shards binary, places binary, sizes binary"
+INDEX_TYPES = "bin long, level_sizes array<long>, levels array<binary>, fingerprints binary, shard_keys binary, places binary, sizes binary"
 
 
 def write_index(shards: DataFrame) -> DataFrame:
     """Write the index of the shards' documents to the shared folder and return its table."""
-    rows = entries(shards)
-    bins = max(1, -(-shards.agg(F.coalesce(F.sum(F.size("doc_ids")), F.lit(0))).first()[0] // KEYS_PER_PART))
-    keyed = rows.withColumn("key", key_hash(F.col("doc_id"), F.col("ordinal"))).withColumn("bin", F.pmod("key", F.lit(bins)))
+    bins = max(1, -(-shards.agg(F.coalesce(F.sum(F.size("doc_ids").cast("long")), F.lit(0))).first()[0] // KEYS_PER_PART))
+    keyed = entries(shards).withColumn("key", key_hash(F.col("doc_id"), F.col("ordinal"))).withColumn("bin", F.pmod("key", F.lit(bins)))
 
     def build(table: pa.Table) -> pa.Table:
         keys = table.column("key").to_numpy().view(np.uint64)
         perfect = PerfectHash.build(keys)
         order = np.argsort(perfect.slots(keys))
         sizes, levels = perfect.dump()
-        column = lambda name: table.column(name).to_numpy()[order].astype("<i8").tobytes()
+        column = lambda name: pa.array([table.column(name).to_numpy()[order].astype("<i8").tobytes()], pa.binary())
         prints = (mix(keys[order], 99) >> np.uint64(32)).astype("<u4").tobytes()
-        return pa.table({"bin": pa.array([table.column("bin")[0].as_py()], pa.int64()), "level_sizes": pa.array([sizes], pa.list_(pa.int64())), "levels": pa.array([levels], pa.list_(pa.binary())), "fingerprints": pa.array([prints], pa.binary()), **{f"{c}s": pa.array([column(c)], pa.binary()) for c in ("part", "shard", "place")}, "sizes": pa.array([column("n")], pa.binary())})
+        return pa.table({"bin": pa.array([table.column("bin")[0].as_py()], pa.int64()), "level_sizes": pa.array([sizes], pa.list_(pa.int64())), "levels": pa.array([levels], pa.list_(pa.binary())), "fingerprints": pa.array([prints], pa.binary()), "shard_keys": column("shard_key"), "places": column("place"), "sizes": column("n")})
 
-    return materialize(keyed.select("bin", "key", "part", "shard", "place", "n").groupBy("bin").applyInArrow(build, INDEX_TYPES), "index").withColumn("bins", F.lit(bins))
+    return materialize(keyed.select("bin", "key", "shard_key", "place", "n").groupBy("bin").applyInArrow(build, INDEX_TYPES), "index").withColumn("bins", F.lit(bins))
 
 
 def lookup(index: DataFrame, keys: DataFrame) -> DataFrame:
-    """``keys`` (doc_id, ordinal) with their part, shard, place and n; keys that the index doesn't hold are left out."""
+    """``keys`` (doc_id, ordinal) with their shard_key, place and n; keys that the index doesn't hold are left out, but for one in some 4 billion."""
     first = index.select("bins").first()
     bins = first["bins"] if first else 1
     keyed = keys.select("doc_id", "ordinal", key_hash(F.col("doc_id"), F.col("ordinal")).alias("key")).withColumn("bin", F.pmod("key", F.lit(bins)))
-    out = pa.schema([("doc_id", pa.int64()), ("ordinal", pa.int64()), ("part", pa.int64()), ("shard", pa.int64()), ("place", pa.int64()), ("n", pa.int64())])
+    out = pa.schema([("doc_id", pa.int64()), ("ordinal", pa.int64()), ("shard_key", pa.int64()), ("place", pa.int64()), ("n", pa.int64())])
 
     def find(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -215,39 +281,45 @@ def lookup(index: DataFrame, keys: DataFrame) -> DataFrame:
         prints = np.frombuffer(row["fingerprints"], "<u4")
         good = (slot >= 0) & (prints[slot] == (mix(asked, 99) >> np.uint64(32)).astype(np.uint32))
         slot = slot[good]
-        found = {c: np.frombuffer(row[name], "<i8")[slot] for c, name in (("part", "parts"), ("shard", "shards"), ("place", "places"), ("n", "sizes"))}
+        found = {c: np.frombuffer(row[name], "<i8")[slot] for c, name in (("shard_key", "shard_keys"), ("place", "places"), ("n", "sizes"))}
         kept = left.filter(pa.array(good))
         return pa.table({"doc_id": kept.column("doc_id"), "ordinal": kept.column("ordinal"), **found}, schema=out)
 
-    return keyed.groupBy("bin").cogroup(index.drop("bins").groupBy("bin")).applyInArrow(find, "doc_id long, ordinal long, part long, shard long, place long, n long")
+    return keyed.groupBy("bin").cogroup(index.drop("bins").groupBy("bin")).applyInArrow(find, "doc_id long, ordinal long, shard_key long, place long, n long")
 
 
-def read_ids(shards: DataFrame) -> DataFrame:
-    """part, shard, place, n and crc32 of the ids (as unsigned 32-bit little-endian numbers) of every document, from the payloads."""
-    arrow = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("place", pa.int64()), ("ids_crc32", pa.int64())])
+def read_places(shards: DataFrame, found: DataFrame, value, types: str, arrow: pa.Schema) -> DataFrame:
+    """``found`` (doc_id, ordinal, shard_key, place, n) with ``value`` of the ids at each place: each shard is met by all who ask for it."""
+    schema = pa.schema([*(pa.field(c, pa.int64()) for c in ("doc_id", "ordinal", "shard_key", "place", "n")), *arrow])
+
+    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        ids = np.frombuffer(right.column("payload")[0].as_buffer(), f"<u{right.column('width')[0].as_py()}")
+        place, n = left.column("place").to_numpy(), left.column("n").to_numpy()
+        got = pa.array([value(ids[a : a + k]) for a, k in zip(place.tolist(), n.tolist(), strict=True)], arrow[0].type)
+        return pa.table([*left.select(schema.names[:-1]).columns, got], schema=schema)
+
+    payloads = shards.select("shard_key", "width", "payload")
+    return found.groupBy("shard_key").cogroup(payloads.groupBy("shard_key")).applyInArrow(cut, f"doc_id long, ordinal long, shard_key long, place long, n long, {types}")
 
-    def run(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                part, shard, width, sizes, payload = (batch.column(c)[k] for c in range(5))
-                ids = np.frombuffer(payload.as_buffer(), f"<u{width.as_py()}")
-                ends = np.cumsum(sizes.values.to_numpy(), dtype=np.int64)
-                starts = np.concatenate([[0], ends[:-1]])
-                crc = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(starts, ends, strict=True)]
-                n = len(ends)
-                yield pa.record_batch([pa.array([part.as_py()] * n, pa.int64()), pa.array([shard.as_py()] * n, pa.int64()), pa.array(starts), pa.array(crc, pa.int64())], schema=arrow)
 
-    return shards.select("part", "shard", "width", "sizes", "payload").mapInArrow(run, "part long, shard long, place long, ids_crc32 long")
+def fetch(shards: DataFrame, index: DataFrame, keys: DataFrame) -> DataFrame:
+    """doc_id, ordinal and ``ids`` (with the end id) of the documents asked for by ``keys`` (doc_id, ordinal), read at their places."""
+    found = lookup(index, keys)
+    # shards that no key asks for are not read
+    wanted = shards.join(found.select("shard_key").distinct(), "shard_key", "left_semi")
+    return read_places(wanted, found, lambda ids: ids.astype(np.int64), "ids array<long>", pa.schema([("ids", LONGS)])).select("doc_id", "ordinal", "ids")
 
 
 def shard_starts(shards: DataFrame) -> DataFrame:
-    """part, shard, and the number of ids in all shards before it: sums of parts first, then inside each part."""
-    each = shards.groupBy("part", "shard").agg(F.sum("n_tokens").alias("n"))
+    """shard_key, and the number of ids in all shards before it: sums of parts first, then inside each part."""
+    each = shards.select("shard_key", "part", "shard", F.col("n_tokens").alias("n"))
     parts = each.groupBy("part").agg(F.sum("n").alias("n"))
     # one row for each task that wrote shards
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     inside = F.sum("n").over(Window.partitionBy("part").orderBy("shard")) - F.col("n")
-    return each.withColumn("inside", inside).join(before, "part").select("part", "shard", (F.col("before") + F.col("inside")).alias("shard_start"))
+    return each.withColumn("inside", inside).join(before, "part").select("shard_key", (F.col("before") + F.col("inside")).alias("shard_start"))
 
 
 def store(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -257,6 +329,7 @@ def store(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col
 
 
 def read_all(shards: DataFrame, index: DataFrame) -> DataFrame:
-    """Every document by a lookup of its key: doc_id, start, n_tokens, ids_crc32."""
+    """Every document by a lookup of its key and a read at its place: doc_id, start, n_tokens, ids_crc32 (of unsigned 32-bit little-endian ids)."""
     found = lookup(index, entries(shards).select("doc_id", "ordinal"))
-    return found.join(read_ids(shards), ["part", "shard", "place"]).join(shard_starts(shards), ["part", "shard"]).select("doc_id", (F.col("shard_start") + F.col("place")).alias("start"), F.col("n").alias("n_tokens"), "ids_crc32")
+    read = read_places(shards, found, lambda ids: zlib.crc32(ids.astype("<u4")), "ids_crc32 long", pa.schema([("ids_crc32", pa.int64())]))
+    return read.join(shard_starts(shards), "shard_key").select("doc_id", (F.col("shard_start") + F.col("place")).alias("start"), F.col("n").alias("n_tokens"), "ids_crc32")

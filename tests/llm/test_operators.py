@@ -124,7 +124,6 @@ def test_token_shards(docs, empty):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     got = token_shards.read_all(*token_shards.store(docs, path)).collect()
     ids = {t: tokenizer.encode(t or "", add_special_tokens=False).ids + [0] for t in {r[1] for r in ROWS}}
     order = sorted(ROWS, key=lambda r: -1 if r[0] is None else r[0])
@@ -134,6 +133,37 @@ def test_token_shards(docs, empty):
     assert token_shards.read_all(*token_shards.store(empty, path)).count() == 0
 
 
+SPECIAL = ["<|endoftext|>", "a<|endoftext|> b", "<|endoftext|><|endoftext|>", " x <|endoftext|", "<|endoftext|> <|endoftext|>\n", "it's<|endoftext|>'s", "", None]
+
+
+def test_added_tokens(spark):
+    """Strings of added tokens get the ids that the library's plain call gives, however texts are cut."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    held = token_shards.WordIds(path)
+    for texts in (SPECIAL, TEXTS, [*SPECIAL, *TEXTS]):
+        ids, sizes = token_shards.encode_texts([t or "" for t in texts], held)
+        want = [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+        assert sizes.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+    with pytest.raises(ValueError):
+        token_shards.write_shards(spark.createDataFrame([], SCHEMA), path, width=1)
+
+
+def test_fetch(spark):
+    """Keys fetch their own ids; fingerprints turn foreign keys away."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    texts = [f"text {k} " * (k % 7) + SPECIAL[k % 6] for k in range(300)]
+    shards, index = token_shards.store(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3), path)
+    keys = spark.createDataFrame([(k, 0) for k in range(0, 20_000, 13)] + [(5, 1), (None, 0)], "doc_id long, ordinal long")
+    got = {(r.doc_id, r.ordinal): r.ids for r in token_shards.fetch(shards, index, keys).collect()}
+    assert got == {(k, 0): [*tokenizer.encode(texts[k], add_special_tokens=False).ids, 0] for k in range(0, 300, 13)}
+
+
 def test_secrets(docs, empty):
     rules = [re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+")]
     least = [lambda m: len(m[2]) >= 6, lambda m: len(m[0]) >= 20, lambda m: len(m[0]) >= 24]
