@@ -5,8 +5,9 @@ the pre-tokens' numbers in order. The chunks' dictionaries are dealt by a hash o
 of a word meet and the word is encoded once; the ids go back to the chunks, which put them in order of position.
 Dictionaries and positions travel packed, since a row for each word or position would outweigh the text.
 
-A word meets its copies from up to ``CHUNKS_TOGETHER`` chunks (some 16 GB of text); beyond that it is encoded once for
-each such set, which keeps every group bounded, however common a word is.
+A word meets its copies from up to ``CHUNKS_TOGETHER`` chunks (some 8 GB of text), which keeps every group bounded, however
+common a word is. Where there are more chunks, each such set gives its distinct words, the sets' words meet once more,
+and the ids of each distinct word go back to the sets.
 
 Defined cases: null and empty texts have no ids. A text longer than a chunk is a chunk of its own. Repeated rows are
 each encoded; null doc_ids are kept. Further columns are not read.
@@ -111,24 +112,58 @@ def chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "chunk long, doc_ids array<long>, sizes array<int>, positions binary, words array<binary>")
 
 
-def encode_words(rows: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """(chunk, bucket, ids): the ids of each word of a packed dictionary, packed in the same order."""
-
-    def run(table: pa.Table) -> pa.Table:
-        encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
-        known: dict[bytes, bytes] = {}
-        out = []
-        for data in table.column("packed"):
-            ids = []
-            for w in parts_of(data.as_py()):
-                got = known.get(w)
-                if got is None:
-                    got = known[w] = np.array(encode(w), "<u4").tobytes()
-                ids.append(got)
-            out.append(zstandard.ZstdCompressor(level=1).compress(pack(ids)))
+def shrink(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def grow(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+class WordIds(dict):
+    """Packed ids of words, each encoded when it is first asked for."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        self.encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self[word] = np.array(self.encode(word), "<u4").tobytes()
+        return ids
+
+
+def encode_words(rows: DataFrame, ranks: dict[bytes, int], pattern: str, sets: int) -> DataFrame:
+    """(chunk, bucket, ids): the ids of each word of a packed dictionary, packed in the same order; each distinct word is encoded once.
+
+    ``rows`` has chunk, bucket, packed and ``apart``, the chunk's set (0 to ``sets`` - 1).
+    """
+
+    def told(table: pa.Table, known: dict[bytes, bytes]) -> pa.Table:
+        out = [shrink(pack([known[w] for w in parts_of(data.as_py())])) for data in table.column("packed")]
         return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "ids": pa.array(out, pa.binary())})
 
-    return rows.groupBy("bucket", "apart").applyInArrow(run, "chunk long, bucket int, ids binary")
+    def distinct(column: pa.ChunkedArray) -> set[bytes]:
+        return {w for data in column for w in parts_of(data.as_py())}
+
+    types = "chunk long, bucket int, ids binary"
+    if sets == 1:
+        return rows.groupBy("bucket").applyInArrow(lambda t: told(t, WordIds(ranks, pattern)), types)
+
+    def gathered(table: pa.Table) -> pa.Table:
+        return pa.table({"bucket": table.column("bucket")[:1], "apart": table.column("apart")[:1], "words": pa.array([shrink(pack(sorted(distinct(table.column("packed")))))], pa.binary())})
+
+    def encoded(table: pa.Table) -> pa.Table:
+        each = [parts_of(grow(w.as_py())) for w in table.column("words")]
+        known = WordIds(ranks, pattern)
+        ids = [shrink(pack([known[w] for w in words])) for words in each]
+        return pa.table({"bucket": table.column("bucket"), "apart": table.column("apart"), "words": table.column("words"), "ids": pa.array(ids, pa.binary())})
+
+    def back(left: pa.Table, right: pa.Table) -> pa.Table:
+        words, ids = (parts_of(grow(right.column(c)[0].as_py())) for c in ("words", "ids"))
+        return told(left, dict(zip(words, ids, strict=True)))
+
+    # sets' distinct words, then each word's ids, told to every set that has it
+    known = rows.groupBy("bucket", "apart").applyInArrow(gathered, "bucket int, apart long, words binary").groupBy("bucket").applyInArrow(encoded, "bucket int, apart long, words binary, ids binary")
+    return rows.groupBy("bucket", "apart").cogroup(known.groupBy("bucket", "apart")).applyInArrow(back, types)
 
 
 def gather(lengths: np.ndarray, joined: np.ndarray, picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,9 +186,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     """One row per document: doc_id and ``ids`` (array of int), as the ranks and the pattern give them without special tokens."""
     total = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
     chunks = materialize_bucketed(chunked(docs, id_col, text_col), "chunk", int(min(20_000, max(24, total // CHUNK_BYTES))), "chunks")
-    apart = max(1, -(-chunks.count() // CHUNKS_TOGETHER))
-    words = chunks.select("chunk", F.posexplode("words").alias("bucket", "packed")).withColumn("apart", F.pmod(F.xxhash64("chunk"), F.lit(apart)))
-    coded = encode_words(words, ranks, pattern)
+    sets = max(1, -(-chunks.count() // CHUNKS_TOGETHER))
+    words = chunks.select("chunk", F.posexplode("words").alias("bucket", "packed")).withColumn("apart", F.pmod(F.xxhash64("chunk"), F.lit(sets)))
+    coded = encode_words(words, ranks, pattern, sets)
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         # a chunk has one row on the left; on the right one for each bucket, in order of the words' numbers
@@ -161,7 +196,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
         packs = right.column("ids")
         lengths, values = [], []
         for k in order:
-            n, joined = unpack(zstandard.ZstdDecompressor().decompress(packs[int(k)].as_py()))
+            n, joined = unpack(grow(packs[int(k)].as_py()))
             lengths.append(n // 4)
             values.append(np.frombuffer(joined, "<u4"))
         base = np.cumsum([0, *map(len, lengths)])
