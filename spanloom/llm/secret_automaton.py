@@ -3,12 +3,14 @@
 Each rule is a sequence of byte classes with repeat counts. Thompson's construction, the subset construction and
 Moore's minimisation turn all rules together into transition arrays; one pass over the bytes then finds where a
 match of any rule ends. The pass runs on many pieces of the text at once, cut behind bytes that lead every state
-back to the start, so that no cut can change a match. The reversed rule, run back from an end, gives the start.
+back to the start, so that no cut can change a match. Where such bytes are far apart, as in a long line of one word, a
+piece begins with a guessed state, and is run again for as long as the piece before it ends in another one. The reversed
+rule, run back from an end, gives the start; where a state stays as it is over a run of bytes, the run is one step.
 
 Rules end in an open repeat, so a match reaches as far as its last class does and the leftmost longest match is
 the one that a leftmost search gives. Matches of one kind do not overlap.
 
-Defined cases: null and empty texts hold no secrets. Texts of any length are scanned whole. Repeated rows are each
+Defined cases: null and empty texts hold no secrets. Texts and lines of any length are scanned whole. Repeated rows are each
 scanned. Only the two named columns are read.
 """
 
@@ -171,49 +173,91 @@ def compiled() -> tuple[Automaton, list[Automaton]]:
     return forward, [determinise([(0, items[::-1]) for items in RULES[kind]], anywhere=False) for kind in KINDS]
 
 
+def walk(classes: np.ndarray, starts: np.ndarray, length: np.ndarray, first: np.ndarray, auto: Automaton) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """The state in which each piece ends that begins in its ``first`` state, and (piece, place, kinds) of matches that stop being one."""
+    width = auto.step.shape[1]
+    order = np.argsort(-length, kind="stable")
+    begin, size = starts[order], length[order]
+    flat, accepts = (auto.step * width).ravel(), auto.accepts
+    state = first[order] * width
+    before = accepts[first[order]]
+    any_before = bool(before.any())
+    last, events = np.zeros(len(starts), np.int32), []
+    live = len(begin)
+    for k in range(int(size[0]) if len(size) else 0):
+        to = int(np.searchsorted(-size, -k, side="left"))  # pieces longer than k
+        if to < live:
+            last[order[to:live]] = state[to:live] // width
+            live = to
+        state = flat[state[:live] + classes[begin[:live] + k]]
+        now = accepts[state // width]
+        if any_before:
+            gone = before[:live] & ~now
+            at = np.flatnonzero(gone)
+            if len(at):
+                events.append((order[at], begin[at] + k, gone[at]))
+        before, any_before = now, bool(now.any())
+    last[order[:live]] = state[:live] // width
+    return last, events
+
+
 def ends_of(data: np.ndarray, auto: Automaton, piece: int = 2048) -> list[tuple[int, int]]:
     """(end, kind) of every place where a match of a kind stops being one, in order; the last byte must be a reset."""
-    width = auto.step.shape[1]
-    resets = np.array([bool((auto.step[:, c] == 0).all()) for c in range(width)])
+    resets = (auto.step == 0).all(axis=0)
     classes = auto.class_of[data].astype(np.int32)
     at = np.flatnonzero(resets[classes]) + 1
-    cuts = [0, *at[np.unique(np.searchsorted(at, np.arange(piece, len(data), piece)).clip(0, len(at) - 1))].tolist(), len(data)]
-    starts = np.unique(np.array(cuts, np.int64))
-    length = np.diff(starts)
-    starts = starts[:-1]
-    order = np.argsort(-length, kind="stable")
-    starts, length = starts[order], length[order]
-    flat, accepts = (auto.step * width).ravel(), np.repeat(auto.accepts, width)[::width]
-    state = np.zeros(len(starts), np.int32)
-    live = len(starts)
+    cuts = np.unique(np.concatenate([[0], at[np.unique(np.searchsorted(at, np.arange(piece, len(data), piece)).clip(0, len(at) - 1))], [len(data)]]))
+    # long stretches without a reset are cut anywhere: those pieces go on from the piece before
+    more = [np.arange(a + piece, b, piece) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if b - a > 2 * piece]
+    all_cuts = np.unique(np.concatenate([cuts, *more])).astype(np.int64)
+    starts, length = all_cuts[:-1], np.diff(all_cuts)
+    goes_on = ~np.isin(starts, cuts)
+    first, last = np.zeros(len(starts), np.int32), np.zeros(len(starts), np.int32)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]] = []
+    run_of, todo, turn = np.zeros(len(starts), np.int64), np.arange(len(starts)), 0
+    while len(todo):
+        run_of[todo] = turn
+        last[todo], events = walk(classes, starts[todo], length[todo], first[todo], auto)
+        found += [(todo[lane], place, gone, turn) for lane, place, gone in events]
+        need = np.where(goes_on, np.roll(last, 1), 0)
+        todo = np.flatnonzero(need != first)
+        first[todo] = need[todo]
+        turn += 1
     ended: list[tuple[int, int]] = []
-    before = np.zeros(len(starts), np.int64)
-    any_before = False
-    for k in range(int(length[0]) if len(length) else 0):
-        while live and length[live - 1] <= k:
-            live -= 1
-        state = flat[state[:live] + classes[starts[:live] + k]]
-        now = accepts[state // width]
-        some = now.any()
-        if any_before:
-            for lane in np.flatnonzero(before[:live] & ~now):
-                gone = int(before[lane] & ~now[lane])
-                ended += [(int(starts[lane]) + k, kind) for kind in range(len(KINDS)) if gone >> kind & 1]
-        before, any_before = now, bool(some)
+    for lane, place, gone, of in found:
+        good = run_of[lane] == of  # of each piece its last run counts
+        for where, bits in zip(place[good].tolist(), gone[good].tolist(), strict=True):
+            ended += [(where, kind) for kind in range(len(KINDS)) if bits >> kind & 1]
     return sorted(ended)
 
 
-def start_of(data: bytes, end: int, floor: int, auto: Automaton) -> int:
+def run_start(data: np.ndarray, at: int, floor: int, stays: np.ndarray) -> int:
+    """The least place from which all bytes up to ``at`` leave the state as it is; windows grow, so a run costs its length."""
+    width = 64
+    while at > floor:
+        low = max(floor, at - width)
+        other = np.flatnonzero(~stays[data[low:at]])
+        if len(other):
+            return low + int(other[-1]) + 1
+        at, width = low, width * 4
+    return at
+
+
+def start_of(data: bytes, view: np.ndarray, end: int, floor: int, auto: Automaton, stays: np.ndarray) -> int:
     """The leftmost start, not before ``floor``, of a match that ends at ``end``; -1 if there is none."""
-    state, best = 0, -1
-    dead = int(np.flatnonzero((auto.step == np.arange(len(auto.step))[:, None]).all(axis=1) & (auto.accepts == 0))[0])
+    state, best, at = 0, -1, end
     step, class_of, accepts = auto.step, auto.class_of, auto.accepts
-    for at in range(end - 1, floor - 1, -1):
-        state = step[state, class_of[data[at]]]
-        if state == dead:
-            break
+    while at > floor:
+        to = step[state, class_of[data[at - 1]]]
+        if to == state:
+            at = run_start(view, at, floor, stays[state])
+        else:
+            state = to
+            at -= 1
         if accepts[state]:
             best = at
+        elif stays[state].all():  # dead
+            break
     return best
 
 
@@ -245,10 +289,13 @@ def scan(texts: list[str], automata: tuple[Automaton, list[Automaton]] | None =
     bounds = np.cumsum([0, *(len(r) + 1 for r in raw)])
     found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     floor: dict[tuple[int, int], int] = {}
-    for end, kind in ends_of(np.frombuffer(data, np.uint8), forward):
+    view = np.frombuffer(data, np.uint8)
+    # by kind, state and byte: whether the reversed rule stays in the state
+    stays = [(auto.step == np.arange(len(auto.step))[:, None])[:, auto.class_of] for auto in backward]
+    for end, kind in ends_of(view, forward):
         doc = int(np.searchsorted(bounds, end, side="right")) - 1
         low = floor.get((doc, kind), int(bounds[doc]))
-        start = start_of(data, end, low, backward[kind])
+        start = start_of(data, view, end, low, backward[kind], stays[kind])
         if start >= 0:
             floor[doc, kind] = end
             if not long_enough(data, start, end, kind):

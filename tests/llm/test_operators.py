@@ -119,6 +119,17 @@ def test_byte_bpe(docs, empty):
     assert byte_bpe.encode(empty, ranks, public_tokenizers.PATTERN).count() == 0
 
 
+def test_byte_bpe_in_sets(docs, monkeypatch):
+    """Chunks of several sets: each distinct word still meets its copies, and the ids are the same."""
+    import tiktoken
+
+    monkeypatch.setattr(byte_bpe, "CHUNKS_TOGETHER", 2)
+    ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = byte_bpe.encode(docs.repartition(9), ranks, public_tokenizers.PATTERN).collect()
+    assert sorted((repr(r.doc_id), r.ids) for r in got) == sorted((repr(r[0]), own.encode_ordinary(r[1] or "")) for r in ROWS)
+
+
 def test_token_shards(docs, empty):
     from tokenizers import Tokenizer
 
@@ -173,6 +184,45 @@ def test_secrets(docs, empty):
     assert secret_automaton.find_secrets(empty).count() == 0
 
 
+ADDED = {"github": (r"gh[oprsu]_[A-Za-z0-9]+", 34), "slack": (r"xox[abprs]-[A-Za-z0-9-]+", 16), "google": (r"AIza[A-Za-z0-9_-]+", 34), "pem": (r"-----BEGIN [A-Z ]*PRIVATE KEY--+", 30)}
+BASE_RULES = {"assign": (r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(?P<value>[A-Za-z0-9+/_.=-]+)""", 6), "access": (r"AKIA[A-Z0-9]+", 20), "hex": (r"[0-9a-f]+", 24)}
+
+
+def secrets_by_rules(text):
+    out = []
+    for kind, (rule, least) in (BASE_RULES | ADDED).items():
+        for m in re.finditer(rule, text, re.A):
+            if len(m["value"] if kind == "assign" else m[0]) >= least:
+                out.append((m.start(), secret_automaton.KINDS.index(kind), m.end()))
+    return sorted(out)
+
+
+def test_added_secrets():
+    """All kinds against their rules as regular expressions, on texts made of their parts."""
+    rng = np.random.default_rng(9)
+    parts = ["ghp_", "gho_", "xoxb-", "xoxa-", "AIza", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "PRIVATE KEY-", "password", "token", " = ", ":", '"', "A1b2C3d4E5" * 4, "deadbeef0" * 3, "AKIA", "ABCDEFGH12345678", "-", "_", " ", "\n", "é", "x" * 5]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 12))) for _ in range(3000)]
+    texts += ["ghp_" + "a" * 29, "ghp_" + "a" * 30, "xoxb-" + "1" * 10, "xoxb-" + "1" * 11, "AIza" + "q" * 29, "AIza" + "q" * 30, "-----BEGIN PRIVATE KEY-----", "-----BEGIN EC PRIVATE KEY-----x"]
+    got = secret_automaton.scan(texts)
+    for text, spans in zip(texts, got, strict=True):
+        assert spans == secrets_by_rules(text), text
+    assert {k for s in got for _, k, _ in s} == set(range(len(secret_automaton.KINDS)))
+
+
+def test_long_lines():
+    """Long lines without a byte that resets the automaton: the same spans, in time that follows the length."""
+    import time
+
+    base = "Ab9+/" * 60_000
+    words = "plain words without any mark at all " * 9_000
+    lines = ["z" * 300_000, "a" * 300_000, base, words, f"token={base}", "=a" * 5000, f"{words}password: {'k' * 50_000} {'f' * 40_000}{words}", "ab" * 3000 + "token" * 3000 + "=" + "ab" * 9000]
+    for text in lines:
+        assert secret_automaton.scan([text])[0] == secrets_by_rules(text), text[:40]
+    began = time.time()
+    assert secret_automaton.scan(["a" * (20 << 20)])[0] == [(0, 2, 20 << 20)]
+    assert time.time() - began < 20
+
+
 def test_quality_rules(docs, empty):
     for r in quality_rules.quality_rules(docs).collect():
         text = next(t for i, t, *_ in ROWS if i == r.doc_id) or ""
@@ -200,6 +250,38 @@ def test_mixing(docs, empty):
     assert source_mixing.mix(empty).count() == 0
 
 
+def test_mixing_counts(spark, empty):
+    """Counts invert the Poisson distribution at each id's point; sources come near their targets; clashing columns stay."""
+    import math
+
+    weights = {"a": 5.0, "b": 1.0}
+    sources = [None if k % 40 == 0 else "abc"[min(2, k % 9 // 4)] for k in range(4000)]
+    data = [(k, s, f"c{k}", k, "o", "s", 1.5) for k, s in enumerate(sources)]
+    docs = spark.createDataFrame(data, "doc_id long, source string, copies string, COPY long, order_key string, __source string, __steps double")
+    got = source_mixing.mix(docs, weights=weights, other=0.5, epochs=1.5)
+    assert got.columns == [*docs.columns, "copies_", "copy_", "order_key_"]
+    rows = got.collect()
+    sizes = Counter(sources)
+    share = {s: weights.get(s, 0.5) for s in sizes}
+    mean = {s: 1.5 * len(data) * share[s] / sum(share.values()) / sizes[s] for s in sizes}
+    want = {}
+    for k, s in enumerate(sources):
+        point = (int(hashlib.md5(f"1:{k}".encode()).hexdigest()[:12], 16) + 0.5) / 16**12
+        n, upto = 0, math.exp(-mean[s])
+        while upto < point:
+            n += 1
+            upto += math.exp(n * math.log(mean[s]) - mean[s] - math.lgamma(n + 1))
+        if n:
+            want[k] = n
+    assert Counter(r.doc_id for r in rows) == want and all(r.copies_ == want[r.doc_id] and r.copies == f"c{r.doc_id}" for r in rows)
+    drawn = Counter(r.source for r in rows)
+    for s in sizes:
+        expected = 1.5 * len(data) * share[s] / sum(share.values())
+        assert abs(drawn[s] - expected) < 4.5 * math.sqrt(expected)
+    keys = [r.order_key_ for r in rows]
+    assert keys == sorted(keys) and len(set(keys)) == len(keys)
+
+
 def test_toxicity(docs, empty, spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     grammar = toxicity_grammar.learn(docs, labels)
@@ -207,10 +289,88 @@ def test_toxicity(docs, empty, spark):
     assert got[13].predicted == 1 and got[8].predicted == 0 and got[0].predicted == 0
     assert all(0 <= r.score <= 1 for r in got.values())
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items() if i is not None)
-    assert toxicity_grammar.document_features("you are not an idiot.", grammar)[6] == 1
+    features = lambda text: dict(zip(toxicity_grammar.FEATURES, toxicity_grammar.document_features(text, grammar).tolist(), strict=True))
+    assert features("you are not an idiot.")["negated_insult"] == 1
+    threat, denied, told = (toxicity_grammar.score(toxicity_grammar.document_features(x, grammar), grammar) for x in ("i will kill you", "i will not kill you", "he said i will kill you"))
+    assert threat >= 0.5 > max(denied, told)
     assert toxicity_grammar.score_documents(empty, grammar).count() == 0
 
 
+def clauses_by_hand(text, words, stems):
+    """The features of a text by flags, clause by clause."""
+    tg = toxicity_grammar
+    out = Counter()
+    for clause in re.split(r"[.!?;:\n]", text.lower()):
+        negated = reported = False
+        has = set()
+        for w in re.findall(r"\w+|,", clause):
+            kind = words.get(w) or stems.get(w[: tg.STEM], tg.OTHER)
+            offence = {tg.INSULT: "insult", tg.WEAK: "insult", tg.THREAT: "threat"}.get(kind)
+            if kind == tg.NEGATION:
+                negated = True
+            elif kind == tg.TURN:
+                negated = False
+            elif kind == tg.REPORT:
+                reported = True
+            elif kind == tg.TARGET:
+                has.add("target")
+            elif offence and negated:
+                has.add("negated_" + offence)
+            elif offence and reported:
+                has.add("reported_" + offence)
+            elif offence:
+                has.add({tg.INSULT: "strong", tg.WEAK: "weak", tg.THREAT: "threat"}[kind])
+        has -= {"weak"} if "strong" in has else set()
+        out.update(has - {"target"})
+        out.update(f"{x}_target" for x in has & {"strong", "weak", "threat"} if "target" in has)
+    return [out[f] for f in tg.FEATURES]
+
+
+def test_toxicity_grammar_by_hand():
+    """The composed table against flags, on random clauses of all kinds of words."""
+    tg = toxicity_grammar
+    words = tg.DEFAULT.words | {"meh": tg.WEAK, "bah": tg.WEAK}
+    grammar = tg.Grammar(words, {"grump": tg.WEAK}, tg.DEFAULT.weights, tg.DEFAULT.bias)
+    pool = ["idiot", "trash", "meh", "bah", "grumpy", "kill", "hurt", "you", "him", "not", "never", "said", "quoted", "but", ",", "plain", "words", ".", "!", "\n"]
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(pool, rng.integers(0, 25))) for _ in range(1500)]
+    for text in texts:
+        assert tg.document_features(text, grammar).tolist() == clauses_by_hand(text, words, grammar.stems), text
+    counts = np.array([clauses_by_hand(x, words, grammar.stems) for x in texts])
+    by_hand = [1 / (1 + np.exp(-min(30, max(-30, sum(w * np.log(1 + c) for w, c in zip(grammar.weights, row, strict=True)) + grammar.bias)))) for row in counts.tolist()]
+    assert np.allclose(tg.score(counts, grammar), by_hand)
+
+
+def test_toxicity_learns(spark):
+    """Words and weights come from the rows outside the held-out fold alone; clashing columns and odd labels don't matter."""
+    tg = toxicity_grammar
+    rng = np.random.default_rng(6)
+    data, marks = [], []
+    for k in range(1200):
+        toxic = k % 4 == 0
+        held = zlib.crc32(str(k).encode()) % 5 == 0
+        words = [f"word{x}" for x in rng.integers(0, 400, 30)]
+        if toxic:
+            words[5:5] = ["you", "heldonlyish" if held else "zorbag"]
+        data.append((k, " ".join(words) + ".", "clash", 7, "b"))
+        marks.append((k, 1, int(toxic)))
+    marks += [(3, 0, None), (None, 1, 1), (10**9, 1, 1)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, toxic string, fold int, __bucket string")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    grammar = tg.learn(docs, labels)
+    assert "zorbag" in grammar.words and "heldonlyish" not in grammar.words
+    got = tg.score_documents(docs, grammar).collect()
+    assert len(got) == len(data)
+    want = {k: tg.score(np.array(clauses_by_hand(x, grammar.words, grammar.stems)), grammar) for k, x, *_ in data}
+    assert all(abs(r.score - want[r.doc_id]) < 1e-12 and r.predicted == int(r.score >= 0.5) for r in got)
+    assert all(r.predicted == int(r.doc_id % 4 == 0) for r in got if not r.held_out)
+    # renamed columns give the same grammar, and labels of the held-out fold change nothing
+    renamed = tg.learn(docs.select(docs.doc_id.alias("key"), docs.text.alias("body")), labels.select(labels.doc_id.alias("key"), labels.toxic.alias("bad")), "key", "body", "bad")
+    assert renamed == grammar
+    flipped = [(k, q, t if t is None or k is None or zlib.crc32(str(k).encode()) % 5 else 1 - t) for k, q, t in marks]
+    assert tg.learn(docs, spark.createDataFrame(flipped, "doc_id long, quality int, toxic int")) == grammar
+
+
 def test_weak_quality(docs, empty):
     got = weak_quality.classify(docs)
     assert got.count() == len(ROWS)
@@ -218,6 +378,58 @@ def test_weak_quality(docs, empty):
     assert weak_quality.classify(empty).count() == 0
 
 
+def test_label_model():
+    """Expectation-maximisation over pattern counts against a version document by document, and against the truth that drew the votes."""
+    rng = np.random.default_rng(8)
+    good = rng.random(3000) < 0.7
+    chance = np.array([[[0.6, 0.2, 0.2], [0.05, 0.15, 0.8]], [[0.5, 0.0, 0.5], [0.02, 0.08, 0.9]], [[0.7, 0.1, 0.2], [0.1, 0.2, 0.7]], [[0.3, 0.4, 0.3], [0.3, 0.4, 0.3]]])
+    votes = np.array([[rng.choice([-1, 0, 1], p=chance[k, int(g)]) for k in range(len(chance))] for g in good])
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    model = weak_quality.fit_labels(patterns, counts.astype(float), rounds=40)
+    post = [0.2 if min(v) < 0 else 0.9 for v in votes.tolist()]
+    for _ in range(40):
+        tables = []
+        for k in range(len(chance)):
+            n = [[0.5 + sum((p if c else 1 - p) for p, v in zip(post, votes[:, k].tolist(), strict=True) if v == x) for x in (-1, 0, 1)] for c in (0, 1)]
+            rows = [[x / sum(r) for x in r] for r in n]
+            if rows[1][0] > rows[0][0]:
+                common = (n[0][0] + n[1][0]) / (sum(n[0]) + sum(n[1]))
+                rows = [[common, r[1] * (1 - common) / (1 - r[0]), r[2] * (1 - common) / (1 - r[0])] for r in rows]
+            tables.append(rows)
+        prior = sum(post) / len(post)
+        post = []
+        for v in votes.tolist():
+            a, b = prior, 1 - prior
+            for k, x in enumerate(v):
+                a, b = a * tables[k][1][x + 1], b * tables[k][0][x + 1]
+            post.append(a / (a + b))
+    assert np.allclose(model.posterior(votes), post, atol=1e-6)
+    assert ((model.posterior(votes) >= 0.5) == good).mean() > 0.9
+    assert (model.chance[:, 1, 0] <= model.chance[:, 0, 0] + 1e-12).all()
+
+
+def test_weak_quality_scores(spark):
+    """Scores on labelled documents against the features and the fit done by hand, and against the labels, which nothing reads."""
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumnsRenamed({"lang": "pattern", "source": "at"})
+    got = {r.doc_id: r for r in weak_quality.classify(docs).collect()}
+    table = pq.read_table(f"{folder}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    texts = {r["doc_id"]: raw(r["text"]) for r in table}
+    votes = {k: weak_quality.votes(t) for k, t in texts.items()}
+    kinds = Counter(map(tuple, votes.values()))
+    model = weak_quality.fit_labels(np.array(list(kinds)), np.array(list(kinds.values()), float))
+    features = {k: tuple(weak_quality.packed(t)) for k, t in texts.items()}
+    taught = sorted({(tuple(votes[k]), features[k]) for k in texts})
+    w, b = weak_quality.fit_scorer([weak_quality.unpacked(*f) for _, f in taught], model.posterior(np.array([v for v, _ in taught])))
+    for k in texts:
+        at, value = weak_quality.hashed(texts[k])
+        assert abs(got[k].posterior - model.posterior(np.array([votes[k]]))[0]) < 1e-9
+        assert abs(got[k].score - 1 / (1 + np.exp(-(sum(w[a] * v for a, v in zip(at, value, strict=True)) + b)))) < 1e-3
+    marks = {r["doc_id"]: r["quality"] for r in pq.read_table(f"{folder}/labels.parquet").to_pylist() if r["quality"] is not None}
+    good, bad = ([got[k].kept for k, q in marks.items() if q == x] for x in (1, 0))
+    assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.1 * len(bad)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
@@ -285,6 +497,38 @@ def test_near_stage(spark):
     assert {r.doc_id for r in kept.collect()} == set(range(len(rows))) - linked | {None}
 
 
+def test_band_verdicts():
+    """``kept`` of real and planted texts against a plain reading of the bands, on both sides of each length and of the chunk size."""
+    import zstandard
+
+    bands = quality_rules.Bands()
+    limits = list(zip([0, *bands.below_bytes], [*bands.below_bytes, 10**18], bands.least, bands.most, strict=True))
+    source = [raw(t) for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist()]
+    joined = b" ".join(sorted(source, key=len)[-30:])
+    texts = source + [joined[k : k + n] for n in (511, 512, 4095, 4096, 4097, 8191, 8192, 8193, 12288, 40_000) for k in (0, 5000)]
+    # good prose with one junk chunk in the middle, whose whole ratio may pass
+    texts += [joined[:a] + b"x1 " * 1400 + joined[a : a + 20_000] for a in (8192, 12_000, 20_000)]
+    packed = lambda t: len(zstandard.ZstdCompressor(level=bands.level, write_content_size=False).compress(t))
+    want = []
+    for t in texts:
+        words = t.split()
+        windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+        often = Counter(windows)
+        repeat = {k for i, w in enumerate(windows) if often[w] > 1 for k in (i, i + 1, i + 2)}
+        good = len(words) >= 50 and 2 * len(repeat) <= len(words)
+        if good:
+            least, most = next((x, y) for a, b, x, y in limits if a <= len(t) < b)
+            good = least <= len(t) / packed(t) <= most
+        at, chunks = 0, []
+        while len(t) >= 4096 and at < len(t):
+            chunks.append(t[min(at, len(t) - 4096) :][:4096])
+            at += 4096
+        want.append(good and all(bands.chunk_least <= 4096 / packed(c) <= bands.chunk_most for c in chunks))
+    got = quality_rules.judge(texts)
+    assert got["kept"] == want
+    assert 0 < sum(w for w, f in zip(want, got["base_failed"], strict=True) if not f) < len(texts) - sum(got["base_failed"])
+
+
 def test_compression_bands():
     """At each length, planted texts that pass the base rule fail by the bands alone, while clean ones stay."""
     folder = "/root/testdata/sf0.01"  # the limits come from sf0.1
