@@ -13,6 +13,14 @@ from pyspark.sql import DataFrame
 SLICE_BYTES = 8 << 20
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, with underscores behind it while a column has it (Spark doesn't tell case apart)."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``max_bytes`` of the given column, and one row at least."""
     for batch in batches:

@@ -56,10 +56,15 @@ def op8_simhash_tiles(spark, sf_dir):
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Target weights of the mixture by source; a source that isn't named has ``OTHER_WEIGHT``.
+TARGET_WEIGHTS = {"src0": 20.0} | {f"src{k}": 1.0 + k % 4 for k in range(1, 20)}
+OTHER_WEIGHT = 1.0
+
+
 @register(
     "op2_poisson_mixing",
-    """
-    WITH sizes AS (SELECT source, count(*) AS n, sqrt(count(*)::DOUBLE) AS weight FROM documents GROUP BY source),
+    f"""
+    WITH sizes AS (SELECT source, count(*) AS n, (CASE source {" ".join(f"WHEN '{s}' THEN {w}" for s, w in TARGET_WEIGHTS.items())} ELSE {OTHER_WEIGHT} END)::DOUBLE AS weight FROM documents GROUP BY source),
     rates AS (SELECT source, 1.0::DOUBLE * (SELECT sum(n) FROM sizes) * weight / (SELECT sum(weight) FROM sizes) / n AS rate FROM sizes),
     terms AS (SELECT source, rate, k, exp(k * ln(rate) - rate - lgamma(k + 1)) AS p
               FROM rates, (SELECT unnest(range(0, 400)) AS k) WHERE k <= ceil(rate + 12 * sqrt(rate) + 24)),
@@ -72,7 +77,7 @@ def op8_simhash_tiles(spark, sf_dir):
     """,
 )
 def op2_poisson_mixing(spark, sf_dir):
-    return source_mixing.mix(documents(spark, sf_dir)).select("doc_id", "source", "text", "copies", "copy", "order_key")
+    return source_mixing.mix(documents(spark, sf_dir), weights=TARGET_WEIGHTS, other=OTHER_WEIGHT).select("doc_id", "source", "text", "copies", "copy", "order_key")
 
 
 @register("op7_token_shards")
