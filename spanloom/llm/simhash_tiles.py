@@ -30,7 +30,9 @@ from .batches import bytes_of, map_slices, slices
 #: Shingles whose bits are counted at once, to bound memory on long texts.
 CHUNK = 1 << 16
 #: Most fingerprints of a tile, and of a sub-tile inside a meeting.
-TILE, SUBTILE = 65536, 256
+TILE, SUBTILE = 16384, 256
+#: Most partitions that meetings of tiles are dealt to; few bytes make much work, so their number does not follow the bytes.
+MEETING_PARTITIONS = 2000
 
 
 def shingle_hashes(text: bytes, size: int) -> list[int]:
@@ -158,7 +160,8 @@ def links(fps: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
         src, dst = star(sides[True], sides.get(False), radius)
         return pa.table({"src": src.view(np.int64), "dst": dst.view(np.int64)})
 
-    return met.groupBy("a", "b").applyInArrow(compare, "src long, dst long")
+    meetings = sum(sizes[o] * (reach[o][1] - reach[o][0] + 1) for o in sizes) // 2 + 1
+    return met.repartition(min(MEETING_PARTITIONS, meetings), "a", "b").groupBy("a", "b").applyInArrow(compare, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, size: int = 4, tile: int = TILE) -> DataFrame:
