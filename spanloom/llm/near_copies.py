@@ -3,13 +3,17 @@
 Texts are compared as sets of five-word shingles. Texts of equal sets are merged first; each distinct set, a node, has
 a fingerprint. A Jaccard similarity of at least p bounds the ratio of two sets' sizes by p, so sets are dealt into tiles
 by the logarithm of their size to the base 1 / p: a tile meets its own and the next range only. Pairs within the radius
-are candidates. Each is checked on the texts, and only those that pass link their texts.
+are candidates if their sketches (the ``SKETCH`` least hashes of each set, the whole set if it is no larger) share
+``SKETCH_PERCENT`` of their union's least hashes. A meeting of tiles returns its candidates' components as stars, not the
+pairs, so a group of copies costs its size. The components over all meetings are families.
 
-A meeting returns each node's nearest candidates up to a bound and marks the nodes that had more. Nodes that still have
-some are compared again, with a greater bound, against nodes that the checked links don't reach yet, until none is cut:
-a group of copies costs its size times the bound, and its components are those of all pairs.
+Then the sets of nodes in families, and of no others, are dealt by family; a family of more than ``FAMILY`` nodes is cut into
+parts that meet in pairs. Inside a meeting each candidate pair whose ends aren't linked yet is checked on its sets,
+nearest first, and only pairs that pass link them. The components of these links are the groups.
 
-Only the fingerprints are approximate: a pair beyond the radius isn't checked. Sets are held equal by 64 bits of digest.
+Fingerprints and sketches are approximate: a pair beyond the radius isn't checked; a pair of similarity 0.8 shares too
+little of its sketches with a chance below 1 in 100,000 (35 or fewer of 64 draws). Sets are held equal by 64 bits of
+digest, shingles by 64 bits of hash. Candidates of one family below the similarity are checked pair by pair.
 
 Defined cases: null and empty texts and texts without words have the empty set, whose similarity to itself is 1; texts with
 fewer words than a shingle have one shingle of all words. Repeated rows are one node. A group without any id stays whole.
@@ -26,14 +30,18 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from ..scratch import materialize
 from .batches import bytes_of, map_slices
-from .simhash_tiles import SUBTILE, TILE, majority, shingle_hashes
+from .simhash_tiles import MEETING_PARTITIONS, SUBTILE, TILE, least_linked, majority, shingle_hashes
 
 #: Bits by which the fingerprints of a pair may differ; recall by radius is in the README.
 RADIUS = 16
 #: Least Jaccard similarity of a link, in hundredths, so that the comparison is exact.
 PERCENT = 80
-#: Nearest candidates that a meeting returns for a node at first, the factor for nodes that had more, fingerprints compared at once, and pairs held before a cut.
-NEAREST, FACTOR, BLOCK, HELD = 16, 16, 4096, 1 << 20
+#: Hashes of a set's sketch, and hundredths of the union's sketch that candidates share at least.
+SKETCH, SKETCH_PERCENT = 64, 55
+#: Fingerprints compared with a sub-tile at once, and pairs whose sketches are compared at once.
+BLOCK = 4096
+#: Most nodes of a family that meet at once; nodes behind each bucket of small families; families that are broadcast at most.
+FAMILY, BUCKET_NODES, BROADCAST_ROWS = 2048, 2048, 2_000_000
 
 
 def shingle_set(text: bytes, size: int) -> np.ndarray:
@@ -41,75 +49,81 @@ def shingle_set(text: bytes, size: int) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, size), np.uint64))
 
 
+def sketch_of(hashes: np.ndarray) -> bytes:
+    """The least hashes' high halves, ascending, filled up with the greatest number."""
+    out = np.full(SKETCH, 0xFFFFFFFF, "<u4")
+    least = (hashes[:SKETCH] >> np.uint64(32)).astype("<u4")
+    out[: len(least)] = least
+    return out.tobytes()
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which rows of two arrays of sketches share enough of their union's least hashes."""
+    both = np.concatenate([x, y], axis=1)
+    both.sort(axis=1)
+    real = both != 0xFFFFFFFF
+    again = np.zeros(both.shape, bool)
+    again[:, 1:] = (both[:, 1:] == both[:, :-1]) & real[:, 1:]
+    rank = np.cumsum(real & ~again, axis=1)  # of the union's hashes
+    size = np.minimum(rank[:, -1], SKETCH)
+    common = (again & (rank <= SKETCH)).sum(axis=1)
+    return 100 * common >= SKETCH_PERCENT * size
+
+
 def with_sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """doc_id, text, node (digest of the set), fp and n (its size)."""
-    arrow = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("node", pa.int64()), ("fp", pa.int64()), ("n", pa.int64())])
+    """doc_id, text, node (digest of the set), fp, n (its size) and sketch (its least hashes' high halves)."""
+    arrow = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("node", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
 
     def run(part):
         sets = [shingle_set(t, size) for t in bytes_of(part, 1)]
         digests = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-        return {"doc_id": part.column(0), "text": part.column(1), "node": digests, "fp": np.array([majority(s) for s in sets], np.uint64).view(np.int64), "n": [len(s) for s in sets]}
+        return {"doc_id": part.column(0), "text": part.column(1), "node": digests, "fp": np.array([majority(s) for s in sets], np.uint64).view(np.int64), "n": [len(s) for s in sets], "sketch": [sketch_of(s) for s in sets]}
 
-    return map_slices(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), run, "doc_id long, text string, node long, fp long, n long", arrow, 1)
+    return map_slices(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), run, "doc_id long, text string, node long, fp long, n long, sketch binary", arrow, 1)
 
 
-def cut(u: np.ndarray, v: np.ndarray, d: np.ndarray, nearest: int, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The nearest pairs of each u; ``more`` is set for those that lose some."""
-    order = np.lexsort((v, d, u))
-    u, v, d = u[order], v[order], d[order]
-    first = np.flatnonzero(np.r_[True, u[1:] != u[:-1]]) if len(u) else np.zeros(0, np.int64)
-    rank = np.arange(len(u)) - np.repeat(first, np.diff(np.r_[first, len(u)]))
-    more[u[rank >= nearest]] = True
-    keep = rank < nearest
-    return u[keep], v[keep], d[keep]
-
-
-def pairs_of(a: dict[str, np.ndarray], b: dict[str, np.ndarray] | None, radius: int, percent: int, nearest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(u, v, more): nodes of a and their candidates in b, or in a, each pair at its lesser place, if b is None; nodes of a that have more.
-
-    Sides hold node, fp, n, part (of the links so far) and open (whether the node is still to be compared).
-    """
+def linked_labels(a: dict[str, np.ndarray], b: dict[str, np.ndarray] | None, radius: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of a meeting and the least node of each one's component over the meeting's candidate pairs; both sides are ordered by n."""
     same = b is None
-    a = {k: x[np.argsort(a["n"], kind="stable")] for k, x in a.items()}
-    b = a if same else {k: x[np.argsort(b["n"], kind="stable")] for k, x in b.items()}
-    rows = np.flatnonzero(a["open"])
-    more = np.zeros(len(a["n"]), bool)
-    out_u, out_v = [], []
-    for i in range(0, len(rows), SUBTILE):
-        at = rows[i : i + SUBTILE]
+    both = a if same else {k: np.concatenate([a[k], b[k]]) for k in a}
+    shift = 0 if same else len(a["n"])
+    b = a if same else b
+    label = np.arange(len(both["n"]))
+    for i in range(0, len(a["n"]), SUBTILE):
+        at = np.arange(i, min(len(a["n"]), i + SUBTILE))
         low = np.searchsorted(b["n"], -(-a["n"][at[0]] * percent // 100), side="left")
         high = np.searchsorted(b["n"], a["n"][at[-1]] * 100 // percent, side="right")
-        held = [np.zeros(0, np.int64)] * 3
-        for j in range(low, high, BLOCK):
+        for j in range(max(low, i) if same else low, high, BLOCK):
             to = min(high, j + BLOCK)
-            distance = np.bitwise_count(a["fp"][at][:, None] ^ b["fp"][None, j:to])
-            u, v = np.nonzero(distance <= radius)
-            d = distance[u, v].astype(np.int64)
-            u, v = at[u], v + j
-            x, y = a["n"][u], b["n"][v]
-            good = (100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & (a["part"][u] != b["part"][v])
-            if same:
-                # a pair of two open nodes is taken once, one with a closed node at its open end
-                good &= (u < v) | ((u > v) & ~a["open"][v])
-            held = [np.concatenate([h, z[good]]) for h, z in zip(held, (u, v, d), strict=True)]
-            if len(held[0]) > HELD:
-                held = list(cut(*held, nearest, more))
-        u, v, _ = cut(*held, nearest, more)
-        out_u.append(a["node"][u])
-        out_v.append(b["node"][v])
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *out_u]), np.concatenate([none, *out_v]), a["node"][more]
-
-
-def candidates(nodes: DataFrame, radius: int, percent: int, tile: int, nearest: int) -> DataFrame:
-    """Pairs (a, b), a < b, of nodes (node, fp, n, part, open); rows with null b name nodes that have more."""
+            u, v = np.nonzero(np.bitwise_count(a["fp"][at][:, None] ^ b["fp"][None, j:to]) <= radius)
+            u, v = at[u], v + j + shift
+            x, y = both["n"][u], both["n"][v]
+            good = (100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & ((u < v) if same else True)
+            u, v = u[good], v[good]
+            while len(u):
+                # what is linked by now needs no look at sketches
+                open_pairs = label[u] != label[v]
+                u, v = u[open_pairs], v[open_pairs]
+                like = alike(both["sketch"][u[:BLOCK]], both["sketch"][v[:BLOCK]])
+                label = least_linked(len(label), label[u[:BLOCK][like]], label[v[:BLOCK][like]])[label]
+                u, v = u[BLOCK:], v[BLOCK:]
+    return both["node"], both["node"][label]
+
+
+def stars(node: np.ndarray, root: np.ndarray, types: list[str]) -> pa.Table:
+    moved = np.flatnonzero(node != root)
+    return pa.table({types[0]: pa.array(node[moved], pa.int64()), types[1]: pa.array(root[moved], pa.int64())})
+
+
+def candidates(nodes: DataFrame, radius: int, percent: int, tile: int) -> DataFrame:
+    """Edges (src, dst) that give the components of all candidate pairs of nodes (node, fp, n, sketch)."""
     spark = nodes.sparkSession
     # the factor keeps sizes of the exact ratio, and rounding, within neighbouring ranges
     span = F.when(F.col("n") == 0, -9).otherwise(F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) * (1 - 1e-9)).cast("int"))
     # some dozens of rows: how many tiles each range needs
     counts = {r["span"]: -(-r["n"] // tile) for r in nodes.groupBy(span.alias("span")).agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return spark.createDataFrame([], "a long, b long")
+        return spark.createDataFrame([], "src long, dst long")
     number, tiles = {}, 0
     for s, k in sorted(counts.items()):
         number[s] = tiles
@@ -117,74 +131,99 @@ def candidates(nodes: DataFrame, radius: int, percent: int, tile: int, nearest:
     table = lambda of: F.create_map(*[F.lit(x) for s in sorted(counts) for x in (s, of(s))])[F.col("span")]
     last = lambda s: number[s] + counts[s] - 1
     at = nodes.withColumn("span", span).withColumn("tile", (table(lambda s: number[s]) + F.pmod(F.xxhash64("node"), table(lambda s: counts[s]))).cast("int"))
-    held = at.groupBy("tile", "span").agg(F.collect_list(F.struct("node", "fp", "n", "part", "open")).alias("rows"))
-    met = held.select("tile", "rows", F.explode(F.sequence(table(lambda s: number.get(s - 1, number[s])), table(lambda s: last(s + 1) if s + 1 in counts else last(s)))).alias("other"))
-    met = met.select(F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), (F.col("tile") <= F.col("other")).alias("of_a"), "rows")
-
-    def compare(group: pa.Table) -> pa.Table:
-        sides = {}
-        for own, rows in zip(group.column("of_a").to_pylist(), group.column("rows"), strict=True):
-            fields = dict(zip(("node", "fp", "n", "part", "open"), rows.values.flatten(), strict=True))
-            sides[own] = {k: x.to_numpy(zero_copy_only=False) for k, x in fields.items()}
-            sides[own]["fp"] = sides[own]["fp"].view(np.uint64)
-        found = [pairs_of(sides[True], sides.get(False), radius, percent, nearest)]
-        if False in sides:
-            # the other way round for pairs that are open on that side alone
-            found.append(pairs_of(sides[False], {k: x[~sides[True]["open"]] for k, x in sides[True].items()}, radius, percent, nearest))
-        u, v, more = (np.concatenate(x) for x in zip(*found, strict=True))
-        pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
-        return pa.table({"a": pa.array(np.r_[pairs[:, 0], more], pa.int64()), "b": pa.array(np.r_[pairs[:, 1], np.zeros(len(more), np.int64)], pa.int64(), mask=np.r_[np.zeros(len(pairs), bool), np.ones(len(more), bool)])})
-
-    return met.groupBy("a", "b").applyInArrow(compare, "a long, b long")
-
-
-def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose shingle sets' similarity is at least ``percent`` hundredths."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    used = texts.join(ends, "node").groupBy("node").agg(F.first("text").alias("text"))
-    used = materialize(used, "texts")
-    left = pairs.join(used.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
-    both = left.join(used.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
-
-    def run(batches):
-        for batch in batches:
-            sets: dict[int, np.ndarray] = {}
-            keep = []
-            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for node, text in ((a, x), (b, y)):
-                    if node not in sets:
-                        sets[node] = shingle_set((text or "").encode(), size)
-                common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                keep.append(100 * common >= percent * (len(sets[a]) + len(sets[b]) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.mapInArrow(run, "a long, b long")
-
-
-def links(sets: DataFrame, texts: DataFrame, radius: int, size: int, percent: int, tile: int, nearest: int) -> DataFrame:
-    """Checked pairs (src, dst) of nodes (node, fp, n) that give the components of all such pairs within the radius."""
-    state = sets.select("node", "fp", "n", F.col("node").alias("part"), F.lit(True).alias("open"))
-    edges = seen = None
-    while True:
-        found = materialize(candidates(state, radius, percent, tile, nearest), "candidates")
-        pairs = found.where("b is not null").distinct()
-        fresh = pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti")
-        good = materialize(verified(fresh, texts, size, percent), "links")
-        edges = good if edges is None else edges.unionByName(good)
-        seen = pairs if seen is None else seen.unionByName(fresh)
-        cut_off = found.where("b is null").select(F.col("a").alias("node")).distinct()
-        if cut_off.isEmpty():
-            return edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))
-        parts = connected_components(edges, "a", "b").withColumnRenamed("component", "part")
-        state = materialize(sets.join(parts, "node", "left").join(cut_off.withColumn("open", F.lit(True)), "node", "left").select("node", "fp", "n", F.coalesce("part", "node").alias("part"), F.coalesce("open", F.lit(False)).alias("open")), "state")
-        nearest *= FACTOR
-
-
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, size: int = 5, percent: int = PERCENT, tile: int = TILE, nearest: int = NEAREST) -> DataFrame:
+    met = at.select("tile", "node", "fp", "n", "sketch", F.explode(F.sequence(table(lambda s: number.get(s - 1, number[s])), table(lambda s: last(s + 1) if s + 1 in counts else last(s)))).alias("other"))
+    met = met.select(F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), (F.col("tile") <= F.col("other")).alias("of_a"), "node", "fp", "n", "sketch")
+
+    def compare(table: pa.Table) -> pa.Table:
+        own = table.column("of_a").to_numpy()
+        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u4").reshape(-1, SKETCH)
+        fields = {"node": table.column("node").to_numpy(), "fp": table.column("fp").to_numpy().view(np.uint64), "n": table.column("n").to_numpy(), "sketch": sketches}
+        sides = []
+        for part in (own, ~own):
+            rows = np.flatnonzero(part)
+            rows = rows[np.argsort(fields["n"][rows], kind="stable")]
+            sides.append({k: x[rows] for k, x in fields.items()})
+        if table.column("a")[0].as_py() != table.column("b")[0].as_py() and not (len(sides[0]["n"]) and len(sides[1]["n"])):
+            return stars(np.zeros(0, np.int64), np.zeros(0, np.int64), ["src", "dst"])
+        return stars(*linked_labels(sides[0], sides[1] if len(sides[1]["n"]) else None, radius, percent), ["src", "dst"])
+
+    return met.repartition(min(MEETING_PARTITIONS, 4 * tiles), "a", "b").groupBy("a", "b").applyInArrow(compare, "src long, dst long")
+
+
+def checked_labels(node: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], split: int, radius: int, percent: int) -> np.ndarray:
+    """The label of each node: equal for nodes that checked pairs link. With ``split`` above 0 only pairs across it are looked at."""
+    n = np.array([len(s) for s in sets])
+    sketch = np.frombuffer(b"".join(map(sketch_of, sets)), "<u4").reshape(-1, SKETCH)
+    label = np.arange(len(node))
+    for u in range(split or len(node)):
+        v = np.arange(split or u + 1, len(node))
+        v = v[label[v] != label[u]]
+        if not len(v):
+            continue
+        distance = np.bitwise_count(fp[v] ^ fp[u])
+        near = (distance <= radius) & (100 * np.minimum(n[v], n[u]) >= percent * np.maximum(n[v], n[u]))
+        v, distance = v[near], distance[near]
+        v = v[np.argsort(distance, kind="stable")]
+        v = v[alike(np.broadcast_to(sketch[u], (len(v), SKETCH)), sketch[v])]
+        for w in v.tolist():
+            if label[w] == label[u]:
+                continue
+            common = len(np.intersect1d(sets[u], sets[w], assume_unique=True))
+            if 100 * common >= percent * (n[u] + n[w] - common):
+                label[label == label[w]] = label[u]
+    return label
+
+
+def checked(families: DataFrame, rows: DataFrame, size: int, radius: int, percent: int, most: int) -> DataFrame:
+    """Edges (src, dst) that give the components of all candidate pairs whose sets' similarity is at least ``percent`` hundredths."""
+    sizes = families.groupBy("family").agg(F.count("*").alias("members"))
+    members = materialize(families.join(sizes, "family"), "families")
+    total = members.count()
+    if not total:
+        return families.sparkSession.createDataFrame([], "src long, dst long")
+    # families are few beside the texts, which then stay where they are
+    picked = rows.select("text", "node", "fp").join(F.broadcast(members) if total <= BROADCAST_ROWS else members, "node").select("text", "node", "fp", "family", "members")
+    arrow = pa.schema([("node", pa.int64()), ("fp", pa.int64()), ("family", pa.int64()), ("members", pa.int64()), ("shingles", pa.binary())])
+
+    def cast(part):
+        return {"node": part.column(1), "fp": part.column(2), "family": part.column(3), "members": part.column(4), "shingles": [shingle_set(t, size).tobytes() for t in bytes_of(part, 0)]}
+
+    sets = map_slices(picked, cast, "node long, fp long, family long, members long, shingles binary", arrow, 0).groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "family", "members", "shingles")])
+    # small families share buckets; a large one is cut into parts, and every part meets every other and itself
+    parts = F.when(F.col("members") > most, F.ceil(F.col("members") / most)).otherwise(1).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    cut = sets.withColumn("parts", parts).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    buckets = max(1, total // BUCKET_NODES)
+    met = cut.select(F.when(F.col("parts") > 1, F.col("family")).otherwise(F.pmod(F.xxhash64("family"), F.lit(buckets))).alias("key"), (F.col("parts") > 1).alias("large"), F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "family", "node", "fp", "shingles", (F.col("own") <= F.col("other")).alias("of_a"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        family, of_a = table.column("family").to_numpy(), table.column("of_a").to_numpy()
+        node, fp = table.column("node").to_numpy(), table.column("fp").to_numpy().view(np.uint64)
+        order = np.lexsort((node, ~of_a, family))
+        cuts = [*np.flatnonzero(np.r_[True, family[order][1:] != family[order][:-1]]).tolist(), len(order)]
+        shingles = table.column("shingles").combine_chunks()
+        across = table.column("a")[0].as_py() != table.column("b")[0].as_py()
+        out = []
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            at = order[i:j]
+            split = int(of_a[at].sum()) if across else 0
+            if across and split in (0, len(at)):
+                continue
+            sets = [np.frombuffer(shingles[int(k)].as_buffer(), "<u8") for k in at]
+            out.append(stars(node[at], node[at][checked_labels(node[at], fp[at], sets, split, radius, percent)], ["src", "dst"]))
+        return pa.concat_tables(out) if out else stars(np.zeros(0, np.int64), np.zeros(0, np.int64), ["src", "dst"])
+
+    return met.repartition(min(MEETING_PARTITIONS, 24 + total // BUCKET_NODES), "key", "large", "a", "b").groupBy("key", "large", "a", "b").applyInArrow(compare, "src long, dst long")
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, size: int = 5, percent: int = PERCENT, tile: int = TILE, family: int = FAMILY) -> DataFrame:
     """One row per document: doc_id and ``component_id``, the smallest doc_id reachable through checked links."""
     rows = materialize(with_sets(docs, id_col, text_col, size), "sets")
-    least = materialize(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.min("doc_id").alias("least")), "distinct")
-    parts = connected_components(links(least.select("node", "fp", "n"), rows.select("node", "text"), radius, size, percent, tile, nearest))
+    least = materialize(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least")), "distinct")
+    near = materialize(candidates(least.select("node", "fp", "n", "sketch"), radius, percent, tile), "candidates")
+    families = connected_components(near).withColumnRenamed("component", "family")
+    links = materialize(checked(families, rows, size, radius, percent, family), "links")
+    parts = connected_components(links)
     known = least.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("root"), "least")
     roots = known.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.select("doc_id", "node").join(known.join(roots, "root").select("node", "component_id"), "node").select("doc_id", "component_id")

@@ -468,8 +468,8 @@ def planted():
     return [*texts, None, "", "a few words", "A few  words"]
 
 
-@pytest.mark.parametrize(("tile", "nearest"), [(65536, 16), (7, 1)])
-def test_near_copies(spark, empty, tile, nearest):
+@pytest.mark.parametrize(("tile", "family"), [(65536, 4096), (7, 5)])
+def test_near_copies(spark, empty, tile, family):
     texts = planted()
     sets = [shingles(t) for t in texts]
     part = list(range(len(texts)))
@@ -479,7 +479,7 @@ def test_near_copies(spark, empty, tile, nearest):
                 part = [part[b] if p == part[a] else p for p in part]
     want = {k: min(i for i, p in enumerate(part) if p == part[k]) for k in range(len(texts))}
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = near_copies.groups(docs, tile=tile, nearest=nearest, radius=40).collect()
+    got = near_copies.groups(docs, tile=tile, family=family, radius=40).collect()
     assert {r.doc_id: r.component_id for r in got} == want and len(got) == len(texts)
     assert near_copies.groups(empty).count() == 0
 
