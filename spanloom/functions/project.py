@@ -11,10 +11,25 @@ from pyspark.sql import types as T
 
 
 def assign_opaque_ids(df: DataFrame, keys: list[str], salt: str, name: str = "opaque_id") -> DataFrame:
-    """``df`` with an id that a salted sha256 of the keys gives."""
+    """``df`` with an id that a salted sha256 of the keys gives; ``binding_table`` keeps what it stands for."""
     return df.withColumn(name, F.sha2(F.concat_ws("|", F.lit(salt), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]), 256))
 
 
+def binding_table(df: DataFrame, keys: list[str], salt: str, name: str = "opaque_id") -> DataFrame:
+    """The private table of opaque ids and the keys behind them, in order of the opaque id, so that no batch shows."""
+    return assign_opaque_ids(df.select(*keys).distinct(), keys, salt, name).select(name, *keys).orderBy(name)
+
+
+def observation_violations(spans: DataFrame, services: list[str]) -> DataFrame:
+    """(trace, span, rule) of client and server spans of the services that can't be projected: bad_timing or bad_path."""
+    tag = lambda *names: F.coalesce(*[F.col("tags").getItem(n) for n in names])
+    rows = spans.where(F.col("service").isin(services) & F.col("kind").isin("CLIENT", "SERVER") & tag("http.method", "http.request.method").isNotNull())
+    timing = F.expr("start_us is null or start_us < 0 or duration_us is null or duration_us < 0")
+    path = url_path(tag("http.url", "url.full", "http.target"))
+    bad = F.array_compact(F.array(F.when(timing, F.lit("bad_timing")), F.when(path.isNull() | ~path.startswith("/"), F.lit("bad_path"))))
+    return rows.select("trace", "span", F.explode(bad).alias("rule"))
+
+
 def parse_traceparent(header: Column) -> Column:
     """(trace_id, span_id, sampled) of a version-00 header; null where the form is wrong or an id is zero."""
     form = r"^00-(?!0{32})([0-9a-f]{32})-(?!0{16})([0-9a-f]{16})-0([01])$"
@@ -38,8 +53,24 @@ def project_observations(spans: DataFrame, services: list[str]) -> DataFrame:
     return out.where("method is not null and scheme in ('', 'http', 'https')").drop("scheme")
 
 
-def leak_check(public: DataFrame, private: DataFrame, text: str, ident: str) -> DataFrame:
-    """Private ids that stand as a token in a public text."""
+def contained(texts: DataFrame, idents: DataFrame, text: str, ident: str) -> DataFrame:
+    """The rows of ``texts`` with every id that occurs anywhere in the text, once for each.
+
+    Texts are cut into all strings of each length that ids have, which meet the ids by an equal join.
+    """
+    known = idents.select(F.col(ident).cast("string").alias(ident)).where(F.length(ident) > 0).distinct()
+    lengths = [r[0] for r in known.select(F.length(ident)).distinct().collect()]  # ids have a few lengths
+    if not lengths:
+        return texts.join(known, F.lit(False))
+    cuts = F.concat(*[F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda k, n=n: F.substring(F.col(text), k, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in lengths])
+    return texts.withColumn(ident, F.explode(F.array_distinct(cuts))).join(known, ident, "left_semi")
+
+
+def leak_check(public: DataFrame, private: DataFrame, text: str, ident: str, substring: bool = False) -> DataFrame:
+    """Private ids that stand as a token in a public text or, with ``substring``, anywhere in one."""
+    if substring:
+        found = contained(public.select(text), private, text, ident).select(ident)
+        return private.select(ident).distinct().join(found.distinct(), ident, "left_semi")
     tokens = public.select(F.explode(F.split(F.col(text), r"[^A-Za-z0-9_-]+")).alias(ident)).distinct()
     return private.select(ident).distinct().join(tokens, ident, "left_semi")
 
@@ -67,11 +98,24 @@ def categorize(df: DataFrame, kinds: dict[str, str], kind: str = "kind") -> Data
     return df.withColumn("category", F.create_map(*[F.lit(x) for p in kinds.items() for x in p])[F.col(kind)])
 
 
+def unmapped_kinds(df: DataFrame, kinds: dict[str, str], kind: str = "kind") -> DataFrame:
+    """Kinds that the map lacks, with how many rows have them."""
+    return df.where(F.col(kind).isNull() | ~F.col(kind).isin(*kinds)).groupBy(kind).agg(F.count("*").alias("n"))
+
+
 def split_phase(requests: DataFrame, case: str, prefix: str = "warm-up") -> DataFrame:
     """``phase`` warm-up or steady by the case's prefix."""
     return requests.withColumn("phase", F.when(F.col(case).startswith(prefix), "warm-up").otherwise("steady"))
 
 
+def phase_violations(requests: DataFrame, group: list[str], case: str, start: str, end: str, prefixes: tuple[str, str] = ("warm-up", "steady")) -> DataFrame:
+    """Groups whose phases aren't apart: a case of neither phase, or a warm-up that ends after the steady phase starts."""
+    warm, steady = (F.col(case).startswith(p) for p in prefixes)
+    s = requests.groupBy(*group).agg(F.count_if(~(warm | steady) | F.col(case).isNull()).alias("neither"), F.max(F.when(warm, F.col(end))).alias("warm_end"), F.min(F.when(steady, F.col(start))).alias("steady_start"))
+    rules = F.array_compact(F.array(F.when(F.col("neither") > 0, F.lit("no_phase")), F.when(F.col("warm_end") > F.col("steady_start"), F.lit("phases_overlap"))))
+    return s.select(*group, F.explode(rules).alias("rule"))
+
+
 def stratified_sample(candidates: DataFrame, app: str, stratum: str, ident: str, n: int, salt: str) -> DataFrame:
     """n rows an app: ranked by a salted hash inside each stratum, then taken round-robin over the strata in name order."""
     order = F.sha2(F.concat(F.lit(salt), F.col(ident).cast("string")), 256)
@@ -82,7 +126,7 @@ def stratified_sample(candidates: DataFrame, app: str, stratum: str, ident: str,
 def _leaves(value, path: str, style: str, out: list) -> None:
     if isinstance(value, dict):
         for k, v in value.items():
-            _leaves(v, f"{path}[{json.dumps(k)}]" if style == "jsonpath" else f"{path}/{k.replace('~', '~0').replace('/', '~1')}", style, out)
+            _leaves(v, f"{path}[{json.dumps(k, ensure_ascii=False)}]" if style == "jsonpath" else f"{path}/{k.replace('~', '~0').replace('/', '~1')}", style, out)
     elif isinstance(value, list):
         for k, v in enumerate(value):
             _leaves(v, f"{path}[{k}]" if style == "jsonpath" else f"{path}/{k}", style, out)

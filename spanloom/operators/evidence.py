@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.project import json_leaves, wildcard_path_match
-from .graph import ancestors, backward_slice, reach
+from ..functions.project import contained, json_leaves, wildcard_path_match
+from .graph import backward_slice, climb, reach, root_of
 from .joins import unique_join
 
 
@@ -31,7 +31,11 @@ def context_match(events: DataFrame, message: list[str], role: str, span: str, p
 
 
 def wire_call_reconcile(wire: DataFrame, calls: DataFrame, key: list[str], checks: list[str]) -> DataFrame:
-    """Packet-level exchanges and agents' calls by key, with one ``reason``: matched, wire_only, call_only, ambiguous, or the first check column that differs."""
+    """Packet-level exchanges and agents' calls by key (trace, parent span, method, target), with one ``reason``.
+
+    matched, wire_only, call_only, ambiguous, or the first of the check columns that differs: both sides carry the columns to
+    compare, such as endpoints, the response's back reference (``responses``, ``back_reference``) and the status.
+    """
     side = lambda df, p: df.groupBy(*key).agg(F.count("*").alias(f"{p}_n"), *[F.min(c).alias(f"{p}_{c}") for c in checks])
     both = side(wire, "w").join(side(calls, "c"), key, "full_outer")
     reason = F.when(F.col("w_n").isNull(), "call_only").when(F.col("c_n").isNull(), "wire_only").when((F.col("w_n") > 1) | (F.col("c_n") > 1), "ambiguous")
@@ -40,33 +44,69 @@ def wire_call_reconcile(wire: DataFrame, calls: DataFrame, key: list[str], check
     return both.select(*key, reason.otherwise("matched").alias("reason"))
 
 
-def span_chains(spans: DataFrame) -> DataFrame:
+def wire_responses(requests: DataFrame, responses: DataFrame, key: list[str]) -> DataFrame:
+    """Wire requests (key, endpoints, response_in) with their one response (key, its own number, endpoints) and a ``reason``.
+
+    matched, missing_response, ambiguous_response, back_reference (the request names another response) or endpoint (the
+    response doesn't come from where the request went). Requests have src, dst, response_in; responses have number, src, dst, status.
+    """
+    one = unique_join(requests, responses.select(*key, F.col("number").alias("response"), F.col("src").alias("from"), F.col("dst").alias("to"), F.col("status").alias("http_status")), key)
+    reason = F.when(F.col("status") != "matched", F.concat("status", F.lit("_response"))).when(_differ("response_in", "response"), "back_reference").when(_differ("from", "dst") | _differ("to", "src"), "endpoint").otherwise("matched")
+    return one.select(*key, reason.alias("reason"), F.when(reason == "matched", F.col("response")).alias("response"), F.when(reason == "matched", F.col("http_status")).alias("http_status"))
+
+
+def span_chains(spans: DataFrame, checks: dict[str, Column] | None = None) -> DataFrame:
     """Driver spans (those of kind INTERNAL) with the server below each, the client below that and the server below the client.
 
     Columns trace, span, server, client, upstream, ``status``: matched where each step has exactly one child of the kind,
-    else missing or ambiguous at the first step that fails.
+    else missing or ambiguous at the first step that fails. ``checks`` has a condition for steps, over the span's own columns
+    (such as a remote parent flag or the service's name); a step whose span fails it is wrong at that step.
     """
-    below = lambda kind, name, parent: spans.where(F.col("kind") == kind).groupBy("trace", F.col("parent").alias(parent)).agg(F.count("*").alias(f"{name}_n"), F.min("span").alias(name))
+    checks = checks or {}
+
+    def below(kind: str, name: str, parent: str) -> DataFrame:
+        good = F.coalesce(checks.get(name, F.lit(True)), F.lit(False))
+        return spans.where(F.col("kind") == kind).groupBy("trace", F.col("parent").alias(parent)).agg(F.count("*").alias(f"{name}_n"), F.min("span").alias(name), F.bool_and(good).alias(f"{name}_good"))
+
     out = spans.where("kind = 'INTERNAL'").select("trace", "span")
     out = out.join(below("SERVER", "server", "span"), ["trace", "span"], "left").join(below("CLIENT", "client", "server"), ["trace", "server"], "left").join(below("SERVER", "upstream", "client"), ["trace", "client"], "left")
     status = F.when(F.lit(False), "")
     for name in ("server", "client", "upstream"):
-        status = status.when(F.col(f"{name}_n").isNull(), f"missing_{name}").when(F.col(f"{name}_n") > 1, f"ambiguous_{name}")
+        status = status.when(F.col(f"{name}_n").isNull(), f"missing_{name}").when(F.col(f"{name}_n") > 1, f"ambiguous_{name}").when(~F.col(f"{name}_good"), f"wrong_{name}")
     status = status.otherwise("matched")
     return out.select("trace", "span", *[F.when(status == "matched", F.col(c)).alias(c) for c in ("server", "client", "upstream")], status.alias("status"))
 
 
-def select_sync_scope(spans: DataFrame) -> DataFrame:
-    """Spans (trace, span) that are no producer or consumer and have none above them; a broken chain stays."""
-    paths = ancestors(spans.select("trace", F.col("span").alias("node"), "parent"), ["trace"])
-    queued = spans.where("kind in ('PRODUCER', 'CONSUMER')").select("trace", "span")
-    behind = paths.join(queued.withColumnRenamed("span", "ancestor"), ["trace", "ancestor"]).select("trace", F.col("node").alias("span"))
-    return spans.select("trace", "span").join(queued.unionByName(behind).distinct(), ["trace", "span"], "left_anti")
+def chain_leftovers(spans: DataFrame, chains: DataFrame) -> DataFrame:
+    """Spans (trace, span) that no matched chain uses."""
+    used = chains.where("status = 'matched'").select("trace", F.explode(F.array("span", "server", "client", "upstream")).alias("span"))
+    return spans.select("trace", "span").join(used, ["trace", "span"], "left_anti")
 
 
-def foreign_id_hits(paths: DataFrame, requests: DataFrame, trace: str, path: str, ident: str) -> DataFrame:
-    """(trace, owner, id): ids of other requests that stand as a token in a trace's path."""
-    tokens = paths.select(trace, F.explode(F.array_distinct(F.split(F.col(path), r"[^A-Za-z0-9]+"))).alias(ident)).where(F.col(ident) != "")
+def select_sync_scope(spans: DataFrame, http: Column | None = None) -> DataFrame:
+    """Spans (trace, span) that are no producer or consumer and have none above them; a broken chain stays.
+
+    With ``http``, a condition on spans, only such spans and what stands above them up to the root are selected.
+    """
+    tree = spans.select("trace", F.col("span").alias("node"), "parent")
+    queued = spans.where("kind in ('PRODUCER', 'CONSUMER')").select("trace", "span")
+    above = climb(tree, ["trace"], marks=queued.select("trace", F.col("span").alias("node"), F.lit("q").alias("mark")))
+    behind = above.where("lo is not null").select("trace", F.col("node").alias("span"))
+    sync = spans.join(queued.unionByName(behind).distinct(), ["trace", "span"], "left_anti")
+    if http is None:
+        return sync.select("trace", "span")
+    heads = sync.where(http).select("trace", F.col("span").alias("node"))
+    up = reach(spans.where("parent is not null").select("trace", F.col("span").alias("parent"), F.col("parent").alias("child")), heads, ["trace"])
+    kept = up.select("trace", F.col("node").alias("span")).distinct()
+    return sync.select("trace", "span").join(kept, ["trace", "span"], "left_semi")
+
+
+def foreign_id_hits(paths: DataFrame, requests: DataFrame, trace: str, path: str, ident: str, substring: bool = False) -> DataFrame:
+    """(trace, owner, id): ids of other requests that stand as a token in a trace's path or, with ``substring``, anywhere in it."""
+    if substring:
+        tokens = contained(paths.select(trace, path), requests, path, ident).select(trace, ident)
+    else:
+        tokens = paths.select(trace, F.explode(F.array_distinct(F.split(F.col(path), r"[^A-Za-z0-9]+"))).alias(ident)).where(F.col(ident) != "")
     owned = requests.select(F.col(trace).alias("owner"), ident).distinct()
     return tokens.join(owned, ident).where(F.col("owner") != F.col(trace)).select(trace, "owner", ident).distinct()
 
@@ -120,9 +160,8 @@ def reference_identity(inputs: DataFrame, publications: DataFrame, outputs: Data
 
 def source_family(frames: DataFrame, sources: DataFrame, by: list[str]) -> DataFrame:
     """Source events (node, source) with the ``root`` frame above them, over frames (node, parent); a frame without parent is its own root."""
-    roots = frames.where("parent is null").select(*by, F.col("node").alias("root"))
-    above = ancestors(frames, by).select(*by, "node", F.col("ancestor").alias("root")).join(roots, [*by, "root"])
-    return sources.join(above.unionByName(roots.select(*by, F.col("root").alias("node"), "root")), [*by, "node"]).select(*by, "root", "source")
+    roots = root_of(frames, by).where("status = 'root'").select(*by, "node", "root")
+    return sources.join(roots, [*by, "node"]).select(*by, "root", "source")
 
 
 def rule_truth(returns: DataFrame, rules: DataFrame, sources: DataFrame) -> DataFrame:
@@ -173,9 +212,19 @@ def effect_barriers(effects: DataFrame, references: DataFrame, versions: DataFra
 
 def strict_attribution(records: DataFrame, owners: DataFrame, by: list[str]) -> DataFrame:
     """Records (by, node, parent, bytes) with the one owner among themselves and their parents, else unattributed_or_shared."""
-    paths = ancestors(records.select(*by, "node", "parent"), by).select(*by, "node", "ancestor").unionByName(records.select(*by, "node", F.col("node").alias("ancestor")))
-    found = paths.join(owners.select(*by, F.col("node").alias("ancestor"), "owner"), [*by, "ancestor"]).groupBy(*by, "node").agg(F.count_distinct("owner").alias("n"), F.min("owner").alias("owner"))
-    return records.join(found, [*by, "node"], "left").select(*by, "node", "bytes", F.when(F.col("n") == 1, F.col("owner")).otherwise("unattributed_or_shared").alias("owner"))
+    marks = owners.select(*by, "node", F.col("owner").alias("mark"))
+    above = climb(records.select(*by, "node", "parent"), by, marks=marks).select(*by, "node", "lo", "hi", "status")
+    own = marks.groupBy(*by, "node").agg(F.min("mark").alias("own_lo"), F.max("mark").alias("own_hi"))
+    all_of = records.join(above, [*by, "node"], "left").join(own, [*by, "node"], "left").withColumns({"lo": F.least("lo", "own_lo"), "hi": F.greatest("hi", "own_hi")})
+    one = F.expr("lo = hi and not (status <=> 'cycle')")
+    return all_of.select(*by, "node", "bytes", F.when(one, F.col("lo")).otherwise("unattributed_or_shared").alias("owner"))
+
+
+def attribution_balance(attributed: DataFrame, phases: DataFrame, by: list[str]) -> DataFrame:
+    """Records and bytes of each phase, owners' phases from (owner, phase), the rest unattributed_or_shared; ``batch_bytes`` is their sum."""
+    rows = attributed.join(phases.select("owner", "phase"), "owner", "left").withColumn("phase", F.coalesce("phase", F.lit("unattributed_or_shared")))
+    sums = rows.groupBy(*by, "phase").agg(F.count("*").alias("records"), F.sum("bytes").alias("bytes"))
+    return sums.withColumn("batch_bytes", F.sum("bytes").over(Window.partitionBy(*by)))
 
 
 def distinguishing_features(paths: DataFrame, features: list[str], outcome: str) -> list[str]:
@@ -208,3 +257,28 @@ def candidate_value_edges(received: DataFrame, sent: DataFrame, scope: list[str]
     pack = lambda df, node, value, at: df.select(*scope, F.sha2("value", 256).alias("digest"), F.col("node").alias(node), F.col("value").alias(value), F.col("at").alias(at))
     pairs = pack(received, "source", "got", "got_at").join(pack(sent, "target", "put", "put_at"), [*scope, "digest"])
     return pairs.where("got = put and got_at < put_at").select(*scope, "source", "target", F.lit("candidate").alias("kind"))
+
+
+def value_edges_in_context(nodes: DataFrame, transactions: DataFrame) -> DataFrame:
+    """Candidate edges (source, target, contexts) from a value received to the same value sent on by the same service, with every inbound request that allows it.
+
+    ``nodes`` has node, tx, direction (request, response), side (send, receive), service, value, start_us, end_us;
+    ``transactions`` has tx, client, server, request_start_us, response_end_us. An edge needs a value that had arrived
+    before it was sent. A response is sent in its own transaction; a request in any inbound one of the service that is open
+    when it is sent. A value from a request must have come in that very transaction; one from a response must come from a
+    call of the service that began inside it and ended before it did. Clients outside all services send no edges.
+    """
+    sha = F.sha2("value", 256)
+    got = nodes.where("side = 'receive'").select("service", sha.alias("digest"), F.col("node").alias("source"), F.col("value").alias("got"), F.col("end_us").alias("got_at"), F.col("tx").alias("source_tx"), F.col("direction").alias("source_direction"))
+    put = nodes.where("side = 'send'").select("service", sha.alias("digest"), F.col("node").alias("target"), F.col("value").alias("put"), F.col("start_us").alias("put_at"), F.col("tx").alias("target_tx"), F.col("direction").alias("target_direction"))
+    pairs = got.join(put, ["service", "digest"]).where("got = put and got_at <= put_at")
+    calls = transactions.select(F.col("tx").alias("source_tx"), F.col("client").alias("caller"), F.col("request_start_us").alias("call_start"))
+    pairs = pairs.join(calls, "source_tx")
+    inbound = transactions.select(F.col("tx").alias("context"), F.col("server").alias("service"), F.col("request_start_us").alias("from_us"), F.col("response_end_us").alias("to_us"))
+    # where the context is known it is joined by its name; only a response's value sent on in a request looks at open requests
+    own = F.when(F.col("source_direction") == "request", F.col("source_tx")).when(F.col("target_direction") == "response", F.col("target_tx"))
+    named = pairs.withColumn("context", own)
+    one = named.where("context is not null").join(inbound, ["service", "context"])
+    many = named.where("context is null").drop("context").join(inbound, "service").where("from_us <= call_start and call_start <= to_us")
+    fits = F.expr("(target_direction = 'request' and from_us <= put_at and put_at <= to_us or target_direction = 'response' and context = target_tx) and (source_direction = 'request' and context = source_tx or source_direction = 'response' and caller = service and from_us <= call_start and got_at <= to_us)")
+    return one.unionByName(many, allowMissingColumns=True).where(fits).groupBy("source", "target").agg(F.array_sort(F.collect_set("context")).alias("contexts"))

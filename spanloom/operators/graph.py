@@ -9,29 +9,35 @@ from ..scratch import materialize
 from .components import connected_components
 
 
-def _closure(edges: DataFrame, seeds: DataFrame, by: list[str], at: str, to: str, max_rounds: int) -> DataFrame:
-    """Nodes reached from the seeds (by, root, node) along at -> to, in rounds; each round joins the frontier and drops what was seen."""
+def _closure(edges: DataFrame, seeds: DataFrame, by: list[str], at: str, to: str) -> DataFrame:
+    """Nodes reached from the seeds (by, root, node) along at -> to, in rounds; each round joins the frontier and drops what was seen, so cycles end."""
     step = materialize(edges.select(*by, F.col(at).alias("node"), F.col(to).alias("next")).distinct(), "steps")
     seen = materialize(seeds.select(*by, "root", "node").distinct(), "seen")
-    frontier = seen
-    for _ in range(max_rounds):
+    frontier, rounds = seen, 0
+    while True:
         new = frontier.join(step, [*by, "node"]).select(*by, "root", F.col("next").alias("node")).distinct().join(seen, [*by, "root", "node"], "left_anti")
         frontier = materialize(new, "frontier")
         if frontier.isEmpty():
             return seen
-        seen = seen.unionByName(frontier)
-    raise RuntimeError(f"not converged after {max_rounds} rounds")
+        seen, rounds = seen.unionByName(frontier), rounds + 1
+        if rounds % 16 == 0:  # one table again, so that plans don't grow with the depth
+            seen = materialize(seen, "seen")
 
 
-def backward_slice(edges: DataFrame, sinks: DataFrame, by: list[str], kinds: list[str] | None = None, max_rounds: int = 200) -> DataFrame:
+def backward_slice(edges: DataFrame, sinks: DataFrame, by: list[str], kinds: list[str] | None = None) -> DataFrame:
     """Nodes from which a sink (by, node) is reached over edges (source, target, kind) of the allowed kinds: by, root (the sink), node."""
     used = edges if kinds is None else edges.where(F.col("kind").isin(kinds))
-    return _closure(used, sinks.withColumn("root", F.col("node")), by, "target", "source", max_rounds)
+    return _closure(used, sinks.withColumn("root", F.col("node")), by, "target", "source")
 
 
-def reach(edges: DataFrame, roots: DataFrame, by: list[str], max_rounds: int = 200) -> DataFrame:
+def reach(edges: DataFrame, roots: DataFrame, by: list[str]) -> DataFrame:
     """Nodes reached from each root (by, node) over edges (parent, child): by, root, node."""
-    return _closure(edges, roots.withColumn("root", F.col("node")), by, "parent", "child", max_rounds)
+    return _closure(edges, roots.withColumn("root", F.col("node")), by, "parent", "child")
+
+
+def used_edges(edges: DataFrame, reached: DataFrame, by: list[str]) -> DataFrame:
+    """The edges (parent, child) that a closure (by, root, node) ran along, by root."""
+    return edges.join(reached.withColumnRenamed("node", "parent"), [*by, "parent"]).select(*by, "root", "parent", "child").distinct()
 
 
 def slice_report(nodes: DataFrame, sliced: DataFrame, by: list[str]) -> DataFrame:
@@ -41,30 +47,75 @@ def slice_report(nodes: DataFrame, sliced: DataFrame, by: list[str]) -> DataFram
     return nodes.where("kind = 'source'").join(roots, by).join(hit, [*by, "root", "node"], "left").select(*by, "root", "node", F.coalesce("contributes", F.lit(False)).alias("contributes"))
 
 
-def ancestors(edges: DataFrame, by: list[str], max_rounds: int = 32) -> DataFrame:
-    """(by, node, ancestor, distance) over edges (node, parent), by doubling: each round joins paths to paths. A cycle raises."""
-    paths = materialize(edges.where("parent is not null").select(*by, "node", F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("distance")), "paths")
+def induced_edges(edges: DataFrame, sliced: DataFrame, by: list[str]) -> DataFrame:
+    """The edges (source, target) both of whose ends are in a slice (by, root, node), by root."""
+    ends = sliced.select(*by, "root", F.col("node").alias("source"))
+    inside = edges.join(ends, [*by, "source"])
+    return inside.join(sliced.select(*by, "root", F.col("node").alias("target")), [*by, "root", "target"]).select(*by, "root", "source", "target").distinct()
+
+
+def climb(edges: DataFrame, by: list[str], stops: DataFrame | None = None, marks: DataFrame | None = None) -> DataFrame:
+    """For each node with a parent, where its chain of parents ends: by, node, top, distance, lo, hi, status.
+
+    ``edges`` has by, node, parent. A chain ends at the first of ``stops`` (by, node) above the node, or at the last
+    parent. ``status`` is stop, root, missing_parent (the last parent is no node itself) or cycle (top and the rest null).
+    ``lo`` and ``hi`` are the least and greatest of ``marks`` (by, node, mark) above the node, the top's included.
+
+    Pointers double: a round is one join of as many rows as there are nodes, and there are as many rounds as the longest
+    chain's length has bits. What is still open after as many as the largest group's size has is on or below a cycle.
+    """
+    known = edges.select(*by, F.col("node").alias("at"), F.col("parent").alias("above")).distinct()
+    rows = edges.where("parent is not null").select(*by, "node", F.col("parent").alias("at"), F.lit(1).cast("long").alias("distance"))
+    own = known.groupBy(*by, "at").agg(F.max(F.col("above").isNotNull()).alias("goes_on"))
+    rows = rows.join(own, [*by, "at"], "left")
+    if stops is not None:
+        rows = rows.join(stops.select(*by, F.col("node").alias("at"), F.lit(True).alias("stop")).distinct(), [*by, "at"], "left")
+    else:
+        rows = rows.withColumn("stop", F.lit(None).cast("boolean"))
+    if marks is not None:
+        rows = rows.join(marks.groupBy(*by, F.col("node").alias("at")).agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")), [*by, "at"], "left")
+    else:
+        rows = rows.withColumns({"lo": F.lit(None).cast("string"), "hi": F.lit(None).cast("string")})
+    status = F.when(F.col("stop"), "stop").when(F.col("goes_on").isNull(), "missing_parent").when(~F.col("goes_on"), "root")
+    state = materialize(rows.select(*by, "node", "at", "distance", "lo", "hi", status.alias("status")), "climb")
+    largest = edges.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    for _ in range(int(largest).bit_length() + 1):
+        if state.where("status is null").isEmpty():
+            break
+        far = state.select(*by, F.col("node").alias("at"), F.col("at").alias("at2"), F.col("distance").alias("distance2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("status").alias("status2"))
+        jumped = state.where("status is null").join(far, [*by, "at"]).select(*by, "node", F.col("at2").alias("at"), (F.col("distance") + F.col("distance2")).alias("distance"), F.least("lo", "lo2").alias("lo"), F.greatest("hi", "hi2").alias("hi"), F.col("status2").alias("status"))
+        state = materialize(state.where("status is not null").unionByName(jumped), "climb")
+    ended = F.col("status").isNotNull()
+    return state.select(*by, "node", *[F.when(ended, F.col(c)).alias(n) for c, n in (("at", "top"), ("distance", "distance"), ("lo", "lo"), ("hi", "hi"))], F.coalesce("status", F.lit("cycle")).alias("status"))
+
+
+def root_of(edges: DataFrame, by: list[str], stops: DataFrame | None = None) -> DataFrame:
+    """Each node's root, or its nearest ancestor among ``stops``: by, node, root, distance, status; nodes without parent are their own root."""
+    heads = edges.where("parent is null").select(*by, "node", F.col("node").alias("root"), F.lit(0).cast("long").alias("distance"), F.lit("root").alias("status"))
+    return climb(edges, by, stops).select(*by, "node", F.col("top").alias("root"), "distance", "status").unionByName(heads)
+
+
+def ancestors(edges: DataFrame, by: list[str]) -> DataFrame:
+    """(by, node, ancestor, distance) over edges (node, parent), by doubling: each round joins paths to paths.
+
+    Nodes on or below a cycle have one row with null ancestor and distance; other groups and chains keep their answers.
+    """
+    cyclic = materialize(climb(edges, by).where("status = 'cycle'").select(*by, "node"), "cyclic")
+    sound = edges.where("parent is not null").join(cyclic, [*by, "node"], "left_anti")
+    paths = materialize(sound.select(*by, "node", F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("distance")), "paths")
     longest = 1
-    for _ in range(max_rounds):
+    while True:
         far = paths.where(F.col("distance") == longest).select(*by, F.col("node").alias("mid0"), F.col("ancestor").alias("mid"))
         tail = paths.select(*by, F.col("node").alias("mid"), "ancestor", "distance")
         new = materialize(far.join(tail, [*by, "mid"]).select(*by, F.col("mid0").alias("node"), "ancestor", (F.col("distance") + longest).alias("distance")), "paths")
         if new.isEmpty():
-            return paths
-        if not new.where("node = ancestor").isEmpty():
-            raise ValueError("the edges have a cycle")
+            kind = paths.schema["ancestor"].dataType
+            return paths.unionByName(cyclic.select(*by, "node", F.lit(None).cast(kind).alias("ancestor"), F.lit(None).cast("long").alias("distance")))
         paths = paths.unionByName(new)
         longest *= 2
-    raise RuntimeError(f"not converged after {max_rounds} rounds")
-
-
-def nearest_ancestor(paths: DataFrame, kept: DataFrame, by: list[str]) -> DataFrame:
-    """Each node's closest ancestor among ``kept`` (by, node)."""
-    hit = paths.join(kept.select(*by, F.col("node").alias("ancestor")), [*by, "ancestor"])
-    return hit.groupBy(*by, "node").agg(F.min_by("ancestor", "distance").alias("ancestor"))
 
 
-def origins(edges: DataFrame, nodes: DataFrame, targets: DataFrame, by: list[str], max_rounds: int = 200) -> DataFrame:
+def origins(edges: DataFrame, nodes: DataFrame, targets: DataFrame, by: list[str]) -> DataFrame:
     """(by, root, sources, known): the boundary and leaf nodes from which a target comes.
 
     ``nodes`` has by, node, kind (boundary, unknown, other). Boundary and unknown nodes end the walk; one unknown node
@@ -72,26 +123,28 @@ def origins(edges: DataFrame, nodes: DataFrame, targets: DataFrame, by: list[str
     """
     stops = nodes.where("kind in ('boundary', 'unknown')").select(*by, F.col("node").alias("target"))
     open_edges = edges.join(stops, [*by, "target"], "left_anti")
-    walked = _closure(open_edges, targets.withColumn("root", F.col("node")), by, "target", "source", max_rounds)
+    walked = _closure(open_edges, targets.withColumn("root", F.col("node")), by, "target", "source")
     inner = open_edges.select(*by, F.col("target").alias("node")).distinct().withColumn("inner", F.lit(True))
     ends = walked.join(inner, [*by, "node"], "left").join(nodes, [*by, "node"], "left")
     source = F.when((F.col("kind") == "boundary") | (F.col("inner").isNull() & ~F.col("kind").eqNullSafe("unknown") & F.col("kind").isNotNull()), F.col("node"))
     return ends.groupBy(*by, "root").agg(F.array_sort(F.collect_set(source)).alias("sources"), (F.count_if(F.col("kind").eqNullSafe("unknown") | F.col("kind").isNull()) == 0).alias("known"))
 
 
-def byte_ranges(mappings: DataFrame, sinks: DataFrame, by: list[str], max_rounds: int = 100) -> DataFrame:
+def byte_ranges(mappings: DataFrame, sinks: DataFrame, by: list[str]) -> DataFrame:
     """Source byte ranges behind each sink (by, node, length): by, root, source, start, end, and ``complete``.
 
     Mappings (child, parent, out_start, out_end, parent_start) carry half-open ranges of a child to its parent; ranges are
     clipped and shifted level by level, and touching ranges of one source are merged. ``complete`` is false for all rows of
     a sink where, at any step, the mapped bytes of a range don't add up to its length; if no range is left, the sink has
-    one row with null source, start and end.
+    one row with null source, start and end. There are as many rounds as the longest chain; ranges that run in a cycle, which
+    outlast as many rounds as their group has children, make their sinks incomplete.
     """
     maps = mappings.select(*by, F.col("child").alias("node"), "parent", "out_start", "out_end", "parent_start")
     inner = maps.select(*by, "node").distinct().withColumn("inner", F.lit(True))
     now = materialize(sinks.select(*by, F.col("node").alias("root"), "node", F.lit(0).cast("long").alias("start"), F.col("length").cast("long").alias("end")), "ranges")
+    most = maps.select(*by, "node").distinct().groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     done, holes = [], []
-    for _ in range(max_rounds):
+    for _ in range(most + 1):
         marked = now.join(inner, [*by, "node"], "left")
         done.append(marked.where("inner is null").drop("inner"))
         stepped = marked.where("inner").join(maps, [*by, "node"])
@@ -102,7 +155,8 @@ def byte_ranges(mappings: DataFrame, sinks: DataFrame, by: list[str], max_rounds
         if now.isEmpty():
             break
     else:
-        raise RuntimeError(f"not converged after {max_rounds} rounds")
+        holes.append(now.select(*by, "root"))
+        done.append(done[0].limit(0))
     rows, broken = done[0], holes[0]
     for more, hole in zip(done[1:], holes[1:], strict=True):
         rows, broken = rows.unionByName(more), broken.unionByName(hole)
@@ -125,7 +179,34 @@ def cohort_attribution(links: DataFrame, records: DataFrame, requests: DataFrame
 
 
 def observation_closure(observations: DataFrame, rules: DataFrame, targets: DataFrame) -> DataFrame:
-    """Sites (site, fact) with ``keep``: whether their fact is needed for a target over rules (fact, dependency); all producers of a needed fact stay."""
+    """Sites (site, fact) with ``action`` keep or drop, ``reason`` and ``relevant`` (their needed facts).
+
+    A fact is needed if a target depends on it over rules (fact, dependency); all producers of a needed fact stay.
+    """
+    needed = needed_facts(rules, targets).withColumn("needed", F.lit(True))
+    sites = observations.join(needed, "fact", "left").groupBy("site").agg(F.array_sort(F.collect_set(F.when(F.col("needed"), F.col("fact")))).alias("relevant"))
+    keep = F.size("relevant") > 0
+    return sites.select("site", F.when(keep, "keep").otherwise("drop").alias("action"), F.when(keep, "producer of a needed fact").otherwise("no fact of it is needed").alias("reason"), "relevant")
+
+
+def needed_facts(rules: DataFrame, targets: DataFrame) -> DataFrame:
+    """Facts that the targets (fact) depend on, themselves included."""
     edges = rules.select(F.lit(0).alias("g"), F.col("dependency").alias("source"), F.col("fact").alias("target"))
-    needed = backward_slice(edges, targets.select(F.lit(0).alias("g"), F.col("fact").alias("node")), ["g"]).select(F.col("node").alias("fact")).distinct().withColumn("needed", F.lit(True))
-    return observations.join(needed, "fact", "left").groupBy("site").agg(F.coalesce(F.bool_or("needed"), F.lit(False)).alias("keep"))
+    return backward_slice(edges, targets.select(F.lit(0).alias("g"), F.col("fact").alias("node")), ["g"]).select(F.col("node").alias("fact")).distinct()
+
+
+def closure_violations(observations: DataFrame, rules: DataFrame, targets: DataFrame) -> DataFrame:
+    """(fact, rule) of a model that gives no answer: observed_and_derived, missing (needed, but neither), cycle (needed, and depends on itself)."""
+    needed = materialize(needed_facts(rules, targets), "needed")
+    seen, derived = observations.select("fact").distinct(), rules.select("fact").distinct()
+    both = seen.join(derived, "fact", "left_semi").select("fact", F.lit("observed_and_derived").alias("rule"))
+    missing = needed.join(seen, "fact", "left_anti").join(derived, "fact", "left_anti").select("fact", F.lit("missing").alias("rule"))
+    # facts that depend on no open fact close, round by round; what never closes depends on a cycle
+    links = materialize(rules.join(needed, "fact", "left_semi").select("fact", "dependency").distinct(), "rules")
+    while True:
+        open_facts = links.select("fact").distinct()
+        left = materialize(links.join(open_facts.withColumnRenamed("fact", "dependency"), "dependency", "left_semi").select("fact", "dependency"), "rules")
+        if left.count() == links.count():
+            break
+        links = left
+    return both.unionByName(missing).unionByName(links.select("fact").distinct().select("fact", F.lit("cycle").alias("rule")))

@@ -36,7 +36,8 @@ def join_segments(pdf: pd.DataFrame) -> tuple[bytes | None, str | None]:
     if len(first) != 1:
         return None, "missing_syn" if not first else "many_syn"
     start = first.pop() + 1
-    parts = sorted(((int(s) - start) % TURN, d) for s, d in zip(pdf.seq[~pdf.syn], pdf.data[~pdf.syn], strict=True) if d)
+    # an opening packet takes one number itself, so data that it carries begins where the stream does
+    parts = sorted(((int(s) + bool(syn) - start) % TURN, d) for s, syn, d in zip(pdf.seq, pdf.syn, pdf.data, strict=True) if d)
     out = bytearray()
     for at, data in parts:
         if at > len(out):
@@ -62,35 +63,121 @@ def reassemble(packets: DataFrame, connection: list[str]) -> DataFrame:
     return packets.select(*connection, "seq", "syn", "fin", "data").groupBy(*connection).applyInPandas(one, ", ".join(f"{c} {kinds[c]}" for c in connection) + ", stream binary, issue string")
 
 
-def read_message(raw: bytes, at: int) -> tuple[str, bytes, int]:
-    """First line, body and end of the message at a place; a broken one raises ValueError."""
-    stop = raw.index(b"\r\n\r\n", at)
-    first, *lines = raw[at:stop].decode("latin-1").split("\r\n")
-    head = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
-    at = stop + 4
-    if "chunked" in head.get("transfer-encoding", "").lower():
+METHODS = ("GET", "POST", "PUT", "DELETE", "PATCH", "OPTIONS")
+
+
+class Framing(ValueError):
+    """Why a message's bounds are not known; never a guess."""
+
+
+def length_of(text: str, base: int = 10) -> int:
+    """A size of digits alone, up to the bound of streams."""
+    size = int(text, base) if text and all(c in "0123456789abcdefABCDEF"[: 10 if base == 10 else 22] for c in text) else -1
+    if not 0 <= size <= MAX_STREAM:
+        raise Framing("bad size")
+    return size
+
+
+def take(raw: bytes, at: int, size: int) -> tuple[bytes, int]:
+    if at + size > len(raw):
+        raise Framing("truncated")
+    return raw[at : at + size], at + size
+
+
+def until(raw: bytes, at: int, mark: bytes) -> tuple[bytes, int]:
+    """What stands before the next mark, and the place behind it."""
+    stop = raw.find(mark, at)
+    if stop < 0:
+        raise Framing("truncated")
+    return raw[at:stop], stop + len(mark)
+
+
+def chunks_of(raw: bytes, at: int) -> tuple[bytes, int]:
+    """The body of a chunked message; each chunk must end in a line end, the last may have trailers."""
+    parts, total = [], 0
+    while True:
+        line, at = until(raw, at, b"\r\n")
+        size = length_of(line.split(b";")[0].strip().decode("latin-1"), 16)
+        if not size:
+            while line:
+                line, at = until(raw, at, b"\r\n")
+            return b"".join(parts), at
+        part, at = take(raw, at, size)
+        end, at = take(raw, at, 2)
+        total += size
+        if end != b"\r\n" or total > MAX_STREAM:
+            raise Framing("bad chunk")
+        parts.append(part)
+
+
+def headers_of(lines: list[str]) -> dict[str, str]:
+    out: dict[str, str] = {}
+    for line in lines:
+        name, colon, value = line.partition(":")
+        name = name.lower()
+        if not colon or (name in out and name in ("content-length", "transfer-encoding")):
+            raise Framing("bad header")
+        out[name] = value.strip()
+    if "content-length" in out and "transfer-encoding" in out:
+        raise Framing("two lengths")
+    return out
+
+
+def status_of(first: str) -> int:
+    version, _, rest = first.partition(" ")
+    code = rest[:3]
+    if not version.startswith("HTTP/1.") or not code.isdigit() or len(code) != 3:
+        raise Framing("bad status line")
+    return int(code)
+
+
+def check_request(first: str) -> None:
+    words = first.split(" ")
+    if len(words) != 3 or words[0] not in METHODS or not words[2].startswith("HTTP/1."):
+        raise Framing("bad request line")
+
+
+def unpacked(body: bytes, coding: str) -> bytes:
+    """The body without its content coding, up to the bound."""
+    if not body or coding == "identity":
+        return body
+    if coding != "gzip":
+        raise Framing("unknown coding")
+    inflate = zlib.decompressobj(31)
+    out = inflate.decompress(body, MAX_STREAM + 1)
+    if len(out) > MAX_STREAM or not inflate.eof:
+        raise Framing("bad gzip body")
+    return out
+
+
+def read_message(raw: bytes, at: int, response: bool) -> tuple[str, bytes, int]:
+    """First line, body and end of the message at a place; where its bounds are not plain, Framing is raised."""
+    head, at = until(raw, at, b"\r\n\r\n")
+    first, *lines = head.decode("latin-1").split("\r\n")
+    named = headers_of(lines)
+    status = status_of(first) if response else check_request(first)
+    coding = named.get("transfer-encoding")
+    if response and (status < 200 or status in (204, 304)):
         body = b""
-        while True:
-            line = raw.index(b"\r\n", at)
-            size = int(raw[at:line].split(b";")[0], 16)
-            body += raw[line + 2 : line + 2 + size]
-            at = line + 4 + size
-            if not size:
-                break
+    elif coding is not None:
+        if coding.lower() != "chunked":
+            raise Framing("unknown coding")
+        body, at = chunks_of(raw, at)
+    elif "content-length" in named:
+        body, at = take(raw, at, length_of(named["content-length"]))
+    elif response:
+        raise Framing("ends with the connection")
     else:
-        size = int(head.get("content-length", "0"))
-        body, at = raw[at : at + size], at + size
-    if at > len(raw):
-        raise ValueError("truncated")
-    return first, zlib.decompress(body, 31) if head.get("content-encoding", "").lower() == "gzip" else body, at
+        body = b""
+    return first, unpacked(body, named.get("content-encoding", "identity").lower()), at
 
 
-def messages(raw: bytes) -> list[tuple[str, bytes]]:
+def messages(raw: bytes, response: bool) -> list[tuple[str, bytes]]:
     """First lines and bodies of a stream, interim answers left out."""
     out, at = [], 0
     while at < len(raw):
-        first, body, at = read_message(raw, at)
-        if not first.startswith("HTTP/1.1 1"):
+        first, body, at = read_message(raw, at, response)
+        if not (response and status_of(first) < 200):
             out.append((first, body))
     return out
 
@@ -109,7 +196,7 @@ def http_transactions(streams: DataFrame, connection: list[str]) -> DataFrame:
             for r in pdf.to_dict("records"):
                 key = [r[c] for c in connection]
                 try:
-                    asked, told = messages(r["request_stream"] or b""), messages(r["response_stream"] or b"")
+                    asked, told = messages(r["request_stream"] or b"", False), messages(r["response_stream"] or b"", True)
                 except (ValueError, zlib.error):
                     rows.append([*key, None, None, None, None, None, "broken_message"])
                     continue

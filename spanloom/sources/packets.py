@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,30 +13,48 @@ SCHEMA = "file string, number long, time_us long, src string, dst string, seq lo
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
-def endpoint(address: bytes, port: int) -> str:
-    return ".".join(map(str, address)) + f":{port}"
+#: Fixed parts of the three headers, field by field in network order.
+ETHERNET = np.dtype([("to", "V6"), ("from", "V6"), ("kind", ">u2")])
+IPV4 = np.dtype([("version_words", "u1"), ("service", "u1"), ("total", ">u2"), ("ident", ">u2"), ("fragment", ">u2"), ("hops", "u1"), ("protocol", "u1"), ("sum", ">u2"), ("src", "u1", 4), ("dst", "u1", 4)])
+TCP = np.dtype([("src", ">u2"), ("dst", ">u2"), ("seq", ">u4"), ("ack", ">u4"), ("words", "u1"), ("flags", "u1"), ("window", ">u2"), ("sum", ">u2"), ("urgent", ">u2")])
+IPV4_KIND, TCP_PROTOCOL, FIN, SYN = 0x0800, 6, 1, 2
+#: The bits of ``fragment`` that say that more parts follow, or where this one belongs.
+FRAGMENT_BITS = 0x3FFF
+
+
+def header(kind: np.dtype, raw: bytes, name: str) -> np.void:
+    if len(raw) < kind.itemsize:
+        raise ValueError(f"short {name}")
+    return np.frombuffer(raw, kind, 1)[0]
+
+
+def payload(raw: bytes, words: int, least: int, end: int, name: str) -> bytes:
+    """What stands behind a header of so many four-byte words, up to ``end``."""
+    if not least <= 4 * words <= end <= len(raw):
+        raise ValueError(f"bad {name} length")
+    return raw[4 * words : end]
+
+
+def endpoint(address: np.ndarray, port: int) -> str:
+    return ".".join(map(str, address.tolist())) + f":{port}"
 
 
 def tcp_fields(frame: bytes) -> list | None:
-    """src, dst, seq, ack, syn, fin, data of an IPv4 TCP frame; None for other traffic, ValueError for a broken one."""
-    if len(frame) < 14:
-        raise ValueError("short frame")
-    if frame[12:14] != b"\x08\x00":
+    """src, dst, seq, ack, syn, fin, data of an IPv4 TCP frame; None for other traffic, ValueError for a broken one or a fragment."""
+    link = header(ETHERNET, frame, "frame")
+    if link["kind"] != IPV4_KIND:
         return None
-    packet = frame[14:]
-    if len(packet) < 20:
-        raise ValueError("short packet")
-    head, total = (packet[0] & 15) * 4, int.from_bytes(packet[2:4], "big")
-    if packet[9] != 6:
+    packet = frame[ETHERNET.itemsize :]
+    net = header(IPV4, packet, "packet")
+    version, words = divmod(int(net["version_words"]), 16)
+    if version != 4 or net["protocol"] != TCP_PROTOCOL:
         return None
-    if head < 20 or total > len(packet) or total < head + 20:
-        raise ValueError("bad length")
-    tcp = packet[head:total]
-    from_port, to_port, seq, ack, offset, flags = struct.unpack(">HHIIBB", tcp[:14])
-    start = (offset >> 4) * 4
-    if start < 20 or start > len(tcp):
-        raise ValueError("bad offset")
-    return [endpoint(packet[12:16], from_port), endpoint(packet[16:20], to_port), seq, ack, bool(flags & 2), bool(flags & 1), tcp[start:]]
+    if net["fragment"] & FRAGMENT_BITS:
+        raise ValueError("fragment")
+    segment = payload(packet, words, IPV4.itemsize, int(net["total"]), "packet")
+    tcp = header(TCP, segment, "segment")
+    data = payload(segment, int(tcp["words"]) >> 4, TCP.itemsize, len(segment), "segment")
+    return [endpoint(net["src"], tcp["src"]), endpoint(net["dst"], tcp["dst"]), int(tcp["seq"]), int(tcp["ack"]), bool(tcp["flags"] & SYN), bool(tcp["flags"] & FIN), data]
 
 
 def packets_of(name: str, raw: bytes) -> Iterator[list]:

@@ -2,17 +2,22 @@
 
 import gzip
 import struct
+import zlib
 
 import pandas as pd
+import pytest
 
 from spanloom.operators import network
 from spanloom.sources.packets import read_pcap
 
 
-def frame(src, dst, seq, data=b"", flags=16):
-    tcp = struct.pack(">HHIIBBHHH", src, dst, seq, 0, 5 << 4, flags, 0, 0, 0) + data
-    ip = struct.pack(">BBHHHBBH4s4s", 0x45, 0, 20 + len(tcp), 0, 0, 64, 6, 0, b"\x0a\0\0\x01", b"\x0a\0\0\x02") + tcp
-    return b"\0" * 12 + b"\x08\0" + ip
+def frame(src, dst, seq, data=b"", flags=16, fragment=0, version=4):
+    """A frame from 192.0.2.7 to 198.51.100.9, field by field."""
+    fields = [(2, src), (2, dst), (4, seq), (4, 77), (1, 0x50), (1, flags), (2, 512), (2, 0), (2, 0)]
+    segment = b"".join(value.to_bytes(size, "big") for size, value in fields) + data
+    fields = [(1, version * 16 + 5), (1, 0), (2, 20 + len(segment)), (2, 9), (2, fragment), (1, 60), (1, 6), (2, 0)]
+    packet = b"".join(value.to_bytes(size, "big") for size, value in fields) + bytes([192, 0, 2, 7, 198, 51, 100, 9]) + segment
+    return bytes(range(12)) + (0x0800).to_bytes(2, "big") + packet
 
 
 def capture(frames):
@@ -20,12 +25,12 @@ def capture(frames):
 
 
 def test_pcap(spark, tmp_path):
-    (tmp_path / "a.pcap").write_bytes(capture([frame(1000, 80, 7, flags=2), frame(1000, 80, 8, b"GET"), b"\0" * 12 + b"\x08\x06" + b"arp", b"x"]))
+    (tmp_path / "a.pcap").write_bytes(capture([frame(1000, 80, 7, flags=2), frame(1000, 80, 8, b"GET"), b"\0" * 12 + b"\x08\x06" + b"arp", b"x", frame(1, 2, 3, fragment=0x2000), frame(1, 2, 3, fragment=5), frame(1, 2, 3, fragment=0x4000), frame(1, 2, 3, version=6)]))
     (tmp_path / "b.pcap").write_bytes(b"other")
     (tmp_path / "c.pcap").write_bytes(capture([frame(1, 2, 3)])[:-3])
     rows = sorted(read_pcap(spark, str(tmp_path)).collect(), key=lambda r: (r.file, r.number or 0))
-    assert [(r.number, r.issue) for r in rows] == [(0, None), (1, None), (3, "short_frame"), (None, "not_a_capture"), (0, "truncated")]
-    assert (rows[1].src, rows[1].dst, rows[1].seq, bytes(rows[1].data), rows[1].time_us) == ("10.0.0.1:1000", "10.0.0.2:80", 8, b"GET", 1_000_005)
+    assert [(r.number, r.issue) for r in rows] == [(0, None), (1, None), (3, "short_frame"), (4, "fragment"), (5, "fragment"), (6, None), (None, "not_a_capture"), (0, "truncated")]
+    assert (rows[1].src, rows[1].dst, rows[1].seq, bytes(rows[1].data), rows[1].time_us) == ("192.0.2.7:1000", "198.51.100.9:80", 8, b"GET", 1_000_005)
     assert rows[0].syn and not rows[1].syn
 
 
@@ -42,6 +47,8 @@ def test_segments():
     assert stream((0, b"abcd"), (2, b"cd"), fin={2}) == (b"abcd", None)
     assert stream((0, b"abcd"), (1, b"b"), fin={1})[1] == "fin_mismatch"
     assert stream() == (b"", None)
+    opening = pd.DataFrame([(9, True, False, b"ab"), (12, False, True, b"cd")], columns=["seq", "syn", "fin", "data"])
+    assert network.join_segments(opening) == (b"abcd", None)  # data on the opening packet is the stream's begin
 
 
 def test_http(spark):
@@ -52,3 +59,28 @@ def test_http(spark):
     rows = sorted(network.http_transactions(df, ["c"]).collect(), key=lambda r: (r.c, r.position or 0))
     assert [(r.c, r.position, r.issue) for r in rows] == [(1, 0, None), (1, 1, None), (2, None, "broken_message"), (3, None, "unequal_counts")]
     assert [bytes(r.response_body) for r in rows[:2]] == [b"abcde", b"packed"] and bytes(rows[0].request_body) == b"hi"
+
+
+OK = b"HTTP/1.1 200 OK\r\n"
+BROKEN = [
+    OK + b"Content-Length: -39\r\n\r\n", OK + b"Content-Length: +1\r\n\r\nx", OK + b"Content-Length: 9000000000\r\n\r\n", OK + b"Content-Length: 5\r\n\r\nabc",
+    OK + b"Content-Length: 1\r\nContent-Length: 1\r\n\r\nx", OK + b"Content-Length: 1\r\nTransfer-Encoding: chunked\r\n\r\n1\r\nx\r\n0\r\n\r\n",
+    OK + b"\r\nabc", OK + b"no colon\r\n\r\n", OK + b"Transfer-Encoding: gzip\r\n\r\n", OK + b"Transfer-Encoding: chunked\r\n\r\n-1\r\nx\r\n0\r\n\r\n",
+    OK + b"Transfer-Encoding: chunked\r\n\r\n3\r\nabcXX0\r\n\r\n", OK + b"Transfer-Encoding: chunked\r\n\r\n3\r\nabc\r\n0\r\n", OK + b"Content-Encoding: br\r\nContent-Length: 1\r\n\r\nx",
+    OK + b"Content-Encoding: gzip\r\nContent-Length: 1\r\n\r\nx", b"HTTP/2 200 OK\r\nContent-Length: 0\r\n\r\n", b"HTTP/1.1 abc\r\nContent-Length: 0\r\n\r\n",
+]
+
+
+def test_framing():
+    """Bounds that are not plain are refused, never guessed, and no message keeps the reader in place."""
+    for raw in BROKEN:
+        with pytest.raises((ValueError, zlib.error)):
+            network.messages(raw, True)
+    for raw in (b"HEAD /a HTTP/1.1\r\n\r\n", b"GET /a\r\n\r\n", b"GET /a HTTP/2\r\n\r\n", b"GET /a HTTP/1.1\r\nContent-Length: 3\r\n\r\nab"):
+        with pytest.raises(ValueError):
+            network.messages(raw, False)
+    good = b"HTTP/1.1 204 None\r\nContent-Length: 7\r\n\r\nHTTP/1.1 304 Same\r\n\r\nHTTP/1.0 100 Go\r\n\r\n" + OK + b"Transfer-Encoding: Chunked\r\n\r\n2;a=b\r\nhi\r\n0\r\nX: y\r\nZ: z\r\n\r\n"
+    assert [b for _, b in network.messages(good, True)] == [b"", b"", b"hi"]
+    packed = gzip.compress(b"x" * (network.MAX_STREAM + 1))
+    with pytest.raises(ValueError):
+        network.messages(OK + b"Content-Encoding: gzip\r\nContent-Length: %d\r\n\r\n%b" % (len(packed), packed), True)
