@@ -18,20 +18,34 @@ def nearest_rank(df: DataFrame, group: list[str], col: str, percents: list[int])
     return ranked.groupBy(*group).agg(*[F.min(F.when(F.col("__upto") >= rank(p), F.col(col))).alias(f"p{p}") for p in percents])
 
 
-def request_metrics(requests: DataFrame, by: list[str], window_s: float) -> DataFrame:
-    """Requests, error rate, largest dispatch lag, and mean latencies and throughput of passed requests; times in ns."""
+def request_metrics(requests: DataFrame, by: list[str], window_s: float, percents: list[int] = (50, 95, 99)) -> DataFrame:
+    """Requests, error rate, largest dispatch lag, throughputs, and ranks and means of the passed requests' latencies; times in ns.
+
+    ``throughput`` counts passed requests that ended inside the planned window, which begins with the group's first scheduled
+    time; ``drained_throughput`` counts all passed ones until the last end. Offered latency begins at the scheduled time.
+    """
     ok = F.col("passed")
-    sums = requests.groupBy(*by).agg(
-        F.count("*").alias("requests"), F.count_if(ok).alias("passed"), F.max(F.col("start_ns") - F.col("scheduled_ns")).alias("max_lag_ns"),
-        F.sum(F.when(ok, F.col("end_ns") - F.col("start_ns"))).alias("latency_ns"), F.sum(F.when(ok, F.col("end_ns") - F.col("scheduled_ns"))).alias("offered_ns"),
-        F.min("scheduled_ns").alias("t0"), F.max("end_ns").alias("t1"),
+    begun = F.min("scheduled_ns").over(Window.partitionBy(*by))
+    rows = requests.withColumn("__in", F.col("end_ns") <= begun + F.lit(int(window_s * 1e9)))
+    rows = rows.withColumns({"latency_ns": F.when(ok, F.col("end_ns") - F.col("start_ns")), "offered_ns": F.when(ok, F.col("end_ns") - F.col("scheduled_ns"))})
+    sums = rows.groupBy(*by).agg(
+        F.count("*").alias("requests"), F.count_if(ok).alias("passed"), F.count_if(ok & F.col("__in")).alias("in_window"), F.max(F.col("start_ns") - F.col("scheduled_ns")).alias("max_lag_ns"),
+        F.avg("latency_ns").alias("mean_latency_ns"), F.avg("offered_ns").alias("mean_offered_ns"), F.min("scheduled_ns").alias("t0"), F.max("end_ns").alias("t1"),
     )
-    rate = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
-    return sums.select(*by, "requests", "max_lag_ns", (1 - F.col("passed").cast("double") / F.col("requests")).alias("error_rate"), rate(F.col("latency_ns"), F.col("passed")).alias("mean_latency_ns"), rate(F.col("offered_ns"), F.col("passed")).alias("mean_offered_ns"), (F.col("passed") / F.lit(float(window_s))).alias("throughput"), rate(F.col("passed") * F.lit(1e9), F.col("t1") - F.col("t0")).alias("drained_throughput"))
+    for c in ("latency", "offered"):
+        ranks = nearest_rank(rows, by, f"{c}_ns", list(percents))
+        sums = sums.join(ranks.withColumnsRenamed({f"p{p}": f"{c}_p{p}" for p in percents}), by, "left")
+    rate = F.try_divide(F.col("passed") * F.lit(1e9), (F.col("t1") - F.col("t0")).cast("double"))
+    return sums.select(*by, "requests", "max_lag_ns", (1 - F.col("passed").cast("double") / F.col("requests")).alias("error_rate"), "mean_latency_ns", "mean_offered_ns", *[f"{c}_p{p}" for c in ("latency", "offered") for p in percents], (F.col("in_window") / F.lit(float(window_s))).alias("throughput"), rate.alias("drained_throughput"))
+
 
+def resource_summary(samples: DataFrame, by: list[str], time: str, cpu: str, rss: str, window: tuple | None = None) -> DataFrame:
+    """CPU share between first and last sample, mean and peak memory; ``violation`` for fewer than two samples or a counter that falls.
 
-def resource_summary(samples: DataFrame, by: list[str], time: str, cpu: str, rss: str) -> DataFrame:
-    """CPU share between first and last sample, mean and peak memory; ``violation`` for fewer than two samples or a counter that falls."""
+    ``window`` has the first and last time of the samples that count (values or columns).
+    """
+    if window is not None:
+        samples = samples.where(F.col(time).between(*window))
     w = Window.partitionBy(*by).orderBy(time)
     rows = samples.withColumn("__fell", F.col(cpu) < F.lag(cpu).over(w))
     s = rows.groupBy(*by).agg(F.count("*").alias("n"), F.count_if("__fell").alias("falls"), F.min(time).alias("t0"), F.max(time).alias("t1"), F.min_by(cpu, time).alias("c0"), F.max_by(cpu, time).alias("c1"), F.avg(rss).alias("rss_mean"), F.max(rss).alias("rss_peak"))
@@ -39,6 +53,21 @@ def resource_summary(samples: DataFrame, by: list[str], time: str, cpu: str, rss
     return s.select(*by, F.when(~bad, F.try_divide(((F.col("c1") - F.col("c0")) * 100).cast("double"), (F.col("t1") - F.col("t0")).cast("double"))).alias("cpu_percent"), "rss_mean", "rss_peak", bad.alias("violation"))
 
 
+def group_memory(samples: DataFrame, by: list[str], snapshot: str, member: str, rss: str) -> DataFrame:
+    """Mean and peak of the group's summed memory over snapshots that hold all its members; fewer than two such are a violation."""
+    members = samples.select(*by, member).distinct().groupBy(*by).agg(F.count("*").alias("members"))
+    sums = samples.groupBy(*by, snapshot).agg(F.count_distinct(member).alias("seen"), F.sum(rss).alias("sum")).join(members, by).where("seen = members")
+    out = sums.groupBy(*by).agg(F.count("*").alias("snapshots"), F.avg("sum").alias("rss_mean"), F.max("sum").alias("rss_peak"))
+    return members.select(*by).join(out, by, "left").select(*by, F.coalesce("snapshots", F.lit(0)).alias("snapshots"), "rss_mean", "rss_peak", (F.coalesce("snapshots", F.lit(0)) < 2).alias("violation"))
+
+
+def complete_blocks(trials: DataFrame, block: list[str], mode: str, modes: list[str], passed: str | None = None) -> DataFrame:
+    """The trials of blocks that have each mode exactly once, passed if a column says so; other blocks are rejected."""
+    good = F.coalesce(F.col(passed), F.lit(False)) if passed else F.lit(True)
+    blocks = trials.where(F.col(mode).isin(modes)).groupBy(*block).agg(F.count_if(good).alias("n"), F.count("*").alias("all"), F.count_distinct(mode).alias("kinds"))
+    return trials.join(blocks.where((F.col("kinds") == len(modes)) & (F.col("n") == len(modes)) & (F.col("all") == len(modes))).select(*block), block, "left_semi")
+
+
 def trial_summary(trials: DataFrame, by: list[str], metric: str) -> DataFrame:
     """Median, least, most and coefficient of variation; all null where a trial lacks the metric."""
     full = F.count(metric) == F.count("*")
@@ -83,10 +112,30 @@ def capture_volume(records: DataFrame, dims: list[str], text: Column) -> DataFra
     return sums.withColumn("share", F.try_divide(F.col("bytes").cast("double"), F.sum("bytes").over(Window.partitionBy("dim")).cast("double")))
 
 
-def reduction(runs: DataFrame, by: list[str], mode: str, events: str, latency: str, full: str, less: str) -> DataFrame:
-    """1 - events of the lesser mode by those of the full one, and the ratio of their median latencies."""
-    pick = lambda m, c: F.when(F.col(mode) == m, F.col(c))
-    return runs.groupBy(*by).agg((1 - F.try_divide(F.sum(pick(less, events)).cast("double"), F.sum(pick(full, events)).cast("double"))).alias("events_saved"), F.try_divide(F.median(pick(less, latency)), F.median(pick(full, latency))).alias("latency_ratio"))
+def volume_difference(full: DataFrame, less: DataFrame, key: list[str], requests: str) -> DataFrame:
+    """Events and bytes of both captures by key, each request's share of them, and full less selective; a key of one side has 0 on the other.
+
+    Both have key, events, bytes and the number of requests behind them.
+    """
+    side = lambda df, p: df.select(*key, *[F.col(c).alias(f"{p}_{c}") for c in ("events", "bytes")], F.col(requests).alias(f"{p}_n"))
+    both = side(full, "full").join(side(less, "less"), key, "full_outer").na.fill(0, ["full_events", "full_bytes", "less_events", "less_bytes"])
+    per = lambda p: F.try_divide(F.col(f"{p}_bytes").cast("double"), F.col(f"{p}_n").cast("double")).alias(f"{p}_bytes_per_request")
+    return both.select(*key, "full_events", "less_events", "full_bytes", "less_bytes", (F.col("full_bytes") - F.col("less_bytes")).alias("saved_bytes"), per("full"), per("less"))
+
+
+def reduction(runs: DataFrame, by: list[str], mode: str, events: str, latency: str, full: str, less: str, pair: list[str] | None = None) -> DataFrame:
+    """1 - events of the lesser mode by those of the full one, and the ratio of their median latencies.
+
+    With ``pair`` only runs count whose pair has each mode once; ``unpaired`` counts the others.
+    """
+    rows = runs.where(F.col(mode).isin(full, less))
+    if pair:
+        w = Window.partitionBy(*by, *pair)
+        rows = rows.withColumn("__ok", (F.count("*").over(w) == 2) & (F.min(mode).over(w) != F.max(mode).over(w)))
+    else:
+        rows = rows.withColumn("__ok", F.lit(True))
+    pick = lambda m, c: F.when(F.col("__ok") & (F.col(mode) == m), F.col(c))
+    return rows.groupBy(*by).agg((1 - F.try_divide(F.sum(pick(less, events)).cast("double"), F.sum(pick(full, events)).cast("double"))).alias("events_saved"), F.try_divide(F.median(pick(less, latency)), F.median(pick(full, latency))).alias("latency_ratio"), F.count_if(~F.col("__ok")).alias("unpaired"))
 
 
 def baseline_delta(trials: DataFrame, block: list[str], mode: str, metric: str, baseline: str) -> DataFrame:
@@ -95,6 +144,12 @@ def baseline_delta(trials: DataFrame, block: list[str], mode: str, metric: str,
     return trials.where(F.col(mode) != baseline).join(base, block).select(*block, mode, (F.col(metric) - F.col("base")).alias("delta"))
 
 
+def tier_growth(deltas: DataFrame, block: list[str], mode: str, tier: str, low: str, high: str, value: str = "delta") -> DataFrame:
+    """How much more the value is in the high tier than in the low one of the same block and mode; null where a tier is missing."""
+    at = lambda t: F.max(F.when(F.col(tier) == t, F.col(value)))
+    return deltas.groupBy(*block, mode).agg((at(high) - at(low)).alias("growth"))
+
+
 def grouped_stats(samples: DataFrame, by: list[str], col: str, scale: float = 1.0) -> DataFrame:
     """Mean, median, p95 by rank, least and most, scaled."""
     base = samples.groupBy(*by).agg((F.avg(col) * scale).alias("mean"), (F.median(col) * scale).alias("median"), (F.min(col) * scale).alias("least"), (F.max(col) * scale).alias("most"))
@@ -102,14 +157,14 @@ def grouped_stats(samples: DataFrame, by: list[str], col: str, scale: float = 1.
 
 
 def peak_concurrency(intervals: DataFrame, start: str, end: str, bucket: int) -> DataFrame:
-    """The most intervals open at once; at equal times ends come before starts. Two levels: sums of time buckets, then sweeps inside them."""
+    """The most intervals open at once (``peak``), and the fewest (``least``; below 0 where an end lacks its start); at equal times ends come before starts. Two levels: sums of time buckets, then sweeps inside them."""
     points = intervals.select(F.explode(F.array(F.struct(F.col(start).alias("t"), F.lit(1).alias("d")), F.struct(F.col(end).alias("t"), F.lit(-1).alias("d")))).alias("p")).select("p.t", "p.d").groupBy("t", "d").agg(F.sum("d").alias("s"))
     cut = points.withColumn("__bucket", F.expr(f"t div {bucket}"))
     sums = cut.groupBy("__bucket").agg(F.sum("s").alias("sum"))
     # one row for each bucket of time
     before = sums.select("__bucket", (F.sum("sum").over(Window.orderBy("__bucket")) - F.col("sum")).alias("before"))
     inside = F.sum("s").over(Window.partitionBy("__bucket").orderBy("t", "d"))
-    return cut.withColumn("__inside", inside).join(before, "__bucket").agg(F.max(F.col("before") + F.col("__inside")).alias("peak"))
+    return cut.withColumn("__inside", inside).join(before, "__bucket").agg(F.max(F.col("before") + F.col("__inside")).alias("peak"), F.min(F.col("before") + F.col("__inside")).alias("least"))
 
 
 def collisions(records: DataFrame, keys: list[str]) -> DataFrame:
@@ -129,9 +184,26 @@ def thread_hops(events: DataFrame, request: list[str], order: list[str], thread:
     return events.withColumn("from_thread", before).where(F.col("from_thread") != F.col(thread)).groupBy("from_thread", F.col(thread).alias("to_thread")).agg(F.count("*").alias("n"))
 
 
-def phase_barriers(requests: DataFrame, batch: list[str], entry: str, leave: str) -> DataFrame:
-    """Batches, with whether every request had begun before the first one ended."""
-    return requests.groupBy(*batch).agg(F.max(entry).alias("last_entry"), F.min(leave).alias("first_exit")).withColumn("together", F.col("last_entry") < F.col("first_exit"))
+def thread_migration(events: DataFrame, request: list[str], order: list[str], thread: str) -> DataFrame:
+    """Each request's distinct threads, its hops from one event's thread to another, and whether it migrated."""
+    before = F.lag(thread).over(Window.partitionBy(*request).orderBy(*order))
+    rows = events.withColumn("__hop", F.coalesce(before != F.col(thread), F.lit(False)))
+    return rows.groupBy(*request).agg(F.count_distinct(thread).alias("threads"), F.count_if("__hop").alias("hops")).withColumn("migrated", F.col("threads") > 1)
+
+
+def phase_barriers(requests: DataFrame, batch: list[str], entry: str, leave: str, barriers: list[tuple[str, str]] = ()) -> DataFrame:
+    """Batches, with whether every request had begun before the first one ended (``together``).
+
+    ``barriers`` are pairs of columns: in each, the last of the first must lie before the first of the second, as the first
+    read's end and the second read's begin; ``ordered`` says whether all do. A missing time breaks its barrier.
+    """
+    least = [(F.max(a).alias(f"__a{k}"), F.min(b).alias(f"__b{k}"), F.count_if(F.col(a).isNull() | F.col(b).isNull()).alias(f"__n{k}")) for k, (a, b) in enumerate(barriers)]
+    s = requests.groupBy(*batch).agg(F.max(entry).alias("last_entry"), F.min(leave).alias("first_exit"), *[c for three in least for c in three])
+    ordered = F.lit(True)
+    for k in range(len(barriers)):
+        ordered = ordered & F.coalesce(F.col(f"__a{k}") < F.col(f"__b{k}"), F.lit(False)) & (F.col(f"__n{k}") == 0)
+    out = s.withColumn("together", F.col("last_entry") < F.col("first_exit"))
+    return (out.withColumn("ordered", ordered) if barriers else out).select(*batch, "last_entry", "first_exit", "together", *(["ordered"] if barriers else []))
 
 
 def visit_counts(steps: DataFrame, call: list[str], seq: str, location: str) -> DataFrame:

@@ -7,7 +7,7 @@ from itertools import groupby
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,17 +20,30 @@ def unique_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame
     return joined.select(*left.columns, status.alias("status"), *[F.when(F.col("__n") == 1, F.col(f"__r.{c}")).alias(c) for c in rest])
 
 
-def transport_candidates(obs: DataFrame, slack_us: int, bucket_us: int = 3_600_000_000) -> DataFrame:
-    """Client and server pairs of the same service, path and method whose intervals fit within the slack: client, server, service, path, cost.
+def transport_candidates(obs: DataFrame, slack_us: int, bucket_us: int = 3_600_000_000, with_times: bool = False) -> DataFrame:
+    """Client and server pairs of the same service and path, and method if there is that column, whose intervals fit within the slack: client, server, service, path, cost.
 
     ``obs`` has event_id, service, peer, kind, path, start_us, end_us. A server joins the time buckets that a client's
-    interval touches, so a busy path doesn't pair all its calls.
+    interval touches; a bucket's size is the power of two times ``bucket_us`` that follows the interval's length, so no
+    interval touches more than a few. ``with_times`` adds the time that both calls span (from_us, to_us).
     """
-    c = obs.where("kind = 'CLIENT'").select(F.col("event_id").alias("client"), F.col("peer").alias("service"), "path", F.col("start_us").alias("cs"), F.col("end_us").alias("ce"))
-    s = obs.where("kind = 'SERVER'").select(F.col("event_id").alias("server"), "service", "path", F.col("start_us").alias("ss"), F.col("end_us").alias("se"), F.expr(f"start_us div {bucket_us}").alias("bucket"))
-    c = c.withColumn("bucket", F.explode(F.sequence(F.expr(f"(cs - {slack_us}) div {bucket_us}"), F.expr(f"(ce + {slack_us}) div {bucket_us}"))))
+    method = [F.col("method")] if "method" in obs.columns else []
+    key = ["service", "path", *(["method"] if method else [])]
+    c = obs.where("kind = 'CLIENT'").select(F.col("event_id").alias("client"), F.col("peer").alias("service"), "path", *method, F.col("start_us").alias("cs"), F.col("end_us").alias("ce"))
+    s = obs.where("kind = 'SERVER'").select(F.col("event_id").alias("server"), "service", "path", *method, F.col("start_us").alias("ss"), F.col("end_us").alias("se"))
+    c = c.withColumn("level", level_of(F.col("ce") - F.col("cs") + 2 * slack_us, bucket_us))
+    levels = [r[0] for r in c.select("level").distinct().collect()]  # some dozens at most: the lengths' powers of two
+    size = F.expr(f"shiftleft(bigint({bucket_us}), level)")
+    c = c.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("cs") - slack_us) / size), F.floor((F.col("ce") + slack_us) / size))))
+    s = s.withColumn("level", F.explode(F.array(*[F.lit(k) for k in sorted(levels)]).cast("array<int>"))).withColumn("bucket", F.floor(F.col("ss") / size))
     fits = (F.col("ss") >= F.col("cs") - slack_us) & (F.col("se") <= F.col("ce") + slack_us)
-    return c.join(s, ["service", "path", "bucket"]).where(fits).select("client", "server", "service", "path", (F.abs(F.col("ss") - F.col("cs")) + F.abs(F.col("se") - F.col("ce"))).alias("cost"))
+    times = [F.least("cs", "ss").alias("from_us"), F.greatest("ce", "se").alias("to_us")] if with_times else []
+    return c.join(s, [*key, "level", "bucket"]).where(fits).select("client", "server", *key, (F.abs(F.col("ss") - F.col("cs")) + F.abs(F.col("se") - F.col("ce"))).alias("cost"), *times)
+
+
+def level_of(length: Column, bucket: int) -> Column:
+    """The least k for which a bucket of 2^k times the size is no shorter than the length; the interval touches two such buckets at most."""
+    return F.ceil(F.log2(F.greatest(length.cast("double") / bucket, F.lit(1.0)))).cast("int")
 
 
 def greedy_levels(pairs: pd.DataFrame) -> pd.DataFrame:
@@ -53,19 +66,30 @@ def greedy_levels(pairs: pd.DataFrame) -> pd.DataFrame:
 def greedy_match(candidates: DataFrame) -> DataFrame:
     """One-to-one matching by ascending cost: client, server, service, path, cost, and ``tied`` for pairs that abstained.
 
-    Candidates never cross a service and path, so each such group is matched alone.
+    Candidates never cross a service and path. Where they have times (from_us, to_us), each such group is cut at every moment
+    that no pair spans: pairs that share a call overlap, so the islands between the cuts are matched alone, as one task each.
     """
     columns = ["client", "server", "service", "path", "cost"]
     kinds = {f.name: f.dataType.simpleString() for f in candidates.schema.fields}
-    return candidates.select(*columns).groupBy("service", "path").applyInPandas(lambda pdf: greedy_levels(pdf)[[*columns, "tied"]], ", ".join(f"{c} {kinds[c]}" for c in columns) + ", tied boolean")
+    if "from_us" in candidates.columns:
+        w = Window.partitionBy("service", "path").orderBy("from_us", "to_us", "client", "server")
+        new = F.coalesce(F.col("from_us") > F.max("to_us").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int")
+        rows = candidates.select(*columns, "from_us", "to_us").withColumn("new", new).withColumn("island", F.sum("new").over(w)).select(*columns, "island")
+    else:
+        rows = candidates.select(*columns, F.lit(0).alias("island"))
+    return rows.groupBy("service", "path", "island").applyInPandas(lambda pdf: greedy_levels(pdf)[[*columns, "tied"]], ", ".join(f"{c} {kinds[c]}" for c in columns) + ", tied boolean")
 
 
 def local_parents(obs: DataFrame, slack_us: int = 0, bucket_us: int = 3_600_000_000) -> DataFrame:
     """Each client call's latest-begun containing server call of its service: child, parent; a tie on the start abstains."""
-    c = obs.where("kind = 'CLIENT'").select(F.col("event_id").alias("child"), "service", F.col("start_us").alias("cs"), F.col("end_us").alias("ce"), F.expr(f"start_us div {bucket_us}").alias("bucket"))
+    c = obs.where("kind = 'CLIENT'").select(F.col("event_id").alias("child"), "service", F.col("start_us").alias("cs"), F.col("end_us").alias("ce"))
     s = obs.where("kind = 'SERVER'").select(F.col("event_id").alias("parent"), "service", F.col("start_us").alias("ss"), F.col("end_us").alias("se"))
-    s = s.withColumn("bucket", F.explode(F.sequence(F.expr(f"(ss - {slack_us}) div {bucket_us}"), F.expr(f"(se + {slack_us}) div {bucket_us}"))))
-    inside = c.join(s, ["service", "bucket"]).where((F.col("cs") >= F.col("ss") - slack_us) & (F.col("ce") <= F.col("se") + slack_us))
+    s = s.withColumn("level", level_of(F.col("se") - F.col("ss") + 2 * slack_us, bucket_us))
+    levels = [r[0] for r in s.select("level").distinct().collect()]  # as above, some dozens at most
+    size = F.expr(f"shiftleft(bigint({bucket_us}), level)")
+    s = s.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("ss") - slack_us) / size), F.floor((F.col("se") + slack_us) / size))))
+    c = c.withColumn("level", F.explode(F.array(*[F.lit(k) for k in sorted(levels)]).cast("array<int>"))).withColumn("bucket", F.floor(F.col("cs") / size))
+    inside = c.join(s, ["service", "level", "bucket"]).where((F.col("cs") >= F.col("ss") - slack_us) & (F.col("ce") <= F.col("se") + slack_us))
     best = inside.groupBy("child", "ss").agg(F.count("*").alias("n"), F.min("parent").alias("parent")).groupBy("child").agg(F.max(F.struct("ss", "n", "parent")).alias("b"))
     return best.where("b.n = 1").select("child", F.col("b.parent").alias("parent"))
 
@@ -76,12 +100,20 @@ def send_receive_coverage(sends: DataFrame, receives: DataFrame, key: list[str])
     return joined.agg(F.count_if(F.col("s").isNotNull() & F.col("r").isNotNull()).alias("matched"), F.count_if(F.col("r").isNull()).alias("unmatched_sends"), F.count_if(F.col("s").isNull()).alias("unmatched_receives"))
 
 
-def alias_sources(targets: DataFrame, providers: DataFrame, coordinate: list[str], target: str, provider: str, seq: str) -> DataFrame:
-    """Each target's only earlier provider of the same coordinate; several make it unknown, none missing."""
-    p = providers.select(*coordinate, F.col(provider), F.col(seq).alias("__seq"))
+def alias_sources(targets: DataFrame, providers: DataFrame, coordinate: list[str], target: str, provider: str, seq: str, same: list[str] = ()) -> DataFrame:
+    """Each target's only earlier provider of the same coordinate; several make it unknown, none missing.
+
+    ``same`` names columns of both sides (the value, the reference) that must agree: if they don't, something wrote outside
+    the counted writes, and the target is unknown. They are looked at after the count and never choose a provider.
+    """
+    p = providers.select(*coordinate, F.col(provider), F.col(seq).alias("__seq"), *[F.col(c).alias(f"__{c}") for c in same])
     joined = targets.join(p, coordinate, "left").withColumn("__ok", F.col("__seq") < F.col(seq))
-    found = joined.groupBy(target).agg(F.count_if("__ok").alias("n"), F.min(F.when(F.col("__ok"), F.col(provider))).alias("source"))
-    return found.select(target, F.when(F.col("n") == 1, F.col("source")).alias("source"), F.when(F.col("n") == 0, "missing").when(F.col("n") == 1, "matched").otherwise("unknown").alias("status"))
+    differs = F.lit(False)
+    for c in same:
+        differs = differs | ~F.col(c).eqNullSafe(F.col(f"__{c}"))
+    found = joined.groupBy(target).agg(F.count_if("__ok").alias("n"), F.min(F.when(F.col("__ok"), F.col(provider))).alias("source"), F.count_if(F.col("__ok") & differs).alias("changed"))
+    good = (F.col("n") == 1) & (F.col("changed") == 0)
+    return found.select(target, F.when(good, F.col("source")).alias("source"), F.when(F.col("n") == 0, "missing").when(good, "matched").otherwise("unknown").alias("status"))
 
 
 def last_write_asof(log: DataFrame, owner: list[str], seq: str, kind: str, event: str, version: str | None = None) -> DataFrame:
@@ -111,9 +143,26 @@ def overlapping_pairs(intervals: DataFrame, key: list[str], ident: str, start: s
 
 
 def offsets_to_fields(offsets: DataFrame, spans: DataFrame, case: list[str]) -> DataFrame:
-    """Each offset's field span (begin <= offset < finish) of its case; offsets in none are kept as ``$nonvalue-byte:offset``."""
-    joined = offsets.join(spans, case, "left").withColumn("__in", (F.col("offset") >= F.col("begin")) & (F.col("offset") < F.col("finish")))
-    return joined.groupBy(*case, "offset").agg(F.coalesce(F.min(F.when(F.col("__in"), F.col("field"))), F.concat(F.lit("$nonvalue-byte:"), F.col("offset").cast("string"))).alias("field"), (F.count_if("__in") > 1).alias("overlap"))
+    """Each offset's field span (begin <= offset < finish) of its case; offsets in none are kept as ``$nonvalue-byte:offset``.
+
+    A sweep over a case's begins and offsets finds the field: where spans don't overlap, the last one that began is the only
+    one that may hold the offset. ``overlap`` says that a span which began before still runs; then the least name counts.
+    """
+    begun = spans.where("begin < finish").select(*case, F.col("begin").alias("offset"), F.lit(0).alias("kind"), "finish", "field")
+    asked = offsets.select(*case, "offset", F.lit(1).alias("kind"), F.lit(None).cast(spans.schema["finish"].dataType).alias("finish"), F.lit(None).cast("string").alias("field"))
+    w = Window.partitionBy(*case).orderBy("offset", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    far = begun.unionByName(asked).withColumns({"last": F.last("field", True).over(w), "ends": F.last("finish", True).over(w), "most": F.max("finish").over(w), "begun": F.count("finish").over(w)})
+    # how many spans have ended by an offset: the others that began still run
+    ended = spans.where("begin < finish").select(*case, F.col("finish").alias("offset"), F.lit(-1).alias("kind"))
+    v = Window.partitionBy(*case).orderBy("offset", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    gone = ended.unionByName(offsets.select(*case, "offset", F.lit(1).alias("kind"))).withColumn("gone", F.count_if(F.col("kind") == -1).over(v)).where("kind = 1").select(*case, "offset", "gone")
+    rows = far.where("kind = 1").join(gone, [*case, "offset"]).withColumn("open", F.col("begun") - F.col("gone"))
+    one = rows.where("open <= 1").select(*case, "offset", F.when((F.col("open") == 1) & (F.col("ends") > F.col("offset")), F.col("last")).alias("field"), "open")
+    # rare: where spans overlap, or the last one to begin has ended and an earlier one runs on, look at all of the case's spans
+    hard = rows.where("open > 1").select(*case, "offset", "open").unionByName(one.where("open = 1 and field is null").select(*case, "offset", "open"))
+    looked = hard.join(spans, case).where("begin <= offset and offset < finish").groupBy(*case, "offset", "open").agg(F.min("field").alias("field"))
+    out = one.where("open = 0 or field is not null").unionByName(looked.select(*case, "offset", "field", "open"))
+    return out.select(*case, "offset", F.coalesce("field", F.concat(F.lit("$nonvalue-byte:"), F.col("offset").cast("string"))).alias("field"), (F.col("open") > 1).alias("overlap"))
 
 
 def decode_tokens(answers: DataFrame, index: DataFrame, token: str) -> DataFrame:
@@ -137,6 +186,18 @@ def cell_project(cells: DataFrame, columns: list[str], complement: bool = False)
     return cells.select(*([c for c in cells.columns if c not in columns] if complement else columns))
 
 
+def cut_lines(lines: DataFrame, file: int, record: str, line: str, delimiter: str, fields: list[int], complement: bool = False, only_delimited: bool = False) -> DataFrame:
+    """Chosen fields (numbered from 0), or all others, of delimited lines: record, ``cells`` in field order, ``whole``.
+
+    A line without the delimiter passes as one cell, ``whole``, or is left out if ``only_delimited``. Delimiters have no source.
+    """
+    parts = F.transform(F.split(F.col(line), F.lit(f"\\Q{delimiter}\\E"), -1), lambda v, k: F.struct(v.alias("value"), F.lit(file).alias("file"), F.col(record).alias("record"), k.alias("field")))
+    has = F.contains(F.col(line), F.lit(delimiter))
+    chosen = F.filter(parts, lambda c: ~c["field"].isin(fields) if complement else c["field"].isin(fields))
+    rows = lines.where(has) if only_delimited else lines
+    return rows.where(F.col(line).isNotNull()).select(record, F.when(has, chosen).otherwise(parts).alias("cells"), (~has).alias("whole"))
+
+
 def cell_join(left: DataFrame, right: DataFrame, key: str, output: list[str], how: str = "inner", fill: str | None = None) -> DataFrame:
     """Join on the cells' values; output cells keep their places, fills have none, and keys used to match alone are no sources."""
     joined = left.join(right.withColumnRenamed(key, "__key"), left[key]["value"] == F.col("__key.value"), how)
@@ -154,6 +215,12 @@ def reduction_lineage(members: DataFrame, results: DataFrame, result: str, toler
     return joined.select(result, status.alias("status"))
 
 
+def reduction_sources(members: DataFrame, statuses: DataFrame, result: str) -> DataFrame:
+    """The sources (result, source) of every matched total: the distinct coordinates of its members' quantity and price."""
+    good = statuses.where("status = 'matched'").select(result)
+    return members.join(good, result, "left_semi").select(result, "source").where("source is not null").distinct()
+
+
 def private_range_conflicts(objects: DataFrame, bucket: int) -> DataFrame:
     """Pairs of different requests whose objects overlap in lifetime (born, died) and in address (low, high)."""
     rows = objects.withColumn("bucket", F.explode(F.sequence(F.expr(f"born div {bucket}"), F.expr(f"(died - 1) div {bucket}"))))

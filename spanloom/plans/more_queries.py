@@ -79,12 +79,14 @@ def cell_project(spark, d):
     return joins.cell_project(cells, ["rec", "s_nationkey"], complement=True).select("s_name.value", "s_name.record", "s_name.file")
 
 
-@register("observation_closure", """WITH RECURSIVE u AS (SELECT DISTINCT user_id AS f FROM events), n AS (SELECT f FROM u WHERE f % 4 = 3 UNION SELECT n.f // 2 FROM n JOIN u USING (f)) SELECT event_type || user_id % 10 AS site, bool_or(user_id IN (SELECT f FROM n)) AS keep FROM events GROUP BY 1""")
+@register("observation_closure", """WITH RECURSIVE u AS (SELECT DISTINCT user_id AS f FROM events), n AS (SELECT f FROM u WHERE f % 4 = 3 UNION SELECT n.f // 2 FROM n JOIN u USING (f)), x AS (SELECT event_type || user_id % 10 AS site, list_sort(list(DISTINCT user_id) FILTER (user_id IN (SELECT f FROM n))) AS r FROM events GROUP BY 1)
+SELECT site, CASE WHEN r IS NULL THEN 'drop' ELSE 'keep' END AS action, CASE WHEN r IS NULL THEN 'no fact of it is needed' ELSE 'producer of a needed fact' END AS reason, coalesce(array_to_string(r, ','), '') AS relevant FROM x""")
 def observation_closure(spark, d):
     e = ad.table(spark, d, "events")
     users = e.select(F.col("user_id").alias("fact")).distinct()
     site = F.concat("event_type", (F.col("user_id") % 10).cast("string"))
-    return graph.observation_closure(e.select(site.alias("site"), F.col("user_id").alias("fact")), users.withColumn("dependency", F.expr("fact div 2")), users.where("fact % 4 = 3"))
+    out = graph.observation_closure(e.select(site.alias("site"), F.col("user_id").alias("fact")), users.withColumn("dependency", F.expr("fact div 2")), users.where("fact % 4 = 3"))
+    return out.withColumn("relevant", F.array_join(F.col("relevant").cast("array<string>"), ","))
 
 
 @register("parse_traceparent", "SELECT page_id, CASE WHEN page_id % 5 <> 0 THEN md5(url) END AS trace_id, CASE WHEN page_id % 5 <> 0 THEN left(md5(html), 16) END AS span_id, CASE WHEN page_id % 5 <> 0 THEN page_id % 2 = 1 END AS sampled FROM pages")

@@ -151,11 +151,14 @@ def requests(spark, d):
     return ad.table(spark, d, "events").select(F.expr("cast(event_id % 8 as int)").alias("trial"), t.alias("scheduled_ns"), start.alias("start_ns"), (start + F.round(F.col("value") * 100).cast("long") * 1000).alias("end_ns"), (F.col("event_type") != "error").alias("passed"), "event_id", "user_id")
 
 
-@register("request_metrics", f"""WITH {REQUESTS} SELECT trial, count(*) AS requests, max(start_ns - scheduled_ns) AS max_lag_ns, round(1 - count(*) FILTER (passed) / count(*), 6) AS error_rate, round(avg(end_ns - start_ns) FILTER (passed), 3) AS mean_latency_ns,
-round(avg(end_ns - scheduled_ns) FILTER (passed), 3) AS mean_offered_ns, round(count(*) FILTER (passed) / 3600.0::DOUBLE, 6) AS throughput, round(count(*) FILTER (passed) * 1e9 / (max(end_ns) - min(scheduled_ns)), 6) AS drained_throughput FROM req GROUP BY trial""")
+@register("request_metrics", f"""WITH {REQUESTS}, w AS (SELECT *, min(scheduled_ns) OVER (PARTITION BY trial) AS t0, CASE WHEN passed THEN end_ns - start_ns END AS l, CASE WHEN passed THEN end_ns - scheduled_ns END AS o FROM req),
+r AS (SELECT *, row_number() OVER (PARTITION BY trial, passed ORDER BY l) AS rl, row_number() OVER (PARTITION BY trial, passed ORDER BY o) AS ro, count(*) OVER (PARTITION BY trial, passed) AS n FROM w)
+SELECT trial, count(*) AS requests, max(start_ns - scheduled_ns) AS max_lag_ns, round(1 - count(*) FILTER (passed) / count(*), 6) AS error_rate, round(avg(l), 3) AS mean_latency_ns, round(avg(o), 3) AS mean_offered_ns,
+{", ".join(f"min({c}) FILTER (passed AND r{c} >= (n * {p} + 99) // 100) AS {name}_p{p}" for c, name in (("l", "latency"), ("o", "offered")) for p in (50, 95, 99))},
+round(count(*) FILTER (passed AND end_ns <= t0 + 1296000000000000) / 1296000.0::DOUBLE, 6) AS throughput, round(count(*) FILTER (passed) * 1e9 / (max(end_ns) - min(scheduled_ns)), 6) AS drained_throughput FROM r GROUP BY trial""")
 def request_metrics(spark, d):
-    out = cost.request_metrics(requests(spark, d), ["trial"], 3600)
-    return out.select("trial", "requests", "max_lag_ns", R6(F.col("error_rate")).alias("error_rate"), F.round("mean_latency_ns", 3).alias("mean_latency_ns"), F.round("mean_offered_ns", 3).alias("mean_offered_ns"), R6(F.col("throughput")).alias("throughput"), R6(F.col("drained_throughput")).alias("drained_throughput"))
+    out = cost.request_metrics(requests(spark, d), ["trial"], 1_296_000)  # half of the table's 30 days
+    return out.withColumns({c: R6(F.col(c)) for c in ("error_rate", "throughput", "drained_throughput")} | {c: F.round(c, 3) for c in ("mean_latency_ns", "mean_offered_ns")})
 
 
 @register("answer_delay", f"""WITH {REQUESTS}, x AS (SELECT trial, (event_id * 7919) % 100000 AS delay FROM req), r AS (SELECT *, row_number() OVER (PARTITION BY trial ORDER BY delay) AS rn, count(*) OVER (PARTITION BY trial) AS n FROM x)
@@ -180,7 +183,7 @@ def capture_volume(spark, d):
 
 
 @register("peak_concurrency", f"""WITH {OBS}, p AS (SELECT start_us AS t, 1 AS d FROM obs UNION ALL SELECT end_us, -1 FROM obs), q AS (SELECT t, d, sum(d) AS s FROM p GROUP BY ALL)
-SELECT max(c)::BIGINT AS peak FROM (SELECT sum(s) OVER (ORDER BY t, d) AS c FROM q)""")
+SELECT max(c)::BIGINT AS peak, min(c)::BIGINT AS least FROM (SELECT sum(s) OVER (ORDER BY t, d) AS c FROM q)""")
 def peak_concurrency(spark, d):
     return cost.peak_concurrency(ad.observations(spark, d), "start_us", "end_us", 3_600_000_000)
 
@@ -335,7 +338,7 @@ def transport_candidates(spark, d):
 
 @register("greedy_match")
 def greedy_match(spark, d):
-    return joins.greedy_match(joins.transport_candidates(ad.observations(spark, d), SLACK))
+    return joins.greedy_match(joins.transport_candidates(ad.observations(spark, d), SLACK, with_times=True))
 
 
 @register("local_parents", f"""WITH {OBS}, x AS (SELECT c.event_id AS child, s.event_id AS parent, s.start_us, rank() OVER (PARTITION BY c.event_id ORDER BY s.start_us DESC) AS r FROM obs c JOIN obs s ON c.kind = 'CLIENT' AND s.kind = 'SERVER' AND c.service = s.service AND c.start_us >= s.start_us AND c.end_us <= s.end_us)
@@ -420,13 +423,14 @@ def origins(spark, d):
     return out.withColumn("sources", F.array_join(F.col("sources").cast("array<string>"), ","))
 
 
-@register("byte_ranges", f"""WITH {SPANS}, m AS (SELECT trace, max(span) AS root FROM spans GROUP BY 1) SELECT trace, root, 0::BIGINT AS source, root AS "start", 1000::BIGINT AS "end" FROM m WHERE root < 1000""")
+@register("byte_ranges", f"""WITH {SPANS}, m AS (SELECT trace, max(span) AS root FROM spans GROUP BY 1), c AS (SELECT *, CASE WHEN trace % 3 = 0 THEN 0 ELSE root END AS cut FROM m)
+SELECT trace, root, CASE WHEN cut < 1000 THEN 0::BIGINT END AS source, CASE WHEN cut < 1000 THEN cut END AS "start", CASE WHEN cut < 1000 THEN 1000::BIGINT END AS "end", cut = 0 AS complete FROM c""")
 def byte_ranges(spark, d):
-    # each turn keeps all bytes but the first of the turn before it, at the same places
+    # each turn keeps all bytes but the first of the turn before it, at the same places; every third trace keeps all
     n = turn_edges(spark, d)
-    maps = n.where("parent is not null").select("trace", F.col("node").alias("child"), "parent", F.col("node").alias("out_start"), F.lit(1000).cast("long").alias("out_end"), F.col("node").alias("parent_start"))
-    out = graph.byte_ranges(maps, n.groupBy("trace").agg(F.max("node").alias("node")).withColumn("length", F.lit(1000)), ["trace"])
-    return out.where("source is not null").drop("complete")  # the SQL twin lists the mapped bytes alone
+    first = F.when(F.col("trace") % 3 == 0, 0).otherwise(F.col("node"))
+    maps = n.where("parent is not null").select("trace", F.col("node").alias("child"), "parent", first.alias("out_start"), F.lit(1000).cast("long").alias("out_end"), first.alias("parent_start"))
+    return graph.byte_ranges(maps, n.groupBy("trace").agg(F.max("node").alias("node")).withColumn("length", F.lit(1000)), ["trace"])
 
 
 @register("connected_components", """WITH RECURSIVE e AS (SELECT doc_id AS a, (doc_id - doc_id % 10) AS b FROM documents WHERE doc_id % 10 <> 0 UNION ALL SELECT doc_id, doc_id + 10 FROM documents WHERE doc_id % 20 = 0)
@@ -483,13 +487,18 @@ def json_leaves(spark, d):
 
 @register("w1_timing_score")
 def w1_timing_score(spark, d):
-    """Call trees from timing alone: transport and local edges, closure from entry calls, scored against call membership by user."""
+    """Call trees from timing alone: transport and local edges, closure from entry calls, scored against the calls of the entry's user inside its time.
+
+    The truth comes from the events' users and times alone; no prediction is read for it.
+    """
     obs = ad.observations(spark, d)
-    transport = joins.greedy_match(joins.transport_candidates(obs, SLACK)).where("not tied").select(F.col("client").alias("parent"), F.col("server").alias("child"))
+    transport = joins.greedy_match(joins.transport_candidates(obs, SLACK, with_times=True)).where("not tied").select(F.col("client").alias("parent"), F.col("server").alias("child"))
     local = joins.local_parents(obs).select("parent", "child")
     edges = materialize(transport.unionByName(local).select(F.lit(0).alias("g"), "parent", "child"), "edges")
-    heads = obs.where("kind = 'CLIENT'").select(F.lit(0).alias("g"), F.col("event_id").alias("node")).join(edges.select("g", F.col("child").alias("node")), ["g", "node"], "left_anti")
-    found = graph.reach(edges, heads, ["g"]).where("root != node").select(F.col("root").alias("query"), F.col("node").alias("item"))
+    entries = materialize(obs.where("kind = 'CLIENT'").join(local.select(F.col("child").alias("event_id")), "event_id", "left_anti"), "entries")
+    found = graph.reach(edges, entries.select(F.lit(0).alias("g"), F.col("event_id").alias("node")), ["g"]).where("root != node").select(F.col("root").alias("query"), F.col("node").alias("item"))
     users = ad.table(spark, d, "events").select("event_id", "user_id")
-    truth = found.join(users, found["query"] == users["event_id"]).select("query", "item", "user_id").join(users.select(F.col("event_id").alias("item"), F.col("user_id").alias("item_user")), "item").where("user_id % 6 = item_user % 6").select("query", "item")
+    calls = obs.join(users, "event_id").select(F.col("event_id").alias("item"), "user_id", F.col("start_us").alias("s"), F.col("end_us").alias("e"), F.expr("start_us div 86400000000").alias("day"))
+    asked = entries.join(users, "event_id").select(F.col("event_id").alias("query"), "user_id", "start_us", "end_us", F.explode(F.sequence(F.expr("start_us div 86400000000"), F.expr("end_us div 86400000000"))).alias("day"))
+    truth = asked.join(calls, ["user_id", "day"]).where("query != item and s >= start_us and e <= end_us").select("query", "item")
     return score.prf(score.set_score(truth, found, ["query"], ["item"]))
