@@ -61,8 +61,13 @@ def contained(texts: DataFrame, idents: DataFrame, text: str, ident: str) -> Dat
     known = idents.select(F.col(ident).cast("string").alias(ident)).where(F.length(ident) > 0).distinct()
     lengths = [r[0] for r in known.select(F.length(ident)).distinct().collect()]  # ids have a few lengths
     if not lengths:
-        return texts.join(known, F.lit(False))
-    cuts = F.concat(*[F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda k, n=n: F.substring(F.col(text), k, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in lengths])
+        return texts.withColumn(ident, F.lit("")).limit(0)
+
+    def cuts_of(n: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda k: F.substring(F.col(text), k, F.lit(n)))
+        return F.when(F.length(text) >= n, every).otherwise(F.array().cast("array<string>"))
+
+    cuts = F.concat(*map(cuts_of, lengths))
     return texts.withColumn(ident, F.explode(F.array_distinct(cuts))).join(known, ident, "left_semi")
 
 

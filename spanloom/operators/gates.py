@@ -24,12 +24,19 @@ def duplicate_identity_gate(df: DataFrame, key: list[str]) -> DataFrame:
     return _violations(kinds.where("kinds > 1"), key, "conflicting_duplicate", F.col("kinds"))
 
 
-def transport_gate(events: DataFrame, stats: DataFrame, capture: str) -> DataFrame:
-    """Captures whose submitted count isn't the received one, or with lost events, errors or no events; ``stats`` has submitted, lost, errors, return_code."""
+def transport_gate(events: DataFrame, stats: DataFrame, capture: str, zero: list[str] = ("lost", "errors", "return_code"), identities: dict[str, str] | None = None) -> DataFrame:
+    """Captures whose submitted count isn't the received one, without events, or with one of the ``zero`` columns of ``stats`` not 0 (missing counts as not 0).
+
+    ``identities`` are named conditions over the columns of ``stats``, such as allocated = registered + retired; each that
+    doesn't hold is a violation of its own name.
+    """
     got = events.groupBy(capture).agg(F.count("*").alias("received"))
     joined = stats.join(got, capture, "left").withColumn("received", F.coalesce("received", F.lit(0)))
-    bad = joined.where("received = 0 or submitted is null or submitted != received or coalesce(lost, 1) != 0 or coalesce(errors, 1) != 0 or coalesce(return_code, 1) != 0")
-    return _violations(bad, [capture], "transport", F.concat_ws("/", "submitted", "received"))
+    bad = joined.where(" or ".join(["received = 0", "submitted is null", "submitted != received", *(f"coalesce({c}, 1) != 0" for c in zero)]))
+    out = _violations(bad, [capture], "transport", F.concat_ws("/", "submitted", "received"))
+    for name, condition in (identities or {}).items():
+        out = out.unionByName(_violations(joined.where(~F.coalesce(F.expr(condition), F.lit(False))), [capture], name, F.lit(condition)))
+    return out
 
 
 def monotonic_gate(df: DataFrame, group: list[str], order: list[str], ts: str, strict: bool = False) -> DataFrame:
@@ -99,6 +106,13 @@ def version_gate(df: DataFrame, owner: list[str], seq: str, write: Column, versi
     return _violations(rows.groupBy(*owner).agg(F.count("*").alias("n")), owner, "version", F.col("n"))
 
 
+def final_version_gate(log: DataFrame, snapshots: DataFrame, frame: list[str], owner: list[str], seq: str, write: Column, version: str) -> DataFrame:
+    """Final snapshots (frame, owner, version) without the version of the frame's last write of that owner; one without any write is a violation too."""
+    last = log.where(write).groupBy(*frame, *owner).agg(F.max_by(version, seq).alias("__last"))
+    rows = snapshots.join(last, [*frame, *owner], "left").where(~F.col(version).eqNullSafe(F.col("__last")) | F.col("__last").isNull())
+    return _violations(rows, [*frame, *owner], "final_version", F.concat_ws("/", F.col(version).cast("string"), F.coalesce(F.col("__last").cast("string"), F.lit("none"))))
+
+
 def assign_request_scopes(df: DataFrame, context: list[str], seq: str, enter: Column, leave: Column) -> DataFrame:
     """Events with ``generation`` (k-th enter of the context), ``request_sequence`` in it and ``scope_state``: inside, outside or nested.
 
@@ -114,17 +128,34 @@ def assign_request_scopes(df: DataFrame, context: list[str], seq: str, enter: Co
     return rows.withColumn("scope_state", state).drop("__enter", "__leave", "__open", "__leaves")
 
 
+def request_ids(scoped: DataFrame, context: list[str], order: str, bucket: int) -> DataFrame:
+    """(context, generation, request_id): the global rank, from 1, of the event that opened each generation.
+
+    Ranks are counted inside ranges of ``order`` first, so that no task sorts all of them.
+    """
+    opened = scoped.where("request_sequence = 0 and generation > 0").select(*context, "generation", order).withColumn("__range", F.expr(f"{order} div {bucket}"))
+    sums = opened.groupBy("__range").agg(F.count("*").alias("n"))
+    # one row for each range
+    before = sums.select("__range", (F.sum("n").over(Window.orderBy("__range")) - F.col("n")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(order, *context))
+    return opened.withColumn("inside", inside).join(before, "__range").select(*context, "generation", (F.col("before") + F.col("inside")).alias("request_id"))
+
+
 def event_order_gate(df: DataFrame, group: list[str], seq: str, op: str, allowed: list[list[str]]) -> DataFrame:
     """Groups whose list of operations, in order, isn't one of the allowed lists."""
     lists = df.groupBy(*group).agg(F.concat_ws(">", F.transform(F.array_sort(F.collect_list(F.struct(seq, op))), lambda x: x[op])).alias("ops"))
     return _violations(lists.where(~F.col("ops").isin([">".join(a) for a in allowed])), group, "event_order", F.col("ops"))
 
 
-def capture_closed_gate(df: DataFrame, group: list[str], seq: str, kind: str, count: str) -> DataFrame:
-    """Captures without a header first, one footer last that counts the rows before it, or with a problem row."""
-    stats = df.groupBy(*group).agg(F.min_by(kind, seq).alias("first"), F.max_by(kind, seq).alias("last"), F.count_if(F.col(kind) == "footer").alias("footers"), F.count_if(F.col(kind).isin("problem", "abort")).alias("problems"), F.max(F.when(F.col(kind) == "footer", F.col(count))).alias("counted"), F.count("*").alias("n"))
+def capture_closed_gate(df: DataFrame, group: list[str], seq: str, kind: str, count: str, plan: str | None = None, expected_plan: str | None = None) -> DataFrame:
+    """Captures without a header first, one footer last that counts the rows before it, or with a problem row; with ``plan``, whose header lacks the expected plan hash."""
+    hashed = F.max(F.when(F.col(kind) == "header", F.col(plan))) if plan else F.lit(None).cast("string")
+    stats = df.groupBy(*group).agg(F.min_by(kind, seq).alias("first"), F.max_by(kind, seq).alias("last"), F.count_if(F.col(kind) == "footer").alias("footers"), F.count_if(F.col(kind).isin("problem", "abort")).alias("problems"), F.max(F.when(F.col(kind) == "footer", F.col(count))).alias("counted"), F.count("*").alias("n"), hashed.alias("plan"))
     bad = stats.where("first != 'header' or last != 'footer' or footers != 1 or problems > 0 or not (counted <=> n - 1)")
-    return _violations(bad, group, "capture_closed", F.concat_ws("/", "first", "last", "footers", "problems"))
+    out = _violations(bad, group, "capture_closed", F.concat_ws("/", "first", "last", "footers", "problems"))
+    if plan:
+        out = out.unionByName(_violations(stats.where(~F.col("plan").eqNullSafe(F.lit(expected_plan))), group, "plan", F.coalesce("plan", F.lit("none"))))
+    return out
 
 
 def task_lifecycle(df: DataFrame, task: list[str], kind: str, seq: str) -> DataFrame:
@@ -135,3 +166,11 @@ def task_lifecycle(df: DataFrame, task: list[str], kind: str, seq: str) -> DataF
     good = "submit = 1 and reject + least(start, 1) <= 1 and start <= 1 and `end` + throw <= 1 and `end` + throw <= start and coalesce(t1 > t0, true) and coalesce(t2 > t1, true)"
     status = F.when(~F.expr(good), "violation").when(F.col("reject") == 1, "submission_rejected").when(F.col("end") == 1, "worker_completed").when(F.col("throw") == 1, "worker_exceptional").otherwise("not_started")
     return s.select(*task, status.alias("status"))
+
+
+def task_gets_gate(df: DataFrame, task: list[str], kind: str, seq: str, result: str) -> DataFrame:
+    """Gets of a task that come before its end, or whose result isn't the end's (a throw's cause for a failed task)."""
+    done = df.where(F.col(kind).isin("end", "throw")).groupBy(*task).agg(F.min(seq).alias("__at"), F.min_by(result, seq).alias("__result"))
+    gets = df.where(F.col(kind) == "get").join(done, task, "left")
+    rule = F.when(F.col("__at").isNull() | (F.col("__at") >= F.col(seq)), "get_before_end").when(~F.col(result).eqNullSafe(F.col("__result")), "other_result")
+    return gets.withColumn("rule", rule).where("rule is not null").select(*task, "rule", F.col(seq).cast("string").alias("detail"))

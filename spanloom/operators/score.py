@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -90,9 +90,25 @@ def retention(pairs: DataFrame, correct: str = "correct") -> DataFrame:
     return pairs.agg(F.try_divide(F.coalesce(both, F.lit(0)).cast("double"), base.cast("double")).alias("retention"))
 
 
-def family_counts(records: DataFrame, family: str, state: str, states: list[str]) -> DataFrame:
-    """Rows of each state by family, one column a state, and all rows."""
-    return records.groupBy(family).agg(F.count("*").alias("targets"), *[F.count_if(F.col(state) == s).alias(s) for s in states])
+def capability_gaps(a: DataFrame, b: DataFrame, key: list[str], state: str = "state", correct: str = "correct") -> DataFrame:
+    """Targets that the second tool (the baseline) has right and the first has not, with the first's state; a target that it lacks has null."""
+    base = b.where(F.col(state) == correct).select(*key)
+    return base.join(a.select(*key, F.col(state).alias("state_a")), key, "left").where(~F.col("state_a").eqNullSafe(F.lit(correct)))
+
+
+def family_counts(records: DataFrame, family: str, state: str, states: list[str], applicable: Column | None = None) -> DataFrame:
+    """Rows of each state by family, one column a state, and all rows; with ``applicable`` rows that aren't are counted as ``not_applicable`` alone."""
+    yes = F.lit(True) if applicable is None else F.coalesce(applicable, F.lit(False))
+    extra = [] if applicable is None else [F.count_if(~yes).alias("not_applicable")]
+    return records.groupBy(family).agg(F.count_if(yes).alias("targets"), *extra, *[F.count_if(yes & (F.col(state) == s)).alias(s) for s in states])
+
+
+def occurrence_names(events: DataFrame, root: list[str], kind: str, callee: str, order: list[str]) -> DataFrame:
+    """``events`` with ``occurrence``: how many of the same kind and callee stand before it in its root.
+
+    Objects' ids differ between runs; (kind, callee, occurrence) in a root names the same thing in each.
+    """
+    return events.withColumn("occurrence", F.row_number().over(Window.partitionBy(*root, kind, callee).orderBy(*order)) - 1)
 
 
 def answers_equal(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:

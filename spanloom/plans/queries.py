@@ -8,7 +8,7 @@ from ..functions import project
 from ..operators import components, cost, gates, graph, joins, score, spans
 from ..scratch import materialize
 from . import adapters as ad
-from . import evidence_queries, more_queries  # noqa: F401  these register their own queries
+from . import evidence_queries, further_queries, more_queries  # noqa: F401  these register their own queries
 from .adapters import ELOG, LINES, OBS, SPANS
 from .registry import register
 
@@ -381,10 +381,15 @@ def overlapping_pairs(spark, d):
 @register("reduction_lineage", """WITH m AS (SELECT l_orderkey AS k, count(*) AS n, count(DISTINCT l_linenumber) AS dn, sum(l_quantity * round(l_discount * 100)) AS t, count(*) FILTER (l_partkey % 50 = 0) AS u FROM lineitem GROUP BY 1), r AS (SELECT o_orderkey AS k, o_orderkey % 4 AS e FROM orders)
 SELECT r.k, CASE WHEN n IS NULL THEN 'missing' WHEN u > 0 THEN 'unknown' WHEN e = 1 OR dn <> n THEN 'membership' WHEN e = 2 THEN 'total' ELSE 'matched' END AS status FROM r LEFT JOIN m USING (k)""")
 def reduction_lineage(spark, d):
+    return joins.reduction_lineage(*reduction_tables(spark, d), "k")
+
+
+def reduction_tables(spark, d):
+    """Members of orders, and their declared sizes and totals, some perturbed."""
     m = ad.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("member"), F.col("l_quantity").alias("quantity"), F.round(F.col("l_discount") * 100).alias("unit_price"), F.when(F.col("l_partkey") % 50 != 0, F.col("l_partkey")).alias("source"))
     totals = m.groupBy("k").agg(F.count("*").alias("n"), F.sum(F.col("quantity") * F.col("unit_price")).alias("t"))
     r = ad.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 4).alias("e")).join(totals, "k", "left")
-    return joins.reduction_lineage(m, r.select("k", (F.col("n") + (F.col("e") == 1).cast("int")).alias("declared"), (F.col("t") + F.when(F.col("e") == 2, 5).otherwise(0)).alias("total")), "k")
+    return m, r.select("k", (F.col("n") + (F.col("e") == 1).cast("int")).alias("declared"), (F.col("t") + F.when(F.col("e") == 2, 5).otherwise(0)).alias("total"))
 
 
 @register("cell_join", """SELECT c.c_name AS v0, 0 AS f0, c.c_custkey AS r0, coalesce(n.n_name, '-') AS v1, CASE WHEN n.n_nationkey IS NOT NULL THEN 1 END AS f1, n.n_nationkey::BIGINT AS r1 FROM customer c LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 5 <> 0) n ON c.c_nationkey = n.n_nationkey""")

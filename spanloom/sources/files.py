@@ -19,10 +19,10 @@ def read_spans(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("traceId").alias("trace"), F.col("id").alias("span"), F.col("parentId").alias("parent"), "name", "kind", F.col("localEndpoint.serviceName").alias("service"), F.col("timestamp").alias("start_us"), F.col("duration").alias("duration_us"), "tags")
 
 
-def read_events(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines, one file a role; the file's name without its ending is the column ``role``."""
+def read_events(spark: SparkSession, path: str, schema: str, folder: bool = False) -> DataFrame:
+    """JSON lines, one file a role, or one folder if ``folder``; its name, without a file's ending, is the column ``role``."""
     rows = spark.read.schema(schema).json(path)
-    return rows.withColumn("role", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[^./]*)?$", 1))
+    return rows.withColumn("role", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$" if folder else r"([^/]+?)(?:\.[^./]*)?$", 1))
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
