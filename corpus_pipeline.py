@@ -1,4 +1,10 @@
-"""A training corpus from raw documents: quality rules, exact and near duplicates, source mixing, token ids."""
+"""A training corpus from raw documents: quality rules, exact and near duplicates, source mixing, token ids.
+
+Defined cases: null and empty texts fail the quality rules, so later stages don't see them in run(); each stage alone takes
+them as its operator says. Rows without a doc_id are documents like others: of equal texts one stays, they are near copies
+of others but never stand for them, and they share one point of the mixture. Columns of any name pass through all stages but the last.
+An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 

@@ -3,6 +3,7 @@
 import hashlib
 import json
 
+from spanloom import scratch
 from spanloom.sources import files
 
 SPAN = {"traceId": "t", "id": "a", "parentId": None, "name": "n", "kind": "SERVER", "localEndpoint": {"serviceName": "s"}, "timestamp": 5, "duration": 7, "tags": {"http.method": "get"}}
@@ -31,3 +32,14 @@ def test_events_digests_reports(spark, tmp_path):
         files.write_report(spark.range(4).selectExpr("id", "id % 2 as half"), str(tmp_path / kind), kind, ["half"])
         reader = spark.read.option("header", "true") if kind == "csv" else spark.read
         assert sorted(int(r.id) for r in reader.format(kind).load(str(tmp_path / kind)).where("half = 1").collect()) == [1, 3]
+
+
+def test_scratch_tables_are_cleared(spark):
+    import os
+
+    scratch.materialize(spark.range(3), "some")
+    table = scratch.materialize_bucketed(spark.range(3), "id", 2, "some")
+    paths = [p.removeprefix("file://") for p in scratch._PATHS]
+    assert table.count() == 3 and all(map(os.path.isdir, paths[-2:]))
+    scratch.clear(spark)
+    assert not any(map(os.path.exists, paths)) and not scratch._PATHS
