@@ -431,17 +431,45 @@ def test_weak_quality_scores(spark):
 
 
 def test_pipeline(spark, tmp_path):
+    """run() against its five stages done by hand: verdicts, equal texts, similar texts pair by pair, Poisson points, library ids."""
+    import math
+
     import corpus_pipeline
+    import tiktoken
 
-    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
-    rng = np.random.default_rng(1)
-    texts = [" ".join(rng.choice(words) + str(rng.integers(999)) for _ in range(120)) + "." for _ in range(30)]
-    texts += [texts[0], "short", "spam spam spam " * 60, None]
-    data = [(k, t, "en", f"s{k % 2}", len(t or "")) for k, t in enumerate(texts)]
-    spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    folder = "/root/testdata/sf0.01"
+    good = {r["doc_id"] for r in pq.read_table(f"{folder}/labels.parquet").to_pylist() if r["quality"] == 1}
+    prose = sorted({t for i, t in zip(*pq.read_table(f"{folder}/documents.parquet", columns=["doc_id", "text"]).to_pydict().values(), strict=True) if i in good})
+    texts = [t for t, kept in zip(prose, quality_rules.judge(list(map(raw, prose)))["kept"], strict=True) if kept and len(t.split()) > 80][:60]
+    texts += [texts[0], texts[0], "short", "spam spam spam " * 60, None, "", texts[5] + " more", texts[5].replace(" ", "  ", 3), texts[6] + " " + texts[7]]
+    data = [(k, t, "en", f"s{k % 5 % 2}", len(t or ""), "clash") for k, t in enumerate(texts)]
+    spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, copies string").write.parquet(f"{tmp_path}/documents.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert got and all(r.text == texts[r.doc_id] for r in got)
-    assert {r.doc_id for r in got} <= set(range(1, 31))  # 0 is a copy of 30, the rest fail the rules
+    verdicts = quality_rules.judge([raw(t) for t in texts])["kept"]
+    kept = {k for k, good in enumerate(verdicts) if good}
+    kept = {max(x for x in kept if texts[x] == texts[k]) for k in kept}
+    sets = {k: shingles(texts[k]) for k in kept}
+    part = {k: k for k in kept}
+    for a in kept:
+        for b in kept:
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                part = {k: part[b] if p == part[a] else p for k, p in part.items()}
+    kept = {min(x for x in kept if part[x] == part[k]) for k in kept}
+    assert 40 < len(kept) < 64 and 0 not in kept and not kept & {60, 62, 63, 64, 65, 66, 67}
+    sizes = Counter(f"s{k % 5 % 2}" for k in kept)
+    want = Counter()
+    for k in kept:
+        n, weight = sizes[f"s{k % 5 % 2}"], {s: math.sqrt(x) for s, x in sizes.items()}
+        rate = len(kept) * weight[f"s{k % 5 % 2}"] / sum(weight.values()) / n
+        point = (int(hashlib.md5(f"1:{k}".encode()).hexdigest()[:12], 16) + 0.5) / 16**12
+        upto = term = math.exp(-rate)
+        while upto < point:
+            want[k] += 1
+            term *= rate / want[k]
+            upto += term
+    assert Counter(r.doc_id for r in got) == +want
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    assert all(r.text == texts[r.doc_id] and r.ids == own.encode_ordinary(texts[r.doc_id]) for r in got)
 
 
 def shingles(t):
