@@ -100,19 +100,20 @@ def ancestors(edges: DataFrame, by: list[str]) -> DataFrame:
 
     Nodes on or below a cycle have one row with null ancestor and distance; other groups and chains keep their answers.
     """
-    cyclic = materialize(climb(edges, by).where("status = 'cycle'").select(*by, "node"), "cyclic")
-    sound = edges.where("parent is not null").join(cyclic, [*by, "node"], "left_anti")
-    paths = materialize(sound.select(*by, "node", F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("distance")), "paths")
-    longest = 1
-    while True:
+    paths = materialize(edges.where("parent is not null").select(*by, "node", F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("distance")), "paths")
+    new, longest = paths, 1
+    while not new.isEmpty():
+        if not new.where("node = ancestor").isEmpty():
+            cyclic = materialize(climb(edges, by).where("status = 'cycle'").select(*by, "node"), "cyclic")
+            sound = ancestors(edges.join(cyclic, [*by, "node"], "left_anti"), by)
+            kind = paths.schema["ancestor"].dataType
+            return sound.unionByName(cyclic.select(*by, "node", F.lit(None).cast(kind).alias("ancestor"), F.lit(None).cast("long").alias("distance")))
         far = paths.where(F.col("distance") == longest).select(*by, F.col("node").alias("mid0"), F.col("ancestor").alias("mid"))
         tail = paths.select(*by, F.col("node").alias("mid"), "ancestor", "distance")
         new = materialize(far.join(tail, [*by, "mid"]).select(*by, F.col("mid0").alias("node"), "ancestor", (F.col("distance") + longest).alias("distance")), "paths")
-        if new.isEmpty():
-            kind = paths.schema["ancestor"].dataType
-            return paths.unionByName(cyclic.select(*by, "node", F.lit(None).cast(kind).alias("ancestor"), F.lit(None).cast("long").alias("distance")))
         paths = paths.unionByName(new)
         longest *= 2
+    return paths
 
 
 def origins(edges: DataFrame, nodes: DataFrame, targets: DataFrame, by: list[str]) -> DataFrame:

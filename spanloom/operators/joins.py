@@ -63,18 +63,24 @@ def greedy_levels(pairs: pd.DataFrame) -> pd.DataFrame:
     return pairs.iloc[at].assign(tied=np.array(tied, bool))
 
 
+#: Pairs that are matched in one go, if their islands are smaller.
+ISLAND_ROWS = 20_000
+
+
 def greedy_match(candidates: DataFrame) -> DataFrame:
     """One-to-one matching by ascending cost: client, server, service, path, cost, and ``tied`` for pairs that abstained.
 
     Candidates never cross a service and path. Where they have times (from_us, to_us), each such group is cut at every moment
-    that no pair spans: pairs that share a call overlap, so the islands between the cuts are matched alone, as one task each.
+    that no pair spans: pairs that share a call overlap, so the islands between the cuts don't touch each other. Islands of
+    some ``ISLAND_ROWS`` pairs together are matched in one go; a larger island is one alone.
     """
     columns = ["client", "server", "service", "path", "cost"]
     kinds = {f.name: f.dataType.simpleString() for f in candidates.schema.fields}
     if "from_us" in candidates.columns:
         w = Window.partitionBy("service", "path").orderBy("from_us", "to_us", "client", "server")
-        new = F.coalesce(F.col("from_us") > F.max("to_us").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int")
-        rows = candidates.select(*columns, "from_us", "to_us").withColumn("new", new).withColumn("island", F.sum("new").over(w)).select(*columns, "island")
+        new = F.coalesce(F.col("from_us") > F.max("to_us").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+        rows = candidates.select(*columns, "from_us", "to_us").withColumn("at", F.row_number().over(w)).withColumn("new", F.when(new, F.col("at")))
+        rows = rows.withColumn("island", F.expr(f"max(new) over (partition by service, path order by from_us, to_us, client, server) div {ISLAND_ROWS}")).select(*columns, "island")
     else:
         rows = candidates.select(*columns, F.lit(0).alias("island"))
     return rows.groupBy("service", "path", "island").applyInPandas(lambda pdf: greedy_levels(pdf)[[*columns, "tied"]], ", ".join(f"{c} {kinds[c]}" for c in columns) + ", tied boolean")
