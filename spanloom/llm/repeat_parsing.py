@@ -248,7 +248,8 @@ def repeated(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def window_verdicts(texts: DataFrame, open_units: DataFrame, length: int, buckets: int) -> DataFrame:
     """The windows of open units that occur twice among them."""
-    wanted = open_units.groupBy("doc", "size").agg(F.collect_set("ranges").alias("units"))
+    # written, so that the join has a plain shuffle on both sides, whose large groups of equal texts Spark can split
+    wanted = materialize(open_units.groupBy("doc", "size").agg(F.collect_set("ranges").alias("units")), "wanted")
 
     def post(batches):
         for part in slices(batches, 0, 4 << 20):
@@ -320,7 +321,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     zipped = with_zipped(texts)
     more = materialize(window_verdicts(zipped, told.where("not repeats"), length, buckets), "windows")
     # the windows that repeat, as ranges of their starts; a text's hash and size stand for the text, whichever rows have it
-    ranges = told.where("repeats").unionByName(more).groupBy("doc", "size").agg(F.collect_set("ranges").alias("starts"))
+    ranges = materialize(told.where("repeats").unionByName(more).groupBy("doc", "size").agg(F.collect_set("ranges").alias("starts")), "ranges")
     both = zipped.join(ranges, ["doc", "size"], "left").select("zipped", "doc_id", "starts")
 
     def run(part):
