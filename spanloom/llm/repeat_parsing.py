@@ -5,19 +5,21 @@ of equal ones) is the window's trigger, so equal windows have their trigger at t
 one. All windows of one trigger make a phrase with its surroundings; cut once more by the trigger's distance, each
 such unit is a run of window starts together with the bytes that they cover.
 
-The dictionary of units settles most of the corpus: a unit that occurs twice repeats in all its windows, and a unit
-whose core (the bytes that all its windows share) occurs nowhere else repeats in none. Only units that share a core
-but not all bytes, at the edges of repeats, have their windows put in order one by one, and equal neighbours in that
-order repeat. Order is by digest, not by letter: equality of ``length`` bytes is all that is asked, so neither the
-dictionary's nor the parse's suffixes need their lexicographic ranks.
+The units settle most of the corpus: a unit that occurs twice repeats in all its windows, and a unit whose core (the
+bytes that all its windows share) occurs nowhere else repeats in none. Only units that share a core but not all bytes,
+at the edges of repeats, stay open. Open units are dealt by core, and each bucket of them is put in corpus order
+(``corpus_order``): the suffix array of its dictionary of phrases and that of its parse give the order of all windows,
+in which neighbours whose first ``length`` bytes are equal, byte by byte, repeat.
 
 Each slice of documents first settles what repeats inside it and sends one posting for each core, so a passage that a
 third of all documents share sends no more than one posting for each slice. Postings are dealt by digest into buckets
-whose number follows the input.
+whose number follows the input. Edges of such a passage differ from document to document though they share its core, so
+a bucket may get many open units: one of more than ``OPEN_BYTES`` is dealt again window by window, by the windows'
+digests, where each slice sends one window of each digest, and equal digests repeat.
 
 Defined cases: null counts as empty; texts shorter than ``length`` lose nothing. Matches never cross documents. Repeated
 rows repeat each other. Further columns are not read. Cores and units are compared by 64 bits each, a unit's 64 only
-among units with equal cores; windows by 96 bits.
+among units with equal cores; windows of open units by their bytes, of those dealt again by 96 bits.
 """
 
 from __future__ import annotations
@@ -31,24 +33,12 @@ from pyspark.sql import functions as F
 
 from ..scratch import materialize
 from .batches import bytes_of, map_slices, slices
+from .corpus_order import GRAM, repeated_windows, rolling
 
-GRAM = 8
 #: Bytes of text behind each bucket of postings.
 BUCKET_BYTES = 32 << 20
-
-
-def rolling(data: np.ndarray) -> np.ndarray:
-    """A hash of the eight bytes from each place on; the high 32 bits, with zeros below."""
-    n = len(data) - GRAM + 1
-    gram = np.zeros(n, np.uint64)
-    for k in range(GRAM):
-        part = data[k : k + (len(data) - k) // GRAM * GRAM].view("<u8")
-        gram[k::GRAM] = part[: len(gram[k::GRAM])]
-    with np.errstate(over="ignore"):
-        gram *= np.uint64(0x9E3779B97F4A7C15)
-        gram ^= gram >> np.uint64(29)
-        gram *= np.uint64(0xBF58476D1CE4E5B9)
-    return gram & np.uint64(0xFFFFFFFF00000000)
+#: Bytes of open units that are put in order at once.
+OPEN_BYTES = 16 << 20
 
 
 def triggers(data: np.ndarray, length: int) -> np.ndarray:
@@ -246,33 +236,99 @@ def repeated(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return again, one
 
 
-def window_verdicts(texts: DataFrame, open_units: DataFrame, length: int, buckets: int) -> DataFrame:
+OPEN = np.dtype([("doc", "<i8"), ("size", "<u4"), ("first", "<u4"), ("more", "<u4")])
+OPEN_POST = "bucket int, bytes long, head binary, units binary, told binary"
+OPEN_ARROW = pa.schema([("bucket", pa.int32()), ("bytes", pa.int64()), ("head", pa.binary()), ("units", pa.binary()), ("told", pa.binary())])
+
+
+def core_digests(strings: list[bytes], length: int) -> np.ndarray:
+    """The digest of each unit's core, found from the unit's bytes: its first window has the trigger of all."""
+    heads = np.frombuffer(b"".join(s[:length] for s in strings) + bytes(GRAM - 1), np.uint8)
+    hashes = rolling(heads).reshape(-1, length)[:, : length - GRAM + 1]
+    trigger = (length - GRAM) - np.argmin(hashes[:, ::-1], axis=1)
+    half = (length - GRAM + 2) // 2
+    core = xxhash.xxh3_64_intdigest
+    return np.fromiter((core(s[t - half : t + GRAM] if t >= half else s[t : t - half + 1 + length], t >= half) for s, t in zip(strings, trigger.tolist(), strict=True)), np.uint64, len(strings))
+
+
+def told_by_unit(rows: np.ndarray, again: np.ndarray) -> np.ndarray:
+    """The flagged windows of the units, which follow each other, as told ranges."""
+    count = rows["more"].astype(np.int64) + 1
+    of = np.repeat(np.arange(len(rows)), count)[again]
+    first = (np.arange(len(again)) - np.repeat(np.cumsum(count) - count, count))[again] + rows["first"][of]
+    return spans_of(rows["doc"][of], rows["size"][of], first)
+
+
+def told_once(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Which strings are the first of their bytes, and which have bytes that another has too."""
+    place: dict[bytes, int] = {}
+    of = np.fromiter((place.setdefault(s, k) for k, s in enumerate(strings)), np.int64, len(strings))
+    return of == np.arange(len(of)), np.bincount(of, minlength=len(of))[of] > 1
+
+
+def window_verdicts(texts: DataFrame, open_units: DataFrame, length: int, buckets: int, open_bytes: int) -> DataFrame:
     """The windows of open units that occur twice among them."""
     # written, so that the join has a plain shuffle on both sides, whose large groups of equal texts Spark can split
     wanted = materialize(open_units.groupBy("doc", "size").agg(F.collect_set("ranges").alias("units")), "wanted")
 
     def post(batches):
+        zipper = zstandard.ZstdCompressor(level=3)
         for part in slices(batches, 0, 4 << 20):
-            docs, sizes = part.column(1).to_numpy(), part.column(2).to_numpy()
-            digests, of, first = bytearray(), [], []
-            for k, (data, found) in enumerate(zip(part.column(0).to_pylist(), part.column(3).to_pylist(), strict=True)):
+            docs, sizes = part.column(1).to_pylist(), part.column(2).to_pylist()
+            strings, rows = [], []
+            for data, doc, size, found in zip(part.column(0).to_pylist(), docs, sizes, part.column(3).to_pylist(), strict=True):
                 text = unzipped(data)
-                for more, start in ranges_of(found).tolist():
-                    for i in range(start, start + more + 1):
-                        digests += xxhash.xxh3_128_digest(text[i : i + length])[:DIGEST]
-                        of.append(k)
-                        first.append(i)
-            digest, of, first = np.frombuffer(bytes(digests), np.uint8).reshape(-1, DIGEST), np.array(of, np.int64), np.array(first, np.int64)
-            # what repeats in this slice is known; one window of each digest is sent
-            again, one = repeated(digest)
-            told = spans_of(docs[of[again]], sizes[of[again]], first[again])
-            digest, of, first = digest[one], of[one], first[one]
-            to = np.ascontiguousarray(digest[:, 8:]).view("<u4").ravel() % np.uint32(buckets)
+                for more, first in ranges_of(found).tolist():
+                    strings.append(text[first : first + more + length])
+                    rows.append((doc, size, first, more))
+            rows = np.array(rows, OPEN)
+            # equal units repeat; one of them is sent
+            one, again = told_once(strings)
+            told = tell(rows[again], True)
+            rows, strings = rows[one], [s for s, x in zip(strings, one.tolist(), strict=True) if x]
+            to = (core_digests(strings, length) >> np.uint64(20)) % np.uint64(buckets)
             order = np.argsort(to, kind="stable")
             used, starts = np.unique(to[order], return_index=True)
-            rows = [window_row(docs, sizes, of[i], first[i], digest[i]) for i in np.split(order, starts[1:])] if len(used) else [window_row(docs, sizes, of, first, digest)]
-            share = np.array_split(told, len(rows))
-            yield pa.record_batch([pa.array(used.astype(np.int32) if len(used) else np.zeros(1, np.int32)), pa.array(rows, pa.binary()), pa.array([x.tobytes() for x in share], pa.binary())], schema=POST_ARROW)
+            groups = np.split(order, starts[1:]) if len(used) else [order]
+            share = np.array_split(told, len(groups))
+            joined_units = [b"".join([strings[i] for i in g.tolist()]) for g in groups]
+            columns = [used.astype(np.int32) if len(used) else np.zeros(1, np.int32), [len(u) for u in joined_units], [rows[g].tobytes() for g in groups], [zipper.compress(u) if u else b"" for u in joined_units], [x.tobytes() for x in share]]
+            yield pa.record_batch([pa.array(c, type=f.type) for c, f in zip(columns, OPEN_ARROW, strict=True)], schema=OPEN_ARROW)
+
+    def units_of(heads, packed) -> tuple[np.ndarray, list[bytes]]:
+        rows = np.frombuffer(b"".join(h.as_py() for h in heads), OPEN)
+        whole = b"".join(unzipped(p.as_py()) for p in packed)
+        ends = np.cumsum(rows["more"].astype(np.int64) + length)
+        return rows, [whole[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+
+    def put_in_order(table: pa.Table) -> pa.Table:
+        rows, strings = units_of(table.column("head"), table.column("units"))
+        one, again = told_once(strings)
+        told = tell(rows[again], True)
+        rows, strings = rows[one], [s for s, x in zip(strings, one.tolist(), strict=True) if x]
+        found = repeated_windows(strings, rows["more"].astype(np.int64), length) if len(rows) > 1 else np.zeros(0, bool)
+        spans = told_by_unit(rows, found) if len(found) else told[:0]
+        return as_table(np.concatenate([told, spans, joined(table.column("told"), TOLD)]))
+
+    def deal_windows(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                part = batch.slice(k, 1)
+                rows, strings = units_of(part.column(2), part.column(3))
+                digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s[i : i + length])[:DIGEST] for s in strings for i in range(len(s) - length + 1)), np.uint8).reshape(-1, DIGEST)
+                count = rows["more"].astype(np.int64) + 1
+                of = np.repeat(np.arange(len(rows)), count)
+                first = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + rows["first"][of]
+                # what repeats in this row is known; one window of each digest is sent
+                again, one = repeated(digest)
+                told = np.concatenate([spans_of(rows["doc"][of[again]], rows["size"][of[again]], first[again]), joined(part.column(4), TOLD)])
+                digest, of, first = digest[one], of[one], first[one]
+                to = np.ascontiguousarray(digest[:, 8:]).view("<u4").ravel() % np.uint32(buckets)
+                order = np.argsort(to, kind="stable")
+                used, starts = np.unique(to[order], return_index=True)
+                packed = [window_row(rows["doc"], rows["size"], of[i], first[i], digest[i]) for i in (np.split(order, starts[1:]) if len(used) else [order])]
+                share = np.array_split(told, len(packed))
+                yield pa.record_batch([pa.array(used.astype(np.int32) if len(used) else np.zeros(1, np.int32)), pa.array(packed, pa.binary()), pa.array([x.tobytes() for x in share], pa.binary())], schema=POST_ARROW)
 
     def meet(table: pa.Table) -> pa.Table:
         doc, size, first, digest = (np.concatenate(x) for x in zip(*(window_columns(x.as_py()) for x in table.column("posted")), strict=True))
@@ -280,7 +336,12 @@ def window_verdicts(texts: DataFrame, open_units: DataFrame, length: int, bucket
         return as_table(np.concatenate([spans_of(doc[again], size[again], first[again]), joined(table.column("told"), TOLD)]))
 
     found = texts.join(wanted, ["doc", "size"]).select("zipped", "doc", "size", "units")
-    return found.mapInArrow(post, POST).groupBy("bucket").applyInArrow(meet, TOLD_TYPES)
+    posts = materialize(found.mapInArrow(post, OPEN_POST), "open_units")
+    # at most one row for each OPEN_BYTES of open units
+    large = F.broadcast(posts.groupBy("bucket").agg(F.sum("bytes").alias("all_bytes")).where(F.col("all_bytes") > open_bytes).select("bucket"))
+    ordered = posts.join(large, "bucket", "left_anti").groupBy("bucket").applyInArrow(put_in_order, TOLD_TYPES)
+    dealt = posts.join(large, "bucket", "left_semi").select("bucket", "bytes", "head", "units", "told").mapInArrow(deal_windows, POST)
+    return ordered.unionByName(dealt.groupBy("bucket").applyInArrow(meet, TOLD_TYPES))
 
 
 def unzipped(data: bytes | None) -> bytes:
@@ -311,7 +372,7 @@ def cover(n: int, starts: list[bytes] | None, length: int) -> np.ndarray:
 REMOVED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, open_bytes: int = OPEN_BYTES) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, ``spans`` (byte ranges removed) and ``kept``, the remaining bytes."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("doc"), F.octet_length(text).alias("size"))
@@ -319,7 +380,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = max(24, int(total // BUCKET_BYTES))
     told = materialize(unit_verdicts(texts, length, buckets), "units")
     zipped = with_zipped(texts)
-    more = materialize(window_verdicts(zipped, told.where("not repeats"), length, buckets), "windows")
+    more = materialize(window_verdicts(zipped, told.where("not repeats"), length, buckets, open_bytes), "windows")
     # the windows that repeat, as ranges of their starts; a text's hash and size stand for the text, whichever rows have it
     ranges = materialize(told.where("repeats").unionByName(more).groupBy("doc", "size").agg(F.collect_set("ranges").alias("starts")), "ranges")
     both = zipped.join(ranges, ["doc", "size"], "left").select("zipped", "doc_id", "starts")
