@@ -38,7 +38,9 @@ from .corpus_order import GRAM, repeated_windows, rolling
 #: Bytes of text behind each bucket of postings.
 BUCKET_BYTES = 32 << 20
 #: Bytes of open units that are put in order at once.
-OPEN_BYTES = 16 << 20
+OPEN_BYTES = 8 << 20
+#: Buckets of open units for each bucket of postings, and the most partitions that they are dealt to.
+FINER, MOST_PARTITIONS = 4, 20_000
 
 
 def triggers(data: np.ndarray, length: int) -> np.ndarray:
@@ -286,7 +288,7 @@ def window_verdicts(texts: DataFrame, open_units: DataFrame, length: int, bucket
             one, again = told_once(strings)
             told = tell(rows[again], True)
             rows, strings = rows[one], [s for s, x in zip(strings, one.tolist(), strict=True) if x]
-            to = (core_digests(strings, length) >> np.uint64(20)) % np.uint64(buckets)
+            to = (core_digests(strings, length) >> np.uint64(20)) % np.uint64(FINER * buckets)
             order = np.argsort(to, kind="stable")
             used, starts = np.unique(to[order], return_index=True)
             groups = np.split(order, starts[1:]) if len(used) else [order]
@@ -339,7 +341,8 @@ def window_verdicts(texts: DataFrame, open_units: DataFrame, length: int, bucket
     posts = materialize(found.mapInArrow(post, OPEN_POST), "open_units")
     # at most one row for each OPEN_BYTES of open units
     large = F.broadcast(posts.groupBy("bucket").agg(F.sum("bytes").alias("all_bytes")).where(F.col("all_bytes") > open_bytes).select("bucket"))
-    ordered = posts.join(large, "bucket", "left_anti").groupBy("bucket").applyInArrow(put_in_order, TOLD_TYPES)
+    # a stated number of partitions, as adaptive coalescing goes by packed bytes and not by the work behind them
+    ordered = posts.join(large, "bucket", "left_anti").repartition(min(FINER * buckets, MOST_PARTITIONS), "bucket").groupBy("bucket").applyInArrow(put_in_order, TOLD_TYPES)
     dealt = posts.join(large, "bucket", "left_semi").select("bucket", "bytes", "head", "units", "told").mapInArrow(deal_windows, POST)
     return ordered.unionByName(dealt.groupBy("bucket").applyInArrow(meet, TOLD_TYPES))
 
