@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import block_naming, byte_bpe, quality_rules, repeat_parsing, secret_automaton, simhash_tiles, source_mixing, token_shards, toxicity_grammar, weak_quality
+from . import block_naming, byte_bpe, centroid_search, license_index, quality_rules, repeat_parsing, secret_automaton, simhash_tiles, source_mixing, spelling_variants, token_shards, toxicity_grammar, weak_quality
 
 QUERIES = {}
 ORACLES = {}
@@ -115,3 +115,38 @@ def op10_toxicity_grammar(spark, sf_dir):
     docs = documents(spark, sf_dir)
     grammar = toxicity_grammar.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity_grammar.score_documents(docs, grammar)
+
+
+def rounds_sql(k: int, rounds: int, dims: int, scale: int, seed: str) -> str:
+    """The clustering as a chain of rounds: distances of all vectors to the k centroids, then exact floors of the means."""
+    nearest = "SELECT vec_id, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT x.vec_id, m.c, sum((x.v - m.v) * (x.v - m.v))::BIGINT AS d FROM x JOIN m{r} m USING (i) GROUP BY 1, 2) GROUP BY 1"
+    parts = [f"""kept AS (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {dims}),
+    x AS MATERIALIZED (SELECT vec_id, i, floor({scale} * embedding[i + 1]::DOUBLE)::BIGINT AS v FROM kept, (SELECT unnest(range(0, {dims})) AS i)),
+    m0 AS MATERIALIZED (SELECT c, i, v FROM x JOIN (SELECT vec_id, row_number() OVER (ORDER BY sha256('{seed}:' || vec_id)) - 1 AS c FROM kept) USING (vec_id) WHERE c < {k})"""]
+    for r in range(rounds):
+        parts.append(f"""a{r} AS MATERIALIZED ({nearest.format(r=r)}),
+    m{r + 1} AS MATERIALIZED (SELECT m.c, m.i, CASE WHEN n IS NULL THEN m.v ELSE (s - ((s % n) + n) % n) // n END AS v FROM m{r} m LEFT JOIN (SELECT c, i, sum(v)::BIGINT AS s, count(*) AS n FROM x JOIN a{r} USING (vec_id) GROUP BY 1, 2) USING (c, i))""")
+    parts.append(f"last AS MATERIALIZED ({nearest.format(r=rounds)}), name AS (SELECT c, sha256(string_agg(v::VARCHAR, ',' ORDER BY i)) AS name FROM m{rounds} GROUP BY c)")
+    return f"""WITH {", ".join(parts)} SELECT vec_id, c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, name AS centroid_sha256 FROM last JOIN name USING (c)"""
+
+
+@register("op13_shallot_clusters", rounds_sql(8, 10, 64, 1024, "3"))
+def op13_shallot_clusters(spark, sf_dir):
+    return centroid_search.clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=8, rounds=10, dims=64, scale=1024, seed="3")
+
+
+@register("op12_spelling_variants")
+def op12_spelling_variants(spark, sf_dir):
+    return spelling_variants.variants(documents(spark, sf_dir))
+
+
+@register("op11_license_index")
+def op11_license_index(spark, sf_dir):
+    found = license_index.find_licenses(documents(spark, sf_dir))
+    base = F.filter("places", lambda p: p["base"])
+    named = lambda places: F.array_join(F.array_sort(F.array_distinct(F.transform(places, lambda p: p["label"]))), ",")
+    firsts = F.transform(base, lambda p: p["first"])
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(firsts).alias("first_word"), F.array_max(firsts).alias("last_word"),
+        named(base).alias("base_labels"), named(F.col("places")).alias("labels"), F.coalesce(F.array_max(F.transform("places", lambda p: p["score"])), F.lit(0.0)).alias("score"),
+    )
