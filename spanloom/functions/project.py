@@ -20,14 +20,23 @@ def binding_table(df: DataFrame, keys: list[str], salt: str, name: str = "opaque
     return assign_opaque_ids(df.select(*keys).distinct(), keys, salt, name).select(name, *keys).orderBy(name)
 
 
+def _tag(*names: str) -> Column:
+    return F.coalesce(*[F.col("tags").getItem(n) for n in names])
+
+
+def _observed(spans: DataFrame, services: list[str]) -> DataFrame:
+    """Client and server spans of the services with a method and no other scheme than http(s), with ``rules``: what refuses them."""
+    url = _tag("http.url", "url.full", "http.target")
+    scheme = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
+    rows = spans.where(F.col("service").isin(services) & F.col("kind").isin("CLIENT", "SERVER") & _tag("http.method", "http.request.method").isNotNull() & scheme.isin("", "http", "https"))
+    timing = F.expr("start_us is null or start_us < 0 or duration_us is null or duration_us < 0")
+    path = url_path(url)
+    return rows.withColumn("rules", F.array_compact(F.array(F.when(timing, F.lit("bad_timing")), F.when(path.isNull() | ~path.startswith("/"), F.lit("bad_path")))))
+
+
 def observation_violations(spans: DataFrame, services: list[str]) -> DataFrame:
     """(trace, span, rule) of client and server spans of the services that can't be projected: bad_timing or bad_path."""
-    tag = lambda *names: F.coalesce(*[F.col("tags").getItem(n) for n in names])
-    rows = spans.where(F.col("service").isin(services) & F.col("kind").isin("CLIENT", "SERVER") & tag("http.method", "http.request.method").isNotNull())
-    timing = F.expr("start_us is null or start_us < 0 or duration_us is null or duration_us < 0")
-    path = url_path(tag("http.url", "url.full", "http.target"))
-    bad = F.array_compact(F.array(F.when(timing, F.lit("bad_timing")), F.when(path.isNull() | ~path.startswith("/"), F.lit("bad_path"))))
-    return rows.select("trace", "span", F.explode(bad).alias("rule"))
+    return _observed(spans, services).select("trace", "span", F.explode("rules").alias("rule"))
 
 
 def parse_traceparent(header: Column) -> Column:
@@ -42,15 +51,14 @@ def url_path(url: Column) -> Column:
 
 
 def project_observations(spans: DataFrame, services: list[str]) -> DataFrame:
-    """Client and server spans of the services with a method: event_id parts, service, kind, method, path, peer, start_us, duration_us, status_code."""
-    tag = lambda *names: F.coalesce(*[F.col("tags").getItem(n) for n in names])
-    url = tag("http.url", "url.full", "http.target")
-    rows = spans.where(F.col("service").isin(services) & F.col("kind").isin("CLIENT", "SERVER"))
-    method = F.upper(tag("http.method", "http.request.method"))
-    scheme = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)
+    """Client and server spans of the services with a method: event_id parts, service, kind, method, path, peer, start_us, duration_us, status_code.
+
+    Spans that ``observation_violations`` names are refused.
+    """
+    url = _tag("http.url", "url.full", "http.target")
     host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]*)", 1)
-    out = rows.select("trace", "span", "parent", "service", "kind", method.alias("method"), url_path(url).alias("path"), F.when(F.col("kind") == "CLIENT", host).alias("peer"), "start_us", "duration_us", tag("http.status_code", "http.response.status_code").cast("int").alias("status_code"), scheme.alias("scheme"))
-    return out.where("method is not null and scheme in ('', 'http', 'https')").drop("scheme")
+    rows = _observed(spans, services).where(F.size("rules") == 0)
+    return rows.select("trace", "span", "parent", "service", "kind", F.upper(_tag("http.method", "http.request.method")).alias("method"), url_path(url).alias("path"), F.when(F.col("kind") == "CLIENT", host).alias("peer"), "start_us", "duration_us", _tag("http.status_code", "http.response.status_code").cast("int").alias("status_code"))
 
 
 def contained(texts: DataFrame, idents: DataFrame, text: str, ident: str) -> DataFrame:

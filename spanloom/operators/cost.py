@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import running
+
 
 def nearest_rank(df: DataFrame, group: list[str], col: str, percents: list[int]) -> DataFrame:
-    """One row a group: p50, p95, ...: the value of rank ceil(n p / 100), the first at least; nulls are left out."""
-    rows = df.where(F.col(col).isNotNull())
-    # ranks inside each group by a count of equal values first, so that hot values don't multiply rows
-    values = rows.groupBy(*group, col).agg(F.count("*").alias("__c"))
-    upto = F.sum("__c").over(Window.partitionBy(*group).orderBy(col))
-    total = F.sum("__c").over(Window.partitionBy(*group))
-    ranked = values.withColumn("__upto", upto).withColumn("__n", total)
+    """One row a group: p50, p95, ...: the value of rank ceil(n p / 100), the first at least; nulls are left out. A group of any size is ranked by many tasks."""
+    # equal values are counted first, so that hot values don't multiply rows
+    values = df.where(F.col(col).isNotNull()).groupBy(*group, col).agg(F.count("*").alias("__c"))
+    ranked = running(values, group, [col], sums={"__upto": F.col("__c")})
+    totals = values.groupBy(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)]).agg(F.sum("__c").alias("__n"))
+    rows = ranked.join(totals, [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group)] or F.lit(True))
     rank = lambda p: F.greatest(F.expr(f"(__n * {p} + 99) div 100"), F.lit(1))
-    return ranked.groupBy(*group).agg(*[F.min(F.when(F.col("__upto") >= rank(p), F.col(col))).alias(f"p{p}") for p in percents])
+    return rows.groupBy(*group).agg(*[F.min(F.when(F.col("__upto") >= rank(p), F.col(col))).alias(f"p{p}") for p in percents])
 
 
 def request_metrics(requests: DataFrame, by: list[str], window_s: float, percents: list[int] = (50, 95, 99)) -> DataFrame:
@@ -81,27 +82,39 @@ def paired_ratios(trials: DataFrame, block: list[str], mode: str, metric: str, n
     return one.withColumn("ratio", ratio).agg(F.median("ratio").alias("median"), F.min("ratio").alias("least"), F.max("ratio").alias("most"), F.count("ratio").alias("pairs"), F.count_if(F.col("ratio").isNull()).alias("incomplete"))
 
 
-def paired_uncertainty(ratios: DataFrame, metric: str, ratio: str, most: int = 7) -> DataFrame:
-    """Exact bootstrap of the median over all n^n resamples, a two-sided sign test without ties, and 1 - 2^(1-n); at most ``most`` ratios a metric."""
-    import itertools
-    import math
-
-    import pandas as pd
+def paired_uncertainty(ratios: DataFrame, metric: str, ratio: str) -> DataFrame:
+    """Of each metric n, low and high (the 95 % bounds of the median over all n^n resamples), sign_p of a two-sided sign test without ties, and coverage 1 - 2^(1-n).
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = sorted(pdf[ratio].dropna())
-        n = len(values)
-        if not n or n > most:
-            return pd.DataFrame({metric: pdf[metric][:1], "n": [n], "low": [None], "high": [None], "sign_p": [None], "coverage": [None]})
-        medians = sorted((lambda s: (s[(n - 1) // 2] + s[n // 2]) / 2)(sorted(p)) for p in itertools.product(values, repeat=n))
-        rank = lambda p: medians[max(math.ceil(len(medians) * p / 1000), 1) - 1]
-        up, down = sum(v > 1 for v in values), sum(v < 1 for v in values)
-        k, m = min(up, down), up + down
-        sign = min(1.0, 2 * sum(math.comb(m, i) for i in range(k + 1)) / 2**m) if m else 1.0
-        return pd.DataFrame({metric: pdf[metric][:1], "n": [n], "low": [rank(25)], "high": [rank(975)], "sign_p": [sign], "coverage": [1 - 2.0 ** (1 - n)]})
-
-    kind = ratios.schema[metric].dataType.simpleString()
-    return ratios.select(metric, ratio).groupBy(metric).applyInPandas(run, f"{metric} {kind}, n long, low double, high double, sign_p double, coverage double")
+    No resample is drawn: with n ratios in order, the k-th smallest of a resample is at most the i-th ratio with the
+    probability that a binomial count of n and i/n reaches k. For an even n the median is the mean of two neighbours; the
+    first is ratio i and the second ratio j > i if k of the resample are up to i, i among them, and all others from j on, j among
+    them. So odd counts make n rows a metric, even ones a row for each pair. Null ratios are left out.
+    """
+    rows = ratios.where(F.col(ratio).isNotNull()).select(metric, F.col(ratio).cast("double").alias("x"))
+    rows = rows.withColumns({"i": F.row_number().over(Window.partitionBy(metric).orderBy("x")).cast("double"), "n": F.count("*").over(Window.partitionBy(metric)).cast("double")})
+    # logarithms of factorials up to n
+    logs = F.aggregate(F.sequence(F.lit(1), F.col("n").cast("int")), F.array(F.lit(0.0)), lambda acc, t: F.concat(acc, F.array(F.element_at(acc, -1) + F.log(t.cast("double")))))
+    sizes = ratios.groupBy(metric).agg(F.count(ratio).alias("n"), F.count_if(F.col(ratio) > 1).alias("up"), F.count_if(F.col(ratio) < 1).alias("down"))
+    facts = sizes.select("*", F.when(F.col("n") > 0, logs).otherwise(F.array(F.lit(0.0))).alias("log"))
+    choose = lambda n, k: F.element_at("log", n.cast("int") + 1) - F.element_at("log", k.cast("int") + 1) - F.element_at("log", (n - k).cast("int") + 1)
+    k = F.floor((F.col("n") + 1) / 2)
+    at_most = lambda i: F.when(i <= 0, 0.0).when(i >= F.col("n"), 1.0).otherwise(F.aggregate(F.sequence(k.cast("int"), F.col("n").cast("int")), F.lit(0.0), lambda acc, t: acc + F.exp(choose(F.col("n"), t) + t * F.log(i / F.col("n")) + (F.col("n") - t) * F.log(1 - i / F.col("n")))))
+    ranked = rows.join(facts.select(F.col(metric).alias("__m"), "log"), F.col(metric).eqNullSafe(F.col("__m"))).drop("__m")
+    ranked = ranked.select(metric, "x", "i", "n", F.exp(choose(F.col("n"), k)).alias("ways"), (at_most(F.col("i")) - at_most(F.col("i") - 1)).alias("mass"))
+    odd, even = ranked.where("n % 2 = 1"), ranked.where("n % 2 = 0")
+    up_to = "ways * (power(i / n, n / 2) - power((i - 1) / n, n / 2))"  # k of the resample up to i, i among them, in as many ways
+    same = even.select(metric, "x", F.expr(f"mass - {up_to} * power((n - i) / n, n / 2)").alias("mass"))
+    other = even.select(F.col(metric).alias("__m"), F.col("x").alias("y"), F.col("i").alias("j"))
+    apart = even.join(other, F.col(metric).eqNullSafe(F.col("__m")) & (F.col("i") < F.col("j")))
+    apart = apart.select(metric, ((F.col("x") + F.col("y")) / 2).alias("x"), F.expr(f"{up_to} * (power((n - j + 1) / n, n / 2) - power((n - j) / n, n / 2))").alias("mass"))
+    medians = odd.select(metric, "x", "mass").unionByName(same).unionByName(apart).groupBy(metric, "x").agg(F.sum("mass").alias("mass"))
+    summed = medians.withColumn("upto", F.sum("mass").over(Window.partitionBy(metric).orderBy("x")) + 1e-9)
+    bounds = summed.groupBy(F.col(metric).alias("__m")).agg(F.min(F.when(F.col("upto") >= 0.025, F.col("x"))).alias("low"), F.min(F.when(F.col("upto") >= 0.975, F.col("x"))).alias("high"))
+    m, least = F.col("up") + F.col("down"), F.least("up", "down")
+    tail = F.aggregate(F.sequence(F.lit(0), least.cast("int")), F.lit(0.0), lambda acc, t: acc + F.exp(choose(m, t) - m * F.log(F.lit(2.0))))
+    out = facts.join(bounds, F.col(metric).eqNullSafe(F.col("__m")), "left")
+    some = F.col("n") > 0
+    return out.select(metric, "n", "low", "high", F.when(some, F.least(F.lit(1.0), 2 * tail)).alias("sign_p"), F.when(some, 1 - F.pow(F.lit(2.0), 1 - F.col("n"))).alias("coverage"))
 
 
 def capture_volume(records: DataFrame, dims: list[str], text: Column) -> DataFrame:

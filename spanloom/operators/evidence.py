@@ -6,22 +6,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.project import contained, json_leaves, wildcard_path_match
+from ..scratch import materialize
 from .graph import backward_slice, climb, reach, root_of
 from .joins import unique_join
+from .ranges import containing, overlaps, running
 
 
 def _differ(a: str, b: str) -> Column:
     return ~F.col(a).eqNullSafe(F.col(b))
 
 
-def exchange_bridge(sends: DataFrame, receives: DataFrame, key: list[str], body: str, fields: str) -> DataFrame:
-    """Exchanges of both sides with ``status``: matched only where each side has one message with equal body and equal field sets."""
-    side = lambda df, p: df.groupBy(*key).agg(F.count("*").alias(f"{p}_n"), F.min(body).alias(f"{p}_body"), F.min(F.array_sort(F.array_distinct(fields))).alias(f"{p}_fields"))
+def exchange_bridge(sends: DataFrame, receives: DataFrame, key: list[str], body: str, fields: str, service: str | None = None) -> DataFrame:
+    """Exchanges of both sides with ``status``: matched only where each side has one message with equal body and equal field sets.
+
+    With ``service``, a column of both sides, an exchange whose two ends are one service is same_service.
+    """
+    extra = [service] if service else []
+    side = lambda df, p: df.groupBy(*key).agg(F.count("*").alias(f"{p}_n"), F.min(body).alias(f"{p}_body"), F.min(F.array_sort(F.array_distinct(fields))).alias(f"{p}_fields"), *[F.min(c).alias(f"{p}_service") for c in extra])
     both = side(sends, "s").join(side(receives, "r"), key, "full_outer")
-    status = F.when(F.col("s_n").isNull(), "missing_send").when(F.col("r_n").isNull(), "missing_receive").when((F.col("s_n") > 1) | (F.col("r_n") > 1), "ambiguous").when(_differ("s_body", "r_body"), "body_differs").when(_differ("s_fields", "r_fields"), "fields_differ").otherwise("matched")
+    status = F.when(F.col("s_n").isNull(), "missing_send").when(F.col("r_n").isNull(), "missing_receive").when((F.col("s_n") > 1) | (F.col("r_n") > 1), "ambiguous")
+    if service:
+        status = status.when(F.col("s_service").eqNullSafe(F.col("r_service")), "same_service")
+    status = status.when(_differ("s_body", "r_body"), "body_differs").when(_differ("s_fields", "r_fields"), "fields_differ").otherwise("matched")
     return both.select(*key, status.alias("status"))
 
 
+def reused_connections(messages: DataFrame, connection: list[str], service: str, direction: str, phase: str, message: str) -> DataFrame:
+    """(service, connection, side) that carry more than one message: no exchange over them is admitted.
+
+    A request written or a response read is the client's side, the others are the server's.
+    """
+    client = (F.col(direction) == "request") == (F.col(phase) == "write")
+    ends = messages.groupBy(service, *connection, F.when(client, "client").otherwise("server").alias("side"))
+    return ends.agg(F.count_distinct(message).alias("messages")).where("messages > 1")
+
+
 def context_match(events: DataFrame, message: list[str], role: str, span: str, parent: str) -> DataFrame:
     """Messages with ``status``: matched where one client and one server saw it, the server's parent is the client's span and the spans differ."""
     c, s = F.col(role) == "client", F.col(role) == "server"
@@ -123,26 +142,67 @@ def buffer_origin(reads: DataFrame, uses: DataFrame, context: list[str]) -> Data
 
     ``reads`` has context, seq, op, address, length, offset; ``uses`` has context, seq, use, address, length. Ranges without
     a single source have nulls. A read at the same seq as a use doesn't count.
+
+    Addresses of a context are cut wherever a read or a use begins or ends, and numbered. A read or use is a run of these
+    intervals, with a row for each, so rows follow how many ranges share an address and not how many bytes they have. Offsets
+    are consecutive where the distance of offset and address is one.
     """
-    at = F.explode(F.sequence(F.lit(0), F.col("length").cast("int") - 1))
-    r = reads.where("length > 0").select(*context, "seq", "op", "address", "offset", at.alias("k")).select(*context, "seq", (F.col("address") + F.col("k")).alias("byte"), F.struct("op", (F.col("offset") + F.col("k")).alias("place")).alias("read"), F.lit(None).cast(uses.schema["use"].dataType).alias("use"), F.lit(None).cast("int").alias("k"))
-    u = uses.where("length > 0").select(*context, "seq", "use", "address", at.alias("k")).select(*context, "seq", (F.col("address") + F.col("k")).alias("byte"), F.lit(None).cast(r.schema["read"].dataType).alias("read"), "use", "k")
+    kind = uses.schema["use"].dataType
+    r = reads.where("length > 0").select(*context, "seq", F.col("address").alias("begin"), (F.col("address") + F.col("length")).alias("finish"), F.struct("op", (F.col("offset") - F.col("address")).alias("shift")).alias("read"), F.lit(None).cast(kind).alias("use"))
+    u = uses.where("length > 0").select(*context, "seq", F.col("address").alias("begin"), (F.col("address") + F.col("length")).alias("finish"), F.lit(None).cast(r.schema["read"].dataType).alias("read"), "use")
+    rows = materialize(r.unionByName(u), "ranges")
+    cuts = rows.select(*context, F.explode(F.array("begin", "finish")).alias("begin")).distinct()
+    places = materialize(running(cuts, context, ["begin"], sums={"first": F.lit(1)}), "cuts")
+    spans = rows.join(places, [*context, "begin"]).join(places.select(*context, F.col("begin").alias("finish"), F.col("first").alias("last")), [*context, "finish"])
+    parts = spans.withColumn("part", F.explode(F.sequence("first", F.col("last") - 1)))
     # uses come before reads of the same seq
-    w = Window.partitionBy(*context, "byte").orderBy("seq", F.col("use").isNull())
-    last = r.unionByName(u).withColumn("read", F.last("read", ignorenulls=True).over(w)).where("use is not null")
-    whole = last.groupBy(*context, "use").agg(F.count_if(F.col("read").isNull()).alias("holes"), F.count_distinct("read.op").alias("ops"), F.count_distinct(F.col("read.place") - F.col("k")).alias("shifts"), F.min("read.op").alias("op"), F.min(F.col("read.place") - F.col("k")).alias("origin"))
-    one = F.expr("holes = 0 and ops = 1 and shifts = 1")
-    return whole.select(*context, "use", F.when(one, F.col("op")).alias("op"), F.when(one, F.col("origin")).alias("origin"))
+    parts = parts.select(*context, "part", "seq", F.col("use").isNull().alias("later"), "begin", "read", "use")
+    last = running(parts, [*context, "part"], ["seq", "later"], lasts={"found": F.col("read")}).where("use is not null")
+    whole = last.groupBy(*context, "use").agg(F.count_if(F.col("found").isNull()).alias("holes"), F.min("found").alias("lo"), F.max("found").alias("hi"), F.min("begin").alias("begin"))
+    one = F.expr("holes = 0 and lo = hi")
+    return whole.select(*context, "use", F.when(one, F.col("lo.op")).alias("op"), F.when(one, F.col("lo.shift") + F.col("begin")).alias("origin"))
 
 
-def stitch_services(up: DataFrame, down: DataFrame, key: list[str]) -> DataFrame:
-    """Edges (key, source, target, position) from the one upstream response to a downstream read of the same key where the bodies are equal.
+def transfers(up: DataFrame, down: DataFrame, key: list[str], once: bool = False) -> DataFrame:
+    """Downstream reads (key, node, body) with the one upstream response (key, node, body) of the same key: key, source, target, start, end, status.
 
-    ``up`` has node and body, ``down`` has node and body; ids get the side as a prefix, and each byte has its own edge.
+    ``status`` is matched, missing, ambiguous, body_differs, empty or, with ``once``, reused: more than one read of the key. A
+    match covers the positions from start to end of the body, in one row; ids get the side as a prefix.
     """
     one = unique_join(down.select(*key, F.col("node").alias("target"), "body"), up.select(*key, F.col("node").alias("source"), F.col("body").alias("sent")), key)
-    good = one.where("status = 'matched' and body = sent and body != ''")
-    return good.select(*key, F.concat(F.lit("up:"), F.col("source").cast("string")).alias("source"), F.concat(F.lit("down:"), F.col("target").cast("string")).alias("target"), F.explode(F.sequence(F.lit(0), F.octet_length("body") - 1)).alias("position"))
+    status = F.when(F.col("status") != "matched", F.col("status")).when(_differ("body", "sent"), "body_differs").when(F.col("body") == "", "empty").otherwise("matched")
+    rows = one.withColumn("status", status)
+    if once:
+        reads = down.groupBy(*key).agg(F.count("*").alias("reads"))
+        rows = rows.join(reads, key).withColumn("status", F.when(F.expr("status = 'matched' and reads > 1"), "reused").otherwise(F.col("status")))
+    good = F.col("status") == "matched"
+    named = lambda side, c: F.concat(F.lit(f"{side}:"), F.col(c).cast("string"))
+    return rows.select(*key, F.when(good, named("up", "source")).alias("source"), named("down", "target").alias("target"), F.when(good, F.lit(0)).alias("start"), F.when(good, F.octet_length("body")).alias("end"), "status")
+
+
+def stitch_services(up: DataFrame, down: DataFrame, key: list[str]) -> DataFrame:
+    """Edges (key, source, target, start, end) from the one upstream response to a downstream read of the same key where the bodies are equal; one row covers all positions."""
+    return transfers(up, down, key).where("status = 'matched'").drop("status")
+
+
+def stitched_graph(up_edges: DataFrame, down_edges: DataFrame, moved: DataFrame, key: list[str], bucket: int = 16) -> DataFrame:
+    """One graph of two services: key, source, target, kind, with the ids' sides as prefixes.
+
+    Edges have key, source, target, kind and, where they carry a part of a body, its positions ``start`` and ``end``: into an
+    upstream response, and out of a downstream read. ``moved`` is what ``transfers`` matched. A matched read node is
+    replaced: its edges go, and what it gave its positions to is linked to what the response had those positions from. So an
+    overwritten position has no link, and nothing hangs on the read as a whole.
+    """
+    good = moved.where("status = 'matched'")
+    named = lambda df, side: df.select(*key, F.concat(F.lit(f"{side}:"), F.col("source").cast("string")).alias("source"), F.concat(F.lit(f"{side}:"), F.col("target").cast("string")).alias("target"), "kind", "start", "end")
+    above, below = named(up_edges, "up"), named(down_edges, "down")
+    kept = below.join(good.select(*key, F.col("target").alias("source")), [*key, "source"], "left_anti")
+    written = above.where("start is not null").select(*key, F.col("source").alias("writer"), F.col("target").alias("response"), F.col("start").alias("from_at"), F.col("end").alias("from_end"))
+    written = written.join(good.select(*key, F.col("source").alias("response"), F.col("target").alias("read")), [*key, "response"])
+    used = below.where("start is not null").select(*key, F.col("source").alias("read"), F.col("target").alias("user"), F.col("start").alias("to_at"), F.col("end").alias("to_end"))
+    links = overlaps(written, used, [*key, "read"], bucket, ("from_at", "from_end"), ("to_at", "to_end"))
+    links = links.select(*key, F.col("writer").alias("source"), F.col("user").alias("target"), F.lit("transfer").alias("kind"), F.greatest("from_at", "to_at").alias("start"), F.least("from_end", "to_end").alias("end"))
+    return above.unionByName(kept).unionByName(links)
 
 
 def reference_identity(inputs: DataFrame, publications: DataFrame, outputs: DataFrame, scope: list[str]) -> DataFrame:
@@ -203,11 +263,21 @@ def effect_barriers(effects: DataFrame, references: DataFrame, versions: DataFra
     """Versions (by, owner, version, seq) with ``known``: false if written no later than an opaque effect (by, object, effect, seq) that spreads to the owner.
 
     An effect spreads over references (by, owner, object, seq) written before it, from an owner to its object.
+
+    Each node has one label, the greatest seq of the effects that reach it, and passes it on over references written before
+    it: where the greatest is too early for a reference, all others are too. Only labels that rose in a round are passed on
+    in the next, so cycles end.
     """
-    usable = references.join(effects.select(*by, "effect", F.col("seq").alias("at")), by).where("seq < at").select(*by, "effect", F.col("owner").alias("parent"), F.col("object").alias("child"))
-    hit = reach(usable, effects.select(*by, "effect", F.col("object").alias("node")), [*by, "effect"])
-    barrier = hit.join(effects.select(*by, "effect", "seq"), [*by, "effect"]).groupBy(*by, F.col("node").alias("owner")).agg(F.max("seq").alias("barrier"))
-    return versions.join(barrier, [*by, "owner"], "left").select(*versions.columns, F.coalesce(F.col("seq") > F.col("barrier"), F.lit(True)).alias("known"))
+    links = materialize(references.groupBy(*by, F.col("owner").alias("node"), F.col("object").alias("next")).agg(F.min("seq").alias("at")), "references")
+    labels = materialize(effects.groupBy(*by, F.col("object").alias("node")).agg(F.max("seq").alias("barrier")), "labels")
+    risen = labels
+    while True:
+        passed = risen.join(links, [*by, "node"]).where("at < barrier").groupBy(*by, F.col("next").alias("node")).agg(F.max("barrier").alias("new"))
+        risen = materialize(passed.join(labels, [*by, "node"], "left").where("barrier is null or new > barrier").select(*by, "node", F.col("new").alias("barrier")), "risen")
+        if risen.isEmpty():
+            break
+        labels = materialize(labels.unionByName(risen).groupBy(*by, "node").agg(F.max("barrier").alias("barrier")), "labels")
+    return versions.join(labels.withColumnRenamed("node", "owner"), [*by, "owner"], "left").select(*versions.columns, F.coalesce(F.col("seq") > F.col("barrier"), F.lit(True)).alias("known"))
 
 
 def strict_attribution(records: DataFrame, owners: DataFrame, by: list[str]) -> DataFrame:
@@ -259,7 +329,7 @@ def candidate_value_edges(received: DataFrame, sent: DataFrame, scope: list[str]
     return pairs.where("got = put and got_at < put_at").select(*scope, "source", "target", F.lit("candidate").alias("kind"))
 
 
-def value_edges_in_context(nodes: DataFrame, transactions: DataFrame) -> DataFrame:
+def value_edges_in_context(nodes: DataFrame, transactions: DataFrame, bucket_us: int = 1_000_000) -> DataFrame:
     """Candidate edges (source, target, contexts) from a value received to the same value sent on by the same service, with every inbound request that allows it.
 
     ``nodes`` has node, tx, direction (request, response), side (send, receive), service, value, start_us, end_us;
@@ -267,18 +337,21 @@ def value_edges_in_context(nodes: DataFrame, transactions: DataFrame) -> DataFra
     before it was sent. A response is sent in its own transaction; a request in any inbound one of the service that is open
     when it is sent. A value from a request must have come in that very transaction; one from a response must come from a
     call of the service that began inside it and ended before it did. Clients outside all services send no edges.
+
+    Both ends get their contexts first, by name or by time (``containing``), and then meet by context and value, so values
+    that are common in a service but not in one context make no pairs.
     """
-    sha = F.sha2("value", 256)
-    got = nodes.where("side = 'receive'").select("service", sha.alias("digest"), F.col("node").alias("source"), F.col("value").alias("got"), F.col("end_us").alias("got_at"), F.col("tx").alias("source_tx"), F.col("direction").alias("source_direction"))
-    put = nodes.where("side = 'send'").select("service", sha.alias("digest"), F.col("node").alias("target"), F.col("value").alias("put"), F.col("start_us").alias("put_at"), F.col("tx").alias("target_tx"), F.col("direction").alias("target_direction"))
-    pairs = got.join(put, ["service", "digest"]).where("got = put and got_at <= put_at")
-    calls = transactions.select(F.col("tx").alias("source_tx"), F.col("client").alias("caller"), F.col("request_start_us").alias("call_start"))
-    pairs = pairs.join(calls, "source_tx")
     inbound = transactions.select(F.col("tx").alias("context"), F.col("server").alias("service"), F.col("request_start_us").alias("from_us"), F.col("response_end_us").alias("to_us"))
-    # where the context is known it is joined by its name; only a response's value sent on in a request looks at open requests
-    own = F.when(F.col("source_direction") == "request", F.col("source_tx")).when(F.col("target_direction") == "response", F.col("target_tx"))
-    named = pairs.withColumn("context", own)
-    one = named.where("context is not null").join(inbound, ["service", "context"])
-    many = named.where("context is null").drop("context").join(inbound, "service").where("from_us <= call_start and call_start <= to_us")
-    fits = F.expr("(target_direction = 'request' and from_us <= put_at and put_at <= to_us or target_direction = 'response' and context = target_tx) and (source_direction = 'request' and context = source_tx or source_direction = 'response' and caller = service and from_us <= call_start and got_at <= to_us)")
-    return one.unionByName(many, allowMissingColumns=True).where(fits).groupBy("source", "target").agg(F.array_sort(F.collect_set("context")).alias("contexts"))
+    end = lambda side, node, value, at: nodes.where(F.col("side") == side).select("service", F.sha2("value", 256).alias("digest"), F.col("node").alias(node), F.col("value").alias(value), F.col(at).cast("long").alias(f"{node}_at"), "tx", "direction")
+    got, put = end("receive", "source", "got", "end_us"), end("send", "target", "put", "start_us")
+    columns = ["service", "context", "digest"]
+    calls = transactions.select("tx", F.col("client").alias("service"), F.col("request_start_us").cast("long").alias("call_at"))
+    called = got.where("direction = 'response'").join(calls, ["tx", "service"])
+    inside = containing(called, inbound, ["service"], bucket_us, ("call_at", "source_at"), ("from_us", "to_us"))
+    own = got.where("direction = 'request'").withColumnRenamed("tx", "context").join(inbound.select("service", "context"), ["service", "context"])
+    received = own.select(*columns, "source", "got", "source_at").unionByName(inside.select(*columns, "source", "got", "source_at"))
+    during = containing(put.where("direction = 'request'").withColumn("until", F.col("target_at")), inbound, ["service"], bucket_us, ("target_at", "until"), ("from_us", "to_us"))
+    answered = put.where("direction = 'response'").withColumnRenamed("tx", "context").join(inbound.select("service", "context"), ["service", "context"])
+    sent = answered.select(*columns, "target", "put", "target_at").unionByName(during.select(*columns, "target", "put", "target_at"))
+    pairs = received.join(sent, columns).where("got = put and source_at <= target_at")
+    return pairs.groupBy("source", "target").agg(F.array_sort(F.collect_set("context")).alias("contexts"))

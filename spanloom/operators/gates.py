@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import running
+
 
 def _violations(df: DataFrame, group: list[str], rule: str, detail: Column) -> DataFrame:
     return df.select(*group, F.lit(rule).alias("rule"), detail.cast("string").alias("detail"))
@@ -72,26 +74,24 @@ def pairing_gate(df: DataFrame, key: list[str], kind: str, seq: str, begin: list
 def nesting_frames(df: DataFrame, thread: list[str], seq: str, enter: Column, leave: Column) -> DataFrame:
     """Frames of properly nested calls: enter_seq, exit_seq, depth, parent_seq (the enter of the frame around it).
 
-    The k-th enter at a depth of a thread pairs with the k-th exit to that depth.
+    The k-th enter at a depth of a thread pairs with the k-th exit to that depth. Depths, counts and the enters around a frame
+    are running values, so a thread of any length is cut into ranges of seq that carry on from each other.
     """
-    w = Window.partitionBy(*thread).orderBy(seq)
-    rows = df.withColumn("__step", F.when(enter, 1).when(leave, -1).otherwise(0)).where("__step != 0")
-    rows = rows.withColumn("__sum", F.sum("__step").over(w)).withColumn("depth", F.when(F.col("__step") == 1, F.col("__sum")).otherwise(F.col("__sum") + 1))
-    rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy(*thread, "depth", "__step").orderBy(seq)))
+    rows = df.withColumn("__step", F.when(enter, 1).when(leave, -1).otherwise(0)).where("__step != 0").select(*thread, seq, "__step")
+    rows = running(rows, thread, [seq], sums={"__sum": F.col("__step")}).withColumn("depth", F.when(F.col("__step") == 1, F.col("__sum")).otherwise(F.col("__sum") + 1))
+    rows = running(rows, [*thread, "depth", "__step"], [seq], sums={"__nth": F.lit(1)})
     # the enter one level up that came last; one array entry a level would grow with depth, so join by level and count
     opened = rows.where("__step = 1").select(*thread, F.col("depth"), F.col("__nth"), F.col(seq).alias("enter_seq"))
     closed = rows.where("__step = -1").select(*thread, F.col("depth"), F.col("__nth"), F.col(seq).alias("exit_seq"))
     frames = opened.join(closed, [*thread, "depth", "__nth"], "left").drop("__nth")
     levels = frames.select(*thread, F.col("depth").alias("level"), F.col("enter_seq").alias("at"), F.lit(True).alias("parent")).unionByName(frames.select(*thread, (F.col("depth") - 1).alias("level"), F.col("enter_seq").alias("at"), F.lit(False).alias("parent")))
-    last = F.last(F.when(F.col("parent"), F.col("at")), ignorenulls=True).over(Window.partitionBy(*thread, "level").orderBy("at"))
-    parents = levels.withColumn("parent_seq", last).where("not parent").select(*thread, F.col("at").alias("enter_seq"), "parent_seq")
-    return frames.join(parents, [*thread, "enter_seq"], "left")
+    around = running(levels, [*thread, "level"], ["at", "parent"], lasts={"parent_seq": F.when(F.col("parent"), F.col("at"))})
+    return frames.join(around.where("not parent").select(*thread, F.col("at").alias("enter_seq"), "parent_seq"), [*thread, "enter_seq"], "left")
 
 
 def nesting_gate(df: DataFrame, thread: list[str], seq: str, enter: Column, leave: Column) -> DataFrame:
     """Threads whose calls close more than they open at some point, or don't all close."""
-    w = Window.partitionBy(*thread).orderBy(seq)
-    rows = df.withColumn("__step", F.when(enter, 1).when(leave, -1).otherwise(0)).withColumn("__sum", F.sum("__step").over(w))
+    rows = running(df.withColumn("__step", F.when(enter, 1).when(leave, -1).otherwise(0)).select(*thread, seq, "__step"), thread, [seq], sums={"__sum": F.col("__step")})
     stats = rows.groupBy(*thread).agg(F.min("__sum").alias("least"), F.sum("__step").alias("balance"))
     return _violations(stats.where("least < 0 or balance != 0"), thread, "nesting", F.concat_ws("/", "least", "balance"))
 

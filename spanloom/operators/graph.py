@@ -57,16 +57,17 @@ def induced_edges(edges: DataFrame, sliced: DataFrame, by: list[str]) -> DataFra
 def climb(edges: DataFrame, by: list[str], stops: DataFrame | None = None, marks: DataFrame | None = None) -> DataFrame:
     """For each node with a parent, where its chain of parents ends: by, node, top, distance, lo, hi, status.
 
-    ``edges`` has by, node, parent. A chain ends at the first of ``stops`` (by, node) above the node, or at the last
-    parent. ``status`` is stop, root, missing_parent (the last parent is no node itself) or cycle (top and the rest null).
+    ``edges`` has by, node, parent; repeated rows count once. A chain ends at the first of ``stops`` (by, node) above the
+    node, or at the last parent. ``status`` is stop, root, missing_parent (the last parent is no node itself), cycle or
+    many_parents (the node, or one above it before any stop, has different parents); for the last two top and the rest are null.
     ``lo`` and ``hi`` are the least and greatest of ``marks`` (by, node, mark) above the node, the top's included.
 
     Pointers double: a round is one join of as many rows as there are nodes, and there are as many rounds as the longest
     chain's length has bits. What is still open after as many as the largest group's size has is on or below a cycle.
     """
-    known = edges.select(*by, F.col("node").alias("at"), F.col("parent").alias("above")).distinct()
-    rows = edges.where("parent is not null").select(*by, "node", F.col("parent").alias("at"), F.lit(1).cast("long").alias("distance"))
-    own = known.groupBy(*by, "at").agg(F.max(F.col("above").isNotNull()).alias("goes_on"))
+    nodes = materialize(edges.groupBy(*by, "node").agg(F.min("parent").alias("parent"), F.expr("count(distinct parent) + cast(bool_or(parent is null) as int)").alias("parents")), "nodes")
+    rows = nodes.where("parents = 1 and parent is not null").select(*by, "node", F.col("parent").alias("at"), F.lit(1).cast("long").alias("distance"))
+    own = nodes.select(*by, F.col("node").alias("at"), F.when(F.col("parents") > 1, "many_parents").when(F.col("parent").isNull(), "root").otherwise("inner").alias("is"))
     rows = rows.join(own, [*by, "at"], "left")
     if stops is not None:
         rows = rows.join(stops.select(*by, F.col("node").alias("at"), F.lit(True).alias("stop")).distinct(), [*by, "at"], "left")
@@ -76,38 +77,45 @@ def climb(edges: DataFrame, by: list[str], stops: DataFrame | None = None, marks
         rows = rows.join(marks.groupBy(*by, F.col("node").alias("at")).agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")), [*by, "at"], "left")
     else:
         rows = rows.withColumns({"lo": F.lit(None).cast("string"), "hi": F.lit(None).cast("string")})
-    status = F.when(F.col("stop"), "stop").when(F.col("goes_on").isNull(), "missing_parent").when(~F.col("goes_on"), "root")
+    status = F.when(F.col("stop"), "stop").when(F.col("is").isNull(), "missing_parent").when(F.col("is") != "inner", F.col("is"))
     state = materialize(rows.select(*by, "node", "at", "distance", "lo", "hi", status.alias("status")), "climb")
-    largest = edges.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    largest = nodes.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     for _ in range(int(largest).bit_length() + 1):
         if state.where("status is null").isEmpty():
             break
         far = state.select(*by, F.col("node").alias("at"), F.col("at").alias("at2"), F.col("distance").alias("distance2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("status").alias("status2"))
         jumped = state.where("status is null").join(far, [*by, "at"]).select(*by, "node", F.col("at2").alias("at"), (F.col("distance") + F.col("distance2")).alias("distance"), F.least("lo", "lo2").alias("lo"), F.greatest("hi", "hi2").alias("hi"), F.col("status2").alias("status"))
         state = materialize(state.where("status is not null").unionByName(jumped), "climb")
-    ended = F.col("status").isNotNull()
-    return state.select(*by, "node", *[F.when(ended, F.col(c)).alias(n) for c, n in (("at", "top"), ("distance", "distance"), ("lo", "lo"), ("hi", "hi"))], F.coalesce("status", F.lit("cycle")).alias("status"))
+    ended = F.coalesce(F.col("status") != "many_parents", F.lit(False))
+    values = (("at", "top"), ("distance", "distance"), ("lo", "lo"), ("hi", "hi"))
+    out = state.select(*by, "node", *[F.when(ended, F.col(c)).alias(n) for c, n in values], F.coalesce("status", F.lit("cycle")).alias("status"))
+    torn = nodes.where("parents > 1").select(*by, "node", *[F.lit(None).cast(state.schema[c].dataType).alias(n) for c, n in values], F.lit("many_parents").alias("status"))
+    return out.unionByName(torn)
 
 
 def root_of(edges: DataFrame, by: list[str], stops: DataFrame | None = None) -> DataFrame:
     """Each node's root, or its nearest ancestor among ``stops``: by, node, root, distance, status; nodes without parent are their own root."""
-    heads = edges.where("parent is null").select(*by, "node", F.col("node").alias("root"), F.lit(0).cast("long").alias("distance"), F.lit("root").alias("status"))
+    alone = edges.groupBy(*by, "node").agg(F.max("parent").alias("parent")).where("parent is null")
+    heads = alone.select(*by, "node", F.col("node").alias("root"), F.lit(0).cast("long").alias("distance"), F.lit("root").alias("status"))
     return climb(edges, by, stops).select(*by, "node", F.col("top").alias("root"), "distance", "status").unionByName(heads)
 
 
 def ancestors(edges: DataFrame, by: list[str]) -> DataFrame:
     """(by, node, ancestor, distance) over edges (node, parent), by doubling: each round joins paths to paths.
 
-    Nodes on or below a cycle have one row with null ancestor and distance; other groups and chains keep their answers.
+    Repeated edges count once. Nodes on or below a cycle, or with different parents themselves or above them, have one row
+    with null ancestor and distance; other groups and chains keep their answers.
     """
+    edges = materialize(edges.select(*by, "node", "parent").distinct(), "parents")
+    torn = not edges.groupBy(*by, "node").count().where("count > 1").isEmpty()
     paths = materialize(edges.where("parent is not null").select(*by, "node", F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("distance")), "paths")
     new, longest = paths, 1
     while not new.isEmpty():
-        if not new.where("node = ancestor").isEmpty():
-            cyclic = materialize(climb(edges, by).where("status = 'cycle'").select(*by, "node"), "cyclic")
-            sound = ancestors(edges.join(cyclic, [*by, "node"], "left_anti"), by)
+        if torn or not new.where("node = ancestor").isEmpty():
+            broken = materialize(climb(edges, by).where("status in ('cycle', 'many_parents')").select(*by, "node"), "broken")
+            sound = ancestors(edges.join(broken, [*by, "node"], "left_anti"), by)
             kind = paths.schema["ancestor"].dataType
-            return sound.unionByName(cyclic.select(*by, "node", F.lit(None).cast(kind).alias("ancestor"), F.lit(None).cast("long").alias("distance")))
+            return sound.unionByName(broken.select(*by, "node", F.lit(None).cast(kind).alias("ancestor"), F.lit(None).cast("long").alias("distance")))
         far = paths.where(F.col("distance") == longest).select(*by, F.col("node").alias("mid0"), F.col("ancestor").alias("mid"))
         tail = paths.select(*by, F.col("node").alias("mid"), "ancestor", "distance")
         new = materialize(far.join(tail, [*by, "mid"]).select(*by, F.col("mid0").alias("node"), "ancestor", (F.col("distance") + longest).alias("distance")), "paths")
@@ -116,19 +124,39 @@ def ancestors(edges: DataFrame, by: list[str]) -> DataFrame:
     return paths
 
 
-def origins(edges: DataFrame, nodes: DataFrame, targets: DataFrame, by: list[str]) -> DataFrame:
-    """(by, root, sources, known): the boundary and leaf nodes from which a target comes.
+def endless(links: DataFrame, by: list[str]) -> DataFrame:
+    """Nodes (by, node) from which links (by, node, next) run into a cycle: nodes without a further link are trimmed until none is left to trim."""
+    left = materialize(links.select(*by, "node", "next").distinct(), "links")
+    while True:
+        heads = left.select(*by, F.col("node").alias("next")).distinct()
+        kept = materialize(left.join(heads, [*by, "next"], "left_semi").select(*by, "node", "next"), "links")
+        if kept.count() == left.count():
+            return kept.select(*by, "node").distinct()
+        left = kept
+
+
+def origins(edges: DataFrame, nodes: DataFrame, targets: DataFrame, by: list[str], asked: bool = False) -> DataFrame:
+    """(by, root, sources, known, status): the boundary and leaf nodes from which a target comes.
 
-    ``nodes`` has by, node, kind (boundary, unknown, other). Boundary and unknown nodes end the walk; one unknown node
-    anywhere makes the whole answer unknown, an empty set of sources is still an answer.
+    ``nodes`` has by, node, kind (boundary, unknown, unbound, other). Boundary and unknown nodes end the walk; one unknown
+    node anywhere makes the whole answer unknown, an empty set of sources is still an answer. A leaf is a source; an unbound
+    one makes the answer unknown, and so does any leaf that is no boundary if boundaries were ``asked`` for. ``status`` is
+    known, unknown, or cycle where a target comes from itself or from a node that does: that is no answer, and sources are null.
     """
-    stops = nodes.where("kind in ('boundary', 'unknown')").select(*by, F.col("node").alias("target"))
-    open_edges = edges.join(stops, [*by, "target"], "left_anti")
-    walked = _closure(open_edges, targets.withColumn("root", F.col("node")), by, "target", "source")
+    stops = nodes.where("kind in ('boundary', 'unknown')").select(*by, F.col("node").alias("target")).distinct()
+    open_edges = materialize(edges.select(*by, "source", "target").join(stops, [*by, "target"], "left_anti").distinct(), "open")
+    walked = materialize(_closure(open_edges, targets.withColumn("root", F.col("node")), by, "target", "source"), "walked")
+    met = walked.select(*by, F.col("node").alias("target")).distinct()
+    cyclic = endless(open_edges.join(met, [*by, "target"], "left_semi").select(*by, F.col("target").alias("node"), F.col("source").alias("next")), by).withColumn("cyclic", F.lit(True))
     inner = open_edges.select(*by, F.col("target").alias("node")).distinct().withColumn("inner", F.lit(True))
-    ends = walked.join(inner, [*by, "node"], "left").join(nodes, [*by, "node"], "left")
-    source = F.when((F.col("kind") == "boundary") | (F.col("inner").isNull() & ~F.col("kind").eqNullSafe("unknown") & F.col("kind").isNotNull()), F.col("node"))
-    return ends.groupBy(*by, "root").agg(F.array_sort(F.collect_set(source)).alias("sources"), (F.count_if(F.col("kind").eqNullSafe("unknown") | F.col("kind").isNull()) == 0).alias("known"))
+    ends = walked.join(inner, [*by, "node"], "left").join(nodes.select(*by, "node", "kind").distinct(), [*by, "node"], "left").join(cyclic, [*by, "node"], "left")
+    leaf = F.col("inner").isNull()
+    source = F.when((F.col("kind") == "boundary") | (leaf & (F.col("kind") != "unknown")), F.col("node"))
+    doubt = F.col("kind").isNull() | (F.col("kind") == "unknown") | (leaf & (F.col("kind") == "unbound"))
+    if asked:
+        doubt = doubt | (leaf & (F.col("kind") != "boundary"))
+    sums = ends.groupBy(*by, "root").agg(F.array_sort(F.collect_set(source)).alias("sources"), (F.count_if(doubt) == 0).alias("known"), F.coalesce(F.bool_or("cyclic"), F.lit(False)).alias("cyclic"))
+    return sums.select(*by, "root", F.when(~F.col("cyclic"), F.col("sources")).alias("sources"), (F.col("known") & ~F.col("cyclic")).alias("known"), F.when(F.col("cyclic"), "cycle").when(F.col("known"), "known").otherwise("unknown").alias("status"))
 
 
 def byte_ranges(mappings: DataFrame, sinks: DataFrame, by: list[str]) -> DataFrame:
@@ -202,12 +230,5 @@ def closure_violations(observations: DataFrame, rules: DataFrame, targets: DataF
     seen, derived = observations.select("fact").distinct(), rules.select("fact").distinct()
     both = seen.join(derived, "fact", "left_semi").select("fact", F.lit("observed_and_derived").alias("rule"))
     missing = needed.join(seen, "fact", "left_anti").join(derived, "fact", "left_anti").select("fact", F.lit("missing").alias("rule"))
-    # facts that depend on no open fact close, round by round; what never closes depends on a cycle
-    links = materialize(rules.join(needed, "fact", "left_semi").select("fact", "dependency").distinct(), "rules")
-    while True:
-        open_facts = links.select("fact").distinct()
-        left = materialize(links.join(open_facts.withColumnRenamed("fact", "dependency"), "dependency", "left_semi").select("fact", "dependency"), "rules")
-        if left.count() == links.count():
-            break
-        links = left
-    return both.unionByName(missing).unionByName(links.select("fact").distinct().select("fact", F.lit("cycle").alias("rule")))
+    links = rules.join(needed, "fact", "left_semi").select(F.lit(0).alias("g"), F.col("fact").alias("node"), F.col("dependency").alias("next"))
+    return both.unionByName(missing).unionByName(endless(links, ["g"]).select(F.col("node").alias("fact"), F.lit("cycle").alias("rule")))

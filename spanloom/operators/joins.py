@@ -7,9 +7,12 @@ from itertools import groupby
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import materialize
+from .ranges import level_of, levels_in, running
+
 
 def unique_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Left rows with ``status`` matched, missing or ambiguous; only matched rows carry the right columns. Counting comes before any comparison of values."""
@@ -41,11 +44,6 @@ def transport_candidates(obs: DataFrame, slack_us: int, bucket_us: int = 3_600_0
     return c.join(s, [*key, "level", "bucket"]).where(fits).select("client", "server", *key, (F.abs(F.col("ss") - F.col("cs")) + F.abs(F.col("se") - F.col("ce"))).alias("cost"), *times)
 
 
-def level_of(length: Column, bucket: int) -> Column:
-    """The least k for which a bucket of 2^k times the size is no shorter than the length; the interval touches two such buckets at most."""
-    return F.ceil(F.log2(F.greatest(length.cast("double") / bucket, F.lit(1.0)))).cast("int")
-
-
 def greedy_levels(pairs: pd.DataFrame) -> pd.DataFrame:
     """Cheapest pairs first; at one cost, pairs that share an end with another still possible one abstain and use up their ends."""
     pairs = pairs.dropna(subset=["cost"]).sort_values(["cost", "client", "server"]).reset_index(drop=True)
@@ -63,27 +61,41 @@ def greedy_levels(pairs: pd.DataFrame) -> pd.DataFrame:
     return pairs.iloc[at].assign(tied=np.array(tied, bool))
 
 
-#: Pairs that are matched in one go, if their islands are smaller.
-ISLAND_ROWS = 20_000
+#: Pairs that are matched in one go, once no more are open.
+TOGETHER = 50_000
 
 
-def greedy_match(candidates: DataFrame) -> DataFrame:
+def greedy_match(candidates: DataFrame, together: int = TOGETHER) -> DataFrame:
     """One-to-one matching by ascending cost: client, server, service, path, cost, and ``tied`` for pairs that abstained.
 
-    Candidates never cross a service and path. Where they have times (from_us, to_us), each such group is cut at every moment
-    that no pair spans: pairs that share a call overlap, so the islands between the cuts don't touch each other. Islands of
-    some ``ISLAND_ROWS`` pairs together are matched in one go; a larger island is one alone.
+    Candidates never cross a service and path; pairs without an end or a cost are left out. A pair that no open pair at
+    either end undercuts is settled, whatever happens elsewhere: it uses up both ends, and dearer pairs there are gone. Each
+    round settles all such pairs at once, so the rounds follow the longest chain of ever dearer pairs that hang on each
+    other, not the number of pairs; what is open when no more than ``together`` pairs are is matched path by path. Pairs
+    settled at one end have one cost: if there are two, all of them are tied and abstain.
     """
     columns = ["client", "server", "service", "path", "cost"]
+    sides = (["service", "path", "client"], ["service", "path", "server"])
     kinds = {f.name: f.dataType.simpleString() for f in candidates.schema.fields}
-    if "from_us" in candidates.columns:
-        w = Window.partitionBy("service", "path").orderBy("from_us", "to_us", "client", "server")
-        new = F.coalesce(F.col("from_us") > F.max("to_us").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
-        rows = candidates.select(*columns, "from_us", "to_us").withColumn("at", F.row_number().over(w)).withColumn("new", F.when(new, F.col("at")))
-        rows = rows.withColumn("island", F.expr(f"max(new) over (partition by service, path order by from_us, to_us, client, server) div {ISLAND_ROWS}")).select(*columns, "island")
-    else:
-        rows = candidates.select(*columns, F.lit(0).alias("island"))
-    return rows.groupBy("service", "path", "island").applyInPandas(lambda pdf: greedy_levels(pdf)[[*columns, "tied"]], ", ".join(f"{c} {kinds[c]}" for c in columns) + ", tied boolean")
+    left = materialize(candidates.select(*columns).dropna(subset=["client", "server", "cost"]), "open")
+    settled, rounds = None, 0
+    add = lambda done, more: more if done is None else done.unionByName(more)
+    while left.count() > together:
+        low_c, low_s = (left.groupBy(*side).agg(F.min("cost").alias(f"low_{side[-1]}")) for side in sides)
+        marked = left.join(low_c, sides[0]).join(low_s, sides[1])
+        marked = materialize(marked.select(*columns, F.expr("cost = low_client and cost = low_server").alias("free")), "marked")
+        free = marked.where("free").select(*columns)
+        settled, rounds = add(settled, free), rounds + 1
+        if rounds % 16 == 0:  # one table again, so that plans don't grow with the rounds
+            settled = materialize(settled, "settled")
+        # at an end of a settled pair only pairs of its cost stay open: they may be free, and then tie
+        used_c, used_s = (free.groupBy(*side).agg(F.min("cost").alias(f"used_{side[-1]}")) for side in sides)
+        rest = marked.where("not free").join(used_c, sides[0], "left").join(used_s, sides[1], "left")
+        left = materialize(rest.where("coalesce(cost <= used_client, true) and coalesce(cost <= used_server, true)").select(*columns), "open")
+    last = left.groupBy("service", "path").applyInPandas(lambda pdf: greedy_levels(pdf)[columns], ", ".join(f"{c} {kinds[c]}" for c in columns))
+    settled = materialize(add(settled, last), "settled")
+    many_c, many_s = (settled.groupBy(*side).agg(F.count("*").alias(f"n_{side[-1]}")) for side in sides)
+    return settled.join(many_c, sides[0]).join(many_s, sides[1]).select(*columns, F.expr("n_client > 1 or n_server > 1").alias("tied"))
 
 
 def local_parents(obs: DataFrame, slack_us: int = 0, bucket_us: int = 3_600_000_000) -> DataFrame:
@@ -123,11 +135,11 @@ def alias_sources(targets: DataFrame, providers: DataFrame, coordinate: list[str
 
 
 def last_write_asof(log: DataFrame, owner: list[str], seq: str, kind: str, event: str, version: str | None = None) -> DataFrame:
-    """Each read's last earlier write of the same owner; null without one, after a barrier or abort, or where versions differ."""
-    w = Window.partitionBy(*owner).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    """Each read's last earlier write of the same owner; null without one, after a barrier or abort, or where versions differ. An owner of any size is sorted by many tasks."""
+    of = lambda known: F.struct(F.col(event).alias("event"), (F.col(version) if version else F.lit(0)).alias("version"), F.lit(known).alias("known"))
     # a barrier replaces the write before it by one that is not known
-    carried = F.when(F.col(kind) == "write", F.struct(F.col(event).alias("event"), (F.col(version) if version else F.lit(0)).alias("version"), F.lit(True).alias("known"))).when(F.col(kind).isin("barrier", "abort"), F.struct(F.col(event).alias("event"), (F.col(version) if version else F.lit(0)).alias("version"), F.lit(False).alias("known")))
-    rows = log.withColumn("__last", F.last(carried, ignorenulls=True).over(w)).where(F.col(kind) == "read")
+    carried = F.when(F.col(kind) == "write", of(True)).when(F.col(kind).isin("barrier", "abort"), of(False))
+    rows = running(log, owner, [seq], lasts={"__last": carried}).where(F.col(kind) == "read")
     good = F.col("__last.known") & ((F.col("__last.version") == F.col(version)) if version else F.lit(True))
     return rows.select(F.col(event), F.when(good, F.col("__last.event")).alias("source"))
 
@@ -140,12 +152,19 @@ def property_bridge(writes: DataFrame, reads: DataFrame, key: list[str], service
 
 
 def overlapping_pairs(intervals: DataFrame, key: list[str], ident: str, start: str, end: str, bucket: int) -> DataFrame:
-    """Pairs (a, b), a before b by id, of the same key with max(start) < min(end). Each pair is found in the first bucket that both touch."""
-    rows = intervals.select(*key, F.col(ident).alias("id"), F.col(start).alias("s"), F.col(end).alias("e")).where("s < e")
-    rows = rows.withColumn("bucket", F.explode(F.sequence(F.expr(f"s div {bucket}"), F.expr(f"(e - 1) div {bucket}"))))
-    other = rows.select(*key, "bucket", F.col("id").alias("id2"), F.col("s").alias("s2"), F.col("e").alias("e2"))
-    hit = (F.col("id") < F.col("id2")) & (F.greatest("s", "s2") < F.least("e", "e2")) & (F.expr(f"greatest(s, s2) div {bucket}") == F.col("bucket"))
-    return rows.join(other, [*key, "bucket"]).where(hit).select(*key, F.col("id").alias("a"), F.col("id2").alias("b"))
+    """Pairs (a, b), a before b by id, of the same key with max(start) < min(end).
+
+    An interval's level follows its length, so it touches two buckets of its level at most, however long it is. Two intervals
+    meet at the level of the longer one, in the bucket where the later of them starts; ``bucket`` is the smallest size.
+    """
+    rows = intervals.select(*key, F.col(ident).alias("id"), F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e")).where("s < e").withColumn("own", level_of(F.col("e") - F.col("s"), bucket))
+    size = f"shiftleft(bigint({bucket}), level)"
+    in_buckets = F.explode(F.sequence(F.expr(f"floor(s / {size})"), F.expr(f"floor((e - 1) / {size})")))
+    longer = rows.withColumn("level", F.col("own")).withColumn("cell", in_buckets).drop("own")
+    other = rows.withColumn("level", F.explode(F.filter(levels_in(rows, "own"), lambda k: k >= F.col("own")))).withColumn("cell", in_buckets)
+    other = other.select(*key, "level", "cell", F.col("id").alias("id2"), F.col("s").alias("s2"), F.col("e").alias("e2"), (F.col("own") < F.col("level")).alias("shorter"))
+    hit = F.expr(f"(shorter and id != id2 or id < id2) and greatest(s, s2) < least(e, e2) and floor(greatest(s, s2) / {size}) = cell")
+    return longer.join(other, [*key, "level", "cell"]).where(hit).select(*key, F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
 
 
 def offsets_to_fields(offsets: DataFrame, spans: DataFrame, case: list[str]) -> DataFrame:
@@ -227,9 +246,26 @@ def reduction_sources(members: DataFrame, statuses: DataFrame, result: str) -> D
     return members.join(good, result, "left_semi").select(result, "source").where("source is not null").distinct()
 
 
-def private_range_conflicts(objects: DataFrame, bucket: int) -> DataFrame:
-    """Pairs of different requests whose objects overlap in lifetime (born, died) and in address (low, high)."""
-    rows = objects.withColumn("bucket", F.explode(F.sequence(F.expr(f"born div {bucket}"), F.expr(f"(died - 1) div {bucket}"))))
-    a, b = rows.alias("a"), rows.alias("b")
-    hit = F.expr(f"a.bucket = b.bucket and a.request < b.request and greatest(a.born, b.born) < least(a.died, b.died) and greatest(a.low, b.low) < least(a.high, b.high) and greatest(a.born, b.born) div {bucket} = a.bucket")
-    return a.join(b, hit).select(F.col("a.request").alias("first"), F.col("b.request").alias("second")).distinct()
+def private_range_conflicts(objects: DataFrame, bucket: int, width: int = 1) -> DataFrame:
+    """Pairs of different requests whose objects overlap in lifetime (born, died) and in address (low, high).
+
+    A grid of two dimensions, whose cells follow the objects' own extents: levels of time and of address, each a power of two
+    times ``bucket`` and ``width``, so an object touches two cells of its level in each dimension. Two objects meet in the
+    grid of the longer lifetime and the wider range, in the one cell where the later begins and the higher starts. In a grid
+    an object is native in a dimension if its level there is the grid's; only pairs with a native in each dimension meet.
+    """
+    rows = objects.where("born < died and low < high").select("request", *[F.col(c).cast("long").alias(c) for c in ("born", "died", "low", "high")])
+    rows = rows.withColumns({"time": level_of(F.col("died") - F.col("born"), bucket), "space": level_of(F.col("high") - F.col("low"), width)})
+    above = lambda own, level: F.explode(F.filter(levels_in(rows, own), lambda k: k >= F.col(own))).alias(level)
+    span = lambda lo, hi, size, level: F.explode(F.sequence(F.expr(f"floor({lo} / shiftleft(bigint({size}), {level}))"), F.expr(f"floor(({hi} - 1) / shiftleft(bigint({size}), {level}))")))
+    grid = rows.select("*", above("time", "grid_time")).select("*", above("space", "grid_space"))
+    grid = grid.select("*", span("born", "died", bucket, "grid_time").alias("cell_time")).select("*", span("low", "high", width, "grid_space").alias("cell_space"))
+    at = ["grid_time", "grid_space", "cell_time", "cell_space"]
+    values = ["request", "born", "died", "low", "high"]
+    natives = F.expr("time = grid_time"), F.expr("space = grid_space")
+    side = lambda where, name: grid.where(where).select(*at, *[F.col(c).alias(f"{c}{name}") for c in values], *([(natives[0] & natives[1]).alias("both2")] if name else []))
+    meet = f"""request != request2 and greatest(born, born2) < least(died, died2) and greatest(low, low2) < least(high, high2)
+        and floor(greatest(born, born2) / shiftleft(bigint({bucket}), grid_time)) = cell_time and floor(greatest(low, low2) / shiftleft(bigint({width}), grid_space)) = cell_space"""
+    whole = side(natives[0] & natives[1], "").join(side(F.lit(True), "2"), at).where(f"{meet} and (not both2 or request < request2)")
+    crossed = side(natives[0] & ~natives[1], "").join(side(~natives[0] & natives[1], "2"), at).where(meet)
+    return whole.unionByName(crossed).select(F.least("request", "request2").alias("first"), F.greatest("request", "request2").alias("second")).distinct()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -30,37 +31,55 @@ def assign_connections(packets: DataFrame, servers: DataFrame) -> DataFrame:
     return rows.withColumn("connection", F.sum("__new").over(w)).drop("__new", "to_server", "from_server")
 
 
-def join_segments(pdf: pd.DataFrame) -> tuple[bytes | None, str | None]:
-    """The bytes of one side, or why there are none. Order is by offset from the opening number, which may wrap."""
+def assemble(pdf: pd.DataFrame) -> tuple[bytes | None, str | None, list[dict]]:
+    """The bytes of one side, or why there are none, and which packet gave which bytes first.
+
+    Order is by offset from the opening number, which may wrap; packets at one offset count in order of time.
+    """
     first = set(pdf.seq[pdf.syn])
     if len(first) != 1:
-        return None, "missing_syn" if not first else "many_syn"
+        return None, "missing_syn" if not first else "many_syn", []
     start = first.pop() + 1
     # an opening packet takes one number itself, so data that it carries begins where the stream does
-    parts = sorted(((int(s) + bool(syn) - start) % TURN, d) for s, syn, d in zip(pdf.seq, pdf.syn, pdf.data, strict=True) if d)
-    out = bytearray()
-    for at, data in parts:
+    stamps = zip(pdf.time_us, pdf.number, strict=True) if "time_us" in pdf else ((0, 0) for _ in pdf.seq)
+    parts = sorted(((int(s) + bool(syn) - start) % TURN, *stamp, d) for s, syn, d, stamp in zip(pdf.seq, pdf.syn, pdf.data, stamps, strict=True) if d)
+    out, pieces = bytearray(), []
+    for at, time_us, packet, data in parts:
         if at > len(out):
-            return None, "gap"
+            return None, "gap", []
         if at + len(data) > MAX_STREAM:
-            return None, "too_long"
+            return None, "too_long", []
         shared = len(out) - at
         if out[at : at + len(data)] != data[:shared]:
-            return None, "conflict"
+            return None, "conflict", []
+        if shared < len(data):
+            pieces.append({"start": len(out), "end": at + len(data), "time_us": int(time_us), "packet": int(packet)})
         out += data[shared:]
     ends = {(int(s) + len(d or b"") - start) % TURN for s, d in zip(pdf.seq[pdf.fin], pdf.data[pdf.fin], strict=True)}
-    return (None, "fin_mismatch") if ends - {len(out)} else (bytes(out), None)
+    return (None, "fin_mismatch", []) if ends - {len(out)} else (bytes(out), None, pieces)
+
+
+def join_segments(pdf: pd.DataFrame) -> tuple[bytes | None, str | None]:
+    """The bytes of one side, or why there are none."""
+    return assemble(pdf)[:2]
+
+
+PIECES = "array<struct<start: bigint, end: bigint, time_us: bigint, packet: bigint>>"
 
 
 def reassemble(packets: DataFrame, connection: list[str]) -> DataFrame:
-    """Byte streams of each connection and side: connection, ``stream``, ``issue``; never part of a stream."""
+    """Byte streams of each connection and side: connection, ``stream``, ``issue``; never part of a stream.
+
+    Where packets have ``time_us`` and ``number``, ``pieces`` says which bytes of the stream came when, by which packet.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in packets.schema.fields}
+    timed = ["time_us", "number"] if {"time_us", "number"} <= kinds.keys() else []
 
     def one(key, pdf):
-        stream, issue = join_segments(pdf)
-        return pd.DataFrame([[*key, stream, issue]], columns=[*connection, "stream", "issue"])
+        stream, issue, pieces = assemble(pdf)
+        return pd.DataFrame([[*key, stream, issue, *([pieces] if timed else [])]], columns=[*connection, "stream", "issue", *(["pieces"] if timed else [])])
 
-    return packets.select(*connection, "seq", "syn", "fin", "data").groupBy(*connection).applyInPandas(one, ", ".join(f"{c} {kinds[c]}" for c in connection) + ", stream binary, issue string")
+    return packets.select(*connection, "seq", "syn", "fin", "data", *timed).groupBy(*connection).applyInPandas(one, ", ".join(f"{c} {kinds[c]}" for c in connection) + ", stream binary, issue string" + (f", pieces {PIECES}" if timed else ""))
 
 
 METHODS = ("GET", "POST", "PUT", "DELETE", "PATCH", "OPTIONS")
@@ -172,38 +191,66 @@ def read_message(raw: bytes, at: int, response: bool) -> tuple[str, bytes, int]:
     return first, unpacked(body, named.get("content-encoding", "identity").lower()), at
 
 
-def messages(raw: bytes, response: bool) -> list[tuple[str, bytes]]:
-    """First lines and bodies of a stream, interim answers left out."""
+def framed(raw: bytes, response: bool) -> list[tuple[str, bytes, int, int]]:
+    """First lines, bodies, begins and ends of a stream's messages, interim answers left out."""
     out, at = [], 0
     while at < len(raw):
+        begin = at
         first, body, at = read_message(raw, at, response)
         if not (response and status_of(first) < 200):
-            out.append((first, body))
+            out.append((first, body, begin, at))
     return out
 
 
+def messages(raw: bytes, response: bool) -> list[tuple[str, bytes]]:
+    """First lines and bodies of a stream, interim answers left out."""
+    return [m[:2] for m in framed(raw, response)]
+
+
+def seen(pieces: list, begin: int, end: int) -> list:
+    """When the packets that gave the bytes from begin to end came first and last, and their numbers."""
+    held = [p for p in pieces[bisect_right([p["end"] for p in pieces], begin) :] if p["start"] < end]
+    if not held:
+        raise Framing("no packet")
+    return [min(p["time_us"] for p in held), max(p["time_us"] for p in held), sorted({p["packet"] for p in held})]
+
+
 def http_transactions(streams: DataFrame, connection: list[str]) -> DataFrame:
     """Requests and responses paired in order: connection, position, request, request_body, response, response_body, issue.
 
     ``streams`` has connection, request_stream and response_stream. Streams that can't be framed, or with unequal counts, give one row with an issue.
+
+    With ``request_pieces`` and ``response_pieces`` (``reassemble``), each message has start_us, end_us and packets, with its
+    side as a prefix. A response that ends before its request begins is an issue row (response_before_request); pairs after it
+    in the connection are not given.
     """
     kinds = {f.name: f.dataType.simpleString() for f in streams.schema.fields}
-    columns = [*connection, "position", "request", "request_body", "response", "response_body", "issue"]
+    sides = ("request", "response")
+    timed = [f"{s}_pieces" for s in sides] if "request_pieces" in kinds else []
+    times = {f"{s}_{c}": kind for s in sides for c, kind in (("start_us", "long"), ("end_us", "long"), ("packets", "array<bigint>"))} if timed else {}
+    columns = [*connection, "position", "request", "request_body", "response", "response_body", "issue", *times]
+
+    def pairs(r: dict) -> list[list]:
+        key, blank = [r[c] for c in connection], [None] * len(times)
+        issue = lambda name, at=None: [*key, at, None, None, None, None, name, *blank]
+        try:
+            asked, told = framed(r["request_stream"] or b"", False), framed(r["response_stream"] or b"", True)
+            when = [[seen(r[c], *m[2:]) for m in side] for c, side in zip(timed, (asked, told), strict=True)] if timed else []
+        except (ValueError, zlib.error):
+            return [issue("broken_message")]
+        if len(asked) != len(told):
+            return [issue("unequal_counts")]
+        rows = []
+        for k, (a, b) in enumerate(zip(asked, told, strict=True)):
+            if timed and when[1][k][1] < when[0][k][0]:
+                return [*rows, issue("response_before_request", k)]
+            rows.append([*key, k, *a[:2], *b[:2], None, *(when[0][k] + when[1][k] if timed else [])])
+        return rows
 
     def part(batches):
         for pdf in batches:
-            rows = []
-            for r in pdf.to_dict("records"):
-                key = [r[c] for c in connection]
-                try:
-                    asked, told = messages(r["request_stream"] or b"", False), messages(r["response_stream"] or b"", True)
-                except (ValueError, zlib.error):
-                    rows.append([*key, None, None, None, None, None, "broken_message"])
-                    continue
-                if len(asked) != len(told):
-                    rows.append([*key, None, None, None, None, None, "unequal_counts"])
-                    continue
-                rows += [[*key, k, *a, *b, None] for k, (a, b) in enumerate(zip(asked, told, strict=True))]
-            yield pd.DataFrame(rows, columns=columns).astype({"position": "Int32"})
-
-    return streams.select(*connection, "request_stream", "response_stream").mapInPandas(part, ", ".join(f"{c} {kinds[c]}" for c in connection) + ", position int, request string, request_body binary, response string, response_body binary, issue string")
+            kept = pd.DataFrame([row for r in pdf.to_dict("records") for row in pairs(r)], columns=columns)
+            yield kept.astype({"position": "Int32"} | {c: "Int64" for c, kind in times.items() if kind == "long"})
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in connection) + ", position int, request string, request_body binary, response string, response_body binary, issue string" + "".join(f", {c} {kind}" for c, kind in times.items())
+    return streams.select(*connection, "request_stream", "response_stream", *timed).mapInPandas(part, schema)

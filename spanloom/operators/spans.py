@@ -12,12 +12,14 @@ MOST_EXPECTED = 10_000
 
 
 def span_structure(spans: DataFrame, id_form: str | None = None) -> DataFrame:
-    """Broken rules by trace: missing_parent, no_root, many_roots (unexpected ones), missing_service, bad_duration, invalid_id, cycle.
+    """Broken rules by trace: missing_parent, no_root, many_roots (unexpected ones), missing_service, bad_duration, invalid_id, cycle, conflicting_parents.
+
+    Equal rows are one span that was delivered more than once.
 
     ``id_form`` is a pattern that span ids must match, for instance ``^(?!0{16})[0-9a-f]{16}$``.
     """
     known = spans.select("trace", F.col("span").alias("parent")).distinct().withColumn("known", F.lit(True))
-    rows = spans.join(known, ["trace", "parent"], "left")
+    rows = spans.distinct().join(known, ["trace", "parent"], "left")
     bad_id = F.col("span").isNull() if id_form is None else ~F.coalesce(F.col("span").cast("string").rlike(id_form), F.lit(False))
     flags = rows.groupBy("trace").agg(
         F.count_if(F.col("parent").isNotNull() & F.col("known").isNull()).alias("missing_parent"), F.count_if(F.col("parent").isNull()).alias("roots"),
@@ -25,8 +27,8 @@ def span_structure(spans: DataFrame, id_form: str | None = None) -> DataFrame:
     )
     rule = lambda broken, name: F.when(broken, F.lit(name))
     rules = F.array_compact(F.array(*[rule(F.col(c) > 0, c) for c in ("missing_parent", "missing_service", "bad_duration", "invalid_id")], rule(F.col("roots") == 0, "no_root"), rule(F.col("roots") > 1, "many_roots")))
-    cycles = climb(spans.select("trace", F.col("span").alias("node"), "parent"), ["trace"]).where("status = 'cycle'").select("trace").distinct()
-    return flags.select("trace", F.explode(rules).alias("rule")).unionByName(cycles.select("trace", F.lit("cycle").alias("rule")))
+    ends = climb(spans.select("trace", F.col("span").alias("node"), "parent"), ["trace"]).where("status in ('cycle', 'many_parents')").select("trace", "status").distinct()
+    return flags.select("trace", F.explode(rules).alias("rule")).unionByName(ends.select("trace", F.when(F.col("status") == "cycle", "cycle").otherwise("conflicting_parents").alias("rule")))
 
 
 def trace_status(spans: DataFrame, violations: DataFrame) -> DataFrame:

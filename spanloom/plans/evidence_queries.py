@@ -42,7 +42,8 @@ def wire_call_reconcile(spark, d):
 FROM elog r JOIN elog w ON w.owner = r.owner AND w.field = r.field AND w.version = r.version AND w.kind = 'write' AND r.kind = 'read' AND w.op = r.op""")
 def stitch_services(spark, d):
     half = lambda kind: side(spark, d, kind).select(*KEY, F.col("event_id").alias("node"), F.col("op").alias("body"))
-    return evidence.stitch_services(half("write"), half("read"), KEY)
+    edges = evidence.stitch_services(half("write"), half("read"), KEY)
+    return edges.select(*KEY, "source", "target", F.explode(F.sequence("start", F.col("end") - 1)).alias("position"))
 
 
 @register("candidate_value_edges", f"""WITH {ELOG} SELECT w.owner, w.field, w.version, w.event_id AS source, r.event_id AS target, 'candidate' AS kind

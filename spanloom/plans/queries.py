@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import project
 from ..operators import components, cost, gates, graph, joins, score, spans
-from ..scratch import materialize
 from . import adapters as ad
-from . import evidence_queries, further_queries, more_queries  # noqa: F401  these register their own queries
+from . import evidence_queries, further_queries, lineage_queries, more_queries  # noqa: F401  these register their own queries
 from .adapters import ELOG, LINES, OBS, SPANS
 from .registry import register
 
@@ -124,12 +123,6 @@ def paired_ratios(spark, d):
     return cost.paired_ratios(t, ["round"], "mode", "metric", "A", "N").withColumns({c: R6(F.col(c)) for c in ("median", "least", "most")})
 
 
-@register("paired_uncertainty")
-def paired_uncertainty(spark, d):
-    t = ad.lines(spark, d).groupBy("l_linestatus", "round").agg((F.sum(F.when(F.col("mode") == "A", F.col("metric"))) / F.sum(F.when(F.col("mode") == "N", F.col("metric")))).alias("ratio"))
-    return cost.paired_uncertainty(t, "l_linestatus", "ratio")
-
-
 @register("baseline_delta", f"WITH {LINES}, t AS (SELECT round, mode, sum(metric)::BIGINT AS metric FROM lines GROUP BY ALL) SELECT t.round, t.mode, t.metric - b.metric AS delta FROM t JOIN t b ON b.round = t.round AND b.mode = 'N' WHERE t.mode <> 'N'")
 def baseline_delta(spark, d):
     return cost.baseline_delta(ad.lines(spark, d).groupBy("round", "mode").agg(F.sum("metric").alias("metric")), ["round"], "mode", "metric", "N")
@@ -425,7 +418,7 @@ def origins(spark, d):
     e = n.where("parent is not null").select("trace", F.col("parent").alias("source"), F.col("node").alias("target"))
     kinds = n.select("trace", "node", F.when(F.col("node") % 3 == 1, F.when(F.col("trace") % 4 == 0, "unknown").otherwise("boundary")).otherwise("other").alias("kind"))
     out = graph.origins(e, kinds, n.groupBy("trace").agg(F.max("node").alias("node")), ["trace"])
-    return out.withColumn("sources", F.array_join(F.col("sources").cast("array<string>"), ","))
+    return out.drop("status").withColumn("sources", F.array_join(F.col("sources").cast("array<string>"), ","))
 
 
 @register("byte_ranges", f"""WITH {SPANS}, m AS (SELECT trace, max(span) AS root FROM spans GROUP BY 1), c AS (SELECT *, CASE WHEN trace % 3 = 0 THEN 0 ELSE root END AS cut FROM m)
@@ -447,7 +440,7 @@ def connected_components(spark, d):
     return components.connected_components(near.unionByName(far))
 
 
-@register("cohort_attribution", """SELECT event_id AS record, CASE WHEN (user_id // 2) % 3 <> 0 THEN NULL WHEN user_id % 2 = 0 OR true THEN (user_id // 2) * 2 END AS request, CASE WHEN (user_id // 2) % 3 = 0 THEN 'request' ELSE 'global' END AS status FROM events""")
+@register("cohort_attribution", """SELECT event_id AS record, CASE WHEN (user_id // 2) % 3 <> 0 THEN NULL ELSE (user_id // 2) * 2 END AS request, CASE WHEN (user_id // 2) % 3 = 0 THEN 'request' ELSE 'global' END AS status FROM events""")
 def cohort_attribution(spark, d):
     e = ad.table(spark, d, "events")
     links = e.select(F.col("user_id").alias("a"), (F.expr("(user_id div 2) * 2")).alias("b")).distinct()
@@ -485,25 +478,3 @@ def classify_exposure(spark, d):
 @register("json_leaves", "SELECT event_id, '/k' AS path, regexp_extract(props, '([0-9]+)', 1) AS value FROM events")
 def json_leaves(spark, d):
     return project.json_leaves(ad.table(spark, d, "events"), "props", ["event_id"], "pointer")
-
-
-# ---- whole jobs ----
-
-
-@register("w1_timing_score")
-def w1_timing_score(spark, d):
-    """Call trees from timing alone: transport and local edges, closure from entry calls, scored against the calls of the entry's user inside its time.
-
-    The truth comes from the events' users and times alone; no prediction is read for it.
-    """
-    obs = ad.observations(spark, d)
-    transport = joins.greedy_match(joins.transport_candidates(obs, SLACK, with_times=True)).where("not tied").select(F.col("client").alias("parent"), F.col("server").alias("child"))
-    local = joins.local_parents(obs).select("parent", "child")
-    edges = materialize(transport.unionByName(local).select(F.lit(0).alias("g"), "parent", "child"), "edges")
-    entries = materialize(obs.where("kind = 'CLIENT'").join(local.select(F.col("child").alias("event_id")), "event_id", "left_anti"), "entries")
-    found = graph.reach(edges, entries.select(F.lit(0).alias("g"), F.col("event_id").alias("node")), ["g"]).where("root != node").select(F.col("root").alias("query"), F.col("node").alias("item"))
-    users = ad.table(spark, d, "events").select("event_id", "user_id")
-    calls = obs.join(users, "event_id").select(F.col("event_id").alias("item"), "user_id", F.col("start_us").alias("s"), F.col("end_us").alias("e"), F.expr("start_us div 86400000000").alias("day"))
-    asked = entries.join(users, "event_id").select(F.col("event_id").alias("query"), "user_id", "start_us", "end_us", F.explode(F.sequence(F.expr("start_us div 86400000000"), F.expr("end_us div 86400000000"))).alias("day"))
-    truth = asked.join(calls, ["user_id", "day"]).where("query != item and s >= start_us and e <= end_us").select("query", "item")
-    return score.prf(score.set_score(truth, found, ["query"], ["item"]))

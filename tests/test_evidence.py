@@ -6,6 +6,7 @@ import zlib
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from spanloom.operators import network
 from spanloom.sources.packets import read_pcap
@@ -20,8 +21,12 @@ def frame(src, dst, seq, data=b"", flags=16, fragment=0, version=4):
     return bytes(range(12)) + (0x0800).to_bytes(2, "big") + packet
 
 
+def opening(magic=0xA1B2C3D4, major=2, minor=4, zone=0, most=262_144, link=1):
+    return struct.pack("<IHHIIII", magic, major, minor, zone, 0, most, link)
+
+
 def capture(frames):
-    return b"\xd4\xc3\xb2\xa1" + b"\0" * 20 + b"".join(struct.pack("<IIII", k, 5, len(f), len(f)) + f for k, f in enumerate(frames))
+    return opening() + b"".join(struct.pack("<IIII", k, 5, len(f), len(f)) + f for k, f in enumerate(frames))
 
 
 def test_pcap(spark, tmp_path):
@@ -34,6 +39,48 @@ def test_pcap(spark, tmp_path):
     assert rows[0].syn and not rows[1].syn
 
 
+def test_refused_captures(spark, tmp_path):
+    """Headers that are not the one form, cut packets and sizes beyond belief are rows, and what stands before them is read."""
+    heads = {"link": opening(link=113), "version": opening(minor=3), "zone": opening(zone=1), "size": opening(most=1 << 20), "order": opening()[:4][::-1] + opening()[4:], "short": opening()[:20], "none": opening()}
+    for name, head in heads.items():
+        (tmp_path / f"{name}.pcap").write_bytes(head)
+    good, cut = frame(1, 2, 3), frame(1, 2, 3, b"abc")
+    record = lambda f, original, size=None: struct.pack("<IIII", 1, 2, len(f) if size is None else size, original) + f
+    (tmp_path / "cut.pcap").write_bytes(opening() + record(good, len(good)) + record(cut[:-1], len(cut)) + record(good, len(good)))
+    (tmp_path / "large.pcap").write_bytes(opening() + record(good, len(good)) + record(good, 1 << 20, 1 << 20))
+    (tmp_path / "tail.pcap").write_bytes(opening() + record(good, len(good)) + b"\0" * 9)
+    got = {(r.file.rsplit("/", 1)[1][:-5], r.number, r.issue) for r in read_pcap(spark, str(tmp_path)).collect()}
+    assert got == {("link", None, "bad_link_type"), ("version", None, "bad_version"), ("zone", None, "bad_version"), ("size", None, "bad_packet_size"), ("order", None, "not_a_capture"), ("short", None, "not_a_capture"),
+                   ("cut", 0, None), ("cut", 1, "cut_packet"), ("cut", 2, None), ("large", 0, None), ("large", 1, "oversized"), ("tail", 0, None), ("tail", 1, "truncated")}
+
+
+def test_one_capture_in_many_tasks(spark, tmp_path):
+    frames = [frame(1000, 80, 7 + k, b"x" * (k % 50)) for k in range(400)]
+    (tmp_path / "a.pcap").write_bytes(capture(frames))
+    rows = read_pcap(spark, str(tmp_path), split_bytes=3000).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.number, r.seq, len(r.data), r.time_us) for r in rows) == [(k, 7 + k, k % 50, k * 1_000_000 + 5) for k in range(400)]
+    assert len({r.task for r in rows}) > 3
+
+
+def test_times_of_messages(spark):
+    """Retransmitted bytes count when they came first; a response that ends before its request begins is refused."""
+    asked, told = b"GET /a HTTP/1.1\r\n\r\nGET /b HTTP/1.1\r\n\r\n", b"HTTP/1.1 204 x\r\n\r\n" * 2
+    half, part = len(asked) // 2, len(told) // 2
+
+    def packets(c, side, data, cut, times):
+        rows = [(c, side, 100, True, False, b"", 0, 0), (c, side, 101, False, False, data[:cut], times[0], 1), (c, side, 101, False, False, data[:cut], times[0] + 1000, 2), (c, side, 101 + cut, False, False, data[cut:], times[1], 3)]
+        return rows
+
+    rows = packets(1, "request", asked, half, (10, 30)) + packets(1, "response", told, part, (20, 40)) + packets(2, "request", asked, half, (10, 30)) + packets(2, "response", told, part, (20, 25)) + packets(3, "request", asked, half + 5, (10, 30)) + packets(3, "response", told, part, (35, 40))
+    df = spark.createDataFrame(rows, "c int, side string, seq long, syn boolean, fin boolean, data binary, time_us long, number long")
+    streams = network.reassemble(df, ["c", "side"])
+    sides = [streams.where(f"side = '{s}'").selectExpr("c", f"stream as {s}_stream", f"pieces as {s}_pieces") for s in ("request", "response")]
+    got = network.http_transactions(sides[0].join(sides[1], "c"), ["c"]).collect()
+    facts = {(r.c, r.position): (r.issue, r.request_start_us, r.request_end_us, r.response_start_us, r.response_end_us, r.request_packets) for r in got}
+    assert facts == {(1, 0): (None, 10, 10, 20, 20, [1]), (1, 1): (None, 30, 30, 40, 40, [3]), (2, 0): (None, 10, 10, 20, 20, [1]), (2, 1): ("response_before_request", None, None, None, None, None),
+                     (3, 0): (None, 10, 10, 35, 35, [1]), (3, 1): (None, 10, 30, 40, 40, [1, 3])}
+
+
 def stream(*parts, isn=2**32 - 3, fin=()):
     rows = [(isn, True, False, b"")] + [((isn + 1 + at) % 2**32, False, at in fin, data) for at, data in parts]
     return network.join_segments(pd.DataFrame(rows, columns=["seq", "syn", "fin", "data"]))

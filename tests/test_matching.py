@@ -33,9 +33,8 @@ def test_many_costs():
     assert not greedy_levels(df)["tied"].any()
 
 
-def test_islands(spark, monkeypatch):
-    """Matching by islands of time gives what matching all pairs of a path at once gives."""
-    monkeypatch.setattr(joins, "ISLAND_ROWS", 3)
+def test_calls(spark):
+    """Matching calls in rounds gives what matching all pairs of a path at once gives."""
     rng = np.random.default_rng(5)
     calls = [(k, int(rng.integers(0, 400)), int(rng.integers(1, 30))) for k in range(120)]
     pairs = []
@@ -45,5 +44,5 @@ def test_islands(spark, monkeypatch):
                 pairs.append((c, s, 1, "p" if c % 2 else "q", abs(begin - start) // 3, min(start, begin), max(start + length, begin + size)))
     pairs = [p for p in pairs if p[3] == ("p" if p[1] % 2 else "q")]
     df = spark.createDataFrame(pairs, "client long, server long, service int, path string, cost long, from_us long, to_us long")
-    got = {(r.client, r.server, r.cost, r.tied) for r in joins.greedy_match(df).collect()}
+    got = {(r.client, r.server, r.cost, r.tied) for r in joins.greedy_match(df, together=3).collect()}
     assert got == {x for path in "pq" for x in brute([(c, s, k) for c, s, _, p, k, *_ in pairs if p == path])}
