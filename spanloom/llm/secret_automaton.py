@@ -3,9 +3,10 @@
 Each rule is a sequence of byte classes with repeat counts. Thompson's construction, the subset construction and
 Moore's minimisation turn all rules together into transition arrays; one pass over the bytes then finds where a
 match of any rule ends. The pass runs on many pieces of the text at once, cut behind bytes that lead every state
-back to the start, so that no cut can change a match. Where such bytes are far apart, as in a long line of one word, a
-piece begins with a guessed state, and is run again for as long as the piece before it ends in another one. The reversed
-rule, run back from an end, gives the start; where a state stays as it is over a run of bytes, the run is one step.
+back to the start, so that no cut can change a match. Where such bytes are far apart, as in a long line of one word, pieces
+go on from each other: each is run from every state in which such a piece can end, and these maps of states are put
+together in order. The reversed rule, run back from an end, gives the start; where a state stays as it is over a run of
+bytes, the run is one step.
 
 Rules end in an open repeat, so a match reaches as far as its last class does and the leftmost longest match is
 the one that a leftmost search gives. Matches of one kind do not overlap.
@@ -211,21 +212,23 @@ def ends_of(data: np.ndarray, auto: Automaton, piece: int = 2048) -> list[tuple[
     more = [np.arange(a + piece, b, piece) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if b - a > 2 * piece]
     all_cuts = np.unique(np.concatenate([cuts, *more])).astype(np.int64)
     starts, length = all_cuts[:-1], np.diff(all_cuts)
-    goes_on = ~np.isin(starts, cuts)
-    first, last = np.zeros(len(starts), np.int32), np.zeros(len(starts), np.int32)
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]] = []
-    run_of, todo, turn = np.zeros(len(starts), np.int64), np.arange(len(starts)), 0
-    while len(todo):
-        run_of[todo] = turn
-        last[todo], events = walk(classes, starts[todo], length[todo], first[todo], auto)
-        found += [(todo[lane], place, gone, turn) for lane, place, gone in events]
-        need = np.where(goes_on, np.roll(last, 1), 0)
-        todo = np.flatnonzero(need != first)
-        first[todo] = need[todo]
-        turn += 1
+    goes_on = np.flatnonzero(~np.isin(starts, cuts))
+    last, events = walk(classes, starts, length, np.zeros(len(starts), np.int32), auto)
+    found = [(lane, place, gone, 0) for lane, place, gone in events]
+    # a piece that goes on is run from every state in which a piece before it may end; these are few and soon closed
+    maps, todo = {0: last[goes_on]}, set(np.unique(last[goes_on - 1]).tolist())
+    while todo := todo - maps.keys():
+        state = min(todo)
+        maps[state], events = walk(classes, starts[goes_on], length[goes_on], np.full(len(goes_on), state, np.int32), auto)
+        found += [(goes_on[lane], place, gone, state) for lane, place, gone in events]
+        todo |= set(np.unique(maps[state]).tolist())
+    first = np.zeros(len(starts), np.int32)
+    for k, piece_at in enumerate(goes_on.tolist()):
+        first[piece_at] = last[piece_at - 1]
+        last[piece_at] = maps[int(first[piece_at])][k]
     ended: list[tuple[int, int]] = []
     for lane, place, gone, of in found:
-        good = run_of[lane] == of  # of each piece its last run counts
+        good = first[lane] == of  # of each piece the run from its own state counts
         for where, bits in zip(place[good].tolist(), gone[good].tolist(), strict=True):
             ended += [(where, kind) for kind in range(len(KINDS)) if bits >> kind & 1]
     return sorted(ended)

@@ -57,6 +57,13 @@ def test_exact_duplicates(docs, empty):
     assert block_naming.exact_duplicates(empty).count() == 0
 
 
+def test_keep_one_clashing_columns(spark):
+    """Columns of any name come back as they were."""
+    rows = [(1, "a", -7, -8, -9, "x"), (2, "a", -7, -8, -9, "y"), (3, "b", 1, 2, 3, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __uid long, uid long, id long, UID_ string")
+    assert sorted(map(tuple, block_naming.keep_one(docs).collect())) == rows[1:]
+
+
 def test_repeat_parsing(docs, empty):
     length = 40
     seen = Counter(raw(r[1])[i : i + length] for r in ROWS for i in range(len(raw(r[1])) - length + 1))
@@ -245,6 +252,10 @@ def test_added_secrets():
     assert {k for s in got for _, k, _ in s} == set(range(len(secret_automaton.KINDS)))
 
 
+def assigned(text):
+    return [(m.start(), "assign", m.end()) for m in re.finditer(r"(?i:password|passwd|secret|token|api_?key)[\"']? *[:=] *[\"']?[A-Za-z0-9+/_.=-]{6,}", text)]
+
+
 def test_long_lines():
     """Long lines without a byte that resets the automaton: the same spans, in time that follows the length."""
     import time
@@ -256,7 +267,11 @@ def test_long_lines():
         assert secret_automaton.scan([text])[0] == secrets_by_rules(text), text[:40]
     began = time.time()
     assert secret_automaton.scan(["a" * (20 << 20)])[0] == [(0, 2, 20 << 20)]
-    assert time.time() - began < 20
+    # no piece of these begins in the state that was run first
+    for text in ("token=" + "Zx" * (10 << 20), "password: '" + "Q+/9z" * (2 << 20) + "' " + "secret=" + "gh_" * (1 << 20)):
+        spans = secret_automaton.scan([text])[0]
+        assert [(KIND, a, b) for a, KIND, b in spans] == [(secret_automaton.KINDS.index(k), a, b) for a, k, b in assigned(text)]
+    assert time.time() - began < 60
 
 
 def test_quality_rules(docs, empty):
