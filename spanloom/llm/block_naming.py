@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
+from .batches import free_name
 
 BLOCK_BYTES = 4096
 #: A key is hot from this share of the rows, or from this number of rows on.
@@ -94,10 +95,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs``, all columns, less all but one of each group of equal texts: the row with the largest id stays."""
-    named_rows = materialize(docs.withColumn("__uid", F.monotonically_increasing_id()), "documents")
-    ids = identities(named_rows, "__uid", text_col, block_bytes)
+    uid = free_name("uid", docs.columns)
+    named_rows = materialize(docs.withColumn(uid, F.monotonically_increasing_id()), "documents")
+    ids = identities(named_rows, uid, text_col, block_bytes)
     # inside, the row number stands for the id; the id itself decides which row stays
-    keys = named_rows.select("__uid", F.col(id_col).cast("long").alias("__id"))
-    rows = materialize(ids.select(F.col("doc_id").alias("__uid"), "blocks", "name"), "identities").join(keys, "__uid")
-    stay = rows.groupBy("blocks", "name").agg(F.max(F.struct(F.col("__id").isNotNull().alias("known"), "__id", "__uid")).alias("best")).select(F.col("best.__uid").alias("__uid"))
-    return named_rows.join(stay, "__uid", "left_semi").select(docs.columns)
+    keys = named_rows.select(F.col(uid).alias("uid"), F.col(id_col).cast("long").alias("id"))
+    rows = materialize(ids.select(F.col("doc_id").alias("uid"), "blocks", "name"), "identities").join(keys, "uid")
+    stay = rows.groupBy("blocks", "name").agg(F.max(F.struct(F.col("id").isNotNull().alias("known"), "id", "uid")).alias("best")).select(F.col("best.uid").alias(uid))
+    return named_rows.join(stay, uid, "left_semi").select(docs.columns)
