@@ -171,6 +171,8 @@ def near_in_tile(counts: np.ndarray, size: np.ndarray, block: np.ndarray, left:
     """Candidate pairs between two sides (within one if ``right`` is None), both ordered by length: one block, counts at most two apart and not equal. The first is no longer than the second."""
     same = right is None
     right = left if same else right
+    if not len(left) or not len(right):  # all words of a meeting may be of one tile
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     norm = (counts * counts).sum(axis=1)
     out_i, out_j = [], []
     # adjacent length blocks: words of a length meet those one shorter to one longer; few words meet in one product
