@@ -74,12 +74,14 @@ def wire_responses(requests: DataFrame, responses: DataFrame, key: list[str]) ->
     return one.select(*key, reason.alias("reason"), F.when(reason == "matched", F.col("response")).alias("response"), F.when(reason == "matched", F.col("http_status")).alias("http_status"))
 
 
-def span_chains(spans: DataFrame, checks: dict[str, Column] | None = None) -> DataFrame:
+def span_chains(spans: DataFrame, checks: dict[str, Column] | None = None, closed: bool = False) -> DataFrame:
     """Driver spans (those of kind INTERNAL) with the server below each, the client below that and the server below the client.
 
     Columns trace, span, server, client, upstream, ``status``: matched where each step has exactly one child of the kind,
     else missing or ambiguous at the first step that fails. ``checks`` has a condition for steps, over the span's own columns
-    (such as a remote parent flag or the service's name); a step whose span fails it is wrong at that step.
+    (such as a remote parent flag or the service's name); a step whose span fails it is wrong at that step. With ``closed``
+    each span is used once and the chain ends with its last server: a span that was exported twice makes the chains of its
+    trace reused_span, and a last server with spans below it has status open_upstream.
     """
     checks = checks or {}
 
@@ -92,7 +94,13 @@ def span_chains(spans: DataFrame, checks: dict[str, Column] | None = None) -> Da
     status = F.when(F.lit(False), "")
     for name in ("server", "client", "upstream"):
         status = status.when(F.col(f"{name}_n").isNull(), f"missing_{name}").when(F.col(f"{name}_n") > 1, f"ambiguous_{name}").when(~F.col(f"{name}_good"), f"wrong_{name}")
-    status = status.otherwise("matched")
+    if closed:
+        twice = spans.groupBy("trace", "span").agg(F.count("*").alias("n")).where("n > 1").select("trace", F.lit(True).alias("reused")).distinct()
+        parents = spans.select("trace", F.col("parent").alias("upstream"), F.lit(True).alias("open")).distinct()
+        out = out.join(twice, "trace", "left").join(parents, ["trace", "upstream"], "left")
+        status = F.when(F.col("reused"), "reused_span").otherwise(status.when(F.col("open"), "open_upstream").otherwise("matched"))
+    else:
+        status = status.otherwise("matched")
     return out.select("trace", "span", *[F.when(status == "matched", F.col(c)).alias(c) for c in ("server", "client", "upstream")], status.alias("status"))
 
 

@@ -144,11 +144,28 @@ def last_write_asof(log: DataFrame, owner: list[str], seq: str, kind: str, event
     return rows.select(F.col(event), F.when(good, F.col("__last.event")).alias("source"))
 
 
-def property_bridge(writes: DataFrame, reads: DataFrame, key: list[str], service: str, value: str) -> DataFrame:
-    """Reads joined to the one write of the same (message, direction, pointer) by another service, with ``status``: matched, missing, ambiguous, same_service or value_differs."""
+def property_bridge(writes: DataFrame, reads: DataFrame, key: list[str], service: str, value: str, direction: str | None = None, echo: str | None = None, message: str | None = None) -> DataFrame:
+    """Reads joined to the one write of the same (message, direction, pointer) by another service, with ``status``: matched, missing, ambiguous, same_service or value_differs.
+
+    With ``direction``, ``echo`` and ``message``, columns of the reads, a property that several read is ambiguous too, and a
+    response must echo its message: if it names another or none, the status is echo_differs.
+    """
     w = writes.select(*key, F.col(service).alias("from_service"), F.col(value).alias("sent"))
     out = unique_join(reads, w, key)
-    return out.withColumn("status", F.when(F.col("status") != "matched", F.col("status")).when(F.col("from_service") == F.col(service), "same_service").when(~F.col("sent").eqNullSafe(F.col(value)), "value_differs").otherwise("matched"))
+    status = F.when(F.col("status") != "matched", F.col("status"))
+    if echo:
+        readers = reads.groupBy(*key).agg(F.count("*").alias("__readers"))
+        out = out.join(readers, key, "left")
+        status = status.when(F.col("__readers") > 1, "ambiguous")
+    status = status.when(F.col("from_service") == F.col(service), "same_service")
+    if echo:
+        status = status.when((F.col(direction) == "response") & ~F.col(echo).eqNullSafe(F.col(message)), "echo_differs")
+    return out.withColumn("status", status.when(~F.col("sent").eqNullSafe(F.col(value)), "value_differs").otherwise("matched")).drop("__readers")
+
+
+def repeated_transports(events: DataFrame, message: list[str], event: str) -> DataFrame:
+    """Messages (by message, direction and phase) with more than one transport event, and how many: no property of theirs is bridged."""
+    return events.groupBy(*message).agg(F.count_distinct(event).alias("events")).where("events > 1")
 
 
 def overlapping_pairs(intervals: DataFrame, key: list[str], ident: str, start: str, end: str, bucket: int) -> DataFrame:

@@ -370,3 +370,72 @@ def sync_scope_http(spark, d):
 def empty_is_unknown(spark, d):
     g = ad.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("q")).agg(F.collect_set("l_suppkey").alias("expected"), F.collect_set(F.when(F.col("l_linenumber") == 3, F.col("l_suppkey"))).alias("predicted"))
     return score.unknown_policy(g, empty_is_unknown=True).drop("expected", "predicted")
+
+
+@register("span_chains_closed", f"""WITH {SPANS}, b AS (SELECT trace, max(span) AS last FROM spans GROUP BY 1) SELECT trace, span, CASE WHEN trace % 5 = 1 AND last >= 1 THEN 'reused_span' WHEN last < span + 1 THEN 'missing_server' WHEN last < span + 2 THEN 'missing_client' WHEN last < span + 3 THEN 'missing_upstream' WHEN last > span + 3 THEN 'open_upstream' ELSE 'matched' END AS status FROM spans JOIN b USING (trace) WHERE span % 4 = 0""")
+def span_chains_closed(spark, d):
+    kinds = F.element_at(F.array(*[F.lit(k) for k in ("INTERNAL", "SERVER", "CLIENT", "SERVER")]), (F.col("span") % 4 + 1).cast("int"))
+    t = ad.turn_spans(spark, d).withColumn("kind", kinds)
+    return evidence.span_chains(t.unionByName(t.where("trace % 5 = 1 and span = 1")), closed=True).select("trace", "span", "status")
+
+
+@register("property_echo", """WITH w AS (SELECT l_orderkey, l_linenumber, count(*) AS n, min(l_suppkey % 3) AS fs, min(l_quantity) AS sent FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1, 2), r AS (SELECT l_orderkey, l_linenumber, l_suppkey % 3 AS service, l_quantity AS v, l_partkey % 2 = 0 AS resp, CASE WHEN l_partkey % 6 = 0 THEN NULL WHEN l_partkey % 10 = 2 THEN l_orderkey + 1 ELSE l_orderkey END AS echo, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS readers FROM lineitem WHERE l_tax > 0.02)
+SELECT r.l_orderkey, r.l_linenumber, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 OR readers > 1 THEN 'ambiguous' WHEN fs = service THEN 'same_service' WHEN resp AND echo IS DISTINCT FROM l_orderkey THEN 'echo_differs' WHEN sent <> v THEN 'value_differs' ELSE 'matched' END AS status FROM r LEFT JOIN w USING (l_orderkey, l_linenumber)""")
+def property_echo(spark, d):
+    x = ad.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 3).alias("service"), F.col("l_quantity").alias("value"), "l_linestatus", "l_tax", F.when(F.col("l_partkey") % 2 == 0, "response").otherwise("request").alias("direction"), F.when(F.col("l_partkey") % 6 == 0, None).when(F.col("l_partkey") % 10 == 2, F.col("l_orderkey") + 1).otherwise(F.col("l_orderkey")).alias("echo"))
+    out = joins.property_bridge(x.where("l_linestatus = 'F'"), x.where("l_tax > 0.02"), ["l_orderkey", "l_linenumber"], "service", "value", "direction", "echo", "l_orderkey")
+    return out.select("l_orderkey", "l_linenumber", "status")
+
+
+@register("repeated_transports", "SELECT l_orderkey, l_returnflag, count(DISTINCT l_linenumber) AS events FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_linenumber) > 1")
+def repeated_transports(spark, d):
+    return joins.repeated_transports(ad.table(spark, d, "lineitem"), ["l_orderkey", "l_returnflag"], "l_linenumber")
+
+
+@register("json_pointers_nested", """WITH x AS (SELECT c_custkey AS k, c_name AS n, c_mktsegment AS m FROM customer) SELECT k, '/a~1b/t~0/0' AS path, n AS value FROM x UNION ALL SELECT k, '/a~1b/t~0/1/z', m FROM x UNION ALL SELECT k, '/a~1b/t~0/1/n', k::VARCHAR FROM x UNION ALL SELECT k, '/b', 'true' FROM x""")
+def json_pointers_nested(spark, d):
+    nested = F.concat(F.lit('{"a/b": {"t~": ["'), "c_name", F.lit('", {"z": "'), "c_mktsegment", F.lit('", "n": '), F.col("c_custkey").cast("string"), F.lit("}]}, \"b\": true}"))
+    return project.json_leaves(ad.table(spark, d, "customer").select(F.col("c_custkey").alias("k"), nested.alias("j")), "j", ["k"], "pointer")
+
+
+@register("capture_plan", f"""WITH {SPANS} SELECT trace, 'capture_closed' AS rule, first || '/footer/1/0' AS detail FROM (SELECT trace, CASE WHEN trace % 9 = 4 THEN 'row' ELSE 'header' END AS first, max(span) AS last FROM spans GROUP BY trace) WHERE last > 0 AND (trace % 9 = 4 OR trace % 10 = 3)
+UNION ALL SELECT trace, 'capture_closed', CASE WHEN trace % 9 = 4 THEN 'row/row/0/0' ELSE 'header/header/0/0' END FROM spans GROUP BY trace HAVING max(span) = 0 UNION ALL SELECT trace, 'plan', CASE WHEN trace % 9 = 4 THEN 'none' ELSE 'p' || trace % 7 END FROM spans GROUP BY trace HAVING trace % 9 = 4 OR trace % 7 <> 2""")
+def capture_plan(spark, d):
+    t = ad.turn_spans(spark, d)
+    last = t.groupBy("trace").agg(F.max("span").alias("last"))
+    kind = F.when((F.col("span") == 0) & (F.col("trace") % 9 != 4), "header").when((F.col("span") == F.col("last")) & (F.col("span") > 0), "footer").otherwise("row")
+    rows = t.join(last, "trace").select("trace", "span", kind.alias("kind"), (F.col("last") + (F.col("trace") % 10 == 3).cast("int")).alias("counted"), F.concat(F.lit("p"), (F.col("trace") % 7).cast("string")).alias("plan"))
+    return gates.capture_closed_gate(rows, ["trace"], "span", "kind", "counted", "plan", "p2")
+
+
+@register("phase_barriers_ordered", f"WITH {OBS}, x AS (SELECT event_id // 4 AS batch, start_us, end_us, CASE WHEN event_id % 40 <> 7 THEN event_id END AS a, event_id // 4 * 4 + 4 - (event_id // 4 % 3 = 1)::INT AS b FROM obs) SELECT batch, max(start_us) AS last_entry, min(end_us) AS first_exit, max(start_us) < min(end_us) AS together, coalesce(max(a) < min(b), false) AND count(a) = count(*) AS ordered FROM x GROUP BY 1")
+def phase_barriers_ordered(spark, d):
+    o = ad.observations(spark, d).select(F.expr("event_id div 4").alias("batch"), "start_us", "end_us", F.when(F.col("event_id") % 40 != 7, F.col("event_id")).alias("read_end"), F.expr("event_id div 4 * 4 + 4 - int(event_id div 4 % 3 = 1)").alias("read_begin"))
+    return cost.phase_barriers(o, ["batch"], "start_us", "end_us", [("read_end", "read_begin")])
+
+
+@register("families_applicable", "SELECT o_orderpriority AS fam, count(*) FILTER (o_custkey % 4 <> 1) AS targets, count(*) FILTER (o_custkey % 4 = 1) AS not_applicable, count(*) FILTER (o_custkey % 4 <> 1 AND o_orderstatus = 'F') AS correct, count(*) FILTER (o_custkey % 4 <> 1 AND o_orderstatus = 'O') AS wrong FROM orders GROUP BY 1")
+def families_applicable(spark, d):
+    o = ad.table(spark, d, "orders").select(F.col("o_orderpriority").alias("fam"), "o_custkey", F.when(F.col("o_orderstatus") == "F", "correct").when(F.col("o_orderstatus") == "O", "wrong").alias("state"))
+    return score.family_counts(o, "fam", "state", ["correct", "wrong"], F.col("o_custkey") % 4 != 1)
+
+
+@register("micro_unknown", """WITH q AS (SELECT o_orderpriority AS m, o_custkey % 3 AS tp, o_custkey % 2 AS fp, o_orderkey % 2 AS fn, o_orderstatus <> 'P' AS known FROM orders) SELECT m AS method, count(*) AS queries, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, count(*) FILTER (fp = 0 AND fn = 0) AS exact, count(*) FILTER (NOT known) AS unknown,
+round(sum(tp) / nullif(sum(tp) + sum(fp), 0), 6) AS "precision", round(sum(tp) / nullif(sum(tp) + sum(fn), 0), 6) AS recall, round(2 * sum(tp) / nullif(2 * sum(tp) + sum(fp) + sum(fn), 0), 6) AS f1 FROM q GROUP BY 1""")
+def micro_unknown(spark, d):
+    q = ad.table(spark, d, "orders").select(F.col("o_orderpriority").alias("method"), (F.col("o_custkey") % 3).alias("tp"), (F.col("o_custkey") % 2).alias("fp"), (F.col("o_orderkey") % 2).alias("fn"), (F.col("o_orderstatus") != "P").alias("known"))
+    return score.micro_summary(q.withColumn("exact", F.expr("fp = 0 and fn = 0")), ["method"]).withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
+
+
+@register("resources_in_window", """WITH s AS (SELECT user_id, event_id AS t, event_id * 3 + user_id - CASE WHEN event_id % 400 = 200 THEN 2000 ELSE 0 END AS cpu, event_id % 77 AS rss FROM events WHERE event_id BETWEEN user_id * 2 AND 700), f AS (SELECT *, cpu < lag(cpu) OVER (PARTITION BY user_id ORDER BY t) AS fell FROM s)
+SELECT user_id, CASE WHEN count(*) >= 2 AND count(*) FILTER (fell) = 0 THEN round((max(cpu) - min(cpu)) * 100 / (max(t) - min(t)), 6) END AS cpu_percent, round(avg(rss), 6) AS rss_mean, max(rss) AS rss_peak, count(*) < 2 OR count(*) FILTER (fell) > 0 AS violation FROM f GROUP BY 1""")
+def resources_in_window(spark, d):
+    s = ad.table(spark, d, "events").select("user_id", F.col("event_id").alias("t"), (F.col("event_id") * 3 + F.col("user_id") - F.when(F.col("event_id") % 400 == 200, 2000).otherwise(0)).alias("cpu"), (F.col("event_id") % 77).alias("rss"))
+    out = cost.resource_summary(s, ["user_id"], "t", "cpu", "rss", (F.col("user_id") * 2, F.lit(700)))
+    return out.withColumns({"cpu_percent": F.round("cpu_percent", 6), "rss_mean": F.round("rss_mean", 6)})
+
+
+@register("foreign_ids_anywhere", "SELECT DISTINCT p.page_id, o.page_id AS owner, o.page_id::VARCHAR AS id FROM pages p JOIN pages o ON contains(p.url, o.page_id::VARCHAR) WHERE o.page_id <> p.page_id")
+def foreign_ids_anywhere(spark, d):
+    p = ad.table(spark, d, "pages")
+    return evidence.foreign_id_hits(p.select("page_id", F.col("url").alias("path")), p.select("page_id", F.col("page_id").cast("string").alias("id")), "page_id", "path", "id", substring=True)
