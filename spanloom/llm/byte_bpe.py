@@ -149,7 +149,11 @@ def encode_words(rows: DataFrame, ranks: dict[bytes, int], pattern: str, sets: i
         return rows.groupBy("bucket").applyInArrow(lambda t: told(t, WordIds(ranks, pattern)), types)
 
     def gathered(table: pa.Table) -> pa.Table:
-        return pa.table({"bucket": table.column("bucket")[:1], "apart": table.column("apart")[:1], "words": pa.array([shrink(pack(sorted(distinct(table.column("packed")))))], pa.binary())})
+        parts: dict[int, list[bytes]] = defaultdict(list)
+        for word in sorted(distinct(table.column("packed"))):
+            parts[zlib.crc32(word) // BUCKETS % sets].append(word)  # the bucket is the rest by BUCKETS
+        one = lambda c: [table.column(c)[0].as_py()] * len(parts)
+        return pa.table({"bucket": pa.array(one("bucket"), pa.int32()), "apart": pa.array(one("apart"), pa.int64()), "part": pa.array(list(parts), pa.int32()), "words": pa.array([shrink(pack(w)) for w in parts.values()], pa.binary())})
 
     def encoded(table: pa.Table) -> pa.Table:
         each = [parts_of(grow(w.as_py())) for w in table.column("words")]
@@ -158,11 +162,14 @@ def encode_words(rows: DataFrame, ranks: dict[bytes, int], pattern: str, sets: i
         return pa.table({"bucket": table.column("bucket"), "apart": table.column("apart"), "words": table.column("words"), "ids": pa.array(ids, pa.binary())})
 
     def back(left: pa.Table, right: pa.Table) -> pa.Table:
-        words, ids = (parts_of(grow(right.column(c)[0].as_py())) for c in ("words", "ids"))
-        return told(left, dict(zip(words, ids, strict=True)))
-
-    # sets' distinct words, then each word's ids, told to every set that has it
-    known = rows.groupBy("bucket", "apart").applyInArrow(gathered, "bucket int, apart long, words binary").groupBy("bucket").applyInArrow(encoded, "bucket int, apart long, words binary, ids binary")
+        known: dict[bytes, bytes] = {}
+        for words, ids in zip(right.column("words"), right.column("ids"), strict=True):
+            known.update(zip(parts_of(grow(words.as_py())), parts_of(grow(ids.as_py())), strict=True))
+        return told(left, known)
+
+    # sets' distinct words, in as many parts of each bucket as there are sets, so that a part holds about as many words whatever
+    # the input; then each word's ids, told to every set that has it
+    known = rows.groupBy("bucket", "apart").applyInArrow(gathered, "bucket int, apart long, part int, words binary").groupBy("bucket", "part").applyInArrow(encoded, "bucket int, apart long, words binary, ids binary")
     return rows.groupBy("bucket", "apart").cogroup(known.groupBy("bucket", "apart")).applyInArrow(back, types)
 
 
