@@ -14,12 +14,12 @@ in which neighbours whose first ``length`` bytes are equal, byte by byte, repeat
 Each slice of documents first settles what repeats inside it and sends one posting for each core, so a passage that a
 third of all documents share sends no more than one posting for each slice. Postings are dealt by digest into buckets
 whose number follows the input. Edges of such a passage differ from document to document though they share its core, so
-a bucket may get many open units: one of more than ``OPEN_BYTES`` is dealt again window by window, by the windows'
-digests, where each slice sends one window of each digest, and equal digests repeat.
+a bucket may get many open units: one of more than ``OPEN_BYTES`` is dealt again window by window, by the windows' leading
+bytes, to as many parts as its windows need, and windows of a part whose bytes are all equal repeat.
 
 Defined cases: null counts as empty; texts shorter than ``length`` lose nothing. Matches never cross documents. Repeated
 rows repeat each other. Further columns are not read. Cores and units are compared by 64 bits each, a unit's 64 only
-among units with equal cores; windows of open units by their bytes, of those dealt again by 96 bits.
+among units with equal cores; windows of open units by their bytes, in buckets of any size.
 """
 
 from __future__ import annotations
@@ -127,8 +127,8 @@ UNIT = np.dtype([("core", "<u8"), ("whole", "<u8"), ("doc", "<i8"), ("size", "<u
 TOLD = np.dtype([("doc", "<i8"), ("size", "<u4"), ("first", "<u4"), ("more", "<u4"), ("repeats", "u1")])
 #: A range of windows as it is written; its eight bytes as one number sort by ``first``.
 RANGE = np.dtype([("more", "<u4"), ("first", "<u4")])
-#: Bytes of a window's digest.
-DIGEST = 12
+#: Bytes of windows dealt one by one that meet in a part, bytes of units whose windows are cut at once, and leading bytes that deal them.
+PART_BYTES, CUT_BYTES, LEAD = 32 << 20, 1 << 18, 16
 
 
 def tell(rows: np.ndarray, repeats: bool) -> np.ndarray:
@@ -211,31 +211,20 @@ def spans_of(doc: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray
     return out
 
 
-def window_row(docs: np.ndarray, sizes: np.ndarray, of: np.ndarray, first: np.ndarray, digests: np.ndarray) -> bytes:
-    """The windows of a slice that go to one bucket, by columns, with the documents that they are of."""
+def window_row(docs: np.ndarray, sizes: np.ndarray, of: np.ndarray, first: np.ndarray, windows: list[bytes], zipper: zstandard.ZstdCompressor) -> bytes:
+    """The windows of a slice that go to one part, by columns, with the documents that they are of and their bytes."""
     used, of = np.unique(of, return_inverse=True)
     head = np.array([len(used), len(of)], "<u4").tobytes()
-    return head + docs[used].astype("<i8").tobytes() + sizes[used].astype("<u4").tobytes() + np.diff(of, prepend=0).astype("<i4").tobytes() + np.diff(first, prepend=0).astype("<i4").tobytes() + digests.tobytes()
+    return head + docs[used].astype("<i8").tobytes() + sizes[used].astype("<u4").tobytes() + np.diff(of, prepend=0).astype("<i4").tobytes() + np.diff(first, prepend=0).astype("<i4").tobytes() + zipper.compress(b"".join(windows))
 
 
-def window_columns(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """doc, size, first and digest of every window of a row."""
+def window_columns(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """doc, size, first and bytes of every window of a row."""
     n, m = np.frombuffer(data, "<u4", 2).tolist()
     of = np.cumsum(np.frombuffer(data, "<i4", m, 8 + 12 * n))
     first = np.cumsum(np.frombuffer(data, "<i4", m, 8 + 12 * n + 4 * m))
-    return np.frombuffer(data, "<i8", n, 8)[of], np.frombuffer(data, "<u4", n, 8 + 8 * n)[of], first, np.frombuffer(data, np.uint8, m * DIGEST, 8 + 12 * n + 8 * m).reshape(m, DIGEST)
-
-
-def repeated(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which windows have a digest that another has too, and which is the first of its digest."""
-    if not len(digests):
-        return np.zeros(0, bool), np.zeros(0, bool)
-    order, new = runs(np.ascontiguousarray(digests[:, :8]).view("<u8").ravel(), np.ascontiguousarray(digests[:, 8:]).view("<u4").ravel())
-    run = np.cumsum(new) - 1
-    again, one = np.zeros(len(order), bool), np.zeros(len(order), bool)
-    again[order] = np.bincount(run)[run] > 1
-    one[order[new]] = True
-    return again, one
+    joined = unzipped(data[8 + 12 * n + 8 * m :])
+    return np.frombuffer(data, "<i8", n, 8)[of], np.frombuffer(data, "<u4", n, 8 + 8 * n)[of], first, [joined[k : k + length] for k in range(0, len(joined), length)]
 
 
 OPEN = np.dtype([("doc", "<i8"), ("size", "<u4"), ("first", "<u4"), ("more", "<u4")])
@@ -313,34 +302,43 @@ def window_verdicts(texts: DataFrame, open_units: DataFrame, length: int, bucket
         return as_table(np.concatenate([told, spans, joined(table.column("told"), TOLD)]))
 
     def deal_windows(batches):
+        zipper = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for k in range(batch.num_rows):
                 part = batch.slice(k, 1)
                 rows, strings = units_of(part.column(2), part.column(3))
-                digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s[i : i + length])[:DIGEST] for s in strings for i in range(len(s) - length + 1)), np.uint8).reshape(-1, DIGEST)
-                count = rows["more"].astype(np.int64) + 1
-                of = np.repeat(np.arange(len(rows)), count)
-                first = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + rows["first"][of]
-                # what repeats in this row is known; one window of each digest is sent
-                again, one = repeated(digest)
-                told = np.concatenate([spans_of(rows["doc"][of[again]], rows["size"][of[again]], first[again]), joined(part.column(4), TOLD)])
-                digest, of, first = digest[one], of[one], first[one]
-                to = np.ascontiguousarray(digest[:, 8:]).view("<u4").ravel() % np.uint32(buckets)
-                order = np.argsort(to, kind="stable")
-                used, starts = np.unique(to[order], return_index=True)
-                packed = [window_row(rows["doc"], rows["size"], of[i], first[i], digest[i]) for i in (np.split(order, starts[1:]) if len(used) else [order])]
-                share = np.array_split(told, len(packed))
-                yield pa.record_batch([pa.array(used.astype(np.int32) if len(used) else np.zeros(1, np.int32)), pa.array(packed, pa.binary()), pa.array([x.tobytes() for x in share], pa.binary())], schema=POST_ARROW)
+                told, at = joined(part.column(4), TOLD), 0
+                while at < len(rows):
+                    to = at + max(1, int(np.searchsorted(np.cumsum([len(s) for s in strings[at:]]), CUT_BYTES)))
+                    windows = [s[i : i + length] for s in strings[at:to] for i in range(len(s) - length + 1)]
+                    count = rows["more"][at:to].astype(np.int64) + 1
+                    of = np.repeat(np.arange(at, min(to, len(rows))), count)
+                    first = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + rows["first"][of]
+                    # what repeats in this cut is known; one window of equal bytes is sent
+                    one, again = told_once(windows)
+                    told = np.concatenate([told, spans_of(rows["doc"][of[again]], rows["size"][of[again]], first[again])])
+                    sent = np.flatnonzero(one)
+                    dealt_to = np.fromiter((xxhash.xxh3_64_intdigest(windows[i][:LEAD]) % parts for i in sent.tolist()), np.int64, len(sent))
+                    order = np.argsort(dealt_to, kind="stable")
+                    used, starts = np.unique(dealt_to[order], return_index=True)
+                    packed = [window_row(rows["doc"], rows["size"], of[i], first[i], [windows[w] for w in i.tolist()], zipper) for i in np.split(sent[order], starts[1:])]
+                    share = np.array_split(told, len(packed))
+                    yield pa.record_batch([pa.array(used.astype(np.int32)), pa.array(packed, pa.binary()), pa.array([x.tobytes() for x in share], pa.binary())], schema=POST_ARROW)
+                    told, at = told[:0], to
 
     def meet(table: pa.Table) -> pa.Table:
-        doc, size, first, digest = (np.concatenate(x) for x in zip(*(window_columns(x.as_py()) for x in table.column("posted")), strict=True))
-        again, _ = repeated(digest)
+        doc, size, first, windows = zip(*(window_columns(x.as_py(), length) for x in table.column("posted")), strict=True)
+        doc, size, first = map(np.concatenate, (doc, size, first))
+        _, again = told_once([w for some in windows for w in some])
         return as_table(np.concatenate([spans_of(doc[again], size[again], first[again]), joined(table.column("told"), TOLD)]))
 
     found = texts.join(wanted, ["doc", "size"]).select("zipped", "doc", "size", "units")
     posts = materialize(found.mapInArrow(post, OPEN_POST), "open_units")
     # at most one row for each OPEN_BYTES of open units
-    large = F.broadcast(posts.groupBy("bucket").agg(F.sum("bytes").alias("all_bytes")).where(F.col("all_bytes") > open_bytes).select("bucket"))
+    large = posts.groupBy("bucket").agg(F.sum("bytes").alias("all_bytes")).where(F.col("all_bytes") > open_bytes)
+    # as many parts as the windows' bytes need
+    parts = max(buckets, -(-int(large.agg(F.sum("all_bytes")).first()[0] or 0) * length // PART_BYTES))
+    large = F.broadcast(large.select("bucket"))
     # a stated number of partitions, as adaptive coalescing goes by packed bytes and not by the work behind them
     ordered = posts.join(large, "bucket", "left_anti").repartition(min(FINER * buckets, MOST_PARTITIONS), "bucket").groupBy("bucket").applyInArrow(put_in_order, TOLD_TYPES)
     dealt = posts.join(large, "bucket", "left_semi").select("bucket", "bytes", "head", "units", "told").mapInArrow(deal_windows, POST)
