@@ -235,8 +235,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
 
 def key_hash(doc_id, ordinal):
-    """The 64-bit key of the k-th row of a doc_id."""
-    return F.xxhash64(F.coalesce(doc_id, F.lit(0)), doc_id.isNull(), ordinal)
+    """The 64-bit key of the k-th row of a doc_id. The hash of one number is a bijection, so first rows of different ids never share a key."""
+    return F.when(doc_id.isNotNull() & (ordinal == 0), F.xxhash64(doc_id)).otherwise(F.xxhash64(F.coalesce(doc_id, F.lit(0)), doc_id.isNull(), ordinal))
 
 
 def entries(shards: DataFrame) -> DataFrame:
@@ -244,24 +244,31 @@ def entries(shards: DataFrame) -> DataFrame:
     return shards.select("shard_key", F.explode(F.arrays_zip("doc_ids", "ordinals", "places", "sizes")).alias("z")).select(F.col("z.doc_ids").alias("doc_id"), F.col("z.ordinals").alias("ordinal"), "shard_key", F.col("z.places").alias("place"), F.col("z.sizes").alias("n"))
 
 
-INDEX_TYPES = "bin long, level_sizes array<long>, levels array<binary>, fingerprints binary, shard_keys binary, places binary, sizes binary"
+INDEX_TYPES = "bin long, level_sizes array<long>, levels array<binary>, fingerprints binary, shard_keys binary, places binary, sizes binary, clashes array<struct<doc_id: long, ordinal: long, shard_key: long, place: long, n: long>>"
+ENTRY = ("doc_id", "ordinal", "shard_key", "place", "n")
+CLASHES = pa.list_(pa.struct([(c, pa.int64()) for c in ENTRY]))
 
 
 def write_index(shards: DataFrame) -> DataFrame:
-    """Write the index of the shards' documents to the shared folder and return its table."""
+    """Write the index of the shards' documents to the shared folder and return its table. Documents that share a key, of which there are few if any, are listed by name beside it."""
     bins = max(1, -(-shards.agg(F.coalesce(F.sum(F.size("doc_ids").cast("long")), F.lit(0))).first()[0] // KEYS_PER_PART))
     keyed = entries(shards).withColumn("key", key_hash(F.col("doc_id"), F.col("ordinal"))).withColumn("bin", F.pmod("key", F.lit(bins)))
 
     def build(table: pa.Table) -> pa.Table:
+        number = table.column("bin")[0].as_py()
         keys = table.column("key").to_numpy().view(np.uint64)
+        _, at, many = np.unique(keys, return_inverse=True, return_counts=True)
+        shared = many[at] > 1
+        clashes = table.select(ENTRY).filter(pa.array(shared)).to_pylist() if shared.any() else []
+        table, keys = table.filter(pa.array(~shared)) if clashes else table, keys[~shared]
         perfect = PerfectHash.build(keys)
         order = np.argsort(perfect.slots(keys))
         sizes, levels = perfect.dump()
         column = lambda name: pa.array([table.column(name).to_numpy()[order].astype("<i8").tobytes()], pa.binary())
         prints = (mix(keys[order], 99) >> np.uint64(32)).astype("<u4").tobytes()
-        return pa.table({"bin": pa.array([table.column("bin")[0].as_py()], pa.int64()), "level_sizes": pa.array([sizes], pa.list_(pa.int64())), "levels": pa.array([levels], pa.list_(pa.binary())), "fingerprints": pa.array([prints], pa.binary()), "shard_keys": column("shard_key"), "places": column("place"), "sizes": column("n")})
+        return pa.table({"bin": pa.array([number], pa.int64()), "level_sizes": pa.array([sizes], pa.list_(pa.int64())), "levels": pa.array([levels], pa.list_(pa.binary())), "fingerprints": pa.array([prints], pa.binary()), "shard_keys": column("shard_key"), "places": column("place"), "sizes": column("n"), "clashes": pa.array([clashes], CLASHES)})
 
-    return materialize(keyed.select("bin", "key", "shard_key", "place", "n").groupBy("bin").applyInArrow(build, INDEX_TYPES), "index").withColumn("bins", F.lit(bins))
+    return materialize(keyed.select("bin", "key", *ENTRY).groupBy("bin").applyInArrow(build, INDEX_TYPES), "index").withColumn("bins", F.lit(bins))
 
 
 def lookup(index: DataFrame, keys: DataFrame) -> DataFrame:
@@ -279,11 +286,17 @@ def lookup(index: DataFrame, keys: DataFrame) -> DataFrame:
         asked = left.column("key").to_numpy().view(np.uint64)
         slot = perfect.slots(asked)
         prints = np.frombuffer(row["fingerprints"], "<u4")
-        good = (slot >= 0) & (prints[slot] == (mix(asked, 99) >> np.uint64(32)).astype(np.uint32))
+        good = slot >= 0
+        good[good] = prints[slot[good]] == (mix(asked[good], 99) >> np.uint64(32)).astype(np.uint32)
         slot = slot[good]
         found = {c: np.frombuffer(row[name], "<i8")[slot] for c, name in (("shard_key", "shard_keys"), ("place", "places"), ("n", "sizes"))}
         kept = left.filter(pa.array(good))
-        return pa.table({"doc_id": kept.column("doc_id"), "ordinal": kept.column("ordinal"), **found}, schema=out)
+        table = pa.table({"doc_id": kept.column("doc_id"), "ordinal": kept.column("ordinal"), **found}, schema=out)
+        if not row["clashes"]:
+            return table
+        named = {(e["doc_id"], e["ordinal"]): e for e in row["clashes"]}
+        rest = [named[k] for k in zip(left.column("doc_id").to_pylist(), left.column("ordinal").to_pylist(), strict=True) if k in named]
+        return pa.concat_tables([table, pa.Table.from_pylist(rest, out)])
 
     return keyed.groupBy("bin").cogroup(index.drop("bins").groupBy("bin")).applyInArrow(find, "doc_id long, ordinal long, shard_key long, place long, n long")
 
