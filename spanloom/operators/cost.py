@@ -5,18 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranges import running
+from .ranges import fits, running
 
 
 def nearest_rank(df: DataFrame, group: list[str], col: str, percents: list[int]) -> DataFrame:
     """One row a group: p50, p95, ...: the value of rank ceil(n p / 100), the first at least; nulls are left out. A group of any size is ranked by many tasks."""
     # equal values are counted first, so that hot values don't multiply rows
-    values = df.where(F.col(col).isNotNull()).groupBy(*group, col).agg(F.count("*").alias("__c"))
-    ranked = running(values, group, [col], sums={"__upto": F.col("__c")})
-    totals = values.groupBy(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)]).agg(F.sum("__c").alias("__n"))
-    rows = ranked.join(totals, [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group)] or F.lit(True))
+    rows = df.where(F.col(col).isNotNull())
+    values = rows.groupBy(*group, col).agg(F.count("*").alias("__c"))
+    # groups of few rows have few values, which is seen without a look at the values
+    small = fits(rows, group)
+    ranked = running(values, group, [col], sums={"__upto": F.col("__c")}, small=small or None)
+    if small:
+        ranked = ranked.withColumn("__n", F.sum("__c").over(Window.partitionBy(*group)))
+    else:
+        totals = values.groupBy(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)]).agg(F.sum("__c").alias("__n"))
+        ranked = ranked.join(totals, [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group)] or F.lit(True))
     rank = lambda p: F.greatest(F.expr(f"(__n * {p} + 99) div 100"), F.lit(1))
-    return rows.groupBy(*group).agg(*[F.min(F.when(F.col("__upto") >= rank(p), F.col(col))).alias(f"p{p}") for p in percents])
+    return ranked.groupBy(*group).agg(*[F.min(F.when(F.col("__upto") >= rank(p), F.col(col))).alias(f"p{p}") for p in percents])
 
 
 def request_metrics(requests: DataFrame, by: list[str], window_s: float, percents: list[int] = (50, 95, 99)) -> DataFrame:

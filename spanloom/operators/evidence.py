@@ -9,7 +9,7 @@ from ..functions.project import contained, json_leaves, wildcard_path_match
 from ..scratch import materialize
 from .graph import backward_slice, climb, reach, root_of
 from .joins import unique_join
-from .ranges import containing, overlaps, running
+from .ranges import containing, fits, overlaps, running
 
 
 def _differ(a: str, b: str) -> Column:
@@ -160,7 +160,7 @@ def buffer_origin(reads: DataFrame, uses: DataFrame, context: list[str]) -> Data
     u = uses.where("length > 0").select(*context, "seq", F.col("address").alias("begin"), (F.col("address") + F.col("length")).alias("finish"), F.lit(None).cast(r.schema["read"].dataType).alias("read"), "use")
     rows = materialize(r.unionByName(u), "ranges")
     cuts = rows.select(*context, F.explode(F.array("begin", "finish")).alias("begin")).distinct()
-    places = materialize(running(cuts, context, ["begin"], sums={"first": F.lit(1)}), "cuts")
+    places = materialize(running(cuts, context, ["begin"], sums={"first": F.lit(1)}, small=fits(rows, context) or None), "cuts")
     spans = rows.join(places, [*context, "begin"]).join(places.select(*context, F.col("begin").alias("finish"), F.col("first").alias("last")), [*context, "finish"])
     parts = spans.withColumn("part", F.explode(F.sequence("first", F.col("last") - 1)))
     # uses come before reads of the same seq

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranges import running
+from .ranges import fits, running
 
 
 def _violations(df: DataFrame, group: list[str], rule: str, detail: Column) -> DataFrame:
@@ -78,14 +78,15 @@ def nesting_frames(df: DataFrame, thread: list[str], seq: str, enter: Column, le
     are running values, so a thread of any length is cut into ranges of seq that carry on from each other.
     """
     rows = df.withColumn("__step", F.when(enter, 1).when(leave, -1).otherwise(0)).where("__step != 0").select(*thread, seq, "__step")
-    rows = running(rows, thread, [seq], sums={"__sum": F.col("__step")}).withColumn("depth", F.when(F.col("__step") == 1, F.col("__sum")).otherwise(F.col("__sum") + 1))
-    rows = running(rows, [*thread, "depth", "__step"], [seq], sums={"__nth": F.lit(1)})
+    small = fits(rows, thread)  # then depths of a thread are smaller still
+    rows = running(rows, thread, [seq], sums={"__sum": F.col("__step")}, small=small).withColumn("depth", F.when(F.col("__step") == 1, F.col("__sum")).otherwise(F.col("__sum") + 1))
+    rows = running(rows, [*thread, "depth", "__step"], [seq], sums={"__nth": F.lit(1)}, small=small)
     # the enter one level up that came last; one array entry a level would grow with depth, so join by level and count
     opened = rows.where("__step = 1").select(*thread, F.col("depth"), F.col("__nth"), F.col(seq).alias("enter_seq"))
     closed = rows.where("__step = -1").select(*thread, F.col("depth"), F.col("__nth"), F.col(seq).alias("exit_seq"))
     frames = opened.join(closed, [*thread, "depth", "__nth"], "left").drop("__nth")
     levels = frames.select(*thread, F.col("depth").alias("level"), F.col("enter_seq").alias("at"), F.lit(True).alias("parent")).unionByName(frames.select(*thread, (F.col("depth") - 1).alias("level"), F.col("enter_seq").alias("at"), F.lit(False).alias("parent")))
-    around = running(levels, [*thread, "level"], ["at", "parent"], lasts={"parent_seq": F.when(F.col("parent"), F.col("at"))})
+    around = running(levels, [*thread, "level"], ["at", "parent"], lasts={"parent_seq": F.when(F.col("parent"), F.col("at"))}, small=small)
     return frames.join(around.where("not parent").select(*thread, F.col("at").alias("enter_seq"), "parent_seq"), [*thread, "enter_seq"], "left")
 
 

@@ -13,22 +13,28 @@ GROUP_ROWS = 250_000
 PIECE_ROWS, MOST_PIECES = 250_000, 20_000
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, group_rows: int | None = None) -> DataFrame:
+def fits(df: DataFrame, keys: list[str]) -> bool:
+    """Whether no key has more rows than one task sorts."""
+    largest = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    return largest <= GROUP_ROWS
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, small: bool | None = None) -> DataFrame:
     """``df`` with running sums and last non-null values of each key's rows up to and with each row, in the given order.
 
     Where every key has few rows, this is a window. Else rows are cut into ranges of (keys, order), each range sums for
     itself, and what comes before a range is carried from the totals of the ranges of its key: there are few such totals,
     and a key of any size is sorted by many tasks. Rows equal in keys and order must not differ in what is carried.
+
+    ``small`` is what ``fits`` says, where it is known, as for further keys beside those that were looked at.
     """
     sums, lasts = sums or {}, lasts or {}
     local = {n: F.sum(c) for n, c in sums.items()} | {n: F.last(c, ignorenulls=True) for n, c in lasts.items()}
     upto = (Window.unboundedPreceding, Window.currentRow)
-    bound = GROUP_ROWS if group_rows is None else group_rows
-    largest = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
-    if (largest[0] or 0) <= bound:
+    if fits(df, keys) if small is None else small:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*upto)
         return df.withColumns({n: c.over(w) for n, c in local.items()})
-    pieces = min(MOST_PIECES, -(-largest[1] // max(1, min(PIECE_ROWS, bound))))
+    pieces = min(MOST_PIECES, -(-df.count() // PIECE_ROWS))
     # a written table, so that a row's piece never changes
     cut = materialize(df.repartitionByRange(pieces, *keys, *order).withColumn("__piece", F.spark_partition_id()), "pieces")
     at = F.struct(*order)
