@@ -9,7 +9,7 @@ at a target that is neither negated nor reported. A document's counts of such cl
 
 Both the lexicon and the weights are learned from labelled rows alone: one part of them gives insult words and word
 stems of any language, the other part the weights. At most about ``max_rows`` labelled rows, chosen by a hash, are used;
-the lexicon holds the ``max_words`` words of the most toxic documents. A feature of which the labels show nothing keeps
+the lexicon holds every word of them that stands out enough. A feature of which the labels show nothing keeps
 its weight of before, so threats count even where no label shows one.
 
 Defined cases: null and empty texts have no clauses and get the score of that. Labels with null marks, and labels of
@@ -135,7 +135,7 @@ def fold(doc_id: str = "doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")).cast("binary")), F.lit(5))
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, max_words: int = 2_000) -> Grammar:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000) -> Grammar:
     """A grammar from the labelled rows outside the held-out fold; ``labels`` has the id and the mark (1 toxic, 0 not)."""
     marks = labels.select(labels[id_col].alias("__id"), labels[label_col].cast("int").alias("toxic")).where("toxic is not null and __id is not null").withColumn("fold", fold("__id")).where("fold != 0")
     n = marks.count()
@@ -156,7 +156,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counts = taught.select("toxic", F.explode(F.concat(tokens, stems)).alias("w")).groupBy("w").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     # rates of holding the word among toxic and other documents, smoothed
     ratio = ((F.col("a") + 0.2) / (bad + 1.0)) / ((F.col("b") + 0.2) / (n - bad + 1.0))
-    best = counts.where(F.col("a") >= MIN_DOCS).withColumn("ratio", ratio).where("ratio >= 12").orderBy(F.desc("a"), "w").limit(max_words).collect()
+    best = counts.where(F.col("a") >= MIN_DOCS).withColumn("ratio", ratio).where("ratio >= 12").orderBy(F.desc("a"), "w").collect()  # some words of the taught rows, whose number is bounded
     words, found = seed_words(), {}
     for r in best:
         if r["w"].startswith("^"):
