@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm import block_naming, byte_bpe, near_copies, quality_rules, source_mixing
-from spanloom.scratch import materialize
+from spanloom.scratch import clear, materialize
 from spanloom.session import ship
 
 
@@ -59,3 +59,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def write(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Write run()'s rows to ``path`` as Parquet, then delete what the stages left in the shared folder."""
+    run(spark, sf_dir).write.parquet(path)
+    clear(spark)

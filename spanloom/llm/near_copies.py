@@ -7,8 +7,9 @@ are candidates if their sketches (the ``SKETCH`` least hashes of each set, the w
 ``SKETCH_PERCENT`` of their union's least hashes. A meeting of tiles returns its candidates' components as stars, not the
 pairs, so a group of copies costs its size. The components over all meetings are families.
 
-Then the sets of nodes in families, and of no others, are dealt by family; a family of more than ``FAMILY`` nodes is cut into
-parts that meet in pairs. Inside a meeting each candidate pair whose ends aren't linked yet is checked on its sets,
+Then the sets of nodes in families, and of no others, are dealt by family. In a family of more than ``FAMILY`` nodes all are held
+against one of them first, the pivot: those that it links are one group already and don't meet each other; only the rest is
+cut into parts that meet in pairs, and those of it that are near enough meet what the pivot linked. Inside a meeting each candidate pair whose ends aren't linked yet is checked on its sets,
 nearest first, and only pairs that pass link them. The components of these links are the groups.
 
 Fingerprints and sketches are approximate: a pair beyond the radius isn't checked; a pair of similarity 0.8 shares too
@@ -42,6 +43,8 @@ SKETCH, SKETCH_PERCENT = 64, 55
 BLOCK = 4096
 #: Most nodes of a family that meet at once; nodes behind each bucket of small families; families that are broadcast at most.
 FAMILY, BUCKET_NODES, BROADCAST_ROWS = 2048, 2048, 2_000_000
+#: Kinds of meetings: of small families, of parts of a large family's rest, and of its border with what is linked to its pivot.
+SMALL, REST, CROSS = 0, 1, 2
 
 
 def shingle_set(text: bytes, size: int) -> np.ndarray:
@@ -174,6 +177,36 @@ def checked_labels(node: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], spl
     return label
 
 
+def by_pivot(members: DataFrame, sets_of, radius: int, percent: int, most: int) -> DataFrame:
+    """The sets of large families with their ``role`` to the family's least node, the pivot: 0 linked to it, 1 near enough for a link to such a set, 2 further.
+
+    One less the similarity is a distance, so a set that is further than twice a link's length from the pivot has no link to one
+    that is linked to it.
+    """
+    pivots = members.groupBy("family").agg(F.min("node").alias("node"), F.first("members").alias("members"))
+    pivot_sets = sets_of(pivots.select("node", "family", "members")).select("family", "node", "fp", "shingles", F.explode(F.sequence(F.lit(0), F.ceil(F.col("members") / most).cast("int") - 1)).alias("part"))
+    schema = pa.schema([("family", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("shingles", pa.binary()), ("role", pa.int32()), ("pivot", pa.int64())])
+
+    def measure(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        centre = np.frombuffer(right.column("shingles")[0].as_py(), "<u8")
+        centre_fp, least = np.uint64(right.column("fp").to_numpy().view(np.uint64)[0]), sketch_of(centre)
+        close = np.bitwise_count(left.column("fp").to_numpy().view(np.uint64) ^ centre_fp) <= radius
+        role = []
+        for near, data in zip(close.tolist(), left.column("shingles"), strict=True):
+            own = np.frombuffer(data.as_buffer(), "<u8")
+            common = len(np.intersect1d(own, centre, assume_unique=True))
+            union = len(own) + len(centre) - common
+            link = 100 * common >= percent * union and near and bool(alike(*(np.frombuffer(x, "<u4").reshape(1, SKETCH) for x in (sketch_of(own), least)))[0])
+            role.append(0 if link else 1 if 100 * common >= (2 * percent - 100) * union else 2)
+        pivot = right.column("node")[0].as_py()
+        return pa.table({"family": left.column("family"), "node": left.column("node"), "fp": left.column("fp"), "shingles": left.column("shingles"), "role": pa.array(role, pa.int32()), "pivot": pa.array([pivot] * left.num_rows, pa.int64())}, schema=schema)
+
+    sets = sets_of(members.select("node", "family", "members")).withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / most)).cast("int"))
+    return sets.groupBy("family", "part").cogroup(pivot_sets.groupBy("family", "part")).applyInArrow(measure, "family long, node long, fp long, shingles binary, role int, pivot long")
+
+
 def checked(families: DataFrame, rows: DataFrame, size: int, radius: int, percent: int, most: int) -> DataFrame:
     """Edges (src, dst) that give the components of all candidate pairs whose sets' similarity is at least ``percent`` hundredths."""
     sizes = families.groupBy("family").agg(F.count("*").alias("members"))
@@ -182,19 +215,32 @@ def checked(families: DataFrame, rows: DataFrame, size: int, radius: int, percen
     if not total:
         return families.sparkSession.createDataFrame([], "src long, dst long")
     # families are few beside the texts, which then stay where they are
-    picked = rows.select("text", "node", "fp").join(F.broadcast(members) if total <= BROADCAST_ROWS else members, "node").select("text", "node", "fp", "family", "members")
     arrow = pa.schema([("node", pa.int64()), ("fp", pa.int64()), ("family", pa.int64()), ("members", pa.int64()), ("shingles", pa.binary())])
 
     def cast(part):
         return {"node": part.column(1), "fp": part.column(2), "family": part.column(3), "members": part.column(4), "shingles": [shingle_set(t, size).tobytes() for t in bytes_of(part, 0)]}
 
-    sets = map_slices(picked, cast, "node long, fp long, family long, members long, shingles binary", arrow, 0).groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "family", "members", "shingles")])
-    # small families share buckets; a large one is cut into parts, and every part meets every other and itself
-    parts = F.when(F.col("members") > most, F.ceil(F.col("members") / most)).otherwise(1).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    cut = sets.withColumn("parts", parts).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    def sets_of(some: DataFrame) -> DataFrame:
+        picked = rows.select("text", "node", "fp").join(F.broadcast(some) if total <= BROADCAST_ROWS else some, "node").select("text", "node", "fp", "family", "members")
+        return map_slices(picked, cast, "node long, fp long, family long, members long, shingles binary", arrow, 0).groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "family", "members", "shingles")])
+
     buckets = max(1, total // BUCKET_NODES)
-    met = cut.select(F.when(F.col("parts") > 1, F.col("family")).otherwise(F.pmod(F.xxhash64("family"), F.lit(buckets))).alias("key"), (F.col("parts") > 1).alias("large"), F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "family", "node", "fp", "shingles", (F.col("own") <= F.col("other")).alias("of_a"))
+    columns = ["key", "kind", "a", "b", "family", "node", "fp", "shingles", "of_a"]
+    small = sets_of(members.where(F.col("members") <= most))
+    met = small.select(F.pmod(F.xxhash64("family"), F.lit(buckets)).alias("key"), F.lit(SMALL).alias("kind"), F.lit(0).alias("a"), F.lit(0).alias("b"), "family", "node", "fp", "shingles", F.lit(True).alias("of_a"))
+    told = None
+    if not members.where(F.col("members") > most).isEmpty():
+        measured = materialize(by_pivot(members.where(F.col("members") > most), sets_of, radius, percent, most), "measured")
+        told = measured.where("role = 0 and node != pivot").select(F.col("node").alias("src"), F.col("pivot").alias("dst"))
+        n = measured.groupBy("family").agg(*[F.ceil(F.count_if(c) / most).cast("int").alias(name) for name, c in (("rest_parts", F.col("role") > 0), ("border_parts", F.col("role") == 1), ("ball_parts", F.col("role") == 0))])
+        sized = measured.join(n, "family").withColumnRenamed("family", "key").withColumn("family", F.col("key"))
+        own = lambda parts: F.pmod(F.xxhash64("node"), F.col(parts)).cast("int")
+        spread = lambda df, parts: df.withColumn("other", F.explode(F.when(F.col(parts) > 0, F.sequence(F.lit(0), F.col(parts) - 1)).otherwise(F.array().cast("array<int>"))))
+        rest = spread(sized.where("role > 0").withColumn("own", own("rest_parts")), "rest_parts").select("*", F.lit(REST).alias("kind"), F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") <= F.col("other")).alias("of_a"))
+        border = spread(sized.where("role = 1").withColumn("own", own("border_parts")), "ball_parts").select("*", F.lit(CROSS).alias("kind"), F.col("own").alias("a"), F.col("other").alias("b"), F.lit(True).alias("of_a"))
+        ball = spread(sized.where("role = 0").withColumn("own", own("ball_parts")), "border_parts").select("*", F.lit(CROSS).alias("kind"), F.col("other").alias("a"), F.col("own").alias("b"), F.lit(False).alias("of_a"))
+        for more in (rest, border, ball):
+            met = met.select(*columns).unionByName(more.select(*columns))
 
     def compare(table: pa.Table) -> pa.Table:
         family, of_a = table.column("family").to_numpy(), table.column("of_a").to_numpy()
@@ -202,7 +248,7 @@ def checked(families: DataFrame, rows: DataFrame, size: int, radius: int, percen
         order = np.lexsort((node, ~of_a, family))
         cuts = [*np.flatnonzero(np.r_[True, family[order][1:] != family[order][:-1]]).tolist(), len(order)]
         shingles = table.column("shingles").combine_chunks()
-        across = table.column("a")[0].as_py() != table.column("b")[0].as_py()
+        across = table.column("kind")[0].as_py() == CROSS or table.column("a")[0].as_py() != table.column("b")[0].as_py()
         out = []
         for i, j in zip(cuts, cuts[1:], strict=False):
             at = order[i:j]
@@ -213,7 +259,8 @@ def checked(families: DataFrame, rows: DataFrame, size: int, radius: int, percen
             out.append(stars(node[at], node[at][checked_labels(node[at], fp[at], sets, split, radius, percent)], ["src", "dst"]))
         return pa.concat_tables(out) if out else stars(np.zeros(0, np.int64), np.zeros(0, np.int64), ["src", "dst"])
 
-    return met.repartition(min(MEETING_PARTITIONS, 24 + total // BUCKET_NODES), "key", "large", "a", "b").groupBy("key", "large", "a", "b").applyInArrow(compare, "src long, dst long")
+    found = met.repartition(min(MEETING_PARTITIONS, 24 + total // BUCKET_NODES), "key", "kind", "a", "b").groupBy("key", "kind", "a", "b").applyInArrow(compare, "src long, dst long")
+    return found if told is None else found.unionByName(told)
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, size: int = 5, percent: int = PERCENT, tile: int = TILE, family: int = FAMILY) -> DataFrame:
