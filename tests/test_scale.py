@@ -269,3 +269,24 @@ def test_planted_trees(spark):
     moved = calls.withColumns({"start_us": F.col("start_us") + late, "end_us": F.col("end_us") + late, "peer": F.when(F.col("k") == 4, F.col("peer") + 1).otherwise(F.col("peer"))})
     bad = ratios(lineage_queries.timing_score(moved))
     assert bad[0] < 0.95 and bad[1] < good[1] - 0.1
+
+
+def test_closures_do_not_broadcast(spark, tmp_path):
+    """Rows that compress to few bytes are shuffled: a table of millions of them is no table to send to every task."""
+    spark.range(20_000).select((F.col("id") % 5).alias("k"), F.lit("a").alias("source"), F.lit("b").alias("target"), F.lit("data").alias("kind"), F.lit(0).alias("start"), F.lit(4).alias("end")).write.parquet(f"{tmp_path}/edges")
+    edges = spark.read.parquet(f"{tmp_path}/edges")
+    bodies = edges.select("k", F.lit("b").alias("node"), F.lit("text").alias("body")).distinct()
+    moved = evidence.transfers(bodies, bodies.withColumn("node", F.lit("a")), ["k"], once=True)
+    stitched = evidence.stitched_graph(edges.distinct(), edges.distinct(), moved, ["k"])
+    assert stitched.count() == 10
+    sliced = graph.backward_slice(stitched, edges.select("k", F.lit("down:b").alias("node")), ["k"])
+    assert sliced.count() == 10
+    reached = []
+    real = graph.materialize
+    try:
+        graph.materialize = lambda df, name: (reached.append(df), real(df, name))[1]
+        graph.backward_slice(stitched, edges.select("k", F.lit("down:b").alias("node")), ["k"]).count()
+    finally:
+        graph.materialize = real
+    for df in (moved, stitched, *reached):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
