@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter
 from itertools import groupby
 
@@ -98,17 +99,66 @@ def greedy_match(candidates: DataFrame, together: int = TOGETHER) -> DataFrame:
     return settled.join(many_c, sides[0]).join(many_s, sides[1]).select(*columns, F.expr("n_client > 1 or n_server > 1").alias("tied"))
 
 
-def local_parents(obs: DataFrame, slack_us: int = 0, bucket_us: int = 3_600_000_000) -> DataFrame:
-    """Each client call's latest-begun containing server call of its service: child, parent; a tie on the start abstains."""
-    c = obs.where("kind = 'CLIENT'").select(F.col("event_id").alias("child"), "service", F.col("start_us").alias("cs"), F.col("end_us").alias("ce"))
-    s = obs.where("kind = 'SERVER'").select(F.col("event_id").alias("parent"), "service", F.col("start_us").alias("ss"), F.col("end_us").alias("se"))
-    s = s.withColumn("level", level_of(F.col("se") - F.col("ss") + 2 * slack_us, bucket_us))
-    levels = [r[0] for r in s.select("level").distinct().collect()]  # as above, some dozens at most
-    size = F.expr(f"shiftleft(bigint({bucket_us}), level)")
-    s = s.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("ss") - slack_us) / size), F.floor((F.col("se") + slack_us) / size))))
-    c = c.withColumn("level", F.explode(F.array(*[F.lit(k) for k in sorted(levels)]).cast("array<int>"))).withColumn("bucket", F.floor(F.col("cs") / size))
-    inside = c.join(s, ["service", "level", "bucket"]).where((F.col("cs") >= F.col("ss") - slack_us) & (F.col("ce") <= F.col("se") + slack_us))
-    best = inside.groupBy("child", "ss").agg(F.count("*").alias("n"), F.min("parent").alias("parent")).groupBy("child").agg(F.max(F.struct("ss", "n", "parent")).alias("b"))
+#: Rows of a piece of a service's time in ``local_parents``.
+PIECE_ROWS = 250_000
+
+
+def latest_holders(rows: pd.DataFrame) -> pd.DataFrame:
+    """For each asking row of a piece, in order, the last begun row before it that ends no sooner: child, ss, n, parent.
+
+    A row that has begun later and ends no sooner hides those before it, so the open rows form a stack with falling ends.
+    """
+    rows = rows.sort_values(["asks", "at"] if rows["far"].iloc[0] else ["at", "asks"], kind="stable")
+    ends, stack, out = [], [], []
+    columns = [rows[c].tolist() for c in ("asks", "at", "end", "second", "event_id", "ends_there")]
+    for asks, at, end, second, ident, ends_there in zip(*columns, strict=True):
+        if asks:
+            k = bisect_right(ends, -end) - 1  # ends are kept negative, so that they rise
+            if k >= 0:
+                begun, parent, other, twice = stack[k]
+                out.append((ident, begun, 2 if twice > 1 or other >= end else 1, parent))
+        else:
+            while ends and -ends[-1] <= end:
+                ends.pop()
+                stack.pop()
+            ends.append(-end)
+            stack.append((at, ident, second, ends_there))
+    return pd.DataFrame(out, columns=["child", "ss", "n", "parent"])
+
+
+def local_parents(obs: DataFrame, slack_us: int = 0, piece_rows: int | None = None) -> DataFrame:
+    """Each client call's latest-begun containing server call of its service: child, parent; a tie on the start abstains.
+
+    No pairs are made. Calls stand in the order of service and start, cut into pieces of some ``piece_rows`` rows. Of the server
+    calls that begin together only the last end counts, and the one before it, for ties. A client call looks into its own piece and
+    into the nearest piece before it in which something ends late enough; the later start of both answers counts.
+    """
+    known = obs.where("service is not null and start_us is not null and end_us is not null")
+    s = known.where("kind = 'SERVER'").groupBy("service", "start_us", "end_us").agg(F.count("*").alias("n"), F.min("event_id").alias("event_id"))
+    w = Window.partitionBy("service", "start_us").orderBy(F.desc("end_us"))
+    s = s.withColumns({"place": F.row_number().over(w), "second": F.lead("end_us").over(w)}).where("place = 1")
+    least = -(2**63)
+    s = s.select("service", F.col("start_us").alias("at"), F.col("end_us").alias("end"), F.coalesce("second", F.lit(least)).alias("second"), F.col("event_id"), F.col("n").alias("ends_there"), F.lit(0).alias("asks"))
+    c = known.where("kind = 'CLIENT'").select("service", (F.col("start_us") + slack_us).alias("at"), (F.col("end_us") - slack_us).alias("end"), F.lit(least).alias("second"), "event_id", F.lit(0).cast("long").alias("ends_there"), F.lit(1).alias("asks"))
+    rows = materialize(s.unionByName(c), "calls")
+    pieces = max(1, -(-rows.count() // (piece_rows or PIECE_ROWS)))
+    # a written table, so that a row's piece never changes
+    cut = materialize(rows.repartitionByRange(pieces, "service", "at", "asks", "end", "event_id").withColumn("piece", F.spark_partition_id()), "pieces")
+    ends = cut.where("asks = 0").groupBy("service", "piece").agg(F.max("end").alias("most"))
+    before = ends.groupBy("service").agg(F.array_sort(F.collect_list(F.struct("piece", "most"))).alias("before"))
+    earlier = "element_at(filter(before, p -> p.piece < piece and p.most >= end), -1).piece"
+    far = cut.where("asks = 1").join(F.broadcast(before), "service").withColumn("to", F.expr(f"if(exists(before, p -> p.piece < piece and p.most >= end), {earlier}, null)")).where("to is not null")
+    far = far.select(*rows.columns, "piece", "to")
+    # of a piece that others look into only what nothing later in it hides is needed, once for each piece that looks
+    later = Window.partitionBy("service", "piece").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
+    seen = cut.where("asks = 0").withColumn("later", F.max("end").over(later)).where("later is null or end > later").drop("later").withColumnRenamed("piece", "to")
+    seen = seen.join(F.broadcast(far.select("service", "to", "piece").distinct()), ["service", "to"])
+    every = cut.withColumns({"to": F.col("piece"), "far": F.lit(0)}).unionByName(far.unionByName(seen).withColumn("far", F.lit(1)))
+    kind = obs.schema["event_id"].dataType.simpleString()
+    every = every.withColumn("event_id", F.col("event_id").cast("string"))  # null or not, a number of any size stays as it is
+    found = every.groupBy("service", "to", "piece").applyInPandas(lambda pdf: latest_holders(pdf), "child string, ss long, n long, parent string")
+    found = found.select(F.col("child").cast(kind).alias("child"), "ss", "n", F.col("parent").cast(kind).alias("parent"))
+    best = found.repartition("child").groupBy("child", "ss").agg(F.sum("n").alias("n"), F.min("parent").alias("parent")).groupBy("child").agg(F.max(F.struct("ss", "n", "parent")).alias("b"))
     return best.where("b.n = 1").select("child", F.col("b.parent").alias("parent"))
 
 

@@ -46,3 +46,26 @@ def test_calls(spark):
     df = spark.createDataFrame(pairs, "client long, server long, service int, path string, cost long, from_us long, to_us long")
     got = {(r.client, r.server, r.cost, r.tied) for r in joins.greedy_match(df, together=3).collect()}
     assert got == {x for path in "pq" for x in brute([(c, s, k) for c, s, _, p, k, *_ in pairs if p == path])}
+
+
+def test_local_parents_in_pieces(spark):
+    """The latest call around each one is found across pieces of a few rows; ties, repeated calls and slack included, and no pairs are made."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(240):
+        start = int(rng.integers(0, 150))
+        rows.append((k, int(rng.integers(0, 3)), "CLIENT" if k % 2 else "SERVER", start, start + int(rng.choice([0, 2, 9, 60, 300]))))
+    rows += [(500, 0, "SERVER", -5, 10**9), (501, 0, "CLIENT", 400, 500), (502, 1, "SERVER", 7, 70), (503, 1, "SERVER", 7, 70), (504, 1, "CLIENT", 8, 70), (505, None, "CLIENT", 8, 9), (506, 2, "CLIENT", 9, None), (501, 0, "CLIENT", 401, 450)]
+    df = spark.createDataFrame(rows, "event_id long, service int, kind string, start_us long, end_us long")
+    whole = [r for r in rows if r[1] is not None and r[4] is not None]
+    for slack in (0, 3):
+        want = {}
+        for child in {r[0] for r in whole if r[2] == "CLIENT"}:
+            held = [(s[3], s[0]) for c in whole if c[0] == child and c[2] == "CLIENT" for s in whole if s[2] == "SERVER" and s[1] == c[1] and s[3] - slack <= c[3] and c[4] <= s[4] + slack]
+            last = [p for at, p in held if at == max(held)[0]]
+            if len(last) == 1:
+                want[child] = last[0]
+        for size in (7, 1000):
+            assert {(r.child, r.parent) for r in joins.local_parents(df, slack, piece_rows=size).collect()} == set(want.items())
+    inside = joins.local_parents(df)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in inside
