@@ -24,6 +24,42 @@ def unique_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame
     return joined.select(*left.columns, status.alias("status"), *[F.when(F.col("__n") == 1, F.col(f"__r.{c}")).alias(c) for c in rest])
 
 
+def _calls(obs: DataFrame) -> tuple[list[str], DataFrame, DataFrame]:
+    """What a client and a server must share, and both sides of the calls."""
+    method = ["method"] if "method" in obs.columns else []
+    c = obs.where("kind = 'CLIENT'").select(F.col("event_id").alias("client"), F.col("peer").alias("service"), "path", *method, F.col("start_us").alias("cs"), F.col("end_us").alias("ce"))
+    s = obs.where("kind = 'SERVER'").select(F.col("event_id").alias("server"), "service", "path", *method, F.col("start_us").alias("ss"), F.col("end_us").alias("se"))
+    return ["service", "path", *method], c, s
+
+
+def _in_buckets(obs: DataFrame, slack_us: int, bucket_us: int) -> tuple[list[str], DataFrame, DataFrame]:
+    """Both sides in the buckets where all pairs that fit meet, and the columns to join on."""
+    key, c, s = _calls(obs)
+    c = c.withColumn("level", level_of(F.col("ce") - F.col("cs") + 2 * slack_us, bucket_us))
+    levels = [r[0] for r in c.select("level").distinct().where("level is not null").collect()]  # some dozens at most: the lengths' powers of two
+    size = F.expr(f"shiftleft(bigint({bucket_us}), level)")
+    c = c.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("cs") - slack_us) / size), F.floor((F.col("ce") + slack_us) / size))))
+    s = s.withColumn("level", F.explode(F.array(*[F.lit(k) for k in sorted(levels)]).cast("array<int>"))).withColumn("bucket", F.floor(F.col("ss") / size))
+    return [*key, "level", "bucket"], c, s
+
+
+def _near(obs: DataFrame, slack_us: int, most: int) -> tuple[list[str], DataFrame, DataFrame]:
+    """Both sides in the cells of starts and ends where all pairs meet that cost no more than ``most``; a client call touches four."""
+    key, c, s = _calls(obs)
+    low, size = min(slack_us, most), 2 * most + 1
+    cells = lambda lo, hi: F.explode(F.sequence(F.floor(lo / size), F.floor(hi / size)))
+    c = c.where("cs is not null and ce is not null").withColumn("x", cells(F.col("cs") - low, F.col("cs") + most)).withColumn("y", cells(F.col("ce") - most, F.col("ce") + low))
+    return [*key, "x", "y"], c, s.withColumns({"x": F.floor(F.col("ss") / size), "y": F.floor(F.col("se") / size)})
+
+
+def _cost():
+    return F.abs(F.col("ss") - F.col("cs")) + F.abs(F.col("se") - F.col("ce"))
+
+
+def _fitting(at: list[str], c: DataFrame, s: DataFrame, slack_us: int) -> DataFrame:
+    return c.join(s.hint("merge"), at).where((F.col("ss") >= F.col("cs") - slack_us) & (F.col("se") <= F.col("ce") + slack_us))
+
+
 def transport_candidates(obs: DataFrame, slack_us: int, bucket_us: int = 3_600_000_000, with_times: bool = False) -> DataFrame:
     """Client and server pairs of the same service and path, and method if there is that column, whose intervals fit within the slack: client, server, service, path, cost.
 
@@ -31,18 +67,61 @@ def transport_candidates(obs: DataFrame, slack_us: int, bucket_us: int = 3_600_0
     interval touches; a bucket's size is the power of two times ``bucket_us`` that follows the interval's length, so no
     interval touches more than a few. ``with_times`` adds the time that both calls span (from_us, to_us).
     """
-    method = [F.col("method")] if "method" in obs.columns else []
-    key = ["service", "path", *(["method"] if method else [])]
-    c = obs.where("kind = 'CLIENT'").select(F.col("event_id").alias("client"), F.col("peer").alias("service"), "path", *method, F.col("start_us").alias("cs"), F.col("end_us").alias("ce"))
-    s = obs.where("kind = 'SERVER'").select(F.col("event_id").alias("server"), "service", "path", *method, F.col("start_us").alias("ss"), F.col("end_us").alias("se"))
-    c = c.withColumn("level", level_of(F.col("ce") - F.col("cs") + 2 * slack_us, bucket_us))
-    levels = [r[0] for r in c.select("level").distinct().collect()]  # some dozens at most: the lengths' powers of two
-    size = F.expr(f"shiftleft(bigint({bucket_us}), level)")
-    c = c.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("cs") - slack_us) / size), F.floor((F.col("ce") + slack_us) / size))))
-    s = s.withColumn("level", F.explode(F.array(*[F.lit(k) for k in sorted(levels)]).cast("array<int>"))).withColumn("bucket", F.floor(F.col("ss") / size))
-    fits = (F.col("ss") >= F.col("cs") - slack_us) & (F.col("se") <= F.col("ce") + slack_us)
+    at, c, s = _in_buckets(obs, slack_us, bucket_us)
     times = [F.least("cs", "ss").alias("from_us"), F.greatest("ce", "se").alias("to_us")] if with_times else []
-    return c.join(s, [*key, "level", "bucket"]).where(fits).select("client", "server", *key, (F.abs(F.col("ss") - F.col("cs")) + F.abs(F.col("se") - F.col("ce"))).alias("cost"), *times)
+    return _fitting(at, c, s, slack_us).select("client", "server", *at[:-2], _cost().alias("cost"), *times)
+
+
+#: Comparisons that all candidates, or those of one band of costs, may take: for each open call, and in any case.
+BAND_PAIRS, LEAST_PAIRS = 16, 50_000_000
+
+
+def match_calls(obs: DataFrame, slack_us: int, pairs: int | None = None, bucket_us: int = 3_600_000_000) -> DataFrame:
+    """What ``greedy_match`` gives for ``transport_candidates``, where these are too many to be made.
+
+    Matching goes by ascending cost, so the pairs of up to a cost can be settled without the dearer ones. Bands of costs are as wide
+    as their comparisons allow (``pairs``); what a band uses up makes no pairs in later ones. Calls of one side that are alike in all
+    but their id are one call in this, as all of them are used up together; in the end each stands for itself, tied with its like.
+    """
+    key = _calls(obs)[0]
+    named = F.when(F.col("kind") == "CLIENT", F.col("peer")).otherwise(F.col("service"))
+    method = key[2:]
+    calls = obs.where("kind in ('CLIENT', 'SERVER')").select("event_id", "kind", named.alias("service"), named.alias("peer"), "path", *method, "start_us", "end_us").dropna()
+    alike = Window.partitionBy("kind", *key, "start_us", "end_us")
+    calls = materialize(calls.withColumns({"like": F.min("event_id").over(alike), "copies": F.count("*").over(alike)}), "calls")
+    if not calls.groupBy("event_id").count().where("count > 1").isEmpty():  # an end that is several calls has candidates of all of them
+        return greedy_match(transport_candidates(obs, slack_us, bucket_us))
+    left = calls.where("event_id = like").drop("like", "copies")
+    settled, least = None, -1
+    while True:
+        n, longest = left.agg(F.count("*"), F.max(F.when(F.col("kind") == "CLIENT", F.col("end_us") - F.col("start_us")))).first()
+        limit = pairs or max(LEAST_PAIRS, BAND_PAIRS * n)
+        at, c, s = _in_buckets(left, slack_us, bucket_us)
+        last = _comparisons(at, c, s) <= limit
+        if not last:
+            most = max(2 * least + 1, 0)
+            wide = max(longest or 0, 0) + 4 * slack_us
+            while wide > most:
+                if _comparisons(*_near(left, slack_us, wide)) <= limit:
+                    most = wide
+                wide //= 8
+            at, c, s = _near(left, slack_us, most)
+        band = _fitting(at, c, s, slack_us).select("client", "server", "service", "path", _cost().alias("cost")).where(F.col("cost") > least)
+        done = materialize(greedy_match(band if last else band.where(F.col("cost") <= most)), "band")
+        settled = done if settled is None else settled.unionByName(done)
+        if last:
+            break
+        used = done.select(F.explode(F.array("client", "server")).alias("event_id")).distinct()
+        left, least = materialize(left.join(used.hint("merge"), "event_id", "left_anti"), "open"), most
+    of = lambda kind, end: calls.where(F.col("kind") == kind).select(F.col("like").alias(end), F.col("event_id").alias(f"{end}_id"), F.col("copies").alias(f"{end}_copies"))
+    every = settled.join(of("CLIENT", "client"), "client").join(of("SERVER", "server"), "server")
+    return every.select(F.col("client_id").alias("client"), F.col("server_id").alias("server"), "service", "path", "cost", F.expr("tied or client_copies > 1 or server_copies > 1").alias("tied"))
+
+
+def _comparisons(at: list[str], c: DataFrame, s: DataFrame) -> int:
+    """How many pairs a join looks at."""
+    both = c.groupBy(*at).agg(F.count("*").alias("c")).join(s.groupBy(*at).agg(F.count("*").alias("s")).hint("merge"), at)
+    return both.agg(F.sum(F.col("c") * F.col("s"))).first()[0] or 0
 
 
 def greedy_levels(pairs: pd.DataFrame) -> pd.DataFrame:

@@ -331,7 +331,7 @@ def transport_candidates(spark, d):
 
 @register("greedy_match")
 def greedy_match(spark, d):
-    return joins.greedy_match(joins.transport_candidates(ad.observations(spark, d), SLACK, with_times=True))
+    return joins.match_calls(ad.observations(spark, d), SLACK)
 
 
 @register("local_parents", f"""WITH {OBS}, x AS (SELECT c.event_id AS child, s.event_id AS parent, s.start_us, rank() OVER (PARTITION BY c.event_id ORDER BY s.start_us DESC) AS r FROM obs c JOIN obs s ON c.kind = 'CLIENT' AND s.kind = 'SERVER' AND c.service = s.service AND c.start_us >= s.start_us AND c.end_us <= s.end_us)

@@ -69,3 +69,21 @@ def test_local_parents_in_pieces(spark):
             assert {(r.child, r.parent) for r in joins.local_parents(df, slack, piece_rows=size).collect()} == set(want.items())
     inside = joins.local_parents(df)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in inside
+
+
+def test_matching_in_bands(spark):
+    """Bands of costs with few comparisons give what all candidates at once give, calls with equal times and repeated ids included."""
+    rng = np.random.default_rng(13)
+    rows = []
+    for k in range(160):
+        start = int(rng.integers(0, 900)) if k % 9 else 40
+        length = int(rng.choice([0, 5, 60, 200])) if k % 9 else 70 - k % 2
+        rows.append((k, int(rng.integers(0, 2)), int(rng.integers(0, 2)), "CLIENT" if k % 2 else "SERVER", "pq"[int(k % 5 == 0)], start, start + length))
+    schema = "event_id long, service int, peer int, kind string, path string, start_us long, end_us long"
+    for more in ([], [(1, 0, 0, "CLIENT", "p", 3, 300)]):
+        obs = spark.createDataFrame(rows + more + [(900, None, None, "CLIENT", "p", 3, 300), (None, 0, 0, "SERVER", "p", 3, 300)], schema)
+        pairs = [tuple(r) for r in joins.transport_candidates(obs, 3, 16).collect()]
+        known = [p for p in pairs if p[0] is not None and p[1] is not None]
+        want = {x for v in (0, 1) for path in "pq" for x in brute([(c, s, k) for c, s, w, p, k in known if (w, p) == (v, path)])}
+        got = joins.match_calls(obs, 3, pairs=300, bucket_us=16).collect()
+        assert {(r.client, r.server, r.cost, r.tied) for r in got} == want and len(got) == len(want)
