@@ -399,19 +399,27 @@ def private_range_conflicts(objects: DataFrame, bucket: int, width: int = 1) ->
     times ``bucket`` and ``width``, so an object touches two cells of its level in each dimension. Two objects meet in the
     grid of the longer lifetime and the wider range, in the one cell where the later begins and the higher starts. In a grid
     an object is native in a dimension if its level there is the grid's; only pairs with a native in each dimension meet.
+
+    Two objects meet once, so only requests with several objects can give a pair twice; other pairs are not shuffled.
     """
     rows = objects.where("born < died and low < high").select("request", *[F.col(c).cast("long").alias(c) for c in ("born", "died", "low", "high")])
     rows = rows.withColumns({"time": level_of(F.col("died") - F.col("born"), bucket), "space": level_of(F.col("high") - F.col("low"), width)})
+    repeated = materialize(rows.groupBy("request").count().where("count > 1").select("request"), "repeated")
+    rows = rows.withColumn("many", F.lit(False)) if repeated.isEmpty() else rows.join(repeated.withColumn("many", F.lit(True)), "request", "left").fillna(False, ["many"])
     above = lambda own, level: F.explode(F.filter(levels_in(rows, own), lambda k: k >= F.col(own))).alias(level)
     span = lambda lo, hi, size, level: F.explode(F.sequence(F.expr(f"floor({lo} / shiftleft(bigint({size}), {level}))"), F.expr(f"floor(({hi} - 1) / shiftleft(bigint({size}), {level}))")))
     grid = rows.select("*", above("time", "grid_time")).select("*", above("space", "grid_space"))
     grid = grid.select("*", span("born", "died", bucket, "grid_time").alias("cell_time")).select("*", span("low", "high", width, "grid_space").alias("cell_space"))
     at = ["grid_time", "grid_space", "cell_time", "cell_space"]
-    values = ["request", "born", "died", "low", "high"]
+    values = ["request", "born", "died", "low", "high", "many"]
     natives = F.expr("time = grid_time"), F.expr("space = grid_space")
     side = lambda where, name: grid.where(where).select(*at, *[F.col(c).alias(f"{c}{name}") for c in values], *([(natives[0] & natives[1]).alias("both2")] if name else []))
     meet = f"""request != request2 and greatest(born, born2) < least(died, died2) and greatest(low, low2) < least(high, high2)
         and floor(greatest(born, born2) / shiftleft(bigint({bucket}), grid_time)) = cell_time and floor(greatest(low, low2) / shiftleft(bigint({width}), grid_space)) = cell_space"""
-    whole = side(natives[0] & natives[1], "").join(side(F.lit(True), "2"), at).where(f"{meet} and (not both2 or request < request2)")
-    crossed = side(natives[0] & ~natives[1], "").join(side(~natives[0] & natives[1], "2"), at).where(meet)
-    return whole.unionByName(crossed).select(F.least("request", "request2").alias("first"), F.greatest("request", "request2").alias("second")).distinct()
+    whole = side(natives[0] & natives[1], "").join(side(F.lit(True), "2").hint("merge"), at).where(f"{meet} and (not both2 or request < request2)")
+    crossed = side(natives[0] & ~natives[1], "").join(side(~natives[0] & natives[1], "2").hint("merge"), at).where(meet)
+    met = whole.unionByName(crossed)
+    pair = [F.least("request", "request2").alias("first"), F.greatest("request", "request2").alias("second")]
+    if repeated.isEmpty():
+        return met.select(*pair)
+    return met.where("not (many or many2)").select(*pair).unionByName(met.where("many or many2").select(*pair).distinct())

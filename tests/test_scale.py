@@ -290,3 +290,11 @@ def test_closures_do_not_broadcast(spark, tmp_path):
         graph.materialize = real
     for df in (moved, stitched, *reached):
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_conflicts_of_single_objects_are_not_shuffled(spark):
+    """Only pairs of requests with several objects can come twice."""
+    one = spark.createDataFrame([(1, 0, 10, 0, 9), (2, 5, 12, 3, 20), (3, 11, 30, 0, 9)], "request int, born long, died long, low long, high long")
+    got = joins.private_range_conflicts(one, 4, 4)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 2), (2, 3)]
+    assert "HashAggregate" not in got._jdf.queryExecution().executedPlan().toString()
