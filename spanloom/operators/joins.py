@@ -300,17 +300,16 @@ def repeated_transports(events: DataFrame, message: list[str], event: str) -> Da
 def overlapping_pairs(intervals: DataFrame, key: list[str], ident: str, start: str, end: str, bucket: int) -> DataFrame:
     """Pairs (a, b), a before b by id, of the same key with max(start) < min(end).
 
-    An interval's level follows its length, so it touches two buckets of its level at most, however long it is. Two intervals
-    meet at the level of the longer one, in the bucket where the later of them starts; ``bucket`` is the smallest size.
+    Two intervals overlap if the later one starts inside the earlier. An interval stands in the buckets that it touches, five at
+    most: their size follows its length, however long it is. A start stands in one bucket of each size, so most of what meets
+    overlaps, and nothing more than starts and ends is compared; ``bucket`` is the smallest length that is told apart.
     """
-    rows = intervals.select(*key, F.col(ident).alias("id"), F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e")).where("s < e").withColumn("own", level_of(F.col("e") - F.col("s"), bucket))
+    bucket = max(1, bucket // 16)
+    rows = intervals.select(*key, F.col(ident).alias("id"), F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e")).where("s < e").withColumn("level", level_of((F.col("e") - F.col("s")) / 4, bucket))
     size = f"shiftleft(bigint({bucket}), level)"
-    in_buckets = F.explode(F.sequence(F.expr(f"floor(s / {size})"), F.expr(f"floor((e - 1) / {size})")))
-    longer = rows.withColumn("level", F.col("own")).withColumn("cell", in_buckets).drop("own")
-    other = rows.withColumn("level", F.explode(F.filter(levels_in(rows, "own"), lambda k: k >= F.col("own")))).withColumn("cell", in_buckets)
-    other = other.select(*key, "level", "cell", F.col("id").alias("id2"), F.col("s").alias("s2"), F.col("e").alias("e2"), (F.col("own") < F.col("level")).alias("shorter"))
-    hit = F.expr(f"(shorter and id != id2 or id < id2) and greatest(s, s2) < least(e, e2) and floor(greatest(s, s2) / {size}) = cell")
-    return longer.join(other, [*key, "level", "cell"]).where(hit).select(*key, F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
+    held = rows.withColumn("cell", F.explode(F.sequence(F.expr(f"floor(s / {size})"), F.expr(f"floor((e - 1) / {size})"))))
+    starts = rows.withColumn("level", F.explode(levels_in(rows, "level"))).select(*key, "level", F.expr(f"floor(s / {size})").alias("cell"), F.col("id").alias("id2"), F.col("s").alias("s2"))
+    return held.join(starts.hint("merge"), [*key, "level", "cell"]).where("s2 < e and (s < s2 or s = s2 and id < id2) and id != id2").select(*key, F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
 
 
 def offsets_to_fields(offsets: DataFrame, spans: DataFrame, case: list[str]) -> DataFrame:

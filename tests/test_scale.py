@@ -298,3 +298,13 @@ def test_conflicts_of_single_objects_are_not_shuffled(spark):
     got = joins.private_range_conflicts(one, 4, 4)
     assert sorted(tuple(r) for r in got.collect()) == [(1, 2), (2, 3)]
     assert "HashAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_overlaps_compare_no_buckets(spark):
+    """What meets in a bucket is compared by starts and ends alone, and mostly overlaps."""
+    rows = spark.range(400).select(F.lit("k").alias("k"), "id", (F.col("id") * 10).alias("s"), (F.col("id") * 10 + 100).alias("e"))
+    got = joins.overlapping_pairs(rows, ["k"], "id", "s", "e", 100)
+    assert got.count() == sum(min(9, 399 - k) for k in range(400))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    join = next(line for line in plan.splitlines() if "Join Inner" in line)
+    assert "FLOOR" not in join.upper()
