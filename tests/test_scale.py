@@ -308,3 +308,36 @@ def test_overlaps_compare_no_buckets(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     join = next(line for line in plan.splitlines() if "Join Inner" in line)
     assert "FLOOR" not in join.upper()
+
+
+@pytest.mark.parametrize("repeats", [False, True])
+def test_value_edges_shuffle_no_contexts(spark, repeats):
+    """Calls that end before they begin, long values and repeated rows as by brute force; without repeats nothing is grouped by pairs."""
+    rng = random.Random(11)
+    tx = [(k, rng.randrange(2), rng.randrange(2), s := rng.randrange(60), s + rng.choice([-9, 0, 5, 20, 60])) for k in range(50)]
+    nodes = [(4 * t + k, t, "request" if k < 2 else "response", "receive" if k % 2 else "send", c if k in (0, 3) else v, f"v{t % 2}" * (1 + 20 * (t % 3 == 0)), s if k < 2 else e, s if k < 2 else e) for t, c, v, s, e in tx for k in range(4)]
+    of = {t[0]: t for t in tx}
+    want = defaultdict(set)
+    for a, b, c in itertools.product([n for n in nodes if n[3] == "receive"], [n for n in nodes if n[3] == "send"], tx):
+        if a[4] == b[4] == c[2] and a[5] == b[5] and a[7] <= b[6]:
+            sent = c[3] <= b[6] <= c[4] if b[2] == "request" else c[0] == b[1]
+            came = c[0] == a[1] if a[2] == "request" else of[a[1]][1] == a[4] and c[3] <= of[a[1]][3] and a[7] <= c[4]
+            if sent and came:
+                want[a[0], b[0]].add(c[0])
+    more = repeats * 7
+    frames = spark.createDataFrame(nodes + nodes[:more], "node int, tx int, direction string, side string, service int, value string, start_us long, end_us long"), spark.createDataFrame(tx + tx[:more], "tx int, client int, server int, request_start_us long, response_end_us long")
+    got = evidence.value_edges_in_context(*frames, 4)
+    rows = got.collect()
+    assert len(rows) == len(want) and {(r.source, r.target): r.contexts for r in rows} == {k: sorted(v) for k, v in want.items()}
+    assert any(len(r.contexts) > 3 for r in rows)
+    if not repeats:
+        assert "hashpartitioning(source" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_running_maxima(spark, monkeypatch):
+    """Maxima are carried over pieces of a large group."""
+    rows = [(k % 2, k, (k * 37) % 101 if k % 3 else None) for k in range(200)]
+    monkeypatch.setattr(ranges, "PIECE_ROWS", 20)
+    got = ranges.running(spark.createDataFrame(rows, "g int, at int, x int"), ["g"], ["at"], maxes={"most": F.col("x")}, small=False).collect()
+    for r in got:
+        assert r.most == max((x for g, at, x in rows if g == r.g and at <= r["at"] and x is not None), default=None)
