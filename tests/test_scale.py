@@ -330,6 +330,8 @@ def test_value_edges_shuffle_no_contexts(spark, repeats):
     rows = got.collect()
     assert len(rows) == len(want) and {(r.source, r.target): r.contexts for r in rows} == {k: sorted(v) for k, v in want.items()}
     assert any(len(r.contexts) > 3 for r in rows)
+    texts = evidence.value_edges_in_context(*frames, 4, separator="; ").collect()
+    assert sorted(tuple(r) for r in texts) == sorted((r.source, r.target, "; ".join(map(str, r.contexts))) for r in rows)
     if not repeats:
         assert "hashpartitioning(source" not in got._jdf.queryExecution().executedPlan().toString()
 
