@@ -4,8 +4,11 @@ import itertools
 import math
 import random
 import statistics
+import time
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -336,6 +339,28 @@ def test_value_edges_shuffle_no_contexts(spark, repeats):
         assert "hashpartitioning(source" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_contexts_are_picked_among_open_requests():
+    """Requests around that no call lies in are not looked at for each pair; batches of any size give the same pairs."""
+    pairs = 200
+    cell = lambda **of: pa.ListArray.from_arrays(pa.array([0, len(next(iter(of.values())))], pa.int32()), pa.StructArray.from_arrays([pa.array(v) for v in of.values()], names=list(of)))
+    spent = {}
+    for idle in (20, 8000):
+        sources = cell(source=np.arange(pairs), source_at=np.full(pairs, 50), call_at=np.full(pairs, 40))
+        targets = cell(target=np.arange(pairs)[::-1].copy(), target_at=(60 + np.arange(pairs))[::-1].copy())
+        around = cell(tx=np.arange(idle + 3), from_us=np.r_[[0, 10, 40], np.full(idle, 45)], to_us=np.r_[[100, 500, 150], np.full(idle, 500)])
+        batch = pa.RecordBatch.from_arrays([sources, targets, around], ["sources", "targets", "around"])
+        runs = []
+        for rows in (1_000_000, 1_000_000, 500):
+            began = time.process_time()
+            got = list(evidence._open_throughout([batch], ",", rows))
+            runs.append(time.process_time() - began)
+            texts = pa.Table.from_batches(got).to_pydict()
+            want = {(s, t): "0,1,2" if t <= 40 else "1,2" if t <= 90 else "1" for s in range(pairs) for t in range(pairs)}
+            assert len(texts["source"]) == len(want) and dict(zip(zip(texts["source"], texts["target"], strict=True), texts["contexts"], strict=True)) == want
+        spent[idle] = min(runs[:2])
+    assert spent[8000] < 10 * spent[20] + 0.1
+
+
 def test_running_maxima(spark, monkeypatch):
     """Maxima are carried over pieces of a large group."""
     rows = [(k % 2, k, (k * 37) % 101 if k % 3 else None) for k in range(200)]
