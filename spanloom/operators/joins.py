@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
-from .ranges import level_of, levels_in, running
+from .ranges import MOST_PIECES, level_of, levels_in, running
 
 
 def unique_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -92,30 +92,77 @@ def match_calls(obs: DataFrame, slack_us: int, pairs: int | None = None, bucket_
     if not calls.groupBy("event_id").count().where("count > 1").isEmpty():  # an end that is several calls has candidates of all of them
         return greedy_match(transport_candidates(obs, slack_us, bucket_us))
     left = calls.where("event_id = like").drop("like", "copies")
-    settled, least = None, -1
+    settled, least, whole, counted, before = None, -1, None, 1, 0
     while True:
-        n, longest = left.agg(F.count("*"), F.max(F.when(F.col("kind") == "CLIENT", F.col("end_us") - F.col("start_us")))).first()
+        of = lambda kind, time: F.max(F.when(F.col("kind") == kind, F.expr(time)))
+        n, longest, back = left.agg(F.count("*"), of("CLIENT", "end_us - start_us"), of("SERVER", "start_us - end_us")).first()
+        longest, back = max(longest or 0, 0) + 2 * slack_us, max(back or 0, 0)
+        if least >= 2 * (longest + back):  # no pair costs more
+            break
         limit = pairs or max(LEAST_PAIRS, BAND_PAIRS * n)
-        at, c, s = _in_buckets(left, slack_us, bucket_us)
-        last = _comparisons(at, c, s) <= limit
+        # all pairs are counted again where they may have become few enough
+        if whole is None or whole * (n / counted) ** 2 <= 4 * limit or 10 * n > 9 * before:
+            at, c, s = _in_buckets(left, slack_us, bucket_us)
+            whole, counted = _comparisons(at, c, s), n
+        last, before = whole <= limit, n
         if not last:
-            most = max(2 * least + 1, 0)
-            wide = max(longest or 0, 0) + 4 * slack_us
-            while wide > most:
-                if _comparisons(*_near(left, slack_us, wide)) <= limit:
-                    most = wide
-                wide //= 8
+            most = _widest(left, slack_us, limit, max(2 * least + 1, 0), longest + 2 * slack_us, whole * (n / counted) ** 2)
             at, c, s = _near(left, slack_us, most)
         band = _fitting(at, c, s, slack_us).select("client", "server", "service", "path", _cost().alias("cost")).where(F.col("cost") > least)
         done = materialize(greedy_match(band if last else band.where(F.col("cost") <= most)), "band")
         settled = done if settled is None else settled.unionByName(done)
         if last:
             break
-        used = done.select(F.explode(F.array("client", "server")).alias("event_id")).distinct()
+        used = done.select(F.explode(F.array("client", "server")).alias("event_id"))
         left, least = materialize(left.join(used.hint("merge"), "event_id", "left_anti"), "open"), most
-    of = lambda kind, end: calls.where(F.col("kind") == kind).select(F.col("like").alias(end), F.col("event_id").alias(f"{end}_id"), F.col("copies").alias(f"{end}_copies"))
-    every = settled.join(of("CLIENT", "client"), "client").join(of("SERVER", "server"), "server")
-    return every.select(F.col("client_id").alias("client"), F.col("server_id").alias("server"), "service", "path", "cost", F.expr("tied or client_copies > 1 or server_copies > 1").alias("tied"))
+    return _each_copy(settled, calls.where("copies > 1").select("event_id", "like", "copies"))
+
+
+#: Pairs of copies that one task makes.
+TASK_PAIRS = 1_000_000
+
+
+def _each_copy(settled: DataFrame, twins: DataFrame) -> DataFrame:
+    """Settled pairs with every call in the place of its like: twins (event_id, like, copies) are the calls that are not alone.
+
+    A few settled pairs become as many rows as their copies multiplied, so tasks follow the rows that they make. The clients of one
+    server, once each stands for itself, are dealt out to several shares, and its copies go to each of them.
+    """
+    if twins.isEmpty():
+        return settled
+    columns = settled.columns
+    copies = lambda end: twins.where("event_id = like").select(F.col("like").alias(end), F.col("copies").alias(f"{end}_copies")).hint("merge")
+    ends = settled.join(copies("client"), "client", "left").join(copies("server"), "server", "left").fillna(1, ["client_copies", "server_copies"])
+    asked = F.sum("client_copies").over(Window.partitionBy("server"))
+    shares = F.greatest(F.lit(1), F.least(F.ceil(asked * F.col("server_copies") / TASK_PAIRS), F.floor(asked / 16))).cast("int")
+    ends = materialize(ends.withColumns({"shares": shares, "tied": F.expr("tied or client_copies > 1 or server_copies > 1")}), "ends")
+    parts = max(1, min(MOST_PIECES, -(-(ends.agg(F.sum(F.col("client_copies") * F.col("server_copies"))).first()[0] or 0) // TASK_PAIRS)))
+    of = lambda end: twins.select(F.col("like").alias(end), F.col("event_id").alias(f"{end}_id"))
+    clients = ends.join(of("client").hint("merge"), "client", "left").withColumn("client", F.coalesce("client_id", "client")).withColumn("share", F.expr("pmod(xxhash64(client), shares)"))
+    servers = of("server").join(ends.select("server", "shares").distinct().hint("merge"), "server").select("server", "server_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - F.lit(1).cast("long"))).alias("share"))
+    every = clients.repartition(parts, "server", "share").join(servers.repartition(parts, "server", "share").hint("merge"), ["server", "share"], "left")
+    return every.withColumn("server", F.coalesce("server_id", "server")).select(*columns)
+
+
+def _widest(left: DataFrame, slack_us: int, limit: int, low: int, high: int, whole: float) -> int:
+    """A width of a band with some ``limit`` comparisons, or less; ``low``, the next band's least width, at worst.
+
+    Comparisons grow with a power of the width between 1, where all calls are as near, and 2, so each count tells where to look
+    next; most bands need one. Before any, an eighth of ``high``, the most that a pair may cost, is taken to hold all of the ``whole``.
+    """
+    at, counted = high / 8, whole
+    while True:
+        at = int(at * (0.7 * limit / max(counted, 1)) ** (1 / 1.5))
+        at = max(min(at, high - high // 8), low + low // 2 + 1)
+        if at >= high or at <= low:
+            return low
+        counted = _comparisons(*_near(left, slack_us, at))
+        if counted > limit:
+            high = at
+        elif 4 * counted >= limit or 2 * at >= high:
+            return at
+        else:
+            low = at
 
 
 def _comparisons(at: list[str], c: DataFrame, s: DataFrame) -> int:
@@ -142,7 +189,7 @@ def greedy_levels(pairs: pd.DataFrame) -> pd.DataFrame:
 
 
 #: Pairs that are matched in one go, once no more are open.
-TOGETHER = 50_000
+TOGETHER = 200_000
 
 
 def greedy_match(candidates: DataFrame, together: int = TOGETHER) -> DataFrame:
@@ -152,30 +199,28 @@ def greedy_match(candidates: DataFrame, together: int = TOGETHER) -> DataFrame:
     either end undercuts is settled, whatever happens elsewhere: it uses up both ends, and dearer pairs there are gone. Each
     round settles all such pairs at once, so the rounds follow the longest chain of ever dearer pairs that hang on each
     other, not the number of pairs; what is open when no more than ``together`` pairs are is matched path by path. Pairs
-    settled at one end have one cost: if there are two, all of them are tied and abstain.
+    settled at one end have one cost: if there are two, all of them are tied and abstain. A round shuffles the open pairs
+    twice, by client and by server; what is cheapest at a server is found with what the round before has left there.
     """
     columns = ["client", "server", "service", "path", "cost"]
-    sides = (["service", "path", "client"], ["service", "path", "server"])
+    by_client, by_server = (Window.partitionBy("service", "path", end) for end in ("client", "server"))
     kinds = {f.name: f.dataType.simpleString() for f in candidates.schema.fields}
-    left = materialize(candidates.select(*columns).dropna(subset=["client", "server", "cost"]), "open")
+    least = lambda kept, by: F.min(F.when(F.col(kept), F.col("cost"))).over(by)
+    left = materialize(candidates.select(*columns).dropna().withColumn("low_server", F.min("cost").over(by_server)), "open")
     settled, rounds = None, 0
     add = lambda done, more: more if done is None else done.unionByName(more)
     while left.count() > together:
-        low_c, low_s = (left.groupBy(*side).agg(F.min("cost").alias(f"low_{side[-1]}")) for side in sides)
-        marked = left.join(low_c, sides[0]).join(low_s, sides[1])
-        marked = materialize(marked.select(*columns, F.expr("cost = low_client and cost = low_server").alias("free")), "marked")
-        free = marked.where("free").select(*columns)
-        settled, rounds = add(settled, free), rounds + 1
+        marked = left.withColumn("free", (F.col("cost") == F.col("low_server")) & (F.col("cost") == F.min("cost").over(by_client))).withColumn("used_client", least("free", by_client)).withColumn("used_server", least("free", by_server))
+        # at an end of a settled pair only pairs of its cost stay open: they may be free, and then tie
+        marked = marked.withColumn("stays", F.expr("not free and coalesce(cost <= used_client, true) and coalesce(cost <= used_server, true)")).where("free or stays")
+        marked = materialize(marked.withColumn("low_server", least("stays", by_server)).select(*columns, "low_server", "free"), "marked")
+        settled, rounds = add(settled, marked.where("free").select(*columns)), rounds + 1
         if rounds % 16 == 0:  # one table again, so that plans don't grow with the rounds
             settled = materialize(settled, "settled")
-        # at an end of a settled pair only pairs of its cost stay open: they may be free, and then tie
-        used_c, used_s = (free.groupBy(*side).agg(F.min("cost").alias(f"used_{side[-1]}")) for side in sides)
-        rest = marked.where("not free").join(used_c, sides[0], "left").join(used_s, sides[1], "left")
-        left = materialize(rest.where("coalesce(cost <= used_client, true) and coalesce(cost <= used_server, true)").select(*columns), "open")
-    last = left.groupBy("service", "path").applyInPandas(lambda pdf: greedy_levels(pdf)[columns], ", ".join(f"{c} {kinds[c]}" for c in columns))
-    settled = materialize(add(settled, last), "settled")
-    many_c, many_s = (settled.groupBy(*side).agg(F.count("*").alias(f"n_{side[-1]}")) for side in sides)
-    return settled.join(many_c, sides[0]).join(many_s, sides[1]).select(*columns, F.expr("n_client > 1 or n_server > 1").alias("tied"))
+        left = marked.where("not free").drop("free")
+    last = left.select(*columns).groupBy("service", "path").applyInPandas(lambda pdf: greedy_levels(pdf)[columns], ", ".join(f"{c} {kinds[c]}" for c in columns))
+    settled = add(settled, last).withColumns({"n_client": F.count("*").over(by_client), "n_server": F.count("*").over(by_server)})
+    return settled.select(*columns, F.expr("n_client > 1 or n_server > 1").alias("tied"))
 
 
 #: Rows of a piece of a service's time in ``local_parents``.

@@ -1,7 +1,10 @@
 """Greedy matching against a version that looks at all pairs anew for each cost."""
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from spanloom.operators import joins
 from spanloom.operators.joins import greedy_levels
@@ -87,3 +90,24 @@ def test_matching_in_bands(spark):
         want = {x for v in (0, 1) for path in "pq" for x in brute([(c, s, k) for c, s, w, p, k in known if (w, p) == (v, path)])}
         got = joins.match_calls(obs, 3, pairs=300, bucket_us=16).collect()
         assert {(r.client, r.server, r.cost, r.tied) for r in got} == want and len(got) == len(want)
+
+
+def test_matching_of_copies_in_many_tasks(spark, monkeypatch):
+    """Calls with many copies become pairs in tasks of a bounded number of rows, all copies of a server's clients among them."""
+    monkeypatch.setattr(joins, "TASK_PAIRS", 500, raising=False)
+    calls = [("CLIENT", 100, 400)] * 90 + [("SERVER", 110, 390)] * 80 + [("CLIENT", 1000, 1400)] * 7 + [("SERVER", 1010, 1390)] + [("CLIENT", 3000, 3400), ("SERVER", 3001, 3400)] + [("CLIENT", 5000, 5400)] + [("SERVER", 5002, 5400)] * 9
+    obs = spark.createDataFrame([(k, 1, 1, kind, "p", a, b) for k, (kind, a, b) in enumerate(calls)], "event_id long, service int, peer int, kind string, path string, start_us long, end_us long")
+    clients, servers = ([(k, a, b) for k, (kind, a, b) in enumerate(calls) if kind == of] for of in ("CLIENT", "SERVER"))
+    want = brute([(c, s, abs(a - x) + abs(b - y)) for c, a, b in clients for s, x, y in servers if x >= a - 3 and y <= b + 3])
+    got = joins.match_calls(obs, 3).withColumn("task", F.spark_partition_id())
+    rows = got.collect()
+    assert {(r.client, r.server, r.cost, r.tied) for r in rows} == want and len(rows) == len(want) == 90 * 80 + 7 + 1 + 9
+    assert max(Counter(r.task for r in rows).values()) <= 80 * 90 // 2  # a server's ninety clients are five shares
+
+
+def test_matching_ends_where_no_pair_fits(spark):
+    """Calls that are compared but never fit take no endless bands."""
+    rows = [(k, 1, 1, "CLIENT" if k % 2 else "SERVER", "p", 2 * k if k % 2 else 2 * k - 1000, 2 * k + 900) for k in range(60)]
+    obs = spark.createDataFrame(rows, "event_id long, service int, peer int, kind string, path string, start_us long, end_us long")
+    assert joins.transport_candidates(obs, 3, 10_000).isEmpty()
+    assert joins.match_calls(obs, 3, pairs=5, bucket_us=10_000).isEmpty()
